@@ -24,7 +24,7 @@ def java_split(col: Column, pattern: str) -> Column:
     Spark's ``split`` keeps trailing empties for any limit, so the trailing
     delimiters are stripped first (``\\z`` = true end of input).
     """
-    stripped = F.regexp_replace(col, f"(?:{pattern})\\z", "")
+    stripped = F.regexp_replace(col, f"(?:{pattern})+\\z", "")
     return (F.when(col == "", F.array(F.lit("")))
             .when(stripped == "", F.array().cast("array<string>"))
             .otherwise(F.split(stripped, pattern, -1)))

@@ -10,7 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from clusterlens.functions.numeric import round_sig
+from clusterlens.operators import records as R
+from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
+from clusterlens.sources.songs import song_lines
 from clusterlens.sources.corpus import document_lines
 from clusterlens.sources.tables import table
 
@@ -76,3 +82,114 @@ def line_grep(spark, sf_dir):
 @register("char_count")
 def char_count(spark, sf_dir):
     return T.char_count(table(spark, sf_dir, "pages"), "html")
+
+
+# --- B: song records and correlation -----------------------------------------
+
+def _parsed(spark, sf_dir):
+    return R.parse_tracks(song_lines(spark, sf_dir))
+
+
+def _tracks(spark, sf_dir):
+    return R.tracks(song_lines(spark, sf_dir))
+
+
+def _pairs(spark, sf_dir):
+    tr = _tracks(spark, sf_dir)
+    return R.hot_pairs(tr), R.tempo_pairs(tr)
+
+
+def _sums(spark, sf_dir):
+    h, t = _pairs(spark, sf_dir)
+    return S.moment_sums(h, t, "hotness", "tempo")
+
+
+@register("track_parse")
+def track_parse(spark, sf_dir):
+    return _tracks(spark, sf_dir)
+
+
+@register("track_counts")
+def track_counts(spark, sf_dir):
+    return R.record_counts(_parsed(spark, sf_dir))
+
+
+@register("hot_pairs")
+def hot_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)[0]
+
+
+@register("tempo_pairs")
+def tempo_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)[1]
+
+
+@register("pair_join")
+def pair_join(spark, sf_dir):
+    return S.pair_join(*_pairs(spark, sf_dir))
+
+
+@register("pair_keys")
+def pair_keys(spark, sf_dir):
+    return S.key_count(*_pairs(spark, sf_dir))
+
+
+_SUM_COLS = ("sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2")
+
+
+@register("moment_sums")
+def moment_sums(spark, sf_dir):
+    sums = _sums(spark, sf_dir)
+    return sums.select("keys", "rows", *[round_sig(F.col(c)).alias(c) for c in _SUM_COLS])
+
+
+@register("corr_key_n")
+def corr_key_n(spark, sf_dir):
+    return S.correlation(_sums(spark, sf_dir), "keys").select(round_sig(F.col("r"), 8).alias("r"))
+
+
+@register("corr_row_n")
+def corr_row_n(spark, sf_dir):
+    return S.correlation(_sums(spark, sf_dir), "rows").select(round_sig(F.col("r"), 8).alias("r"))
+
+
+@register("corr_verdict")
+def corr_verdict(spark, sf_dir):
+    r = S.correlation(_sums(spark, sf_dir), "keys")
+    return r.select(round_sig(F.col("r"), 8).alias("r"), S.verdict(F.col("r")).alias("verdict"))
+
+
+@register("corr_rank")
+def corr_rank(spark, sf_dir):
+    h, t = _pairs(spark, sf_dir)
+    return S.rank_correlation(h, t, "hotness", "tempo").select(round_sig(F.col("rho"), 8).alias("rho"))
+
+
+@register("fade_ratio")
+def fade_ratio(spark, sf_dir):
+    return R.fade_ratio(_tracks(spark, sf_dir))
+
+
+@register("song_words")
+def song_words(spark, sf_dir):
+    return R.song_words(_tracks(spark, sf_dir))
+
+
+@register("song_word_counts")
+def song_word_counts(spark, sf_dir):
+    return R.song_word_counts(_tracks(spark, sf_dir))
+
+
+@register("song_words_by_artist")
+def song_words_by_artist(spark, sf_dir):
+    return R.song_word_counts(_tracks(spark, sf_dir), by_artist=True)
+
+
+@register("playme_flag")
+def playme_flag(spark, sf_dir):
+    return R.playme_flag(_tracks(spark, sf_dir))
+
+
+@register("track_label")
+def track_label(spark, sf_dir):
+    return R.track_label(_tracks(spark, sf_dir))

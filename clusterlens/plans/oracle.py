@@ -40,3 +40,97 @@ SQL: dict[str, str] = {
                  " WHERE contains(value, 'Processing')",
     "char_count": "SELECT CAST(coalesce(sum(length(html)), 0) AS BIGINT) AS chars FROM pages",
 }
+
+
+# --- B: song records ---------------------------------------------------------
+
+# Parsed records straight from the source columns (line number 7 has 33
+# fields and does not parse; 'nan' is not a JVM double, so it reads as 0.0).
+TRACKS = r"""
+tracks AS (
+  SELECT 0 AS sampleRate, CAST(l_suppkey AS INTEGER) AS artist7Id, 0.0::DOUBLE AS artistFamiliarity,
+         0.0::DOUBLE AS artistHotness, 'AR' || l_suppkey AS artistId, 0.0::DOUBLE AS artistLong, '' AS artistLocation,
+         0.0::DOUBLE AS artistLat, '' AS artistMbid, 'Artist, ' || l_suppkey AS artistName,
+         CAST(l_suppkey - 50 AS INTEGER) AS artistPlaymeId, '' AS audioMd5, l_discount AS danceability,
+         l_quantity AS duration, l_tax AS endOfFadeIn, 0.0::DOUBLE AS energy, 0 AS "key", 0.0::DOUBLE AS keyConfidence,
+         0.0::DOUBLE AS loudness, 0 AS "mode", 0.0::DOUBLE AS modeConfidence, '' AS "unknown", '' AS "release",
+         0 AS release7Id, CASE WHEN l_linenumber = 6 THEN 0.0::DOUBLE ELSE l_discount END AS songHotness,
+         '' AS songId, l_quantity / 2 AS startOfFadeOut, l_tax * 1000 AS tempo, 0 AS timeSignature,
+         0.0::DOUBLE AS timeSignatureConfidence, replace(p_name, '"', '') AS title,
+         CAST(l_partkey AS INTEGER) AS trackId, 'TR' || l_orderkey || '-' || l_linenumber AS track7Id,
+         CAST(year(l_shipdate) AS INTEGER) AS "year"
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE l_linenumber <> 7
+),
+hp AS (SELECT track7Id, songHotness AS hotness FROM tracks WHERE songHotness <> 0),
+tp AS (SELECT track7Id, tempo FROM tracks WHERE tempo <> 0),
+pj AS (SELECT hp.track7Id, hotness, tempo FROM hp JOIN tp ON hp.track7Id = tp.track7Id),
+sums AS (
+  SELECT count(DISTINCT track7Id) AS keys, count(*) AS rows, sum(hotness) AS sum_x,
+         sum(tempo) AS sum_y, sum(hotness * tempo) AS sum_xy, sum(hotness * hotness) AS sum_x2,
+         sum(tempo * tempo) AS sum_y2
+  FROM pj
+)"""
+
+SONG = "WITH " + TRACKS
+
+
+def _sig(expr: str, digits: int = 10) -> str:
+    return f"CAST(printf('%.{digits - 1}e', CAST({expr} AS DOUBLE)) AS DOUBLE)"
+
+
+def _pearson(n: str, sx: str, sy: str, sxy: str, sxx: str, syy: str) -> str:
+    return (f"(({n}) * {sxy} - {sx} * {sy}) / "
+            f"(sqrt(({n}) * {sxx} - {sx} * {sx}) * sqrt(({n}) * {syy} - {sy} * {sy}))")
+
+
+def _verdict(r: str) -> str:
+    return (f"CASE WHEN isnan({r}) THEN 'almost no correlation [but that does not mean independence]' "
+            f"WHEN {r} >= 0.5 THEN 'a reasonable, positive correlation' "
+            f"WHEN {r} <= -0.5 THEN 'a reasonable, negative correlation' "
+            f"WHEN abs({r}) >= 0.1 THEN 'a weak correlation' "
+            f"ELSE 'almost no correlation [but that does not mean independence]' END")
+
+
+_R_KEYS = _pearson("CAST(keys AS DOUBLE)", "sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2")
+_R_ROWS = _pearson("CAST(rows AS DOUBLE)", "sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2")
+_STOP = "['a', 'the', 'you', 'he', 'she', 'me', 'i', 'they', 'yours', 'there''s']"
+# JVM split of the lower-cased title on single spaces (trailing empties dropped).
+_TITLE_WORDS = (r"""(CASE WHEN title = '' THEN [''] WHEN regexp_replace(lower(title), ' +$', '') = ''
+     THEN []::VARCHAR[] ELSE string_split(regexp_replace(lower(title), ' +$', ''), ' ') END)""")
+
+SQL.update({
+    "track_parse": SONG + " SELECT * FROM tracks",
+    "track_counts": SONG + " SELECT (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey) AS lines,"
+                           " (SELECT count(*) FROM tracks) AS tracks",
+    "hot_pairs": SONG + " SELECT * FROM hp",
+    "tempo_pairs": SONG + " SELECT * FROM tp",
+    "pair_join": SONG + " SELECT * FROM pj",
+    "pair_keys": SONG + " SELECT count(DISTINCT track7Id) AS keys FROM pj",
+    "moment_sums": SONG + " SELECT keys, rows, " + ", ".join(
+        f"{_sig(c)} AS {c}" for c in ("sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2")) + " FROM sums",
+    "corr_key_n": SONG + f" SELECT {_sig(_R_KEYS, 8)} AS r FROM sums",
+    "corr_row_n": SONG + f" SELECT {_sig(_R_ROWS, 8)} AS r FROM sums",
+    "corr_verdict": SONG + f" SELECT {_sig(_R_KEYS, 8)} AS r, {_verdict(_R_KEYS)} AS verdict FROM sums",
+    "corr_rank": SONG + """,
+ranked AS (
+  SELECT rank() OVER (ORDER BY hotness) + (count(*) OVER (PARTITION BY hotness) - 1) / 2.0 AS rx,
+         rank() OVER (ORDER BY tempo) + (count(*) OVER (PARTITION BY tempo) - 1) / 2.0 AS ry
+  FROM pj
+),
+rs AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(rx) AS sx, sum(ry) AS sy, sum(rx * ry) AS sxy,
+              sum(rx * rx) AS sxx, sum(ry * ry) AS syy FROM ranked)
+SELECT """ + _sig(_pearson("n", "sx", "sy", "sxy", "sxx", "syy"), 8) + " AS rho FROM rs",
+    "fade_ratio": SONG + " SELECT track7Id, ((duration - startOfFadeOut) + (danceability - endOfFadeIn))"
+                         " / duration AS fade_ratio FROM tracks",
+    "song_words": SONG + f""", w AS (SELECT track7Id, unnest({_TITLE_WORDS}) AS word FROM tracks)
+SELECT track7Id, word, 1 AS one FROM w WHERE NOT list_contains({_STOP}, word)""",
+    "song_word_counts": SONG + f""", w AS (SELECT unnest({_TITLE_WORDS}) AS word FROM tracks)
+SELECT word, count(*) AS n FROM w WHERE NOT list_contains({_STOP}, word) GROUP BY word""",
+    "song_words_by_artist": SONG + f""", w AS (SELECT artistId, unnest({_TITLE_WORDS}) AS word FROM tracks)
+SELECT artistId, word, count(*) AS n FROM w WHERE NOT list_contains({_STOP}, word) GROUP BY artistId, word""",
+    "playme_flag": SONG + " SELECT track7Id, CASE WHEN artistPlaymeId < 0 THEN 0 ELSE 1 END AS playme_present"
+                          " FROM tracks",
+    "track_label": SONG + " SELECT track7Id, 'Artist:' || chr(9) || artistName || chr(10) || 'SongTitle:'"
+                          " || chr(9) || title AS label FROM tracks",
+})

@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-          "events", "documents", "embeddings", "pages", "benchmark", "labels",
-          "conversations")
+# Table -> primary-key columns, used to spread a table whose scan yields
+# fewer partitions than the cluster has cores.
+TABLE_KEYS = {
+    "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",),
+    "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",),
+    "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",),
+    "documents": ("doc_id",), "embeddings": ("vec_id",), "pages": ("page_id",),
+    "benchmark": ("item_id",), "labels": ("doc_id",), "conversations": ("conv_id", "turn"),
+}
+TABLES = tuple(TABLE_KEYS)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table. Column pruning and filters reach the parquet scan."""
-    if name not in TABLES:
+def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Hash-repartition ``df`` to the default parallelism when its scan has
+    fewer partitions than that (e.g. a file with one row group), so that
+    row-local CPU work uses every core. At scale the scan already has many
+    more splits than cores and this is a no-op (no shuffle is added)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys) if keys else df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
+    """Read one table. Column pruning and filters still reach the parquet
+    scan (they are pushed below the repartition)."""
+    if name not in TABLE_KEYS:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TABLE_KEYS[name]) if spread_out else df
