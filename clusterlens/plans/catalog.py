@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.functions.numeric import round_sig
+from clusterlens.operators import graph as G
 from clusterlens.operators import records as R
+from clusterlens.operators import series as FS
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
+from clusterlens.sources.series import event_marks, node_series
 from clusterlens.sources.songs import song_lines
+from clusterlens.sources.tasks import task_table
 from clusterlens.sources.corpus import document_lines
 from clusterlens.sources.tables import table
 
@@ -193,3 +197,109 @@ def playme_flag(spark, sf_dir):
 @register("track_label")
 def track_label(spark, sf_dir):
     return R.track_label(_tracks(spark, sf_dir))
+
+
+# --- G: task graphs ------------------------------------------------------------
+
+def _task_stage(spark, sf_dir):
+    return G.edges_task_stage(task_table(spark, sf_dir))
+
+
+@register("edges_task_stage")
+def edges_task_stage(spark, sf_dir):
+    return _task_stage(spark, sf_dir)
+
+
+@register("edges_task_node")
+def edges_task_node(spark, sf_dir):
+    return G.edges_task_node(task_table(spark, sf_dir))
+
+
+@register("edges_task_second")
+def edges_task_second(spark, sf_dir):
+    return G.edges_task_second(task_table(spark, sf_dir))
+
+
+@register("vertices")
+def vertices(spark, sf_dir):
+    return G.vertices(_task_stage(spark, sf_dir))
+
+
+@register("simplify")
+def simplify(spark, sf_dir):
+    return G.simplify(_task_stage(spark, sf_dir))
+
+
+@register("degree")
+def degree(spark, sf_dir):
+    return G.degree(_task_stage(spark, sf_dir))
+
+
+@register("degree_class")
+def degree_class(spark, sf_dir):
+    return G.degree_class(G.degree(G.edges_task_node(task_table(spark, sf_dir))))
+
+
+@register("vertex_style")
+def vertex_style(spark, sf_dir):
+    return G.vertex_style(G.degree(_task_stage(spark, sf_dir)), "stages")
+
+
+# --- F: node time series ---------------------------------------------------------
+
+def _rebased_marks(spark, sf_dir):
+    return FS.rebase(event_marks(spark, sf_dir), FS.origin(node_series(spark, sf_dir)))
+
+
+@register("series_metrics")
+def series_metrics(spark, sf_dir):
+    return FS.metric_series(node_series(spark, sf_dir))
+
+
+@register("series_origin")
+def series_origin(spark, sf_dir):
+    return FS.origin(node_series(spark, sf_dir))
+
+
+@register("event_rebase")
+def event_rebase(spark, sf_dir):
+    return _rebased_marks(spark, sf_dir)
+
+
+@register("event_split")
+def event_split(spark, sf_dir):
+    return FS.split_kind(_rebased_marks(spark, sf_dir))
+
+
+@register("stage_bands")
+def stage_bands(spark, sf_dir):
+    return FS.stage_bands(_rebased_marks(spark, sf_dir))
+
+
+@register("metric_peak")
+def metric_peak(spark, sf_dir):
+    return FS.metric_peak(FS.metric_series(node_series(spark, sf_dir)))
+
+
+@register("node_count")
+def node_count(spark, sf_dir):
+    return FS.node_count(node_series(spark, sf_dir))
+
+
+@register("series_long")
+def series_long(spark, sf_dir):
+    return FS.long_form(FS.metric_series(node_series(spark, sf_dir)))
+
+
+@register("overlay")
+def overlay(spark, sf_dir):
+    return FS.overlay(_rebased_marks(spark, sf_dir))
+
+
+@register("band_stats")
+def band_stats(spark, sf_dir):
+    stats = FS.band_stats(FS.metric_series(node_series(spark, sf_dir)),
+                          FS.stage_bands(_rebased_marks(spark, sf_dir)))
+    return stats.select("band", "node", "samples", *[
+        round_sig(F.col(c)).alias(c) for c in stats.columns if c.startswith("avg_")
+    ], *[c for c in stats.columns if c.startswith("max_")])

@@ -134,3 +134,105 @@ SELECT artistId, word, count(*) AS n FROM w WHERE NOT list_contains({_STOP}, wor
     "track_label": SONG + " SELECT track7Id, 'Artist:' || chr(9) || artistName || chr(10) || 'SongTitle:'"
                           " || chr(9) || title AS label FROM tracks",
 })
+
+
+# --- G: task graphs --------------------------------------------------------------
+
+TASKS = r"""
+stages AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS stage_id
+           FROM (SELECT DISTINCT event_type FROM events)),
+tasks AS (
+  SELECT e.event_id AS task_id, epoch_us(e.ts) // 1000 AS launch_ms,
+         epoch_us(e.ts) // 1000 + CAST(round(e.value * 1000) AS BIGINT) AS finish_ms,
+         s.stage_id, e.event_type, 'n' || (e.user_id % 8) || '.cluster.local' AS host,
+         CAST(e.user_id % 8 AS VARCHAR) AS executor,
+         ['PROCESS_LOCAL', 'NODE_LOCAL', 'RACK_LOCAL', 'ANY'][e.event_id % 4 + 1] AS locality,
+         (e.event_type = 'error' AND CAST(json_extract_string(e.props, '$.k') AS BIGINT) = 0) AS failed,
+         CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS bytes_written,
+         e.event_id % 10 <> 0 AS has_metrics
+  FROM events e JOIN stages s ON e.event_type = s.event_type
+),
+ts_edges AS (SELECT 'T' || task_id AS src, 'S' || stage_id AS dst FROM tasks),
+tn_edges AS (SELECT 'T' || task_id AS src, split_part(host, '.', 1) AS dst FROM tasks)"""
+
+GRAPH = "WITH " + TASKS
+
+
+def _degree(edges: str) -> str:
+    return (f"(SELECT name, count(*) AS degree FROM (SELECT src AS name FROM {edges} "
+            f"UNION ALL SELECT dst FROM {edges}) GROUP BY name)")
+
+
+SQL.update({
+    "edges_task_stage": GRAPH + " SELECT * FROM ts_edges",
+    "edges_task_node": GRAPH + " SELECT * FROM tn_edges",
+    "edges_task_second": GRAPH + """ SELECT 'T' || task_id AS src, CAST(unnest(range(
+        CAST(floor(launch_ms / 1000) AS BIGINT),
+        greatest(CAST(floor(launch_ms / 1000) AS BIGINT), CAST(floor(finish_ms / 1000) AS BIGINT)) + 1)) AS VARCHAR) AS dst
+        FROM tasks""",
+    "vertices": GRAPH + " SELECT DISTINCT name FROM (SELECT src AS name FROM ts_edges UNION ALL"
+                        " SELECT dst FROM ts_edges)",
+    "simplify": GRAPH + " SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM ts_edges"
+                        " WHERE src <> dst",
+    "degree": GRAPH + " SELECT * FROM " + _degree("ts_edges"),
+    "degree_class": GRAPH + " SELECT name, degree, CASE WHEN degree > 2 THEN 'green' ELSE 'white' END"
+                            " AS colour FROM " + _degree("tn_edges"),
+    "vertex_style": GRAPH + """ SELECT name, degree, substr(name, 1, 1) = 'T' AS is_task,
+        CASE WHEN substr(name, 1, 1) = 'T' THEN 4 ELSE 20 END AS size,
+        CASE WHEN substr(name, 1, 1) = 'T' THEN 0.4 ELSE 0.7 END::DOUBLE AS font,
+        CASE WHEN substr(name, 1, 1) = 'T' THEN '' ELSE name END AS label,
+        CASE WHEN degree > 2 THEN 'green' ELSE 'white' END AS colour
+        FROM """ + _degree("ts_edges"),
+})
+
+# --- F: node time series ---------------------------------------------------------
+
+SERIES = r"""
+series AS (
+  SELECT CAST(floor(epoch(l_shipdate)) AS BIGINT) + l_linenumber AS epoch, 'n' || (l_suppkey % 8) AS node,
+         l_quantity * 2 AS idl, l_extendedprice AS used, l_quantity AS free,
+         CAST(l_linenumber AS DOUBLE) AS buff, CAST(l_partkey AS DOUBLE) AS cach, l_discount AS writ,
+         l_tax AS "read", l_quantity AS recv, CAST(l_linenumber AS DOUBLE) AS send
+  FROM lineitem
+),
+origin AS (SELECT min(epoch) AS origin FROM series),
+metrics AS (
+  SELECT epoch - (SELECT origin FROM origin) AS epoch, node, 100 - idl AS CPU,
+         used / (free + buff + cach) * 100 AS MEMUSED, writ + "read" AS DISK, recv + send AS NETWORK
+  FROM series
+),
+marks AS (
+  SELECT CAST(floor(epoch(ts)) AS BIGINT) - 883612800 - (SELECT origin FROM origin) AS epoch,
+         CASE WHEN event_type = 'signup' THEN 'stage' WHEN event_type = 'error' THEN 'global'
+              ELSE 'n' || (user_id % 8) END AS node,
+         event_type AS event, event_id AS seq
+  FROM events
+),
+bands AS (
+  SELECT row_number() OVER (ORDER BY epoch, seq) AS band, seq, event, epoch AS start,
+         coalesce(lead(epoch) OVER (ORDER BY epoch, seq), epoch) AS "end"
+  FROM marks WHERE node = 'stage'
+)"""
+
+SER = "WITH " + SERIES
+_KIND = "CASE WHEN node = 'global' THEN 'global' WHEN node = 'stage' THEN 'stage' ELSE 'node' END"
+_M = ("CPU", "MEMUSED", "DISK", "NETWORK")
+
+SQL.update({
+    "series_metrics": SER + " SELECT * FROM metrics",
+    "series_origin": SER + " SELECT origin FROM origin",
+    "event_rebase": SER + " SELECT * FROM marks",
+    "event_split": SER + f" SELECT *, {_KIND} AS kind FROM marks",
+    "stage_bands": SER + " SELECT band, seq, event, start, \"end\", CASE WHEN band % 2 = 1 THEN 'pink'"
+                         " ELSE 'orange' END AS colour FROM bands",
+    "metric_peak": SER + " SELECT " + ", ".join(f"max({m}) AS max_{m}" for m in _M) + " FROM metrics",
+    "node_count": SER + " SELECT count(DISTINCT node) AS nodes FROM series",
+    "series_long": SER + " SELECT node, epoch, metric, value FROM (" + " UNION ALL ".join(
+        f"SELECT node, epoch, '{m}' AS metric, {m} AS value FROM metrics" for m in _M) + ")",
+    "overlay": SER + f" SELECT epoch, event, {_KIND} AS kind, seq, CASE WHEN {_KIND} = 'node' THEN node"
+                     " ELSE '*' END AS panel FROM marks",
+    "band_stats": SER + " SELECT band, node, count(*) AS samples, " + ", ".join(
+        f"{_sig(f'avg({m})')} AS avg_{m}" for m in _M) + ", " + ", ".join(
+        f"max({m}) AS max_{m}" for m in _M) + """ FROM metrics JOIN bands
+        ON metrics.epoch >= bands.start AND metrics.epoch < bands."end" GROUP BY band, node""",
+})
