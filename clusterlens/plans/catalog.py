@@ -13,11 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.functions.numeric import round_sig
+from clusterlens.operators import eventlog as EL
 from clusterlens.operators import graph as G
+from clusterlens.operators import runtime as D
 from clusterlens.operators import records as R
 from clusterlens.operators import series as FS
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
+from clusterlens.sources.eventlog import event_log_path, read_event_log
+from clusterlens.sources.materialize import materialized
 from clusterlens.sources.series import event_marks, node_series
 from clusterlens.sources.songs import song_lines
 from clusterlens.sources.tasks import task_table
@@ -303,3 +307,126 @@ def band_stats(spark, sf_dir):
     return stats.select("band", "node", "samples", *[
         round_sig(F.col(c)).alias(c) for c in stats.columns if c.startswith("avg_")
     ], *[c for c in stats.columns if c.startswith("max_")])
+
+
+# --- D: runtime events ----------------------------------------------------------
+
+def _log(spark, sf_dir):
+    return read_event_log(spark, event_log_path(spark, sf_dir))
+
+
+def _norm(spark, sf_dir):
+    return D.normalise(_log(spark, sf_dir))
+
+
+def _rows_like(spark, sf_dir, *prefixes):
+    rows = D.event_rows(_norm(spark, sf_dir))
+    cond = None
+    for p in prefixes:
+        c = F.col("event").startswith(p)
+        cond = c if cond is None else (cond | c)
+    return rows.where(cond)
+
+
+@register("evt_rows")
+def evt_rows(spark, sf_dir):
+    return D.event_rows(_norm(spark, sf_dir))
+
+
+@register("evt_task_start")
+def evt_task_start(spark, sf_dir):
+    return D.typed(_log(spark, sf_dir), "TASK-START")
+
+
+@register("evt_task_end")
+def evt_task_end(spark, sf_dir):
+    return D.typed(_log(spark, sf_dir), "TASK-END")
+
+
+@register("evt_task_metrics")
+def evt_task_metrics(spark, sf_dir):
+    return D.typed(_log(spark, sf_dir), "TASK-END", "metric")
+
+
+@register("evt_stage")
+def evt_stage(spark, sf_dir):
+    return _rows_like(spark, sf_dir, "STAGE-")
+
+
+@register("evt_job")
+def evt_job(spark, sf_dir):
+    return _rows_like(spark, sf_dir, "JOB-")
+
+
+@register("evt_executor")
+def evt_executor(spark, sf_dir):
+    return _rows_like(spark, sf_dir, "EXECUTOR-", "BLOCK-MANAGER-")
+
+
+@register("evt_block")
+def evt_block(spark, sf_dir):
+    return _rows_like(spark, sf_dir, "BLOCK-UDPATED")
+
+
+@register("evt_app")
+def evt_app(spark, sf_dir):
+    return _rows_like(spark, sf_dir, "APPLICATION-")
+
+
+@register("listener_lines")
+def listener_lines(spark, sf_dir):
+    return D.listener_lines(_norm(spark, sf_dir))
+
+
+def _listener_path(spark, sf_dir):
+    return materialized(spark, sf_dir, "listener", lambda path: (
+        D.listener_lines(_norm(spark, sf_dir)).write.mode("overwrite").partitionBy("app_id").text(path)))
+
+
+@register("listener_parse")
+def listener_parse(spark, sf_dir):
+    lines = spark.read.text(_listener_path(spark, sf_dir)).select("value")
+    parsed = D.parse_listener_lines(lines)
+    return parsed.select("kind", "epoch", "event", D.attrs_text(F.col("keys"), F.col("vals")).alias("attrs"))
+
+
+@register("durations")
+def durations(spark, sf_dir):
+    return D.durations(_norm(spark, sf_dir))
+
+
+@register("stage_totals")
+def stage_totals(spark, sf_dir):
+    return D.stage_totals(_norm(spark, sf_dir))
+
+
+@register("node_totals")
+def node_totals(spark, sf_dir):
+    return D.node_totals(_norm(spark, sf_dir))
+
+
+@register("run_summary")
+def run_summary(spark, sf_dir):
+    return D.run_summary(_log(spark, sf_dir))
+
+
+# --- E: SQL over the event log -----------------------------------------------------
+
+@register("log_app_id")
+def log_app_id(spark, sf_dir):
+    return EL.app_id(_log(spark, sf_dir))
+
+
+@register("log_event_types")
+def log_event_types(spark, sf_dir):
+    return EL.event_types(_log(spark, sf_dir))
+
+
+@register("log_executor_adds")
+def log_executor_adds(spark, sf_dir):
+    return EL.executor_adds(_log(spark, sf_dir))
+
+
+@register("log_executor_lines")
+def log_executor_lines(spark, sf_dir):
+    return EL.executor_lines(EL.executor_adds(_log(spark, sf_dir)))

@@ -236,3 +236,114 @@ SQL.update({
         f"max({m}) AS max_{m}" for m in _M) + """ FROM metrics JOIN bands
         ON metrics.epoch >= bands.start AND metrics.epoch < bands."end" GROUP BY band, node""",
 })
+
+
+# --- D / E: runtime events and the event log ------------------------------------------
+
+APP = "'app-20240101000000-0000'"
+RUNTIME = TASKS + r""",
+app AS (SELECT min(launch_ms) AS start_ms, max(finish_ms) AS end_ms FROM tasks),
+hosts AS (SELECT host, executor, min(launch_ms) AS first_ms, max(finish_ms) AS last_ms
+          FROM tasks GROUP BY host, executor),
+stg AS (SELECT stage_id, event_type, min(launch_ms) AS first_ms, max(finish_ms) AS last_ms,
+               count(*) AS n FROM tasks GROUP BY stage_id, event_type),
+tm AS (
+  SELECT *, split_part(host, '.', 1) AS node,
+         CASE WHEN has_metrics THEN coalesce(bytes_written, 0) ELSE 0 END AS bw,
+         CASE WHEN has_metrics THEN coalesce(bytes_written, 0) * 10 ELSE 0 END AS sbw,
+         CASE WHEN has_metrics THEN finish_ms - launch_ms ELSE 0 END AS swt,
+         CASE WHEN has_metrics THEN task_id % 1000 ELSE 0 END AS loc,
+         CASE WHEN has_metrics THEN task_id % 7 * 100 ELSE 0 END AS rem,
+         CASE WHEN failed THEN 'failed' ELSE 'succeeded' END AS status,
+         CASE WHEN failed THEN 'ExceptionFailure' ELSE 'Success' END AS reason
+  FROM tasks
+),
+evt AS (
+  SELECT 'event' AS kind, start_ms // 1000 AS epoch, 'APPLICATION-START' AS event, '' AS attrs,
+         '' AS csv FROM app
+  UNION ALL SELECT 'event', first_ms // 1000, 'BLOCK-MANAGER-ADDED', 'host=' || host || '|executor=' || executor,
+         'host,' || host || ',executor,' || executor FROM hosts
+  UNION ALL SELECT 'event', first_ms // 1000, 'EXECUTOR-ADDED', 'node=' || host || '|executorId=' || executor,
+         'node,' || host || ',executorId,' || executor FROM hosts
+  UNION ALL SELECT 'event', last_ms // 1000, 'EXECUTOR-REMOVED', 'executorId=' || executor,
+         'executorId,' || executor FROM hosts
+  UNION ALL SELECT 'event', start_ms // 1000, 'JOB-START',
+         'jobId=0|stageIds=' || (SELECT string_agg(CAST(stage_id AS VARCHAR), ':' ORDER BY stage_id) FROM stg),
+         'jobId,0,stageIds,' || (SELECT string_agg(CAST(stage_id AS VARCHAR), ':' ORDER BY stage_id) FROM stg)
+         FROM app
+  UNION ALL SELECT 'event', end_ms // 1000, 'JOB-END', 'jobId=0|jobResult=JobSucceeded',
+         'jobId,0,jobResult,JobSucceeded' FROM app
+  UNION ALL SELECT 'event', first_ms // 1000, 'STAGE-SUBMITTED',
+         'stageId=' || stage_id || '|name=' || event_type || '|parentStageIds=' ||
+         CASE WHEN stage_id > 0 THEN CAST(stage_id - 1 AS VARCHAR) ELSE '' END || '|numTasks=' || n,
+         'stageId,' || stage_id || ',name,"' || event_type || '",parentStageIds,' ||
+         CASE WHEN stage_id > 0 THEN CAST(stage_id - 1 AS VARCHAR) ELSE '' END || ',numTasks,' || n
+         FROM stg
+  UNION ALL SELECT 'event', last_ms // 1000, 'STAGE-COMPLETED', 'stageId=' || stage_id || '|reason=succeeded',
+         'stageId,' || stage_id || ',reason,succeeded' FROM stg
+  UNION ALL SELECT 'event', launch_ms // 1000, 'TASK-START',
+         'node=' || node || '|taskId=' || task_id || '|stageId=' || stage_id || '|executor=' || executor ||
+         '|taskLocality=' || locality,
+         'node,' || node || ',taskId,' || task_id || ',stageId,' || stage_id || ',executor,' || executor ||
+         ',taskLocality,' || locality FROM tm
+  UNION ALL SELECT 'event', finish_ms // 1000, 'TASK-END',
+         'node=' || node || '|taskId=' || task_id || '|taskType=ResultTask|stageId=' || stage_id ||
+         '|executor=' || executor || '|status=' || status || '|reason=' || reason,
+         'node,' || node || ',taskId,' || task_id || ',taskType,ResultTask,stageId,' || stage_id ||
+         ',executor,' || executor || ',' || status || ',reason,' || reason FROM tm
+  UNION ALL SELECT 'metric', finish_ms // 1000, 'TASK-END',
+         'node=' || node || '|taskId=' || task_id || '|bytesWritten=' || bw || '|memoryBytesSpilled=0' ||
+         '|shuffleBytesWritten=' || sbw || '|shuffleWriteTime=' || swt || '|shuffleReadLocalBytesRead=' || loc ||
+         '|shuffleReadRemoteBytesRead=' || rem || '|shuffleReadTotalBytesRead=' || (loc + rem),
+         'node,' || node || ',taskId,' || task_id || ',bytesWritten,' || bw || ',memoryBytesSpilled,0' ||
+         ',shuffleBytesWritten,' || sbw || ',shuffleWriteTime,' || swt || ',shuffleReadLocalBytesRead,' || loc ||
+         ',shuffleReadRemoteBytesRead,' || rem || ',shuffleReadTotalBytesRead,' || (loc + rem) FROM tm
+  UNION ALL SELECT 'event', end_ms // 1000, 'APPLICATION-END', '', '' FROM app
+)"""
+
+RT = "WITH " + RUNTIME
+_ROWS = f" SELECT {APP} AS app_id, kind, epoch, event, attrs FROM evt"
+_EVENT_NAMES = ["SparkListenerApplicationStart", "SparkListenerEnvironmentUpdate", "SparkListenerExecutorAdded",
+                "SparkListenerBlockManagerAdded", "SparkListenerExecutorRemoved", "SparkListenerJobStart",
+                "SparkListenerJobEnd", "SparkListenerStageSubmitted", "SparkListenerStageCompleted",
+                "SparkListenerTaskStart", "SparkListenerTaskEnd", "SparkListenerApplicationEnd"]
+_METRIC_COLS = ("bytesWritten", "memoryBytesSpilled", "shuffleBytesWritten", "shuffleWriteTime",
+                "shuffleReadLocalBytesRead", "shuffleReadRemoteBytesRead", "shuffleReadTotalBytesRead")
+_METRIC_EXPR = {"bytesWritten": "bw", "memoryBytesSpilled": "0", "shuffleBytesWritten": "sbw",
+                "shuffleWriteTime": "swt", "shuffleReadLocalBytesRead": "loc",
+                "shuffleReadRemoteBytesRead": "rem", "shuffleReadTotalBytesRead": "loc + rem"}
+
+SQL.update({
+    "evt_rows": RT + _ROWS,
+    "evt_task_start": RT + " SELECT launch_ms // 1000 AS epoch, node, CAST(task_id AS VARCHAR) AS taskId,"
+                           " CAST(stage_id AS VARCHAR) AS stageId, executor, locality AS taskLocality FROM tm",
+    "evt_task_end": RT + " SELECT finish_ms // 1000 AS epoch, node, CAST(task_id AS VARCHAR) AS taskId,"
+                         " 'ResultTask' AS taskType, CAST(stage_id AS VARCHAR) AS stageId, executor, status,"
+                         " reason FROM tm",
+    "evt_task_metrics": RT + " SELECT finish_ms // 1000 AS epoch, node, CAST(task_id AS VARCHAR) AS taskId, " +
+                        ", ".join(f"CAST({_METRIC_EXPR[c]} AS VARCHAR) AS {c}" for c in _METRIC_COLS) + " FROM tm",
+    "evt_stage": RT + _ROWS + " WHERE event LIKE 'STAGE-%'",
+    "evt_job": RT + _ROWS + " WHERE event LIKE 'JOB-%'",
+    "evt_executor": RT + _ROWS + " WHERE event LIKE 'EXECUTOR-%' OR event LIKE 'BLOCK-MANAGER-%'",
+    "evt_block": RT + _ROWS + " WHERE event LIKE 'BLOCK-UDPATED%'",
+    "evt_app": RT + _ROWS + " WHERE event LIKE 'APPLICATION-%'",
+    "listener_lines": RT + f" SELECT {APP} AS app_id, kind || ',' || epoch || ',' || event ||"
+                           " CASE WHEN csv = '' THEN '' ELSE ',' || csv END AS line FROM evt",
+    "listener_parse": RT + " SELECT kind, epoch, event, attrs FROM evt",
+    "durations": RT + f""" SELECT {APP} AS app_id, 'app' AS scope, {APP} AS id,
+          end_ms // 1000 - start_ms // 1000 AS elapsed FROM app
+        UNION ALL SELECT {APP}, 'job', '0', end_ms // 1000 - start_ms // 1000 FROM app
+        UNION ALL SELECT {APP}, 'stage', CAST(stage_id AS VARCHAR), last_ms // 1000 - first_ms // 1000 FROM stg
+        UNION ALL SELECT {APP}, 'task', CAST(task_id AS VARCHAR), finish_ms // 1000 - launch_ms // 1000
+          FROM tasks""",
+    "stage_totals": RT + f" SELECT {APP} AS app_id, stage_id AS stageId, count(*) AS tasks, " + ", ".join(
+        f"CAST(sum({_METRIC_EXPR[c]}) AS BIGINT) AS {c}" for c in _METRIC_COLS) + " FROM tm GROUP BY stage_id",
+    "node_totals": RT + f" SELECT {APP} AS app_id, node, count(*) AS tasks, " + ", ".join(
+        f"CAST(sum({_METRIC_EXPR[c]}) AS BIGINT) AS {c}" for c in _METRIC_COLS) + " FROM tm GROUP BY node",
+    "run_summary": RT + f" SELECT {APP} AS app_id, (end_ms - start_ms) // 1000 AS elapsed, '?' AS partitions,"
+                        " '8' AS executors, '1g' AS memory, '1' AS cores FROM app",
+    "log_app_id": f"SELECT {APP} AS app_id",
+    "log_event_types": "SELECT * FROM (VALUES " + ", ".join(f"('{e}')" for e in _EVENT_NAMES) + ") AS t(Event)",
+    "log_executor_adds": RT + " SELECT host AS Host, first_ms AS Timestamp FROM hosts",
+    "log_executor_lines": RT + " SELECT host || ', @' || first_ms AS line FROM hosts",
+})
