@@ -18,12 +18,14 @@ from clusterlens.operators import graph as G
 from clusterlens.operators import runtime as D
 from clusterlens.operators import records as R
 from clusterlens.operators import series as FS
+from clusterlens.operators import spells as H
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
 from clusterlens.sources.eventlog import event_log_path, read_event_log
 from clusterlens.sources.materialize import materialized
 from clusterlens.sources.series import event_marks, node_series
 from clusterlens.sources.songs import song_lines
+from clusterlens.sources.spells import network_spells, task_activity
 from clusterlens.sources.tasks import task_table
 from clusterlens.sources.corpus import document_lines
 from clusterlens.sources.tables import table
@@ -430,3 +432,65 @@ def log_executor_adds(spark, sf_dir):
 @register("log_executor_lines")
 def log_executor_lines(spark, sf_dir):
     return EL.executor_lines(EL.executor_adds(_log(spark, sf_dir)))
+
+
+# --- H: dynamic network ------------------------------------------------------------
+
+def _vs(spark, sf_dir):
+    return network_spells(spark, sf_dir)[0]
+
+
+@register("spell_horizon")
+def spell_horizon(spark, sf_dir):
+    return H.horizon(_vs(spark, sf_dir))
+
+
+@register("spell_labels")
+def spell_labels(spark, sf_dir):
+    return H.labels(_vs(spark, sf_dir))
+
+
+@register("spell_title")
+def spell_title(spark, sf_dir):
+    return H.title(_vs(spark, sf_dir))
+
+
+@register("spell_types")
+def spell_types(spark, sf_dir):
+    return H.typed_vertices(_vs(spark, sf_dir)).select("vertex_id", "vclass")
+
+
+@register("vertex_attrs")
+def vertex_attrs(spark, sf_dir):
+    return H.vertex_attrs(_vs(spark, sf_dir))
+
+
+@register("edge_attrs")
+def edge_attrs(spark, sf_dir):
+    return H.edge_attrs(network_spells(spark, sf_dir)[1])
+
+
+@register("slices")
+def slices(spark, sf_dir):
+    return H.slices(_vs(spark, sf_dir))
+
+
+@register("active_vertices")
+def active_vertices(spark, sf_dir):
+    return H.active_vertices(_vs(spark, sf_dir))
+
+
+@register("active_edges")
+def active_edges(spark, sf_dir):
+    v, e = network_spells(spark, sf_dir)
+    return H.active_edges(e, v)
+
+
+@register("latest_attr")
+def latest_attr(spark, sf_dir):
+    return H.latest_attr(task_activity(spark, sf_dir), _vs(spark, sf_dir))
+
+
+@register("spell_build")
+def spell_build(spark, sf_dir):
+    return H.build_spells(_norm(spark, sf_dir))

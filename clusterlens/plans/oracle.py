@@ -347,3 +347,83 @@ SQL.update({
     "log_executor_adds": RT + " SELECT host AS Host, first_ms AS Timestamp FROM hosts",
     "log_executor_lines": RT + " SELECT host || ', @' || first_ms AS line FROM hosts",
 })
+
+
+# --- H: dynamic network ----------------------------------------------------------------
+
+SPELLS = r"""
+sp_ev AS (SELECT event_id, event_type, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+sp_stg AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS stage_id
+           FROM (SELECT DISTINCT event_type FROM events)),
+sp_t AS (
+  SELECT CAST(floor((sec - (SELECT min(sec) FROM sp_ev)) / 3600) AS BIGINT) AS onset, event_id,
+         'T' || event_id AS task, 'n' || (user_id % 8) AS node, 'S' || s.stage_id AS stage, s.stage_id,
+         e.event_type, ['PROCESS_LOCAL', 'NODE_LOCAL', 'RACK_LOCAL', 'ANY'][event_id % 4 + 1] AS locality
+  FROM sp_ev e JOIN sp_stg s ON e.event_type = s.event_type
+),
+t2 AS (SELECT *, onset + event_id % 7 AS terminus FROM sp_t),
+vs AS (
+  SELECT min(onset) AS onset, max(terminus) AS terminus, node AS vertex_id, node AS name, 'worker' AS type,
+         'events replay' AS info, CAST(substr(node, 2) AS BIGINT) AS ord FROM t2 GROUP BY node
+  UNION ALL SELECT 0, max(terminus), 'data', 'datasets', 'data', '', 1000000000 FROM t2
+  UNION ALL SELECT min(onset), max(terminus), stage, stage, 'stage', event_type, 2000000000 + stage_id
+            FROM t2 GROUP BY stage, stage_id, event_type
+  UNION ALL SELECT onset, terminus, task, task, 'task', locality, 3000000000 + event_id FROM t2
+),
+es AS (
+  SELECT onset, terminus, task AS tail, node AS head, 'taskToNode' AS type FROM t2
+  UNION ALL SELECT onset, terminus, task, 'data', 'taskToData' FROM t2
+  UNION ALL SELECT onset, terminus, task, stage, 'taskToStage' FROM t2
+),
+hz AS (SELECT max(terminus) AS horizon FROM vs),
+sl AS (SELECT unnest(range(0, (SELECT horizon FROM hz) + 1, 2)) AS slice),
+tv AS (
+  SELECT *, CASE WHEN type = 'task' THEN (CASE info WHEN 'PROCESS_LOCAL' THEN 'taskLocal'
+              WHEN 'NODE_LOCAL' THEN 'taskNode' WHEN 'RACK_LOCAL' THEN 'taskRack' END) ELSE type END AS vclass
+  FROM vs
+),
+av AS (
+  SELECT sl.slice, vs.vertex_id FROM vs JOIN sl
+    ON (vs.onset < sl.slice + 2 AND vs.terminus > sl.slice)
+    OR (vs.onset = vs.terminus AND sl.slice <= vs.onset AND vs.onset < sl.slice + 2)
+)"""
+
+SP = "WITH " + SPELLS
+_VATTRS = ("(VALUES ('worker', 4.0::DOUBLE, 32, 'lightgrey', 'black', 0.8::DOUBLE), "
+           "('data', 0.1, 32, '#FFFFFF00', '#FFFFFF00', 0.9), ('taskLocal', 1.0, 3, '#90EE9080', 'black', 0.1), "
+           "('taskNode', 1.0, 3, '#ADD8E680', 'black', 0.1), ('taskRack', 1.0, 3, '#FF000080', 'black', 0.1), "
+           "('stage', 4.0, 6, 'yellow', 'black', 1.0)) AS a(vclass, size, sides, colour, border, label_size)")
+
+SQL.update({
+    "spell_horizon": SP + " SELECT horizon FROM hz",
+    "spell_labels": SP + " SELECT vertex_id, CASE WHEN type = 'data' THEN '' WHEN type = 'stage'"
+                         " THEN name || ' ' || info ELSE name END AS label FROM vs",
+    "spell_title": SP + " SELECT arg_min(info, ord) AS title FROM vs",
+    "spell_types": SP + " SELECT vertex_id, vclass FROM tv",
+    "vertex_attrs": SP + " SELECT vertex_id, tv.vclass, size, sides, colour, border, label_size FROM tv"
+                         " LEFT JOIN " + _VATTRS + " ON tv.vclass = a.vclass",
+    "edge_attrs": SP + " SELECT tail, head, es.type, colour FROM es LEFT JOIN (VALUES ('taskToNode', 'lightgrey'),"
+                       " ('taskToData', '#FFFFFF00'), ('taskToStage', 'yellow')) AS a(type, colour)"
+                       " ON es.type = a.type",
+    "slices": SP + " SELECT slice FROM sl",
+    "active_vertices": SP + " SELECT slice, vertex_id FROM av",
+    "active_edges": SP + """ SELECT sl.slice, es.tail, es.head, es.type FROM es JOIN sl
+        ON (es.onset < sl.slice + 2 AND es.terminus > sl.slice)
+        OR (es.onset = es.terminus AND sl.slice <= es.onset AND es.onset < sl.slice + 2)
+        WHERE EXISTS (SELECT 1 FROM av WHERE av.slice = sl.slice AND av.vertex_id = es.tail)
+          AND EXISTS (SELECT 1 FROM av WHERE av.slice = sl.slice AND av.vertex_id = es.head)""",
+    "latest_attr": SP + """, attr_sl AS (
+        SELECT sl.slice, t2.node AS vertex_id, t2.locality AS value,
+               row_number() OVER (PARTITION BY t2.node, sl.slice ORDER BY t2.onset DESC, t2.task DESC) AS rn
+        FROM t2 JOIN sl ON (t2.onset < sl.slice + 2 AND t2.terminus > sl.slice)
+          OR (t2.onset = t2.terminus AND sl.slice <= t2.onset AND t2.onset < sl.slice + 2))
+        SELECT vertex_id, slice, value FROM attr_sl WHERE rn = 1""",
+    "spell_build": RT + f""", t0 AS (SELECT start_ms // 1000 AS t0 FROM app)
+        SELECT {APP} AS app_id, launch_ms // 1000 - (SELECT t0 FROM t0) AS onset,
+               finish_ms // 1000 - (SELECT t0 FROM t0) AS terminus, 'T' || task_id AS vertex_id,
+               'task' AS type, locality AS info FROM tasks
+        UNION ALL SELECT {APP}, first_ms // 1000 - (SELECT t0 FROM t0), last_ms // 1000 - (SELECT t0 FROM t0),
+               'S' || stage_id, 'stage', event_type FROM stg
+        UNION ALL SELECT {APP}, first_ms // 1000 - (SELECT t0 FROM t0), last_ms // 1000 - (SELECT t0 FROM t0),
+               split_part(host, '.', 1), 'worker', executor FROM hosts""",
+})
