@@ -142,6 +142,11 @@ def with_app_id(log: DataFrame, scope: str = "dir") -> DataFrame:
     a Spark-written log) or each file alone (``scope='file'``: a flat folder
     of single-file logs). The small side has one row per log."""
     path = F.col("_metadata.file_path")
+    if scope == "path":
+        # No join (usable on a stream): the id is in the folder name, as in
+        # rolling logs (eventlog_v2_<id>/...) or a Spark-written log (app=<id>/...).
+        app = F.regexp_extract(path, r"(?:app=|eventlog_v2_)([^/]+)/[^/]*$", 1)
+        return log.select("*", F.when(app != "", app).alias("app_id"))
     unit = path if scope == "file" else F.regexp_replace(path, "/[^/]*$", "")
     lines = log.select("*", unit.alias("_file"))
     apps = (lines.where(F.col("Event") == "SparkListenerApplicationStart")

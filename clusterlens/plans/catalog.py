@@ -18,13 +18,17 @@ from clusterlens.operators import graph as G
 from clusterlens.operators import runtime as D
 from clusterlens.operators import records as R
 from clusterlens.operators import series as FS
+from clusterlens.operators import sinkfiles as C
 from clusterlens.operators import spells as H
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
 from clusterlens.sources.eventlog import event_log_path, read_event_log
 from clusterlens.sources.materialize import materialized
 from clusterlens.sources.series import event_marks, node_series
+from clusterlens.session import shared_dir, source_key
+from clusterlens.sources.sinkfiles import SINK_APP, read_sink_files, sink_files_path
 from clusterlens.sources.songs import song_lines
+from clusterlens.streaming import jobs as ST
 from clusterlens.sources.spells import network_spells, task_activity
 from clusterlens.sources.tasks import task_table
 from clusterlens.sources.corpus import document_lines
@@ -494,3 +498,49 @@ def latest_attr(spark, sf_dir):
 @register("spell_build")
 def spell_build(spark, sf_dir):
     return H.build_spells(_norm(spark, sf_dir))
+
+
+# --- C: metric-sink collation ------------------------------------------------------
+
+SINK_HOST, SINK_USER = "collector.cluster.local", "joe"
+
+
+def _sink_lines(spark, sf_dir):
+    return read_sink_files(spark, sink_files_path(spark, sf_dir))
+
+
+@register("sink_collate")
+def sink_collate(spark, sf_dir):
+    return C.collate(_sink_lines(spark, sf_dir), SINK_APP, SINK_HOST, SINK_USER)
+
+
+@register("sink_long")
+def sink_long(spark, sf_dir):
+    return C.long_form(_sink_lines(spark, sf_dir), SINK_APP)
+
+
+def _stream_out(spark, sf_dir, name, run):
+    """Run a streaming job to completion (availableNow) into the shared
+    folder and read its committed output back."""
+    base = shared_dir(spark, "streams", source_key(sf_dir), name)
+    run(base + "/out", base + "/checkpoint")
+    return spark.read.parquet(base + "/out")
+
+
+@register("stream_collate")
+def stream_collate(spark, sf_dir):
+    src = sink_files_path(spark, sf_dir)
+    return _stream_out(spark, sf_dir, "collate", lambda out, ck: ST.stream_collate(
+        spark, src, out, ck, SINK_APP, SINK_HOST, SINK_USER))
+
+
+@register("stream_events")
+def stream_events(spark, sf_dir):
+    src = event_log_path(spark, sf_dir)
+    return _stream_out(spark, sf_dir, "events", lambda out, ck: ST.stream_events(spark, src, out, ck))
+
+
+@register("stream_task_rate")
+def stream_task_rate(spark, sf_dir):
+    src = event_log_path(spark, sf_dir)
+    return _stream_out(spark, sf_dir, "task_rate", lambda out, ck: ST.stream_task_rate(spark, src, out, ck))

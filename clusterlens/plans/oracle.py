@@ -427,3 +427,29 @@ SQL.update({
         UNION ALL SELECT {APP}, first_ms // 1000 - (SELECT t0 FROM t0), last_ms // 1000 - (SELECT t0 FROM t0),
                split_part(host, '.', 1), 'worker', executor FROM hosts""",
 })
+
+
+# --- C: metric-sink collation, and the streaming jobs --------------------------------------
+
+SINK = r"""
+sink_rows AS (
+  SELECT CAST(user_id % 4 AS VARCHAR) AS executor, 'jvm_' || event_type || '_used' AS metric,
+         CAST(floor(epoch(ts)) AS BIGINT) AS epoch, value
+  FROM events
+)"""
+
+SQL.update({
+    "sink_collate": "WITH " + SINK + " SELECT 'collector' AS host, executor, metric, 'joe' AS user,"
+                    " epoch || ',' || CAST(value AS VARCHAR) AS line FROM sink_rows",
+    "sink_long": "WITH " + SINK + " SELECT executor, metric, epoch, 'value' AS field, value FROM sink_rows",
+    "stream_collate": "WITH " + SINK + " SELECT 'collector' AS host, executor, metric, 'joe' AS user,"
+                      " epoch || ',' || CAST(value AS VARCHAR) AS line FROM sink_rows",
+    "stream_events": RT + _ROWS,
+    "stream_task_rate": RT + """, ends AS (SELECT finish_ms // 1000 AS epoch, split_part(host, '.', 1) AS node
+                                          FROM tasks),
+        w AS (SELECT epoch // 3600 * 3600 AS window_start, epoch // 3600 * 3600 + 3600 AS window_end, node
+              FROM ends)
+        SELECT window_start, window_end, node, count(*) AS tasks FROM w
+        WHERE window_end <= (SELECT max(epoch) FROM ends) - 600
+        GROUP BY window_start, window_end, node""",
+})
