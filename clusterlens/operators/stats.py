@@ -61,6 +61,31 @@ def moment_sums(h: DataFrame, t: DataFrame, x: str, y: str, key: str = KEY) -> D
     )
 
 
+def moment_sums_one_table(df: DataFrame, x: str, y: str, key: str = KEY) -> DataFrame:
+    """``moment_sums`` when both pair tables are projections of one table
+    (x pairs = rows with x <> 0, y pairs = rows with y <> 0): the per-key
+    aggregates of both sides come from a single aggregation over that table,
+    and keys present on both sides are those with both counts > 0 — the join
+    disappears, leaving one scan and one shuffle of per-key partials."""
+    hx, ty = F.col(x) != 0, F.col(y) != 0
+    g = df.groupBy(key).agg(
+        F.count(F.when(hx, 1)).alias("hn"), F.sum(F.when(hx, F.col(x))).alias("hs"),
+        F.sum(F.when(hx, F.col(x) * F.col(x))).alias("hss"),
+        F.count(F.when(ty, 1)).alias("tn"), F.sum(F.when(ty, F.col(y))).alias("ts"),
+        F.sum(F.when(ty, F.col(y) * F.col(y))).alias("tss"))
+    j = g.where((F.col("hn") > 0) & (F.col("tn") > 0))
+    hn, tn = F.col("hn").cast("double"), F.col("tn").cast("double")
+    return j.agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.sum(F.col("hn") * F.col("tn")).cast("bigint").alias("rows"),
+        F.sum(F.col("hs") * tn).alias("sum_x"),
+        F.sum(F.col("ts") * hn).alias("sum_y"),
+        F.sum(F.col("hs") * F.col("ts")).alias("sum_xy"),
+        F.sum(F.col("hss") * tn).alias("sum_x2"),
+        F.sum(F.col("tss") * hn).alias("sum_y2"),
+    )
+
+
 def key_count(h: DataFrame, t: DataFrame, key: str = KEY) -> DataFrame:
     """Number of distinct keys present on both sides (= keys after the join)."""
     return (h.select(key).distinct().join(t.select(key).distinct(), key, "inner")

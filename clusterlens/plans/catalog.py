@@ -114,8 +114,9 @@ def _pairs(spark, sf_dir):
 
 
 def _sums(spark, sf_dir):
-    h, t = _pairs(spark, sf_dir)
-    return S.moment_sums(h, t, "hotness", "tempo")
+    # hotness and tempo pairs both come from the parsed records: one pass
+    return S.moment_sums_one_table(_tracks(spark, sf_dir).select("track7Id", "songHotness", "tempo"),
+                                   "songHotness", "tempo")
 
 
 @register("track_parse")
@@ -145,7 +146,7 @@ def pair_join(spark, sf_dir):
 
 @register("pair_keys")
 def pair_keys(spark, sf_dir):
-    return S.key_count(*_pairs(spark, sf_dir))
+    return _sums(spark, sf_dir).select("keys")
 
 
 _SUM_COLS = ("sum_x", "sum_y", "sum_xy", "sum_x2", "sum_y2")
@@ -175,7 +176,12 @@ def corr_verdict(spark, sf_dir):
 
 @register("corr_rank")
 def corr_rank(spark, sf_dir):
-    h, t = _pairs(spark, sf_dir)
+    # The rank pipeline reads the pairs several times: parse once into a
+    # narrow table and cut the lineage there (reliable checkpoint in the
+    # shared checkpoint folder, so a lost executor does not re-parse).
+    kv = _tracks(spark, sf_dir).select("track7Id", "songHotness", "tempo").checkpoint(eager=True)
+    h = R.value_pairs(kv, "songHotness", "hotness")
+    t = R.value_pairs(kv, "tempo", "tempo")
     return S.rank_correlation(h, t, "hotness", "tempo").select(round_sig(F.col("rho"), 8).alias("rho"))
 
 
