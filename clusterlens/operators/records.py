@@ -47,10 +47,14 @@ def parse_tracks(lines: DataFrame, col: str = "value") -> DataFrame:
 
 def tracks(lines: DataFrame, col: str = "value") -> DataFrame:
     """The parsed records as flat columns; lines of the wrong arity dropped.
-    (Filters on the field count, so no record struct is built twice.)"""
+
+    The record leaves through a generator (``inline`` of a zero- or
+    one-element array) rather than a filter: a filter on the field count
+    would be pushed below the projection with the split inlined into it,
+    splitting every line twice."""
+    one = F.when(F.size("_f") == TRACK_ARITY, F.array(F.struct(*_typed(F.col("_f")))))
     return (lines.select(quoted_csv_split(F.col(col)).alias("_f"))
-            .where(F.size("_f") == TRACK_ARITY)
-            .select(*_typed(F.col("_f"))))
+            .select(F.inline(one)))
 
 
 def record_counts(parsed: DataFrame) -> DataFrame:
