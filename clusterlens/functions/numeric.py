@@ -41,17 +41,18 @@ def java_int(s: Column) -> Column:
 def java_double(s: Column) -> Column:
     """``Double.parseDouble`` with 0.0 on failure.
 
-    Spark's cast agrees with the JVM parser except for the special literals:
-    Spark also accepts lower-case ``nan``/``inf``/``infinity``, the JVM only
-    ``NaN`` and ``Infinity`` (optionally signed) exactly cased. The regex
-    checks therefore run only on the rare NaN/Infinity results.
+    Spark's cast (which trims like the JVM parser) agrees with it except for
+    the special literals: Spark also accepts lower-case ``nan``/``inf``/
+    ``infinity``, the JVM only ``NaN`` and ``Infinity`` (optionally signed)
+    exactly cased. The text checks therefore run only on the rare
+    NaN/Infinity results.
     """
-    t = F.trim(s)
-    d = t.try_cast("double")
+    d = s.try_cast("double")
     special = F.isnan(d) | (F.abs(d) == _inf())
+    t = F.trim(s)
+    java_form = t.rlike(r"^[+-]?(NaN|Infinity)\z") | ~t.rlike(r"(?i)^[+-]?(nan|inf|infinity)\z")
     return (F.when(d.isNull(), F.lit(0.0))
-            .when(special & ~t.rlike(r"^[+-]?(NaN|Infinity)\z")
-                  & t.rlike(r"(?i)^[+-]?(nan|inf|infinity)\z"), F.lit(0.0))
+            .when(special, F.when(java_form, d).otherwise(F.lit(0.0)))
             .otherwise(d))
 
 

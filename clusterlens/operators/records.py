@@ -31,9 +31,9 @@ SONG_STOP_WORDS = ["a", "the", "you", "he", "she", "me", "i", "they", "yours", "
 _PARSERS = {"i": java_int, "d": java_double, "s": lambda c: c}
 
 
-def _typed(fields: Column) -> list[Column]:
+def _typed(fields: Column, names: list[str] | None = None) -> list[Column]:
     return [_PARSERS[kind](fields.getItem(i)).alias(name)
-            for i, (name, kind) in enumerate(TRACK_FIELDS)]
+            for i, (name, kind) in enumerate(TRACK_FIELDS) if names is None or name in names]
 
 
 def parse_tracks(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -45,14 +45,15 @@ def parse_tracks(lines: DataFrame, col: str = "value") -> DataFrame:
                     .alias("track")))
 
 
-def tracks(lines: DataFrame, col: str = "value") -> DataFrame:
+def tracks(lines: DataFrame, col: str = "value", fields: list[str] | None = None) -> DataFrame:
     """The parsed records as flat columns; lines of the wrong arity dropped.
 
     The record leaves through a generator (``inline`` of a zero- or
     one-element array) rather than a filter: a filter on the field count
     would be pushed below the projection with the split inlined into it,
-    splitting every line twice."""
-    one = F.when(F.size("_f") == TRACK_ARITY, F.array(F.struct(*_typed(F.col("_f")))))
+    splitting every line twice. ``fields`` limits the typed fields (the
+    optimizer cannot prune struct fields through the generator)."""
+    one = F.when(F.size("_f") == TRACK_ARITY, F.array(F.struct(*_typed(F.col("_f"), fields))))
     return (lines.select(quoted_csv_split(F.col(col)).alias("_f"))
             .select(F.inline(one)))
 

@@ -104,19 +104,27 @@ def _parsed(spark, sf_dir):
     return R.parse_tracks(song_lines(spark, sf_dir))
 
 
-def _tracks(spark, sf_dir):
-    return R.tracks(song_lines(spark, sf_dir))
+_KV = ["track7Id", "songHotness", "tempo"]
+
+
+def _tracks(spark, sf_dir, fields=None):
+    return R.tracks(song_lines(spark, sf_dir), fields=fields)
 
 
 def _pairs(spark, sf_dir):
-    tr = _tracks(spark, sf_dir)
+    tr = _tracks(spark, sf_dir, _KV)
     return R.hot_pairs(tr), R.tempo_pairs(tr)
 
 
+def _kv_checkpointed(spark, sf_dir):
+    """The narrow (key, hotness, tempo) records, parsed once and written to
+    the shared checkpoint folder, for plans that read them several times."""
+    return _tracks(spark, sf_dir, _KV).checkpoint(eager=True)
+
+
 def _sums(spark, sf_dir):
     # hotness and tempo pairs both come from the parsed records: one pass
-    return S.moment_sums_one_table(_tracks(spark, sf_dir).select("track7Id", "songHotness", "tempo"),
-                                   "songHotness", "tempo")
+    return S.moment_sums_one_table(_tracks(spark, sf_dir, _KV), "songHotness", "tempo")
 
 
 @register("track_parse")
@@ -141,7 +149,8 @@ def tempo_pairs(spark, sf_dir):
 
 @register("pair_join")
 def pair_join(spark, sf_dir):
-    return S.pair_join(*_pairs(spark, sf_dir))
+    kv = _kv_checkpointed(spark, sf_dir)
+    return S.pair_join(R.hot_pairs(kv), R.tempo_pairs(kv))
 
 
 @register("pair_keys")
@@ -179,7 +188,7 @@ def corr_rank(spark, sf_dir):
     # The rank pipeline reads the pairs several times: parse once into a
     # narrow table and cut the lineage there (reliable checkpoint in the
     # shared checkpoint folder, so a lost executor does not re-parse).
-    kv = _tracks(spark, sf_dir).select("track7Id", "songHotness", "tempo").checkpoint(eager=True)
+    kv = _kv_checkpointed(spark, sf_dir)
     h = R.value_pairs(kv, "songHotness", "hotness")
     t = R.value_pairs(kv, "tempo", "tempo")
     return S.rank_correlation(h, t, "hotness", "tempo").select(round_sig(F.col("rho"), 8).alias("rho"))
@@ -187,32 +196,33 @@ def corr_rank(spark, sf_dir):
 
 @register("fade_ratio")
 def fade_ratio(spark, sf_dir):
-    return R.fade_ratio(_tracks(spark, sf_dir))
+    return R.fade_ratio(_tracks(spark, sf_dir, ["track7Id", "duration", "startOfFadeOut", "danceability",
+                                                "endOfFadeIn"]))
 
 
 @register("song_words")
 def song_words(spark, sf_dir):
-    return R.song_words(_tracks(spark, sf_dir))
+    return R.song_words(_tracks(spark, sf_dir, ["track7Id", "title"]))
 
 
 @register("song_word_counts")
 def song_word_counts(spark, sf_dir):
-    return R.song_word_counts(_tracks(spark, sf_dir))
+    return R.song_word_counts(_tracks(spark, sf_dir, ["artistId", "title"]))
 
 
 @register("song_words_by_artist")
 def song_words_by_artist(spark, sf_dir):
-    return R.song_word_counts(_tracks(spark, sf_dir), by_artist=True)
+    return R.song_word_counts(_tracks(spark, sf_dir, ["artistId", "title"]), by_artist=True)
 
 
 @register("playme_flag")
 def playme_flag(spark, sf_dir):
-    return R.playme_flag(_tracks(spark, sf_dir))
+    return R.playme_flag(_tracks(spark, sf_dir, ["track7Id", "artistPlaymeId"]))
 
 
 @register("track_label")
 def track_label(spark, sf_dir):
-    return R.track_label(_tracks(spark, sf_dir))
+    return R.track_label(_tracks(spark, sf_dir, ["track7Id", "artistName", "title"]))
 
 
 # --- G: task graphs ------------------------------------------------------------
