@@ -284,6 +284,18 @@ def stage_totals(norm: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("tasks"), *[F.sum(k).alias(k) for k in METRIC_KEYS]))
 
 
+def stage_totals_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
+    """Per-stage task-metric totals straight from the event log: each
+    ``SparkListenerTaskEnd`` carries both the stage id and the metrics, so
+    this is one scan and one aggregate, with no join (``stage_totals`` is the
+    form for listener files, whose metric rows lack the stage)."""
+    ends = with_app_id(log.where(F.col("Event") == "SparkListenerTaskEnd"), scope)
+    attrs = dict(_task_metric_attrs())
+    return (ends.groupBy("app_id", F.col("`Stage ID`").alias("stageId"))
+            .agg(F.count(F.lit(1)).alias("tasks"),
+                 *[F.sum(attrs[k].cast("bigint")).alias(k) for k in METRIC_KEYS]))
+
+
 def node_totals(norm: DataFrame) -> DataFrame:
     """Task-metric totals per node (the metric rows carry the node)."""
     m = norm.where((F.col("kind") == "metric") & (F.col("event") == "TASK-END"))

@@ -338,7 +338,9 @@ def _log(spark, sf_dir):
 
 
 def _norm(spark, sf_dir):
-    return D.normalise(_log(spark, sf_dir))
+    # The derived log keeps one application per folder (app=<id>), like
+    # rolling event logs, so the id comes from the path: no second scan.
+    return D.normalise(_log(spark, sf_dir), scope="path")
 
 
 def _rows_like(spark, sf_dir, *prefixes):
@@ -419,7 +421,7 @@ def durations(spark, sf_dir):
 
 @register("stage_totals")
 def stage_totals(spark, sf_dir):
-    return D.stage_totals(_norm(spark, sf_dir))
+    return D.stage_totals_from_log(_log(spark, sf_dir))
 
 
 @register("node_totals")
@@ -429,7 +431,7 @@ def node_totals(spark, sf_dir):
 
 @register("run_summary")
 def run_summary(spark, sf_dir):
-    return D.run_summary(_log(spark, sf_dir))
+    return D.run_summary(_log(spark, sf_dir), scope="path")
 
 
 # --- E: SQL over the event log -----------------------------------------------------

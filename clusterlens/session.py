@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Whole-stage code above HotSpot's JIT limit (8000 bytecodes) would run
+    # interpreted; above this size Spark uses its own (compiled) evaluators.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

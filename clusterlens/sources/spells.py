@@ -47,7 +47,9 @@ def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_spells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = _task_spells(spark, sf_dir)
+    # The task spells feed seven branches (tasks, workers, stages, data and
+    # three edge kinds): build them once and cut the lineage there.
+    t = _task_spells(spark, sf_dir).checkpoint(eager=True)
     tasks = t.select("onset", "terminus", F.col("task").alias("vertex_id"), F.col("task").alias("name"),
                      F.lit("task").alias("type"), F.col("locality").alias("info"),
                      (F.lit(3_000_000_000) + F.col("event_id")).alias("ord"))
