@@ -15,8 +15,8 @@ def quoted_csv_split(line: Column) -> Column:
     A comma separates fields when an even number of quotes follows it up to
     the end of the line (limit -1: empty fields kept). Instead of a
     look-ahead regex (quadratic in the line length) the line is cut at its
-    quotes: a comma in piece ``i`` of ``m+1`` pieces has ``m - i`` quotes
-    after it, so commas in pieces with ``m - i`` odd are literal. They are
+    quotes: a comma in the piece ``j`` places from the end has ``j`` quotes
+    after it, so commas in pieces with odd ``j`` are literal. They are
     swapped for a placeholder, the pieces re-joined (which drops the quotes),
     the result split on the remaining commas and the placeholder swapped
     back. The placeholder is collision-free: the escape character itself is
@@ -24,11 +24,10 @@ def quoted_csv_split(line: Column) -> Column:
     Linear in the line length, and built-in expressions only.
     """
     esc, lit_comma = F.lit(_ESC + "a"), F.lit(_ESC + "b")
-    pieces = F.split(F.replace(line, F.lit(_ESC), esc), '"', -1)
-    m = F.size(pieces) - 1
-    marked = F.transform(pieces, lambda p, i: F.when((m - i) % 2 == 1, F.replace(p, F.lit(","), lit_comma))
+    pieces = F.reverse(F.split(F.replace(line, F.lit(_ESC), esc), '"', -1))
+    marked = F.transform(pieces, lambda p, j: F.when(j % 2 == 1, F.replace(p, F.lit(","), lit_comma))
                          .otherwise(p))
-    fields = F.split(F.array_join(marked, ""), ",", -1)
+    fields = F.split(F.array_join(F.reverse(marked), ""), ",", -1)
     return F.transform(fields, lambda x: F.replace(F.replace(x, lit_comma, F.lit(",")), esc, F.lit(_ESC)))
 
 

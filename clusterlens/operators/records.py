@@ -31,8 +31,11 @@ SONG_STOP_WORDS = ["a", "the", "you", "he", "she", "me", "i", "they", "yours", "
 _PARSERS = {"i": java_int, "d": java_double, "s": lambda c: c}
 
 
-def _typed(fields: Column, names: list[str] | None = None) -> list[Column]:
-    return [_PARSERS[kind](fields.getItem(i)).alias(name)
+def _typed(fields: Column, names: list[str] | None = None, safe: bool = False) -> list[Column]:
+    """Typed fields; ``safe`` reads positions with ``get`` (NULL when the
+    array is shorter) so the parse can run before the arity check."""
+    item = (lambda i: F.get(fields, i)) if safe else (lambda i: fields.getItem(i))
+    return [_PARSERS[kind](item(i)).alias(name)
             for i, (name, kind) in enumerate(TRACK_FIELDS) if names is None or name in names]
 
 
@@ -51,10 +54,15 @@ def tracks(lines: DataFrame, col: str = "value", fields: list[str] | None = None
     The record leaves through a generator (``inline`` of a zero- or
     one-element array) rather than a filter: a filter on the field count
     would be pushed below the projection with the split inlined into it,
-    splitting every line twice. ``fields`` limits the typed fields (the
+    splitting every line twice. The fields are typed in a projection first
+    (where repeated casts are shared by subexpression elimination); the
+    generator only picks the columns. ``fields`` limits the typed fields (the
     optimizer cannot prune struct fields through the generator)."""
-    one = F.when(F.size("_f") == TRACK_ARITY, F.array(F.struct(*_typed(F.col("_f"), fields))))
+    typed = _typed(F.col("_f"), fields, safe=True)
+    names = [name for name, _ in TRACK_FIELDS if fields is None or name in fields]
+    one = F.when(F.col("_ok"), F.array(F.struct(*[F.col(n) for n in names])))
     return (lines.select(quoted_csv_split(F.col(col)).alias("_f"))
+            .select((F.size("_f") == TRACK_ARITY).alias("_ok"), *typed)
             .select(F.inline(one)))
 
 

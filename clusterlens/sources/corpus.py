@@ -28,4 +28,4 @@ def lines_of(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the ``documents`` corpus: ``(doc_id, line_no, value)``."""
-    return lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+    return lines_of(table(spark, sf_dir, "documents", spread_out=True).select("doc_id", "text"), keep=("doc_id",))

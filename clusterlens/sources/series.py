@@ -31,7 +31,7 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def node_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", spread_out=True)
     return li.select(
         (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber")).alias("epoch"),
         F.concat(F.lit("n"), (F.col("l_suppkey") % 8).cast("string")).alias("node"),
@@ -48,7 +48,7 @@ def node_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread_out=True)
     node = (F.when(F.col("event_type") == "signup", "stage")
             .when(F.col("event_type") == "error", "global")
             .otherwise(F.concat(F.lit("n"), (F.col("user_id") % 8).cast("string"))))

@@ -40,7 +40,7 @@ def read_sink_files(spark: SparkSession, path: str, layout: str = "partitioned")
 
 
 def derived_sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
+    ev = table(spark, sf_dir, "events", spread_out=True).select("ts", "user_id", "event_type", "value")
     sec = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
     body = F.concat(sec, F.lit(","), F.col("value").cast("string"))
     name = F.concat(F.lit(SINK_APP + "."), (F.col("user_id") % 4).cast("string"), F.lit(".jvm."),

@@ -33,7 +33,7 @@ def song_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     part side's estimated size is under the broadcast threshold, otherwise a
     sort-merge join on partkey.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem", spread_out=True).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_discount", "l_tax", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")

@@ -31,7 +31,7 @@ def read_edge_spells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    ev = table(spark, sf_dir, "events", spread_out=True).select("event_id", "ts", "user_id", "event_type")
     sec = F.unix_seconds(F.col("ts").cast("timestamp"))
     first = ev.agg(F.min(sec).alias("first")).scalar()
     onset = F.floor((sec - first) / 3600).cast("bigint")

@@ -28,8 +28,9 @@ def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = True) -> DataFrame:
-    """Read one table. Column pruning and filters still reach the parquet
+def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
+    """Read one table. ``spread_out`` (for inputs of row-local CPU work)
+    applies ``spread``; column pruning and filters still reach the parquet
     scan (they are pushed below the repartition)."""
     if name not in TABLE_KEYS:
         raise ValueError(f"unknown table {name!r}")

@@ -32,7 +32,7 @@ def stage_ids(events: DataFrame) -> DataFrame:
 
 
 def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
+    ev = table(spark, sf_dir, "events", spread_out=True).select("event_id", "ts", "user_id", "event_type",
                                                "value", "props")
     launch = F.unix_millis(F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k").cast("bigint")
