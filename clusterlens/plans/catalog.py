@@ -23,7 +23,7 @@ from clusterlens.operators import spells as H
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
 from clusterlens.sources.eventlog import event_log_path, read_event_log
-from clusterlens.sources.materialize import materialized
+from clusterlens.sources.materialize import cut, materialized
 from clusterlens.sources.series import event_marks, node_series
 from clusterlens.session import shared_dir, source_key
 from clusterlens.sources.sinkfiles import SINK_APP, read_sink_files, sink_files_path
@@ -119,7 +119,7 @@ def _pairs(spark, sf_dir):
 def _kv_checkpointed(spark, sf_dir):
     """The narrow (key, hotness, tempo) records, parsed once and written to
     the shared checkpoint folder, for plans that read them several times."""
-    return _tracks(spark, sf_dir, _KV).checkpoint(eager=True)
+    return cut(_tracks(spark, sf_dir, _KV), "song-kv")
 
 
 def _sums(spark, sf_dir):

@@ -9,9 +9,10 @@ driver is simply redone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from clusterlens.session import shared_dir, source_key
 
@@ -31,3 +32,14 @@ def materialized(spark: SparkSession, sf_dir: str, name: str,
     if not _exists(spark, path + "/_SUCCESS"):
         write(path)
     return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage of ``df``: write it as parquet to a fresh folder in the
+    shared checkpoint folder and read it back. Later plans re-read a columnar
+    table (with pruning and pushed filters) instead of recomputing ``df``,
+    and a lost executor re-reads files rather than re-running the lineage."""
+    spark = df.sparkSession
+    path = shared_dir(spark, "cuts", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
