@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlens.functions.timecols import epoch_millis, epoch_seconds
 from clusterlens.sources.tables import table
 
 SERIES_SCHEMA = ("epoch bigint, node string, idl double, used double, free double, buff double, "
@@ -33,7 +34,7 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame:
 def node_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", spread_out=True)
     return li.select(
-        (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber")).alias("epoch"),
+        (epoch_seconds(F.col("l_shipdate")) + F.col("l_linenumber")).alias("epoch"),
         F.concat(F.lit("n"), (F.col("l_suppkey") % 8).cast("string")).alias("node"),
         (F.col("l_quantity") * 2).alias("idl"),
         F.col("l_extendedprice").alias("used"),
@@ -52,6 +53,6 @@ def event_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = (F.when(F.col("event_type") == "signup", "stage")
             .when(F.col("event_type") == "error", "global")
             .otherwise(F.concat(F.lit("n"), (F.col("user_id") % 8).cast("string"))))
-    return ev.select((F.unix_seconds(F.col("ts").cast("timestamp")) - MARK_SHIFT).alias("epoch"),
+    return ev.select((epoch_seconds(F.col("ts")) - MARK_SHIFT).alias("epoch"),
                      node.alias("node"), F.col("event_type").alias("event"),
                      F.col("event_id").alias("seq"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.sources.materialize import materialized
+from clusterlens.functions.timecols import epoch_millis, epoch_seconds
 from clusterlens.sources.tables import table
 
 SINK_APP = "joe_1700000000"
@@ -41,7 +42,7 @@ def read_sink_files(spark: SparkSession, path: str, layout: str = "partitioned")
 
 def derived_sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", spread_out=True).select("ts", "user_id", "event_type", "value")
-    sec = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    sec = epoch_seconds(F.col("ts")).cast("string")
     body = F.concat(sec, F.lit(","), F.col("value").cast("string"))
     name = F.concat(F.lit(SINK_APP + "."), (F.col("user_id") % 4).cast("string"), F.lit(".jvm."),
                     F.col("event_type"), F.lit(".used.csv"))

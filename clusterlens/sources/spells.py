@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterlens.functions.timecols import epoch_millis, epoch_seconds
 from clusterlens.sources.tables import table
 from clusterlens.sources.tasks import APP_NAME, LOCALITIES, NODES, stage_ids
 
@@ -32,7 +33,7 @@ def read_edge_spells(spark: SparkSession, path: str) -> DataFrame:
 
 def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", spread_out=True).select("event_id", "ts", "user_id", "event_type")
-    sec = F.unix_seconds(F.col("ts").cast("timestamp"))
+    sec = epoch_seconds(F.col("ts"))
     first = ev.agg(F.min(sec).alias("first")).scalar()
     onset = F.floor((sec - first) / 3600).cast("bigint")
     return (ev.join(stage_ids(ev), "event_type", "inner")

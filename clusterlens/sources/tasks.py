@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clusterlens.functions.timecols import epoch_millis, epoch_seconds
 from clusterlens.sources.tables import table
 
 # Locality names by event_id % 4, and the node count.
@@ -34,7 +35,7 @@ def stage_ids(events: DataFrame) -> DataFrame:
 def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", spread_out=True).select("event_id", "ts", "user_id", "event_type",
                                                "value", "props")
-    launch = F.unix_millis(F.col("ts").cast("timestamp"))
+    launch = epoch_millis(F.col("ts"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     node = F.col("user_id") % NODES
     return (ev.join(stage_ids(ev), "event_type", "inner")
