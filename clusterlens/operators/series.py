@@ -87,21 +87,30 @@ def overlay(marks: DataFrame) -> DataFrame:
                          .alias("panel"))
 
 
-def band_stats(metrics: DataFrame, bands: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def band_stats(metrics: DataFrame, bands: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Mean and max of each metric per (band, node) for samples with
     start <= epoch < end.
 
-    Range join as an equi-join on coarse time buckets: each band is exploded
-    into the buckets it overlaps (bands do not overlap, so this adds about
-    one row per bucket of total span), each sample gets its one bucket, and
-    the exact interval test runs after the join. No cross join, no band
-    broadcast of unchecked size.
+    Range join as an equi-join on time buckets: each band is exploded into
+    the buckets it overlaps, each sample gets its one bucket, and the exact
+    interval test runs after the join. No cross join and no broadcast of
+    unchecked size. The bucket width defaults to the median positive band
+    length (at least 1 s, computed once as a scalar subquery): a bucket then
+    overlaps only a few bands, so a sample meets only a few candidates,
+    while a long band expands to about length / width rows.
     """
-    b = bands.where(F.col("end") > F.col("start")).select(
-        "band", "start", "end",
-        F.explode(F.sequence(F.floor(F.col("start") / bucket_seconds).cast("bigint"),
-                             F.floor((F.col("end") - 1) / bucket_seconds).cast("bigint"))).alias("bucket"))
-    s = metrics.withColumn("bucket", F.floor(F.col("epoch") / bucket_seconds).cast("bigint"))
+    b = bands.where(F.col("end") > F.col("start"))
+    if bucket_seconds is None:
+        width = b.agg(F.greatest(F.lit(1).cast("bigint"),
+                                 F.percentile_approx(F.col("end") - F.col("start"), 0.5).cast("bigint"))
+                      .alias("w")).scalar()
+    else:
+        width = F.lit(bucket_seconds).cast("bigint")
+    b = b.select("band", "start", "end", width.alias("_w"))
+    b = b.select("band", "start", "end",
+                 F.explode(F.sequence(F.floor(F.col("start") / F.col("_w")).cast("bigint"),
+                                      F.floor((F.col("end") - 1) / F.col("_w")).cast("bigint"))).alias("bucket"))
+    s = metrics.withColumn("bucket", F.floor(F.col("epoch") / width).cast("bigint"))
     j = s.join(b, "bucket", "inner").where((F.col("epoch") >= F.col("start")) & (F.col("epoch") < F.col("end")))
     aggs = [F.count(F.lit(1)).alias("samples")]
     for m in METRICS:

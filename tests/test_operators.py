@@ -155,3 +155,12 @@ def test_sink_collate_rules(spark):
     assert rows == [("host", "0", "jvm_heap_used", "u", "10,5")]
     lf = [tuple(r) for r in C.long_form(lines, "app1").collect()]
     assert lf == [("0", "jvm_heap_used", 10, "value", 5.0)]
+
+
+def test_band_stats_adaptive_width_short_bands(spark):
+    # many one-second bands: the default width follows the band lengths
+    bands = spark.createDataFrame([(i + 1, i, i + 1) for i in range(200)], "band long, start long, end long")
+    metrics = spark.createDataFrame([(i, "n", float(i), 0.0, 0.0, 0.0) for i in range(0, 200, 3)],
+                                    "epoch long, node string, CPU double, MEMUSED double, DISK double, NETWORK double")
+    got = {r.band: r.samples for r in FS.band_stats(metrics, bands).collect()}
+    assert got == {i + 1: 1 for i in range(0, 200, 3)}
