@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions.numeric import ieee_div
+from clusterlens.functions.strings import short_host
 from clusterlens.operators.ordered import with_next
 
 METRICS = ("CPU", "MEMUSED", "DISK", "NETWORK")
@@ -116,3 +117,31 @@ def band_stats(metrics: DataFrame, bands: DataFrame, bucket_seconds: int | None
     for m in METRICS:
         aggs += [F.avg(m).alias(f"avg_{m}"), F.max(m).alias(f"max_{m}")]
     return j.groupBy("band", "node").agg(*aggs)
+
+
+def marks_from_events(norm: DataFrame) -> DataFrame:
+    """Event marks ``(app_id, epoch, node, event, seq)`` from the unified
+    runtime-event table: application and job rows are 'global', stage rows
+    'stage', executor and block-manager rows belong to their node (an
+    executor-removed row takes the node of that executor's added row: a join
+    on one row per executor). Task rows are not marks. ``seq`` orders stage
+    marks (2*stageId, +1 when completed)."""
+    a = F.map_from_arrays(F.col("keys"), F.col("vals"))
+    ev = (norm.where((F.col("kind") == "event") & ~F.col("event").startswith("TASK-"))
+          .select("app_id", "epoch", "event", a.alias("a")))
+    nodes = (ev.where(F.col("event") == "EXECUTOR-ADDED")
+             .groupBy("app_id", F.col("a")["executorId"].alias("_ex"))
+             .agg(F.max(short_host(F.col("a")["node"])).alias("_exnode")))
+    ev = ev.withColumn("_ex", F.col("a")["executorId"]).join(nodes, ["app_id", "_ex"], "left")
+    e = F.col("event")
+    node = (F.when(e.startswith("APPLICATION-") | e.startswith("JOB-"), F.lit("global"))
+            .when(e.startswith("STAGE-"), F.lit("stage"))
+            .when(e == "BLOCK-MANAGER-ADDED", short_host(F.col("a")["host"]))
+            .when(e == "EXECUTOR-ADDED", short_host(F.col("a")["node"]))
+            .otherwise(F.col("_exnode")))
+    ident = F.coalesce(F.col("a")["stageId"], F.col("a")["jobId"], F.col("a")["executorId"])
+    label = F.when(ident.isNull(), e).otherwise(F.concat_ws(" ", e, ident))
+    seq = F.when(e.startswith("STAGE-"), F.col("a")["stageId"].cast("bigint") * 2
+                 + F.when(e == "STAGE-COMPLETED", 1).otherwise(0))
+    return ev.where(~e.startswith("BLOCK-UDPATED")).select(
+        "app_id", "epoch", node.alias("node"), label.alias("event"), seq.alias("seq"))

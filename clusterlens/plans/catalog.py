@@ -562,3 +562,9 @@ def stream_events(spark, sf_dir):
 def stream_task_rate(spark, sf_dir):
     src = event_log_path(spark, sf_dir)
     return _stream_out(spark, sf_dir, "task_rate", lambda out, ck: ST.stream_task_rate(spark, src, out, ck))
+
+
+
+@register("event_marks")
+def event_marks_query(spark, sf_dir):
+    return FS.marks_from_events(_norm(spark, sf_dir))

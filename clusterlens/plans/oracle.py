@@ -453,3 +453,16 @@ SQL.update({
         WHERE window_end <= (SELECT max(epoch) FROM ends) - 600
         GROUP BY window_start, window_end, node""",
 })
+
+
+SQL["event_marks"] = RT + f""" SELECT {APP} AS app_id, start_ms // 1000 AS epoch, 'global' AS node,
+        'APPLICATION-START' AS event, NULL::BIGINT AS seq FROM app
+    UNION ALL SELECT {APP}, end_ms // 1000, 'global', 'APPLICATION-END', NULL FROM app
+    UNION ALL SELECT {APP}, start_ms // 1000, 'global', 'JOB-START 0', NULL FROM app
+    UNION ALL SELECT {APP}, end_ms // 1000, 'global', 'JOB-END 0', NULL FROM app
+    UNION ALL SELECT {APP}, first_ms // 1000, 'stage', 'STAGE-SUBMITTED ' || stage_id, stage_id * 2 FROM stg
+    UNION ALL SELECT {APP}, last_ms // 1000, 'stage', 'STAGE-COMPLETED ' || stage_id, stage_id * 2 + 1 FROM stg
+    UNION ALL SELECT {APP}, first_ms // 1000, split_part(host, '.', 1), 'BLOCK-MANAGER-ADDED', NULL FROM hosts
+    UNION ALL SELECT {APP}, first_ms // 1000, split_part(host, '.', 1), 'EXECUTOR-ADDED ' || executor, NULL FROM hosts
+    UNION ALL SELECT {APP}, last_ms // 1000, split_part(host, '.', 1), 'EXECUTOR-REMOVED ' || executor, NULL
+      FROM hosts"""
