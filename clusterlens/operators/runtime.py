@@ -268,6 +268,37 @@ def durations(norm: DataFrame) -> DataFrame:
                  .alias("elapsed")))
 
 
+def durations_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
+    """``durations`` straight from the typed log columns: one scan and one
+    aggregate, no attribute maps (``durations`` is the form for listener
+    files)."""
+    e = F.col("Event")
+    si, ti = F.col("`Stage Info`"), F.col("`Task Info`")
+    spec = [  # event, scope, id, start time, end time
+        ("SparkListenerApplicationStart", "app", F.col("app_id"), F.col("Timestamp"), None),
+        ("SparkListenerApplicationEnd", "app", F.col("app_id"), None, F.col("Timestamp")),
+        ("SparkListenerJobStart", "job", _s(F.col("`Job ID`")), F.col("`Submission Time`"), None),
+        ("SparkListenerJobEnd", "job", _s(F.col("`Job ID`")), None, F.col("`Completion Time`")),
+        ("SparkListenerStageSubmitted", "stage", _s(si["Stage ID"]), si["Submission Time"], None),
+        ("SparkListenerStageCompleted", "stage", _s(si["Stage ID"]), None, si["Completion Time"]),
+        ("SparkListenerTaskStart", "task", _s(ti["Task ID"]), ti["Launch Time"], None),
+        ("SparkListenerTaskEnd", "task", _s(ti["Task ID"]), None, ti["Finish Time"]),
+    ]
+    sc = ident = start = end = None
+    for name, sco, idc, st, en in spec:
+        c = e == name
+        sc = F.when(c, F.lit(sco)) if sc is None else sc.when(c, F.lit(sco))
+        ident = F.when(c, idc) if ident is None else ident.when(c, idc)
+        if st is not None:
+            start = F.when(c, _ms_to_s(st)) if start is None else start.when(c, _ms_to_s(st))
+        if en is not None:
+            end = F.when(c, _ms_to_s(en)) if end is None else end.when(c, _ms_to_s(en))
+    rows = with_app_id(log.where(e.isin(*[x[0] for x in spec])), scope)
+    return (rows.select("app_id", sc.alias("scope"), ident.alias("id"), start.alias("s"), end.alias("e"))
+            .groupBy("app_id", "scope", "id")
+            .agg((F.max("e") - F.min("s")).alias("elapsed")))
+
+
 METRIC_KEYS = ("bytesWritten", "memoryBytesSpilled", "shuffleBytesWritten", "shuffleWriteTime",
                "shuffleReadLocalBytesRead", "shuffleReadRemoteBytesRead", "shuffleReadTotalBytesRead")
 

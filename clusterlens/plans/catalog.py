@@ -416,7 +416,7 @@ def listener_parse(spark, sf_dir):
 
 @register("durations")
 def durations(spark, sf_dir):
-    return D.durations(_norm(spark, sf_dir))
+    return D.durations_from_log(_log(spark, sf_dir))
 
 
 @register("stage_totals")

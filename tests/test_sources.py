@@ -87,3 +87,10 @@ def test_epoch_helpers_ignore_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert r.s == 1704067207 and r.ms == 1704067207179
+
+
+def test_durations_log_and_listener_forms_agree(spark):
+    log = read_event_log(spark, event_log_path(spark, SF_SMALL))
+    a = D.durations_from_log(log)
+    b = D.durations(D.normalise(log, scope="path")).select(*a.columns)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
