@@ -11,10 +11,11 @@ network builders so that all of them scale with ``events``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.functions.timecols import epoch_millis, epoch_seconds
+from clusterlens.operators.ordered import global_position
 from clusterlens.sources.tables import table
 
 # Locality names by event_id % 4, and the node count.
@@ -25,11 +26,13 @@ APP_NAME = "events replay"
 
 
 def stage_ids(events: DataFrame) -> DataFrame:
-    """``(event_type, stage_id)``: 0-based rank of each distinct type. The
-    window runs over the distinct types only (a small, bounded set)."""
-    return (events.select("event_type").distinct()
-            .select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1)
-                    .cast("bigint").alias("stage_id")))
+    """``(event_type, stage_id)``: 0-based rank of each distinct type, by a
+    distributed numbering of the distinct types (no single-partition
+    window, whatever the number of types). The join of this table back to
+    the events is left to AQE: it is broadcast once its measured size is
+    under the threshold, and skewed type partitions are split otherwise."""
+    types = events.select("event_type").distinct()
+    return global_position(types, ["event_type"], name="stage_id")
 
 
 def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
