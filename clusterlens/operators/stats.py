@@ -11,8 +11,6 @@ follow exactly: sum(x) = sum_k Sx_k * n_t(k), sum(xy) = sum_k Sx_k * Sy_k, ...
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,31 +112,20 @@ def average_ranks(counts: DataFrame, value: str, weight: str,
     multiplicities: rank(v) = #(values < v) + (mult(v) + 1) / 2.
 
     A distributed prefix sum: range-partition the distinct values, take the
-    running sum inside each (sorted) partition, then add the total of all
-    earlier partitions from a table with one row per partition (bounded by
-    the partition count, so broadcasting it is safe). Only distinct values
-    move, so a value shared by a third of all rows is still one row here.
+    running sum inside each range (a window over one range partition at a
+    time), then add the total of all earlier ranges from a table with one
+    row per partition (bounded by the partition count, so broadcasting it
+    is safe). Only distinct values move, so a value shared by a third of all
+    rows is still one row here. JVM-side throughout.
     """
     spark = counts.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.select(value, F.col(weight).cast("bigint").alias("w")) \
-        .repartitionByRange(n, F.col(value)).sortWithinPartitions(value)
-    vtype = counts.schema[value].dataType.simpleString()
-
-    def local_running(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        run = 0
-        for pdf in batches:
-            w = pdf["w"].to_numpy(dtype=np.int64)
-            cum = np.cumsum(w) + run
-            if len(cum):
-                run = int(cum[-1])
-            yield pd.DataFrame({"pid": np.full(len(w), pid, dtype=np.int32), value: pdf[value],
-                                "w": w, "before": cum - w})
-
-    local = ranged.mapInPandas(local_running, f"pid int, {value} {vtype}, w bigint, before bigint")
-    totals = (ranged.groupBy(F.spark_partition_id().alias("pid")).agg(F.sum("w").alias("tot")))
+    ranged = (counts.select(value, F.col(weight).cast("bigint").alias("w"))
+              .repartitionByRange(n, F.col(value))
+              .withColumn("pid", F.spark_partition_id()))
+    in_range = Window.partitionBy("pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("before", F.coalesce(F.sum("w").over(in_range), F.lit(0).cast("bigint")))
+    totals = ranged.groupBy("pid").agg(F.sum("w").alias("tot"))
     offsets = totals.select("pid", (F.sum("tot").over(Window.orderBy("pid")) - F.col("tot"))
                             .alias("offset"))
     return (local.join(F.broadcast(offsets), "pid", "inner")
