@@ -107,54 +107,66 @@ def verdict(r: Column) -> Column:
 
 
 def average_ranks(counts: DataFrame, value: str, weight: str,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, group: str | None = None) -> DataFrame:
     """Average (tie-aware) ranks from a table of distinct values and their
-    multiplicities: rank(v) = #(values < v) + (mult(v) + 1) / 2.
+    multiplicities: rank(v) = #(values < v) + (mult(v) + 1) / 2, within each
+    ``group`` when given.
 
     A distributed prefix sum: range-partition the distinct values, take the
     running sum inside each range (a window over one range partition at a
-    time), then add the total of all earlier ranges from a table with one
-    row per partition (bounded by the partition count, so broadcasting it
-    is safe). Only distinct values move, so a value shared by a third of all
-    rows is still one row here. JVM-side throughout.
+    time), then add the totals of all earlier ranges from a table with one
+    row per partition and group (bounded by partitions x groups, so
+    broadcasting it is safe). Only distinct values move, so a value shared
+    by a third of all rows is still one row here. JVM-side throughout.
     """
     spark = counts.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counts.select(value, F.col(weight).cast("bigint").alias("w"))
-              .repartitionByRange(n, F.col(value))
+    g = [group] if group else []
+    ranged = (counts.select(*g, value, F.col(weight).cast("bigint").alias("w"))
+              .repartitionByRange(n, *[F.col(c) for c in g + [value]])
               .withColumn("pid", F.spark_partition_id()))
-    in_range = Window.partitionBy("pid").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("pid", *g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("before", F.coalesce(F.sum("w").over(in_range), F.lit(0).cast("bigint")))
-    totals = ranged.groupBy("pid").agg(F.sum("w").alias("tot"))
-    offsets = totals.select("pid", (F.sum("tot").over(Window.orderBy("pid")) - F.col("tot"))
-                            .alias("offset"))
-    return (local.join(F.broadcast(offsets), "pid", "inner")
-            .select(value, (F.col("offset") + F.col("before") + (F.col("w") + 1) / 2.0)
+    totals = ranged.groupBy("pid", *g).agg(F.sum("w").alias("tot"))
+    earlier = Window.partitionBy(*g).orderBy("pid") if g else Window.orderBy("pid")
+    offsets = totals.select("pid", *g, (F.sum("tot").over(earlier) - F.col("tot")).alias("offset"))
+    return (local.join(F.broadcast(offsets), ["pid", *g], "inner")
+            .select(*g, value, (F.col("offset") + F.col("before") + (F.col("w") + 1) / 2.0)
                     .alias("rank")))
 
 
-def _ranked_side(df: DataFrame, other_counts: DataFrame, key: str, v: str, p: str) -> DataFrame:
-    """Per key: count, sum of ranks and of squared ranks of one side, where
-    each row of that side stands for ``n_other(key)`` joined rows."""
-    kv = (df.groupBy(key, v).agg(F.count(F.lit(1)).alias("c"))
-          .join(other_counts, key, "inner"))
-    mult = kv.groupBy(v).agg(F.sum(F.col("c") * F.col("on")).alias("m"))
-    ranks = average_ranks(mult, v, "m")
-    return (kv.join(ranks, v, "inner")
-            .groupBy(key).agg(F.sum("c").alias(f"{p}n"),
-                              F.sum(F.col("c") * F.col("rank")).alias(f"{p}s"),
-                              F.sum(F.col("c") * F.col("rank") * F.col("rank")).alias(f"{p}ss")))
-
-
 def rank_correlation(h: DataFrame, t: DataFrame, x: str, y: str, key: str = KEY) -> DataFrame:
     """Spearman's rho over the joined rows: Pearson on average ranks of x and
-    of y among all joined rows, computed from per-key aggregates."""
-    hc = h.groupBy(key).agg(F.count(F.lit(1)).alias("on"))
-    tc = t.groupBy(key).agg(F.count(F.lit(1)).alias("on"))
-    j = _ranked_side(h, tc, key, x, "h").join(_ranked_side(t, hc, key, y, "t"), key, "inner")
+    of y among all joined rows, from per-key aggregates (no pair rows).
+
+    Both sides run through one pipeline, tagged 0 (x) and 1 (y): a row of
+    one side stands for as many joined rows as the other side has rows with
+    its key; ranks are taken per side over those multiplicities; then per
+    key the rank sums of both sides combine as in ``moment_sums``.
+    """
+    hc = h.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
+    tc = t.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
+    # weight of a side-0 row = rows of side 1 with the key, and vice versa
+    other = (tc.select(key, F.lit(0).alias("side"), F.col("cnt").alias("on"))
+             .unionByName(hc.select(key, F.lit(1).alias("side"), F.col("cnt").alias("on"))))
+    sides = (h.select(key, F.col(x).alias("v"), F.lit(0).alias("side"))
+             .unionByName(t.select(key, F.col(y).alias("v"), F.lit(1).alias("side"))))
+    kv = (sides.groupBy("side", key, "v").agg(F.count(F.lit(1)).alias("c"))
+          .join(other, ["side", key], "inner"))
+    mult = kv.groupBy("side", "v").agg(F.sum(F.col("c") * F.col("on")).alias("m"))
+    ranks = average_ranks(mult, "v", "m", group="side")
+    r = F.col("rank")
+
+    def on(side: int, e):
+        return F.sum(F.when(F.col("side") == side, e))
+
+    per_key = (kv.join(ranks, ["side", "v"], "inner").groupBy(key)
+               .agg(on(0, F.col("c")).alias("hn"), on(0, F.col("c") * r).alias("hs"),
+                    on(0, F.col("c") * r * r).alias("hss"), on(1, F.col("c")).alias("tn"),
+                    on(1, F.col("c") * r).alias("ts"), on(1, F.col("c") * r * r).alias("tss")))
     hn, tn = F.col("hn").cast("double"), F.col("tn").cast("double")
-    sums = j.agg(F.sum(hn * tn).alias("n"), F.sum(F.col("hs") * tn).alias("sx"),
-                 F.sum(F.col("ts") * hn).alias("sy"), F.sum(F.col("hs") * F.col("ts")).alias("sxy"),
-                 F.sum(F.col("hss") * tn).alias("sxx"), F.sum(F.col("tss") * hn).alias("syy"))
+    sums = per_key.agg(F.sum(hn * tn).alias("n"), F.sum(F.col("hs") * tn).alias("sx"),
+                       F.sum(F.col("ts") * hn).alias("sy"), F.sum(F.col("hs") * F.col("ts")).alias("sxy"),
+                       F.sum(F.col("hss") * tn).alias("sxx"), F.sum(F.col("tss") * hn).alias("syy"))
     return sums.select(pearson(F.col("n"), F.col("sx"), F.col("sy"), F.col("sxy"),
                                F.col("sxx"), F.col("syy")).alias("rho"))

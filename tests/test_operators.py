@@ -164,3 +164,15 @@ def test_band_stats_adaptive_width_short_bands(spark):
                                     "epoch long, node string, CPU double, MEMUSED double, DISK double, NETWORK double")
     got = {r.band: r.samples for r in FS.band_stats(metrics, bands).collect()}
     assert got == {i + 1: 1 for i in range(0, 200, 3)}
+
+
+def test_average_ranks_per_group(spark):
+    rows = [(g, float(v), 1 + (v + g) % 3) for g in (0, 1) for v in range(30)]
+    vals = spark.createDataFrame(rows, "side int, v double, w long")
+    got = {(r.side, r.v): r.rank for r in S.average_ranks(vals, "v", "w", partitions=4, group="side").collect()}
+    for g in (0, 1):
+        before = 0
+        for v in range(30):
+            w = 1 + (v + g) % 3
+            assert got[(g, float(v))] == before + (w + 1) / 2
+            before += w
