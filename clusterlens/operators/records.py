@@ -39,12 +39,12 @@ def _typed(fields: Column, names: list[str] | None = None, safe: bool = False) -
             for i, (name, kind) in enumerate(TRACK_FIELDS) if names is None or name in names]
 
 
-def parse_tracks(lines: DataFrame, col: str = "value") -> DataFrame:
+def parse_tracks(lines: DataFrame, col: str = "value", fields: list[str] | None = None) -> DataFrame:
     """One row per line with a nullable ``track`` struct: NULL when the line
-    does not have exactly 34 fields, otherwise every field typed, with 0 / 0.0
-    for numbers that do not parse."""
+    does not have exactly 34 fields, otherwise every field (or only
+    ``fields``) typed, with 0 / 0.0 for numbers that do not parse."""
     return (lines.select(quoted_csv_split(F.col(col)).alias("_f"))
-            .select(F.when(F.size("_f") == TRACK_ARITY, F.struct(*_typed(F.col("_f"))))
+            .select(F.when(F.size("_f") == TRACK_ARITY, F.struct(*_typed(F.col("_f"), fields)))
                     .alias("track")))
 
 

@@ -100,8 +100,8 @@ def char_count(spark, sf_dir):
 
 # --- B: song records and correlation -----------------------------------------
 
-def _parsed(spark, sf_dir):
-    return R.parse_tracks(song_lines(spark, sf_dir))
+def _parsed(spark, sf_dir, fields=None):
+    return R.parse_tracks(song_lines(spark, sf_dir), fields=fields)
 
 
 _KV = ["track7Id", "songHotness", "tempo"]
@@ -134,7 +134,7 @@ def track_parse(spark, sf_dir):
 
 @register("track_counts")
 def track_counts(spark, sf_dir):
-    return R.record_counts(_parsed(spark, sf_dir))
+    return R.record_counts(_parsed(spark, sf_dir, ["track7Id"]))
 
 
 @register("hot_pairs")

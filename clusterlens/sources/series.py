@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.functions.timecols import epoch_millis, epoch_seconds
+from clusterlens.functions.timecols import epoch_seconds
 from clusterlens.sources.tables import table
 
 SERIES_SCHEMA = ("epoch bigint, node string, idl double, used double, free double, buff double, "

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.sources.materialize import materialized
-from clusterlens.functions.timecols import epoch_millis, epoch_seconds
+from clusterlens.functions.timecols import epoch_seconds
 from clusterlens.sources.tables import table
 
 SINK_APP = "joe_1700000000"

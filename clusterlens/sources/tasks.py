@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.functions.timecols import epoch_millis, epoch_seconds
+from clusterlens.functions.timecols import epoch_millis
 from clusterlens.operators.ordered import global_position
 from clusterlens.sources.tables import table
 

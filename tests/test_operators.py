@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from clusterlens.operators import graph as G
 from clusterlens.operators import records as R
@@ -68,7 +67,6 @@ def test_moments_from_key_aggregates_equal_pair_rows(spark):
 
 
 def test_rank_correlation_matches_pandas(spark):
-    import pandas as pd
     h = spark.createDataFrame([(f"k{i % 5}", float(i % 3)) for i in range(20)], "track7Id string, x double")
     t = spark.createDataFrame([(f"k{i % 4}", float((i * 7) % 5)) for i in range(12)], "track7Id string, y double")
     rows = S.pair_join(h, t).toPandas()
