@@ -22,8 +22,11 @@ def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     row-local CPU work uses every core. At scale the scan already has many
     more splits than cores and this is a no-op (no shuffle is added)."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as it is
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
