@@ -1,0 +1,20 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest small side we broadcast (rows); beyond it the planner's shuffle
+# join runs, with AQE splitting skewed partitions.
+BROADCAST_MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only after checking it has at most
+    ``max_rows`` rows (a bounded count: ``limit(max_rows + 1)``); otherwise
+    return it unchanged. Used for lookup tables such as event type -> stage,
+    whose join key is heavily skewed on the large side, so that the large
+    side is neither shuffled nor concentrated in a few tasks."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions.strings import quoted_csv_split, short_host
+from clusterlens.operators.joins import broadcast_if_small
 
 
 def _ms_to_s(c: Column) -> Column:
@@ -151,7 +152,9 @@ def with_app_id(log: DataFrame, scope: str = "dir") -> DataFrame:
     lines = log.select("*", unit.alias("_file"))
     apps = (lines.where(F.col("Event") == "SparkListenerApplicationStart")
             .groupBy("_file").agg(F.min("`App ID`").alias("app_id")))
-    return lines.join(apps, "_file", "left").drop("_file")
+    # every line of one log shares its key: broadcast the per-log table
+    # when its size is checked small, else AQE splits the skewed logs
+    return lines.join(broadcast_if_small(apps), "_file", "left").drop("_file")
 
 
 def normalise(log: DataFrame, block_filter: Column | None = None, scope: str = "dir") -> DataFrame:

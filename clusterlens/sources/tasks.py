@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from clusterlens.functions.timecols import epoch_millis
 from clusterlens.operators.ordered import global_position
 from clusterlens.sources.tables import table
+from clusterlens.operators.joins import broadcast_if_small
 
 # Locality names by event_id % 4, and the node count.
 LOCALITIES = ["PROCESS_LOCAL", "NODE_LOCAL", "RACK_LOCAL", "ANY"]
@@ -41,7 +42,7 @@ def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     launch = epoch_millis(F.col("ts"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     node = F.col("user_id") % NODES
-    return (ev.join(stage_ids(ev), "event_type", "inner")
+    return (ev.join(broadcast_if_small(stage_ids(ev)), "event_type", "inner")
             .select(
                 F.col("event_id").alias("task_id"),
                 launch.alias("launch_ms"),
