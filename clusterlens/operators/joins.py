@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                       probe: DataFrame | None = None) -> DataFrame:
     """Mark ``df`` for broadcast only after checking it has at most
-    ``max_rows`` rows (a bounded count: ``limit(max_rows + 1)``); otherwise
+    ``max_rows`` rows (a bounded count: ``limit(max_rows + 1)``, on ``probe``
+    when given: a cheaper plan with the same number of rows); otherwise
     return it unchanged. Used for lookup tables such as event type -> stage,
     whose join key is heavily skewed on the large side, so that the large
     side is neither shuffled nor concentrated in a few tasks."""
-    n = df.limit(max_rows + 1).count()
+    n = (probe if probe is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -37,7 +37,9 @@ def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     sec = epoch_seconds(F.col("ts"))
     first = ev.agg(F.min(sec).alias("first")).scalar()
     onset = F.floor((sec - first) / 3600).cast("bigint")
-    return (ev.join(broadcast_if_small(stage_ids(ev)), "event_type", "inner")
+    return (ev.join(broadcast_if_small(
+        stage_ids(ev), probe=table(spark, sf_dir, "events").select("event_type").distinct()),
+                    "event_type", "inner")
             .select(onset.alias("onset"), (onset + F.col("event_id") % 7).alias("terminus"),
                     F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("task"),
                     F.col("event_id"),

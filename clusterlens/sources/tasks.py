@@ -42,7 +42,9 @@ def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     launch = epoch_millis(F.col("ts"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     node = F.col("user_id") % NODES
-    return (ev.join(broadcast_if_small(stage_ids(ev)), "event_type", "inner")
+    return (ev.join(broadcast_if_small(
+        stage_ids(ev), probe=table(spark, sf_dir, "events").select("event_type").distinct()),
+                    "event_type", "inner")
             .select(
                 F.col("event_id").alias("task_id"),
                 launch.alias("launch_ms"),
