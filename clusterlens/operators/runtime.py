@@ -330,6 +330,16 @@ def stage_totals_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
                  *[F.sum(attrs[k].cast("bigint")).alias(k) for k in METRIC_KEYS]))
 
 
+def node_totals_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
+    """Per-node task-metric totals straight from ``SparkListenerTaskEnd``
+    events: one scan, one aggregate (``node_totals`` is the listener form)."""
+    ends = with_app_id(log.where(F.col("Event") == "SparkListenerTaskEnd"), scope)
+    attrs = dict(_task_metric_attrs())
+    return (ends.groupBy("app_id", attrs["node"].alias("node"))
+            .agg(F.count(F.lit(1)).alias("tasks"),
+                 *[F.sum(attrs[k].cast("bigint")).alias(k) for k in METRIC_KEYS]))
+
+
 def node_totals(norm: DataFrame) -> DataFrame:
     """Task-metric totals per node (the metric rows carry the node)."""
     m = norm.where((F.col("kind") == "metric") & (F.col("event") == "TASK-END"))

@@ -426,7 +426,7 @@ def stage_totals(spark, sf_dir):
 
 @register("node_totals")
 def node_totals(spark, sf_dir):
-    return D.node_totals(_norm(spark, sf_dir))
+    return D.node_totals_from_log(_log(spark, sf_dir))
 
 
 @register("run_summary")

@@ -94,3 +94,12 @@ def test_durations_log_and_listener_forms_agree(spark):
     a = D.durations_from_log(log)
     b = D.durations(D.normalise(log, scope="path")).select(*a.columns)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_totals_log_and_listener_forms_agree(spark):
+    log = read_event_log(spark, event_log_path(spark, SF_SMALL))
+    norm = D.normalise(log, scope="path")
+    for from_log, from_rows in ((D.stage_totals_from_log(log), D.stage_totals(norm)),
+                                (D.node_totals_from_log(log), D.node_totals(norm))):
+        b = from_rows.select(*from_log.columns)
+        assert from_log.count() == b.count() and from_log.exceptAll(b).count() == 0
