@@ -67,7 +67,7 @@ def tracks(lines: DataFrame, col: str = "value", fields: list[str] | None = None
 
 
 def record_counts(parsed: DataFrame) -> DataFrame:
-    """All lines (the reference's 'tracks' figure) and the parsed ones."""
+    """All lines (the workload reports this figure as 'tracks') and the parsed ones."""
     return parsed.agg(F.count(F.lit(1)).alias("lines"),
                       F.count(F.col("track")).alias("tracks"))
 

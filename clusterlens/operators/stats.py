@@ -92,7 +92,7 @@ def key_count(h: DataFrame, t: DataFrame, key: str = KEY) -> DataFrame:
 
 def correlation(sums: DataFrame, n: str = "keys") -> DataFrame:
     """Pearson's r from the moment sums, with ``n`` either the joined key
-    count (as the reference's report does) or the joined row count."""
+    count (as the correlation workload's report does) or the joined row count."""
     return sums.select(pearson(F.col(n), F.col("sum_x"), F.col("sum_y"), F.col("sum_xy"),
                                F.col("sum_x2"), F.col("sum_y2")).alias("r"))
 
@@ -139,7 +139,7 @@ def rank_correlation(h: DataFrame, t: DataFrame, x: str, y: str, key: str = KEY)
     """Spearman's rho over the joined rows: Pearson on average ranks of x and
     of y among all joined rows, from per-key aggregates (no pair rows).
 
-    Both sides run through one pipeline, tagged 0 (x) and 1 (y): a row of
+    Both sides run through one plan, tagged 0 (x) and 1 (y): a row of
     one side stands for as many joined rows as the other side has rows with
     its key; ranks are taken per side over those multiplicities; then per
     key the rank sums of both sides combine as in ``moment_sums``.

@@ -185,7 +185,7 @@ def corr_verdict(spark, sf_dir):
 
 @register("corr_rank")
 def corr_rank(spark, sf_dir):
-    # The rank pipeline reads the pairs several times: parse once into a
+    # The rank plan reads the pairs several times: parse once into a
     # narrow table and cut the lineage there (reliable checkpoint in the
     # shared checkpoint folder, so a lost executor does not re-parse).
     kv = _kv_checkpointed(spark, sf_dir)
