@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the word-delimiter class used by the word-count workload.
-# Comma, '!', apostrophe, hyphen and tab are deliberately NOT delimiters.
+# The word-delimiter class used by the word-count workload,
+# and its characters. Comma, '!', apostrophe, hyphen and tab are
+# deliberately NOT delimiters.
 WORD_DELIMITERS = '[ .;:()?"]+'
+WORD_DELIMITER_CHARS = ' .;:()?"'
 
 # Hadoop's line reader ends a line at \r\n, \n or \r.
 LINE_BREAK = "\r\n|\n|\r"
 
 
-def java_split(col: Column, pattern: str) -> Column:
+def java_split(col: Column, pattern: str, strip_chars: str | None = None) -> Column:
     """``str.split(pattern)`` as the JVM does it (limit 0).
 
     * a leading delimiter yields a leading empty token,
@@ -22,9 +24,15 @@ def java_split(col: Column, pattern: str) -> Column:
     * a string made only of delimiters yields ``[]``.
 
     Spark's ``split`` keeps trailing empties for any limit, so the trailing
-    delimiters are stripped first (``\\z`` = true end of input).
+    delimiters are stripped first (``\\z`` = true end of input). When the
+    pattern is a run of single characters, pass them as ``strip_chars``: the
+    strip is then an ``rtrim`` of those characters instead of a regex pass
+    over the whole string.
     """
-    stripped = F.regexp_replace(col, f"(?:{pattern})+\\z", "")
+    if strip_chars is not None:
+        stripped = F.rtrim(col, F.lit(strip_chars))
+    else:
+        stripped = F.regexp_replace(col, f"(?:{pattern})+\\z", "")
     return (F.when(col == "", F.array(F.lit("")))
             .when(stripped == "", F.array().cast("array<string>"))
             .otherwise(F.split(stripped, pattern, -1)))

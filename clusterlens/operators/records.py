@@ -96,7 +96,7 @@ def fade_ratio(track_df: DataFrame) -> DataFrame:
 
 def title_words(title: Column) -> Column:
     """Lower-cased title split on single spaces (JVM split), stop words out."""
-    words = java_split(F.lower(title), " ")
+    words = java_split(F.lower(title), " ", " ")
     stop = F.array(*[F.lit(w) for w in SONG_STOP_WORDS])
     return F.filter(words, lambda w: ~F.array_contains(stop, w))
 

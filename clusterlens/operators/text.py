@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterlens.functions.text import WORD_DELIMITERS, java_split
+from clusterlens.functions.text import WORD_DELIMITER_CHARS, WORD_DELIMITERS, java_split
 
 # Defaults of the word-count and grep workloads.
 DEFAULT_PARTITIONS = 15
@@ -39,7 +39,8 @@ def line_count(lines: DataFrame) -> DataFrame:
 
 def words(lines: DataFrame, col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per token of each line (empty tokens included)."""
-    return lines.select(*keep, F.explode(java_split(F.col(col), WORD_DELIMITERS)).alias("word"))
+    return lines.select(*keep, F.explode(java_split(F.col(col), WORD_DELIMITERS, WORD_DELIMITER_CHARS))
+                        .alias("word"))
 
 
 def word_total(word_rows: DataFrame) -> DataFrame:

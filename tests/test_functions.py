@@ -80,3 +80,12 @@ def test_verdict_nan_first(spark):
     got = _one(spark, verdict(F.col("r")), rows, "r double")
     assert got == [VERDICT_NONE, VERDICT_POSITIVE, VERDICT_NEGATIVE, VERDICT_WEAK, VERDICT_WEAK, VERDICT_NONE,
                    VERDICT_NONE]
+
+
+def test_java_split_rtrim_form_equals_regex_form(spark):
+    rows = [("",), ("...",), ("a.b",), (".a",), ("a..",), ('a " ',), ("x?)",), ("  a  b  ",), ("a;b:c(d)e?f\"g",)]
+    a = _one(spark, java_split(F.col("s"), WORD_DELIMITERS), rows)
+    b = _one(spark, java_split(F.col("s"), WORD_DELIMITERS, ' .;:()?"'), rows)
+    c = _one(spark, java_split(F.col("s"), " "), rows)
+    d = _one(spark, java_split(F.col("s"), " ", " "), rows)
+    assert a == b and c == d
