@@ -43,6 +43,9 @@ def split_lines(text: Column) -> Column:
 
     One final line break adds no line; an empty text has no lines.
     """
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
+    n = F.length(text)
+    body = (F.when(text.endswith("\r\n"), text.substr(F.lit(1), n - 2))
+            .when(text.endswith("\n") | text.endswith("\r"), text.substr(F.lit(1), n - 1))
+            .otherwise(text))
     return (F.when(text == "", F.array().cast("array<string>"))
             .otherwise(F.split(body, LINE_BREAK, -1)))
