@@ -103,3 +103,14 @@ def test_totals_log_and_listener_forms_agree(spark):
                                 (D.node_totals_from_log(log), D.node_totals(norm))):
         b = from_rows.select(*from_log.columns)
         assert from_log.count() == b.count() and from_log.exceptAll(b).count() == 0
+
+
+def test_spread_is_a_no_op_for_many_partitions(spark):
+    from clusterlens.sources.tables import spread
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(cores * 2)
+    assert spread(many, ("id",)) is many
+    one = spark.range(1000).coalesce(1)
+    spread_one = spread(one, ("id",))
+    assert spread_one.rdd.getNumPartitions() == cores
+    assert sorted(r.id for r in spread_one.collect()) == list(range(1000))
