@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterlens.llm import rule_ledger
+from clusterlens.llm import line_runs, rule_ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_line_runs": line_runs.op5_line_runs,
     "op6_rule_ledger": rule_ledger.op6_rule_ledger,
 }
 
 SQL: dict[str, str] = {
+    "op5_line_runs": line_runs.OP5_SQL,
     "op6_rule_ledger": rule_ledger.OP6_SQL,
 }
