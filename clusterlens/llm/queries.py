@@ -7,14 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterlens.llm import line_runs, rule_ledger
+from clusterlens.llm import line_runs, oph_dups, rule_ledger, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_template_decontam": template_decontam.op3_template_decontam,
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_rule_ledger": rule_ledger.op6_rule_ledger,
+    "op8_oph_dups": oph_dups.op8_oph_dups,
 }
 
 SQL: dict[str, str] = {
     "op5_line_runs": line_runs.OP5_SQL,
     "op6_rule_ledger": rule_ledger.OP6_SQL,
+    "op8_oph_dups": oph_dups.OP8_SQL,
 }

@@ -53,3 +53,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     an operator adds replaces one of the same name in its input."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def lookup(rows: DataFrame, key: str, values: DataFrame, row_id: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``values`` (one row per ``key``) where one key may
+    hold a large part of the rows: a value goes to each salt its rows have."""
+    salted = rows.withColumn("_salt", salt(F.col(row_id)))
+    masks = salted.groupBy(key).agg(salt_mask("_salt").alias("_salts"))
+    spread = by_salt(masks.join(values, key), "_salts", "_salt")
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
