@@ -7,17 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterlens.llm import line_runs, oph_dups, rule_ledger, template_decontam
+from clusterlens.llm import line_runs, oph_dups, poisson_mix, rule_ledger, template_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_template_decontam": template_decontam.op3_template_decontam,
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_rule_ledger": rule_ledger.op6_rule_ledger,
+    "op7_poisson_mix": poisson_mix.op7_poisson_mix,
     "op8_oph_dups": oph_dups.op8_oph_dups,
 }
 
 SQL: dict[str, str] = {
     "op5_line_runs": line_runs.OP5_SQL,
     "op6_rule_ledger": rule_ledger.OP6_SQL,
+    "op7_poisson_mix": poisson_mix.OP7_SQL,
     "op8_oph_dups": oph_dups.OP8_SQL,
 }
