@@ -7,14 +7,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterlens.llm import line_runs, oph_dups, poisson_mix, rule_ledger, template_decontam
+from clusterlens.llm import (
+    line_runs,
+    oph_dups,
+    path_templates,
+    poisson_mix,
+    rule_ledger,
+    style_tree,
+    template_decontam,
+    warc_derive,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derive": warc_derive.op1_warc_derive,
+    "op2_path_templates": path_templates.op2_path_templates,
     "op3_template_decontam": template_decontam.op3_template_decontam,
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_rule_ledger": rule_ledger.op6_rule_ledger,
     "op7_poisson_mix": poisson_mix.op7_poisson_mix,
     "op8_oph_dups": oph_dups.op8_oph_dups,
+    "op10_style_tree": style_tree.op10_style_tree,
 }
 
 SQL: dict[str, str] = {
