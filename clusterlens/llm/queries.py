@@ -15,6 +15,7 @@ from clusterlens.llm import (
     rule_ledger,
     style_tree,
     template_decontam,
+    tool_links,
     warc_derive,
 )
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derive": warc_derive.op1_warc_derive,
     "op2_path_templates": path_templates.op2_path_templates,
     "op3_template_decontam": template_decontam.op3_template_decontam,
+    "op4_tool_links": tool_links.op4_tool_links,
     "op5_line_runs": line_runs.op5_line_runs,
     "op6_rule_ledger": rule_ledger.op6_rule_ledger,
     "op7_poisson_mix": poisson_mix.op7_poisson_mix,
