@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clusterlens.llm import (
+    backoff_lm,
     line_runs,
     oph_dups,
     path_templates,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rule_ledger": rule_ledger.op6_rule_ledger,
     "op7_poisson_mix": poisson_mix.op7_poisson_mix,
     "op8_oph_dups": oph_dups.op8_oph_dups,
+    "op9_backoff_lm": backoff_lm.op9_backoff_lm,
     "op10_style_tree": style_tree.op10_style_tree,
 }
 
