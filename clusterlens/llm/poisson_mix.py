@@ -105,20 +105,18 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: floa
     """The mixed corpus: ``docs`` rows times their Poisson counts, with ``copy``
     (1, 2, ...) and ``shuffle_key``, partitioned and ordered by that key."""
     docs = shared.without(docs, "copy", "shuffle_key")
-    own = docs.columns
     found = rates(docs, weights, rest, budget, source, text)
     checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(
         F.raise_error(F.lit(f"a repetition rate is above {MAX_RATE}")).cast("double"))
-    known = found.select(F.col("grp").alias("_grp"), cumulative(checked).alias("_cdf"))
+    known = found.select("grp", cumulative(checked).alias("cdf"))
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(f"`{text}`")).cast("string")))
-    rows = docs.withColumn("_group", group_of(F.col(f"`{source}`"), weights)).withColumn("_id", ident)
-    rows = rows.join(F.broadcast(known), F.col("_group").eqNullSafe(F.col("_grp")), "inner")
-    u = unit_hash(F.lit(seed), F.col("_id"))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    rows = rows.withColumn("_u", u).withColumn("_n", count).where("_n > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    rows = rows.withColumn("shuffle_key", unit_hash(F.lit(seed), F.col("_id"), F.col("copy")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in own], "copy", "shuffle_key")
+    rows = shared.packed(docs, source=group_of(F.col(f"`{source}`"), weights), ident=ident)
+    rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("grp")), "inner")
+    rows = rows.withColumn("u", unit_hash(F.lit(seed), F.col("ident")))
+    rows = rows.withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = rows.withColumn("shuffle_key", unit_hash(F.lit(seed), F.col("ident"), F.col("copy")))
+    rows = rows.select("row.*", "copy", "shuffle_key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "copy")
 

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clusterlens.llm import shared
 from clusterlens.llm import words as W
 from clusterlens.sources.tables import table
 
@@ -191,9 +192,7 @@ def ablation(led: DataFrame, policies: tuple[Policy, ...], rules: tuple[Rule, ..
 
 def keep_passing(docs: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
-    own = docs.columns
-    led = ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text")), rules,
-                 keep_text=False)
+    led = ledger(shared.packed(docs, text=F.col("text")), rules, keep_text=False)
     return led.where(passes(policy, rules)).select("row.*")
 
 

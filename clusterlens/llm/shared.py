@@ -62,3 +62,15 @@ def lookup(rows: DataFrame, key: str, values: DataFrame, row_id: str, how: str =
     masks = salted.groupBy(key).agg(salt_mask("_salt").alias("_salts"))
     spread = by_salt(masks.join(values, key), "_salts", "_salt")
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """``df`` as one struct column ``row`` beside the columns ``more``, so that
+    no column of the input can clash with an operator's; undone by ``row.*``."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                     *[c.alias(name) for name, c in more.items()])
+
+
+def without_ids(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is not among the ids of ``gone`` (id)."""
+    return packed(df, id=key).join(gone.select("id").distinct(), "id", "left_anti").select("row.*")

@@ -234,8 +234,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones."""
-    gone = contaminated(docs, items, doc_id, text).select(F.col("id").alias("_id")).distinct()
-    return docs.withColumn("_id", row_id(doc_id, text)).join(gone, "_id", "left_anti").drop("_id")
+    return shared.without_ids(docs, row_id(doc_id, text), contaminated(docs, items, doc_id, text))
 
 
 def op3_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
