@@ -49,7 +49,7 @@ def java_double(s: Column) -> Column:
     """
     d = s.try_cast("double")
     special = F.isnan(d) | (F.abs(d) == _inf())
-    t = F.trim(s)
+    t = F.btrim(s, F.lit("".join(map(chr, range(33)))))  # the JVM trims U+0000 .. U+0020
     java_form = t.rlike(r"^[+-]?(NaN|Infinity)\z") | ~t.rlike(r"(?i)^[+-]?(nan|inf|infinity)\z")
     return (F.when(d.isNull(), F.lit(0.0))
             .when(special, F.when(java_form, d).otherwise(F.lit(0.0)))

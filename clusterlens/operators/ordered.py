@@ -1,41 +1,79 @@
 """Global row order without an un-partitioned window.
 
-``global_position`` numbers the rows of a DataFrame 0..n-1 in a total order:
-range-partition on the order columns, sort within partitions, take the
-position inside each partition from ``monotonically_increasing_id`` (whose
-low 33 bits are the row's index in its partition) and add the number of rows
-in all earlier partitions, from a table with one row per partition (bounded
-by the partition count, so it is broadcast). Every step is distributed; no
-task ever holds more than one range partition.
+Rows are dealt to ranges of the order columns whose bounds are the same in
+every evaluation: they come from the BOUNDS_SAMPLE rows with the smallest hash
+of the order columns, a uniform sample that depends on the rows alone (not on
+partitioning, task order or retries). Each branch of a plan that computes
+a row's range therefore gets the same one, whether or not Spark reuses an
+exchange. Within a range rows are numbered by an ordinary window; a table
+with one row per range (bounded by the number of ranges, so it is broadcast)
+adds what lies in earlier ranges and, for ``with_next``, the next range's
+first value.
+
+The order must be unique: the order columns together identify a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW33 = (1 << 33) - 1
+BOUNDS_SAMPLE = 10_000
+
+
+def _order(cols: list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in cols])
+
+
+def range_bounds(df: DataFrame, order_cols: list[str], ranges: int) -> Column:
+    """Scalar subquery: at most ``ranges - 1`` ascending bounds."""
+    key = _order(order_cols)
+    sample = (df.select(key.alias("k"), F.xxhash64(*[F.col(c) for c in order_cols]).alias("h"))
+              .orderBy("h", "k").limit(BOUNDS_SAMPLE))
+    ks = sample.agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    picks = F.sequence(F.lit(1), F.lit(max(ranges - 1, 1)))
+    at = F.transform(picks, lambda i: F.floor(i * F.size("ks") / F.lit(max(ranges, 2))).cast("int"))
+    bounds = F.filter(F.transform(at, lambda i: F.get(F.col("ks"), i)), lambda b: b.isNotNull())
+    return ks.select(F.array_distinct(bounds).alias("bounds")).scalar()
+
+
+def range_of(df: DataFrame, order_cols: list[str], ranges: int | None = None, name: str = "_range") -> DataFrame:
+    """``df`` with the number of its range: how many bounds are at or below the
+    row. Bounds are searched in blocks, about 2 * sqrt(ranges) comparisons."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, math.isqrt(n))
+    out = df.withColumn("_bounds", range_bounds(df, order_cols, n)).withColumn("_key", _order(order_cols))
+    heads = F.filter("_bounds", lambda b, i: (i % step == 0) & (b <= F.col("_key")))
+    block = F.greatest(F.size(heads) - 1, F.lit(0)) * step
+    inside = F.size(F.filter(F.slice(F.col("_bounds"), block + 1, F.lit(step)), lambda b: b <= F.col("_key")))
+    return out.withColumn(name, block + inside).drop("_bounds", "_key")
 
 
 def global_position(df: DataFrame, order_cols: list[str], name: str = "pos",
                     partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-           .withColumn("_id", F.monotonically_increasing_id()))
-    ids = ids.withColumn("_pid", F.shiftright(F.col("_id"), 33)) \
-             .withColumn("_local", F.col("_id").bitwiseAND(F.lit(_LOW33)))
-    counts = ids.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select("_pid", (F.sum("_cnt").over(Window.orderBy("_pid")) - F.col("_cnt"))
-                            .alias("_off"))
-    return (ids.join(F.broadcast(offsets), "_pid", "inner")
-            .withColumn(name, F.col("_off") + F.col("_local"))
-            .drop("_id", "_pid", "_local", "_off"))
+    """``df`` with the 0-based position of each row in the order."""
+    rows = range_of(df, order_cols, partitions)
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols)) - 1
+    out = rows.withColumn("_local", local).join(F.broadcast(offsets), "_range")
+    return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_before", "_local")
 
 
 def with_next(df: DataFrame, order_cols: list[str], value: str, next_name: str) -> DataFrame:
-    """Attach the next row's ``value`` in the global order (NULL for the last
-    row) and the 0-based position, via an equi-join on position + 1."""
-    pos = global_position(df, order_cols)
-    nxt = pos.select((F.col("pos") - 1).alias("pos"), F.col(value).alias(next_name))
-    return pos.join(nxt, "pos", "left")
+    """``df`` with the 0-based position ``pos`` and the next row's ``value`` in
+    the order (NULL for the last row)."""
+    rows = range_of(df, order_cols)
+    key = _order(order_cols)
+    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), key).alias("_first"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"),
+                            F.lead("_first").over(Window.orderBy("_range")).alias("_then"))
+    w = Window.partitionBy("_range").orderBy(*order_cols)
+    out = rows.withColumn("_local", F.row_number().over(w) - 1).withColumn("_lead", F.lead(value).over(w))
+    out = out.withColumn("_last", F.lead(F.lit(1)).over(w).isNull()).join(F.broadcast(offsets), "_range")
+    return out.select(*[F.col(c) for c in df.columns], (F.col("_before") + F.col("_local")).alias("pos"),
+                      F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_lead")).alias(next_name))

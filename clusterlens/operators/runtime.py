@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions.strings import quoted_csv_split, short_host
-from clusterlens.operators.joins import broadcast_if_small
 
 
 def _ms_to_s(c: Column) -> Column:
@@ -152,9 +151,9 @@ def with_app_id(log: DataFrame, scope: str = "dir") -> DataFrame:
     lines = log.select("*", unit.alias("_file"))
     apps = (lines.where(F.col("Event") == "SparkListenerApplicationStart")
             .groupBy("_file").agg(F.min("`App ID`").alias("app_id")))
-    # every line of one log shares its key: broadcast the per-log table
-    # when its size is checked small, else AQE splits the skewed logs
-    return lines.join(broadcast_if_small(apps), "_file", "left").drop("_file")
+    # one row per log on the small side: the planner broadcasts it, or AQE
+    # splits the rows of a long log
+    return lines.join(apps, "_file", "left").drop("_file")
 
 
 def normalise(log: DataFrame, block_filter: Column | None = None, scope: str = "dir") -> DataFrame:
@@ -196,13 +195,16 @@ def typed(log: DataFrame, event: str, kind: str = "event") -> DataFrame:
 def listener_lines(norm: DataFrame) -> DataFrame:
     """The listener CSV text: ``kind,epoch,EVENT[,key,value]*``, the stage
     name quoted and the task status written bare (no key)."""
-    pairs = F.transform(F.arrays_zip(F.col("keys").alias("k"), F.col("vals").alias("v")), lambda x: (
-        F.when(x["k"] == "status", x["v"])
-        .when(x["k"] == "name", F.concat(x["k"], F.lit(',"'), x["v"], F.lit('"')))
-        .otherwise(F.concat(x["k"], F.lit(","), x["v"]))))
-    line = F.concat_ws(",", F.col("kind"), F.col("epoch").cast("string"), F.col("event"),
-                       F.array_join(pairs, ","))
-    return norm.select("app_id", F.regexp_replace(line, ",$", "").alias("line"))
+    def pair(x: Column) -> Column:
+        v = F.coalesce(x["v"], F.lit(""))
+        return (F.when(x["k"] == "status", v)
+                .when(x["k"] == "name", F.concat(x["k"], F.lit(',"'), v, F.lit('"')))
+                .otherwise(F.concat(x["k"], F.lit(","), v)))
+
+    pairs = F.transform(F.arrays_zip(F.col("keys").alias("k"), F.col("vals").alias("v")), pair)
+    head = F.concat_ws(",", F.col("kind"), F.col("epoch").cast("string"), F.col("event"))
+    line = F.when(F.size("keys") > 0, F.concat(head, F.lit(","), F.array_join(pairs, ","))).otherwise(head)
+    return norm.select("app_id", line.alias("line"))
 
 
 _LINE_OK = r"^(event|metric),[0-9]+,[A-Z-]+(,|\z)"

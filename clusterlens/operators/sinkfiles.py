@@ -7,7 +7,7 @@ row per file, joined back on the file name)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,10 @@ def long_form(lines: DataFrame, app_id: str) -> DataFrame:
                .groupBy("sink").agg(F.split(F.min("value"), ",").alias("header")))
     body = mine.where(~F.col("value").startswith("t,")).select("sink", F.split("value", ",").alias("f"))
     j = body.join(headers, "sink", "inner")
-    pairs = F.arrays_zip(F.slice(F.col("header"), 2, 1000).alias("field"),
-                         F.slice(F.col("f"), 2, 1000).alias("v"))
+    def tail(c: str) -> Column:
+        return F.slice(F.col(c), F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
+
+    pairs = F.arrays_zip(tail("header").alias("field"), tail("f").alias("v"))
     out = j.select(F.element_at(bits, 2).alias("executor"),
                    F.array_join(F.slice(bits, 3, F.greatest(n - 3, F.lit(0))), "_").alias("metric"),
                    F.element_at("f", 1).cast("bigint").alias("epoch"),

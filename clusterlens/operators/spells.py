@@ -28,6 +28,7 @@ VERTEX_ATTRS = [
 EDGE_ATTRS = [("taskToNode", "lightgrey"), ("taskToData", "#FFFFFF00"), ("taskToStage", "yellow")]
 TASK_TYPES = {"PROCESS_LOCAL": "taskLocal", "NODE_LOCAL": "taskNode", "RACK_LOCAL": "taskRack"}
 SLICE_WIDTH = 2
+SALTS = 64
 
 
 def horizon(vertices: DataFrame) -> DataFrame:
@@ -79,11 +80,15 @@ def slices(vertices: DataFrame) -> DataFrame:
                                                          F.lit(SLICE_WIDTH).cast("bigint"))).alias("slice"))
 
 
-def _slice_index(spells: DataFrame, last_col: Column) -> DataFrame:
+def _slice_range(last_col: Column) -> tuple[Column, Column]:
+    """First and last slice index that the spell meets (first > last: none)."""
     a = F.floor(F.col("onset") / SLICE_WIDTH).cast("bigint")
     b = (F.ceil(F.col("terminus") / SLICE_WIDTH) - 1).cast("bigint")
-    lo = F.greatest(a, F.lit(0).cast("bigint"))
-    hi = F.least(F.greatest(a, b), last_col)
+    return F.greatest(a, F.lit(0).cast("bigint")), F.least(F.greatest(a, b), last_col)
+
+
+def _slice_index(spells: DataFrame, last_col: Column) -> DataFrame:
+    lo, hi = _slice_range(last_col)
     return (spells.withColumn("_last", last_col).where(lo <= hi)
             .withColumn("_i", F.explode(F.sequence(lo, hi)))
             .withColumn("slice", F.col("_i") * SLICE_WIDTH)
@@ -98,12 +103,32 @@ def active_vertices(vertices: DataFrame) -> DataFrame:
 
 def active_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """``(slice, tail, head, type)`` for active edges whose two ends are
-    active in the same slice (two semi joins on (slice, vertex))."""
+    active in the same slice. The ends' slice ranges are joined to the edge by
+    vertex id (salted: one vertex, such as the data vertex, may end a third of
+    all edges), and the edge's slices are expanded once, clipped to both."""
     last = F.floor(horizon(vertices).scalar() / SLICE_WIDTH).cast("bigint")
-    act = active_vertices(vertices)
-    e = _slice_index(edges, last).select("slice", "tail", "head", "type")
-    e = e.join(act.withColumnRenamed("vertex_id", "tail"), ["slice", "tail"], "left_semi")
-    return e.join(act.withColumnRenamed("vertex_id", "head"), ["slice", "head"], "left_semi")
+    lo, hi = _slice_range(last)
+    spans = vertices.where(lo <= hi).groupBy("vertex_id").agg(
+        F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
+    e = edges.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
+    e = e.withColumn("_salt", F.pmod(F.xxhash64("tail", "head"), F.lit(SALTS)))
+    for end in ("tail", "head"):
+        uses = e.groupBy(F.col(end).alias("vertex_id"), "_salt").agg(F.lit(True).alias("_used"))
+        spread = uses.join(spans, "vertex_id").select(F.col("vertex_id").alias(end), "_salt",
+                                                      F.col("spans").alias(f"_{end}"))
+        e = e.join(spread, [end, "_salt"])
+
+    def inside(spans: str, i: Column) -> Column:
+        return F.exists(spans, lambda s: (s["lo"] <= i) & (i <= s["hi"]))
+
+    first = F.greatest("_lo", F.array_min(F.transform("_tail", lambda s: s["lo"])),
+                       F.array_min(F.transform("_head", lambda s: s["lo"])))
+    final = F.least("_hi", F.array_max(F.transform("_tail", lambda s: s["hi"])),
+                    F.array_max(F.transform("_head", lambda s: s["hi"])))
+    e = e.withColumns({"_lo": first, "_hi": final}).where("_lo <= _hi")
+    e = e.withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
+    e = e.where(inside("_tail", F.col("_i")) & inside("_head", F.col("_i")))
+    return e.select((F.col("_i") * SLICE_WIDTH).alias("slice"), "tail", "head", "type")
 
 
 def latest_attr(attr_spells: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clusterlens.functions.numeric import pearson
+from clusterlens.operators.ordered import range_of
 
 KEY = "track7Id"
 
@@ -112,19 +113,15 @@ def average_ranks(counts: DataFrame, value: str, weight: str,
     multiplicities: rank(v) = #(values < v) + (mult(v) + 1) / 2, within each
     ``group`` when given.
 
-    A distributed prefix sum: range-partition the distinct values, take the
-    running sum inside each range (a window over one range partition at a
-    time), then add the totals of all earlier ranges from a table with one
-    row per partition and group (bounded by partitions x groups, so
-    broadcasting it is safe). Only distinct values move, so a value shared
-    by a third of all rows is still one row here. JVM-side throughout.
+    A distributed prefix sum: deal the distinct values to ranges with fixed
+    bounds (``ordered.range_of``), take the running sum inside each range, then
+    add the totals of all earlier ranges from a table with one row per range
+    and group (bounded, so broadcasting it is safe). Only distinct values move,
+    so a value shared by a third of all rows is still one row here. JVM-side
+    throughout.
     """
-    spark = counts.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     g = [group] if group else []
-    ranged = (counts.select(*g, value, F.col(weight).cast("bigint").alias("w"))
-              .repartitionByRange(n, *[F.col(c) for c in g + [value]])
-              .withColumn("pid", F.spark_partition_id()))
+    ranged = range_of(counts.select(*g, value, F.col(weight).cast("bigint").alias("w")), [*g, value], partitions, "pid")
     in_range = Window.partitionBy("pid", *g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("before", F.coalesce(F.sum("w").over(in_range), F.lit(0).cast("bigint")))
     totals = ranged.groupBy("pid", *g).agg(F.sum("w").alias("tot"))

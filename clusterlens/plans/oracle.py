@@ -407,11 +407,12 @@ SQL.update({
                        " ON es.type = a.type",
     "slices": SP + " SELECT slice FROM sl",
     "active_vertices": SP + " SELECT slice, vertex_id FROM av",
-    "active_edges": SP + """ SELECT sl.slice, es.tail, es.head, es.type FROM es JOIN sl
+    "active_edges": SP + """, act AS MATERIALIZED (SELECT DISTINCT slice, vertex_id FROM av),
+        e2 AS MATERIALIZED (SELECT sl.slice, es.tail, es.head, es.type FROM es JOIN sl
         ON (es.onset < sl.slice + 2 AND es.terminus > sl.slice)
-        OR (es.onset = es.terminus AND sl.slice <= es.onset AND es.onset < sl.slice + 2)
-        WHERE EXISTS (SELECT 1 FROM av WHERE av.slice = sl.slice AND av.vertex_id = es.tail)
-          AND EXISTS (SELECT 1 FROM av WHERE av.slice = sl.slice AND av.vertex_id = es.head)""",
+        OR (es.onset = es.terminus AND sl.slice <= es.onset AND es.onset < sl.slice + 2))
+        SELECT slice, tail, head, type FROM e2 WHERE (slice, tail) IN (SELECT slice, vertex_id FROM act)
+          AND (slice, head) IN (SELECT slice, vertex_id FROM act)""",
     "latest_attr": SP + """, attr_sl AS (
         SELECT sl.slice, t2.node AS vertex_id, t2.locality AS value,
                row_number() OVER (PARTITION BY t2.node, sl.slice ORDER BY t2.onset DESC, t2.task DESC) AS rn

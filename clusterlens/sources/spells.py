@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from clusterlens.functions.timecols import epoch_seconds
 from clusterlens.sources.tables import table
 from clusterlens.sources.tasks import APP_NAME, LOCALITIES, NODES, stage_ids
-from clusterlens.operators.joins import broadcast_if_small
 
 VERTEX_SCHEMA = "onset bigint, terminus bigint, vertex_id string, name string, type string, info string"
 EDGE_SCHEMA = "onset bigint, terminus bigint, tail string, head string, type string"
@@ -33,13 +32,11 @@ def read_edge_spells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events", spread_out=True).select("event_id", "ts", "user_id", "event_type")
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     sec = epoch_seconds(F.col("ts"))
     first = ev.agg(F.min(sec).alias("first")).scalar()
     onset = F.floor((sec - first) / 3600).cast("bigint")
-    return (ev.join(broadcast_if_small(
-        stage_ids(ev), probe=table(spark, sf_dir, "events").select("event_type").distinct()),
-                    "event_type", "inner")
+    return (ev.join(stage_ids(ev), "event_type", "inner")
             .select(onset.alias("onset"), (onset + F.col("event_id") % 7).alias("terminus"),
                     F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("task"),
                     F.col("event_id"),
@@ -51,16 +48,14 @@ def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def network_spells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # The task spells feed seven branches (tasks, workers, stages, data and
-    # three edge kinds): build them once and cut the lineage there.
-    t = _task_spells(spark, sf_dir).checkpoint(eager=True)
+    t = _task_spells(spark, sf_dir)
     tasks = t.select("onset", "terminus", F.col("task").alias("vertex_id"), F.col("task").alias("name"),
                      F.lit("task").alias("type"), F.col("locality").alias("info"),
                      (F.lit(3_000_000_000) + F.col("event_id")).alias("ord"))
     workers = t.groupBy("node").agg(F.min("onset").alias("onset"), F.max("terminus").alias("terminus")) \
         .select("onset", "terminus", F.col("node").alias("vertex_id"), F.col("node").alias("name"),
                 F.lit("worker").alias("type"), F.lit(APP_NAME).alias("info"),
-                F.substring("node", 2, 10).cast("bigint").alias("ord"))
+                F.expr("substring(node, 2)").cast("bigint").alias("ord"))
     stages = t.groupBy("stage", "stage_id", "event_type").agg(
         F.min("onset").alias("onset"), F.max("terminus").alias("terminus")) \
         .select("onset", "terminus", F.col("stage").alias("vertex_id"), F.col("stage").alias("name"),

@@ -19,14 +19,11 @@ TABLES = tuple(TABLE_KEYS)
 def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Hash-repartition ``df`` to the default parallelism when its scan has
     fewer partitions than that (e.g. a file with one row group), so that
-    row-local CPU work uses every core. At scale the scan already has many
-    more splits than cores and this is a no-op (no shuffle is added)."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as it is
+    row-local CPU work uses every core. Only for inputs of heavy row-local work
+    (parsing, tokenising): it moves the rows once, which an aggregate or a
+    filter of a plain scan would not repay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 

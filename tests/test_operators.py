@@ -2,6 +2,9 @@
 
 import math
 
+import pytest
+from pyspark.sql import functions as F
+
 
 from clusterlens.operators import graph as G
 from clusterlens.operators import records as R
@@ -174,3 +177,75 @@ def test_average_ranks_per_group(spark):
             w = 1 + (v + g) % 3
             assert got[(g, float(v))] == before + (w + 1) / 2
             before += w
+
+
+@pytest.mark.parametrize("partitions,reuse", [(4, "true"), (8, "false"), (200, "false")])
+def test_global_order_is_the_same_in_every_branch(spark, partitions, reuse):
+    """Positions and next values are exact with a payload column, however the
+    plan is evaluated."""
+    from clusterlens.operators.ordered import global_position, with_next
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        n = 300_000
+        df = spark.range(n).select((F.col("id") * 7919 % n).alias("seq"), F.col("id").alias("payload"))
+        df = df.withColumn("epoch", F.expr("seq div 3"))
+        pos = global_position(df, ["epoch", "seq"])
+        assert pos.where("pos <> seq OR payload IS NULL").count() == 0 and pos.count() == n
+        nxt = with_next(df, ["epoch", "seq"], "epoch", "then")
+        wrong = nxt.where(f"pos <> seq OR NOT then <=> CASE WHEN seq < {n} - 1 THEN (seq + 1) div 3 END")
+        assert wrong.count() == 0 and nxt.count() == n
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_average_ranks_whatever_spark_reuses(spark, reuse):
+    from clusterlens.operators.stats import average_ranks
+
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(50_000).select((F.col("id") % 2).alias("side"), (F.col("id") * 31 % 50_000).cast("double").alias("v"))
+        df = df.groupBy("side", "v").agg(F.lit(2).alias("m"))
+        out = average_ranks(df, "v", "m", group="side")
+        # per side 25,000 values of parity `side`, each twice: rank = 2 * (values before) + 1.5
+        assert out.where("rank <> 2 * floor(v / 2) + 1.5").count() == 0 and out.count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+
+
+def test_no_field_is_dropped(spark):
+    from clusterlens.operators.sinkfiles import long_form
+
+    n = 1500
+    head = "t," + ",".join(f"f{i}" for i in range(n))
+    body = "5," + ",".join(str(i) for i in range(n))
+    lines = spark.createDataFrame([("a.1.m.csv", head), ("a.1.m.csv", body)], "sink string, value string")
+    assert long_form(lines, "a").count() == n
+
+
+def test_listener_lines_keep_empty_and_null_values(spark):
+    from clusterlens.operators import runtime
+
+    norm = spark.createDataFrame(
+        [("a", "event", 5, "JOB-START", ["jobId", "stageIds"], ["3", ""]),
+         ("a", "event", 6, "JOB-START", ["jobId", "stageIds"], ["4", None]),
+         ("a", "event", 7, "APPLICATION-END", [], [])],
+        "app_id string, kind string, epoch long, event string, keys array<string>, vals array<string>")
+    lines = [r.line for r in runtime.listener_lines(norm).orderBy("line").collect()]
+    assert lines == ["event,5,JOB-START,jobId,3,stageIds,", "event,6,JOB-START,jobId,4,stageIds,",
+                     "event,7,APPLICATION-END"]
+    back = runtime.parse_listener_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert all(len(r["keys"]) == len(r["vals"]) for r in back.collect())
+
+
+@pytest.mark.parametrize("text,value", [("\tnan", 0.0), ("\tinf", 0.0), ("\x01 NaN", float("nan")), ("\t1.5", 1.5)])
+def test_double_is_trimmed_as_the_jvm_does(spark, text, value):
+    from clusterlens.functions.numeric import java_double
+
+    got = spark.createDataFrame([(text,)], "s string").select(java_double(F.col("s")).alias("d")).first().d
+    assert got == value or (got != got and value != value)
