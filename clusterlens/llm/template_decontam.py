@@ -1,8 +1,8 @@
 """Operator 3: benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of template tokens: a number becomes ``<num>``, a
-unit right after a number ``<unit>``, a run of capitalised words inside a
-sentence ``<name>``; any other word is a literal (outer punctuation stripped,
+unit right after a number ``<unit>``, a run of capitalised words (not
+all in capitals) inside a sentence ``<name>``; any other word is a literal (outer punctuation stripped,
 case folded; words of punctuation only do not count). Windows of WINDOW template
 tokens are hash-joined between documents and benchmark items, so a question
 whose numbers, names or units were changed still matches. Then the slots are
@@ -104,7 +104,8 @@ class Templates:
         start, rows = start[real], rows[real]
         s, e = ink[i0[real]], ink[i1[real] - 1] + 1
         data, upper = fold(b.data)
-        name = upper[s] & ~start
+        second = np.minimum(s + 1 + (data[s] == 0xC3), e - 1)  # "Anna", not "I" or "NASA"
+        name = upper[s] & ~start & (second > s + (data[s] == 0xC3)) & ~upper[second]
         joins = np.zeros(len(s), bool)  # goes on with the name before it
         joins[1:] = name[1:] & name[:-1] & (rows[1:] == rows[:-1])
         head = np.flatnonzero(~joins)
