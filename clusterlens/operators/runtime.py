@@ -350,16 +350,19 @@ def node_totals(norm: DataFrame) -> DataFrame:
 
 
 def run_summary(log: DataFrame, scope: str = "dir") -> DataFrame:
-    """Per application: elapsed seconds, executors, executor RAM and cores
-    from the recorded Spark properties ('?' when unknown)."""
+    """Per application: elapsed seconds, and from the recorded Spark properties
+    the partitions asked for, executors, executor RAM and cores ('?' when
+    unknown)."""
     withapp = with_app_id(log, scope)
     props = F.col("`Spark Properties`")
     agg = withapp.groupBy("app_id").agg(
         F.max(F.when(F.col("Event") == "SparkListenerApplicationEnd", F.col("Timestamp"))).alias("end"),
         F.min(F.when(F.col("Event") == "SparkListenerApplicationStart", F.col("Timestamp"))).alias("start"),
+        F.max(F.coalesce(F.element_at(props, F.lit("spark.default.parallelism")),
+                         F.element_at(props, F.lit("spark.sql.shuffle.partitions")))).alias("partitions"),
         F.max(F.element_at(props, F.lit("spark.executor.instances"))).alias("executors"),
         F.max(F.element_at(props, F.lit("spark.executor.memory"))).alias("memory"),
         F.max(F.element_at(props, F.lit("spark.executor.cores"))).alias("cores"))
     return agg.select("app_id", F.floor((F.col("end") - F.col("start")) / 1000).cast("bigint").alias("elapsed"),
-                      F.lit("?").alias("partitions"),
-                      *[F.coalesce(F.col(c), F.lit("?")).alias(c) for c in ("executors", "memory", "cores")])
+                      *[F.coalesce(F.col(c), F.lit("?")).alias(c)
+                        for c in ("partitions", "executors", "memory", "cores")])

@@ -24,12 +24,13 @@ from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
 from clusterlens.sources.eventlog import event_log_path, read_event_log
 from clusterlens.sources.materialize import cut, materialized
-from clusterlens.sources.series import event_marks, node_series
+from clusterlens.sources.edges import read_edge_list, write_edge_list
+from clusterlens.sources.series import event_marks, node_series, read_marks, read_series
 from clusterlens.session import shared_dir, source_key
 from clusterlens.sources.sinkfiles import SINK_APP, read_sink_files, sink_files_path
 from clusterlens.sources.songs import song_lines
 from clusterlens.streaming import jobs as ST
-from clusterlens.sources.spells import network_spells, task_activity
+from clusterlens.sources.spells import network_spells, read_edge_spells, read_vertex_spells, task_activity
 from clusterlens.sources.tasks import task_table
 from clusterlens.sources.corpus import document_lines
 from clusterlens.sources.tables import table
@@ -153,6 +154,12 @@ def pair_join(spark, sf_dir):
     return S.pair_join(R.hot_pairs(kv), R.tempo_pairs(kv))
 
 
+@register("moment_columns")
+def moment_columns(spark, sf_dir):
+    kv = _kv_checkpointed(spark, sf_dir)
+    return S.moment_columns(S.pair_join(R.hot_pairs(kv), R.tempo_pairs(kv)), "hotness", "tempo")
+
+
 @register("pair_keys")
 def pair_keys(spark, sf_dir):
     return _sums(spark, sf_dir).select("keys")
@@ -271,6 +278,23 @@ def vertex_style(spark, sf_dir):
     return G.vertex_style(G.degree(_task_stage(spark, sf_dir)), "stages")
 
 
+@register("vertex_style_seconds")
+def vertex_style_seconds(spark, sf_dir):
+    return G.vertex_style(G.degree(G.edges_task_second(task_table(spark, sf_dir))), "seconds")
+
+
+@register("vertex_style_nodes")
+def vertex_style_nodes(spark, sf_dir):
+    return G.vertex_style(G.degree(G.edges_task_node(task_table(spark, sf_dir))), "nodes")
+
+
+@register("edges_from_tsv")
+def edges_from_tsv(spark, sf_dir):
+    """The task-stage graph through its file form (two tab-separated columns)."""
+    path = materialized(spark, sf_dir, "edges", lambda p: write_edge_list(_task_stage(spark, sf_dir), p))
+    return read_edge_list(spark, path)
+
+
 # --- F: node time series ---------------------------------------------------------
 
 def _rebased_marks(spark, sf_dir):
@@ -282,6 +306,22 @@ def series_metrics(spark, sf_dir):
     return FS.metric_series(node_series(spark, sf_dir))
 
 
+@register("series_from_csv")
+def series_from_csv(spark, sf_dir):
+    """The metrics of a node series read from its CSV form."""
+    path = materialized(spark, sf_dir, "series", lambda p: (
+        node_series(spark, sf_dir).write.mode("overwrite").csv(p, header=True)))
+    return FS.metric_series(read_series(spark, path))
+
+
+@register("marks_from_csv")
+def marks_from_csv(spark, sf_dir):
+    """Event marks read from their CSV form, tagged by kind."""
+    path = materialized(spark, sf_dir, "marks", lambda p: (
+        _rebased_marks(spark, sf_dir).write.mode("overwrite").csv(p, header=True)))
+    return FS.split_kind(read_marks(spark, path))
+
+
 @register("series_origin")
 def series_origin(spark, sf_dir):
     return FS.origin(node_series(spark, sf_dir))
@@ -532,6 +572,14 @@ def sink_collate(spark, sf_dir):
     return C.collate(_sink_lines(spark, sf_dir), SINK_APP, SINK_HOST, SINK_USER)
 
 
+@register("sink_append")
+def sink_append(spark, sf_dir):
+    """The collated rows after being appended to the store, by application."""
+    path = materialized(spark, sf_dir, "sink-store", lambda p: C.append_collated(
+        C.collate(_sink_lines(spark, sf_dir), SINK_APP, SINK_HOST, SINK_USER), p, SINK_APP))
+    return spark.read.parquet(path)
+
+
 @register("sink_long")
 def sink_long(spark, sf_dir):
     return C.long_form(_sink_lines(spark, sf_dir), SINK_APP)
@@ -568,3 +616,19 @@ def stream_task_rate(spark, sf_dir):
 @register("event_marks")
 def event_marks_query(spark, sf_dir):
     return FS.marks_from_events(_norm(spark, sf_dir))
+
+
+@register("spells_from_csv")
+def spells_from_csv(spark, sf_dir):
+    """Vertex spells read from their CSV form."""
+    path = materialized(spark, sf_dir, "vertex-spells", lambda p: (
+        network_spells(spark, sf_dir)[0].drop("ord").write.mode("overwrite").csv(p, header=True)))
+    return read_vertex_spells(spark, path)
+
+
+@register("edge_spells_from_csv")
+def edge_spells_from_csv(spark, sf_dir):
+    """Edge spells read from their CSV form."""
+    path = materialized(spark, sf_dir, "edge-spells", lambda p: (
+        network_spells(spark, sf_dir)[1].write.mode("overwrite").csv(p, header=True)))
+    return read_edge_spells(spark, path)

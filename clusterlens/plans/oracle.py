@@ -340,7 +340,7 @@ SQL.update({
         f"CAST(sum({_METRIC_EXPR[c]}) AS BIGINT) AS {c}" for c in _METRIC_COLS) + " FROM tm GROUP BY stage_id",
     "node_totals": RT + f" SELECT {APP} AS app_id, node, count(*) AS tasks, " + ", ".join(
         f"CAST(sum({_METRIC_EXPR[c]}) AS BIGINT) AS {c}" for c in _METRIC_COLS) + " FROM tm GROUP BY node",
-    "run_summary": RT + f" SELECT {APP} AS app_id, (end_ms - start_ms) // 1000 AS elapsed, '?' AS partitions,"
+    "run_summary": RT + f" SELECT {APP} AS app_id, (end_ms - start_ms) // 1000 AS elapsed, '64' AS partitions,"
                         " '8' AS executors, '1g' AS memory, '1' AS cores FROM app",
     "log_app_id": f"SELECT {APP} AS app_id",
     "log_event_types": "SELECT * FROM (VALUES " + ", ".join(f"('{e}')" for e in _EVENT_NAMES) + ") AS t(Event)",
@@ -467,3 +467,29 @@ SQL["event_marks"] = RT + f""" SELECT {APP} AS app_id, start_ms // 1000 AS epoch
     UNION ALL SELECT {APP}, first_ms // 1000, split_part(host, '.', 1), 'EXECUTOR-ADDED ' || executor, NULL FROM hosts
     UNION ALL SELECT {APP}, last_ms // 1000, split_part(host, '.', 1), 'EXECUTOR-REMOVED ' || executor, NULL
       FROM hosts"""
+
+
+# --- file forms, styles and stores: the same rows through a written file ------------------
+
+def _style(edges: str, sizes: tuple, fonts: tuple, colour: str) -> str:
+    t = "substr(name, 1, 1) = 'T'"
+    return (f"{GRAPH} SELECT name, degree, {t} AS is_task, CASE WHEN {t} THEN {sizes[0]} ELSE {sizes[1]} END AS size,"
+            f" CASE WHEN {t} THEN {fonts[0]} ELSE {fonts[1]} END::DOUBLE AS font, CASE WHEN {t} THEN '' ELSE name END"
+            f" AS label, {colour} AS colour FROM {edges}")
+
+
+_SECOND_EDGES = """(SELECT name, count(*) AS degree FROM (SELECT src AS name FROM sec UNION ALL SELECT dst FROM sec) GROUP BY name)"""
+SQL.update({
+    "vertex_style_nodes": _style(_degree("tn_edges"), (2, 5), (0.1, 0.7), "CASE WHEN degree > 2 THEN 'green' ELSE 'white' END"),
+    "vertex_style_seconds": _style(_SECOND_EDGES, (2, 15), (0.1, 0.9),
+                                   "CASE WHEN substr(name, 1, 1) = 'T' THEN 'white' ELSE 'green' END").replace(
+        GRAPH, GRAPH + ", sec AS (" + SQL["edges_task_second"].replace(GRAPH, "") + ")", 1),
+    "edges_from_tsv": SQL["edges_task_stage"],
+    "series_from_csv": SQL["series_metrics"],
+    "marks_from_csv": SQL["event_split"],
+    "moment_columns": SONG + " SELECT hotness AS x, tempo AS y, hotness * tempo AS xy, hotness * hotness AS x2,"
+                             " tempo * tempo AS y2 FROM pj",
+    "sink_append": f"SELECT *, 'joe_1700000000' AS app_id FROM ({SQL['sink_collate']}) AS c",
+    "spells_from_csv": SP + " SELECT onset, terminus, vertex_id, name, type, info FROM vs",
+    "edge_spells_from_csv": SP + " SELECT onset, terminus, tail, head, type FROM es",
+})

@@ -45,7 +45,7 @@ EVENT_LOG_SCHEMA = ", ".join([
 
 # Executor settings recorded in the derived log's environment.
 ENV_PROPERTIES = {"spark.executor.instances": "8", "spark.executor.cores": "1",
-                  "spark.executor.memory": "1g"}
+                  "spark.executor.memory": "1g", "spark.sql.shuffle.partitions": "64"}
 
 
 def read_event_log(spark: SparkSession, path: str, schema: str | None = EVENT_LOG_SCHEMA) -> DataFrame:

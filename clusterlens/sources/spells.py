@@ -24,7 +24,8 @@ EDGE_SCHEMA = "onset bigint, terminus bigint, tail string, head string, type str
 
 
 def read_vertex_spells(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=VERTEX_SCHEMA)
+    # NA marks a missing value, an empty field is an empty text
+    return spark.read.csv(path, header=True, schema=VERTEX_SCHEMA, nullValue="NA", emptyValue="")
 
 
 def read_edge_spells(spark: SparkSession, path: str) -> DataFrame:
