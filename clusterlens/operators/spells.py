@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterlens.operators.skew import salted_join
+
 # The vertex and edge classes and their drawing attributes.
 # Colours with alpha are RGBA hex (transparent white, half-transparent
 # light green / light blue / red).
@@ -28,7 +30,6 @@ VERTEX_ATTRS = [
 EDGE_ATTRS = [("taskToNode", "lightgrey"), ("taskToData", "#FFFFFF00"), ("taskToStage", "yellow")]
 TASK_TYPES = {"PROCESS_LOCAL": "taskLocal", "NODE_LOCAL": "taskNode", "RACK_LOCAL": "taskRack"}
 SLICE_WIDTH = 2
-SALTS = 64
 
 
 def horizon(vertices: DataFrame) -> DataFrame:
@@ -111,12 +112,9 @@ def active_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     spans = vertices.where(lo <= hi).groupBy("vertex_id").agg(
         F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
     e = edges.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
-    e = e.withColumn("_salt", F.pmod(F.xxhash64("tail", "head"), F.lit(SALTS)))
     for end in ("tail", "head"):
-        uses = e.groupBy(F.col(end).alias("vertex_id"), "_salt").agg(F.lit(True).alias("_used"))
-        spread = uses.join(spans, "vertex_id").select(F.col("vertex_id").alias(end), "_salt",
-                                                      F.col("spans").alias(f"_{end}"))
-        e = e.join(spread, [end, "_salt"])
+        e = salted_join(e, end, spans.select(F.col("vertex_id").alias(end), F.col("spans").alias(f"_{end}")),
+                        [F.col("tail"), F.col("head")])
 
     def inside(spans: str, i: Column) -> Column:
         return F.exists(spans, lambda s: (s["lo"] <= i) & (i <= s["hi"]))
@@ -140,44 +138,71 @@ def latest_attr(attr_spells: DataFrame, vertices: DataFrame) -> DataFrame:
         F.max_by("value", F.struct("onset", "source")).alias("value"))
 
 
-def build_spells(norm: DataFrame) -> DataFrame:
-    """Vertex spells in seconds since application start from the unified
-    runtime-event table: tasks (start..end, info = locality), stages
-    (submitted..completed, info = name) and workers (executor added ..
-    removed, open ends closed at application end). Conditional min/max per
-    id: one aggregate per kind, no self-joins."""
-    attrs = F.map_from_arrays(F.col("keys"), F.col("vals"))
-    ev = norm.where(F.col("kind") == "event").select("app_id", "epoch", "event", attrs.alias("a"))
-    app = ev.groupBy("app_id").agg(
+def _app_times(ev: DataFrame) -> DataFrame:
+    """(app_id, t0, t1): start and end of each application."""
+    return ev.groupBy("app_id").agg(
         F.min(F.when(F.col("event") == "APPLICATION-START", F.col("epoch"))).alias("t0"),
         F.max(F.when(F.col("event") == "APPLICATION-END", F.col("epoch"))).alias("t1"))
 
-    def a(k):
-        return F.element_at(F.col("a"), F.lit(k))
-
-    def at(name):
-        return F.when(F.col("event") == name, F.col("epoch"))
-
-    tasks = (ev.where(F.col("event").isin("TASK-START", "TASK-END"))
-             .groupBy("app_id", a("taskId").alias("id"))
-             .agg(F.min(at("TASK-START")).alias("s"), F.max(at("TASK-END")).alias("e"),
-                  F.max(F.when(F.col("event") == "TASK-START", a("taskLocality"))).alias("info"))
-             .select("app_id", "s", "e", F.concat(F.lit("T"), F.col("id")).alias("vertex_id"),
-                     F.lit("task").alias("type"), "info"))
-    stages = (ev.where(F.col("event").isin("STAGE-SUBMITTED", "STAGE-COMPLETED"))
-              .groupBy("app_id", a("stageId").alias("id"))
-              .agg(F.min(at("STAGE-SUBMITTED")).alias("s"), F.max(at("STAGE-COMPLETED")).alias("e"),
-                   F.max(F.when(F.col("event") == "STAGE-SUBMITTED", a("name"))).alias("info"))
-              .select("app_id", "s", "e", F.concat(F.lit("S"), F.col("id")).alias("vertex_id"),
-                      F.lit("stage").alias("type"), "info"))
-    workers = (ev.where(F.col("event").isin("EXECUTOR-ADDED", "EXECUTOR-REMOVED"))
-               .groupBy("app_id", a("executorId").alias("id"))
-               .agg(F.min(at("EXECUTOR-ADDED")).alias("s"), F.max(at("EXECUTOR-REMOVED")).alias("e"),
-                    F.max(a("node")).alias("node"))
-               .select("app_id", "s", "e", F.split_part(F.col("node"), F.lit("."), F.lit(1)).alias("vertex_id"),
-                       F.lit("worker").alias("type"), F.col("id").alias("info")))
-    spells = tasks.unionByName(stages).unionByName(workers).join(app, "app_id", "inner")
-    return spells.select("app_id",
-                         (F.coalesce(F.col("s"), F.col("t0")) - F.col("t0")).alias("onset"),
-                         (F.coalesce(F.col("e"), F.col("t1")) - F.col("t0")).alias("terminus"),
-                         "vertex_id", "type", "info")
+
+def _attr(name: str) -> Column:
+    return F.element_at("vals", F.array_position("keys", F.lit(name)).cast("int"))
+
+
+def _spans(rows: DataFrame, ev: DataFrame, ident: Column) -> DataFrame:
+    """``rows`` with onset and terminus in seconds since application start;
+    open ends are closed at application start and end. An application may
+    hold all rows, so its times are joined with salts."""
+    rows = salted_join(rows, "app_id", _app_times(ev), [ident])
+    return rows.withColumns({"onset": F.coalesce(F.col("s"), F.col("t0")) - F.col("t0"),
+                             "terminus": F.coalesce(F.col("e"), F.col("t1")) - F.col("t0")})
+
+
+def build_spells(norm: DataFrame) -> DataFrame:
+    """Vertex spells in seconds since application start from the unified
+    runtime-event table: tasks (start..end, info = locality), stages
+    (submitted..completed, info = name), workers (executor added .. removed)
+    and the data vertex (the whole application). One conditional aggregate per
+    (type, id), one pass over the events."""
+    ev = norm.where(F.col("kind") == "event")
+    e = F.col("event")
+    begin = e.isin("TASK-START", "STAGE-SUBMITTED", "EXECUTOR-ADDED")
+    kind = (F.when(e.isin("TASK-START", "TASK-END"), "task")
+            .when(e.isin("STAGE-SUBMITTED", "STAGE-COMPLETED"), "stage")
+            .when(e.isin("EXECUTOR-ADDED", "EXECUTOR-REMOVED"), "worker")
+            .when(e == "APPLICATION-START", "data"))
+    ident = (F.when(kind == "task", _attr("taskId")).when(kind == "stage", _attr("stageId"))
+             .when(kind == "worker", _attr("executorId")).otherwise(F.lit("")))
+    info = (F.when(e == "TASK-START", _attr("taskLocality")).when(e == "STAGE-SUBMITTED", _attr("name"))
+            .when(e == "EXECUTOR-ADDED", _attr("node")))
+    rows = ev.select("app_id", "epoch", kind.alias("type"), ident.alias("id"), info.alias("info"), begin.alias("begin"))
+    rows = rows.where("type IS NOT NULL").groupBy("app_id", "type", "id").agg(
+        F.min(F.when(F.col("begin"), F.col("epoch"))).alias("s"),
+        F.max(F.when(~F.col("begin") & (F.col("type") != "data"), F.col("epoch"))).alias("e"),
+        F.max("info").alias("info"))
+    rows = _spans(rows, ev, F.col("id"))
+    vertex = (F.when(F.col("type") == "task", F.concat(F.lit("T"), F.col("id")))
+              .when(F.col("type") == "stage", F.concat(F.lit("S"), F.col("id")))
+              .when(F.col("type") == "worker", F.split_part(F.col("info"), F.lit("."), F.lit(1)))
+              .otherwise(F.lit("data")))
+    text = (F.when(F.col("type") == "worker", F.col("id")).when(F.col("type") == "data", F.lit(""))
+            .otherwise(F.col("info")))
+    return rows.select("app_id", "onset", "terminus", vertex.alias("vertex_id"), "type", text.alias("info"))
+
+
+def build_spell_edges(norm: DataFrame) -> DataFrame:
+    """Edge spells from the unified runtime-event table: each task is linked to
+    its worker node, to the data vertex and to its stage while it runs."""
+    ev = norm.where(F.col("kind") == "event")
+    start = F.col("event") == "TASK-START"
+    tasks = ev.where(F.col("event").isin("TASK-START", "TASK-END")).select(
+        "app_id", "epoch", start.alias("start"), _attr("taskId").alias("id"), _attr("node").alias("node"),
+        _attr("stageId").alias("stage"))
+    tasks = tasks.groupBy("app_id", "id").agg(
+        F.min(F.when(F.col("start"), F.col("epoch"))).alias("s"), F.max(F.when(~F.col("start"), F.col("epoch"))).alias("e"),
+        F.max("node").alias("node"), F.max("stage").alias("stage"))
+    tasks = _spans(tasks, ev, F.col("id"))
+    ends = F.array(F.struct(F.col("node").alias("head"), F.lit("taskToNode").alias("type")),
+                   F.struct(F.lit("data").alias("head"), F.lit("taskToData").alias("type")),
+                   F.struct(F.concat(F.lit("S"), F.col("stage")).alias("head"), F.lit("taskToStage").alias("type")))
+    return tasks.select("app_id", "onset", "terminus", F.concat(F.lit("T"), F.col("id")).alias("tail"), F.inline(ends))

@@ -558,6 +558,11 @@ def spell_build(spark, sf_dir):
     return H.build_spells(_norm(spark, sf_dir))
 
 
+@register("spell_build_edges")
+def spell_build_edges(spark, sf_dir):
+    return H.build_spell_edges(_norm(spark, sf_dir))
+
+
 # --- C: metric-sink collation ------------------------------------------------------
 
 SINK_HOST, SINK_USER = "collector.cluster.local", "joe"

@@ -426,7 +426,13 @@ SQL.update({
         UNION ALL SELECT {APP}, first_ms // 1000 - (SELECT t0 FROM t0), last_ms // 1000 - (SELECT t0 FROM t0),
                'S' || stage_id, 'stage', event_type FROM stg
         UNION ALL SELECT {APP}, first_ms // 1000 - (SELECT t0 FROM t0), last_ms // 1000 - (SELECT t0 FROM t0),
-               split_part(host, '.', 1), 'worker', executor FROM hosts""",
+               split_part(host, '.', 1), 'worker', executor FROM hosts
+        UNION ALL SELECT {APP}, 0, end_ms // 1000 - (SELECT t0 FROM t0), 'data', 'data', '' FROM app""",
+    "spell_build_edges": RT + f""", t0 AS (SELECT start_ms // 1000 AS t0 FROM app)
+        SELECT {APP} AS app_id, launch_ms // 1000 - (SELECT t0 FROM t0) AS onset,
+               finish_ms // 1000 - (SELECT t0 FROM t0) AS terminus, 'T' || task_id AS tail, head, type
+        FROM (SELECT *, unnest([split_part(host, '.', 1), 'data', 'S' || stage_id]) AS head,
+                     unnest(['taskToNode', 'taskToData', 'taskToStage']) AS type FROM tasks)""",
 })
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.functions.timecols import epoch_seconds
 from clusterlens.sources.tables import table
-from clusterlens.sources.tasks import APP_NAME, LOCALITIES, NODES, stage_ids
+from clusterlens.sources.tasks import APP_NAME, LOCALITIES, NODES, stage_id
 
 VERTEX_SCHEMA = "onset bigint, terminus bigint, vertex_id string, name string, type string, info string"
 EDGE_SCHEMA = "onset bigint, terminus bigint, tail string, head string, type string"
@@ -37,7 +37,8 @@ def _task_spells(spark: SparkSession, sf_dir: str) -> DataFrame:
     sec = epoch_seconds(F.col("ts"))
     first = ev.agg(F.min(sec).alias("first")).scalar()
     onset = F.floor((sec - first) / 3600).cast("bigint")
-    return (ev.join(stage_ids(ev), "event_type", "inner")
+    return (ev.where(F.col("event_type").isNotNull())
+            .withColumn("stage_id", stage_id(ev))
             .select(onset.alias("onset"), (onset + F.col("event_id") % 7).alias("terminus"),
                     F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("task"),
                     F.col("event_id"),

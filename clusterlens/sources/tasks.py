@@ -11,11 +11,10 @@ network builders so that all of them scale with ``events``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.functions.timecols import epoch_millis
-from clusterlens.operators.ordered import global_position
 from clusterlens.sources.tables import table
 
 # Locality names by event_id % 4, and the node count.
@@ -25,14 +24,12 @@ APP_ID = "app-20240101000000-0000"
 APP_NAME = "events replay"
 
 
-def stage_ids(events: DataFrame) -> DataFrame:
-    """``(event_type, stage_id)``: 0-based rank of each distinct type, by a
-    distributed numbering of the distinct types (no single-partition
-    window, whatever the number of types). The join of this table back to
-    the events is left to AQE: it is broadcast once its measured size is
-    under the threshold, and skewed type partitions are split otherwise."""
-    types = events.select("event_type").distinct()
-    return global_position(types, ["event_type"], name="stage_id")
+def stage_id(events: DataFrame) -> Column:
+    """The 0-based rank of a row's event type among the distinct types: its
+    place in their ordered list, a scalar subquery (one value per type, found
+    with map-side combining; no join, no window)."""
+    types = events.agg(F.array_sort(F.collect_set("event_type")).alias("types")).scalar()
+    return F.array_position(types, F.col("event_type")) - 1
 
 
 def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +38,8 @@ def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     launch = epoch_millis(F.col("ts"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     node = F.col("user_id") % NODES
-    return (ev.join(stage_ids(ev), "event_type", "inner")
+    return (ev.where(F.col("event_type").isNotNull())
+            .withColumn("stage_id", stage_id(ev))
             .select(
                 F.col("event_id").alias("task_id"),
                 launch.alias("launch_ms"),
