@@ -5,6 +5,7 @@ the flagship."""
 import pytest
 
 import __spark_entry__ as E
+from clusterlens.plans.catalog import REGISTRY
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -15,9 +16,9 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_plan_has_no_cross_join_or_python(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(REGISTRY[name](spark, SF_SMALL))
     assert not [op for op in FORBIDDEN if op in plan], plan[:2000]
 
 
