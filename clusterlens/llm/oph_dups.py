@@ -35,19 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.llm import shared
 from clusterlens.llm import words as W
-from clusterlens.llm.components import components
+from clusterlens.llm.components import components, merged
 from clusterlens.sources.tables import table
 
 WORDS = 5
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 32, 5
-SMALL = 64  # a bucket of at most so many members is worked through to the end
-HUBS_SMALL, HUBS_LARGE = 8, 2  # hubs a round after the first
+SMALL = 16  # in a bucket of at most so many members every member becomes a hub
+HUBS = 4  # hubs a round in larger buckets, after the first round
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -98,6 +98,10 @@ class Sketcher:
         return size, one, two, band
 
 
+def row_id(doc_id: str, text: str) -> Column:
+    return F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint")
+
+
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(id, n, f1, f2, bands) of ``docs`` (id, text); bands is null when the
     set is empty."""
@@ -161,35 +165,32 @@ def _sets(column: pa.Array, hasher: W.SpanHash, words: int) -> Iterator[np.ndarr
             yield h[of[i]:of[i + 1]]
 
 
-def _open(members: DataFrame, comps: DataFrame, hubs: DataFrame, gained: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, comps: DataFrame, turn: int, gained: DataFrame | None) -> DataFrame:
     """Members (bucket, cid, score, size, comp) of the buckets that may hide
-    further links: those whose members lie in several components and of which
-    two or more have not been hub. A bucket of at most SMALL members stays
-    open until then, so all its links are found. A larger one closes as soon
-    as a round brings it no new link (``gained``: the nodes of new links);
-    its members meet other hubs in their other buckets."""
-    m = members.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left")
-    m = m.withColumn("comp", F.coalesce("comp", "cid"))
-    m = m.join(hubs.withColumn("used", F.lit(1)), ["bucket", "cid"], "left")
+    further links: those whose members lie in several components. In a bucket
+    of at most SMALL members all become hubs in the second round, so all its
+    links are found. A larger one closes as soon as a round brings it no new
+    link (``gained``: the nodes of new links); its members meet other hubs in
+    their other buckets."""
+    m = members if turn == 0 else members.where(F.col("size") > SMALL)
+    m = m.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left")
     if gained is not None:
         m = m.join(gained.withColumn("new", F.lit(1)), "cid", "left")
     else:
         m = m.withColumn("new", F.lit(1))
-    m = m.withColumn("salt", shared.salt(F.col("cid")))
-    state = m.groupBy("bucket").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.when(F.col("used").isNull(), 1)).alias("fresh"),
-        F.max("new").alias("new"), F.max("size").alias("n"), shared.salt_mask().alias("salts"))
-    state = state.where((F.col("lo") != F.col("hi")) & (F.col("fresh") > 1)
-                        & ((F.col("n") <= SMALL) | F.col("new").isNotNull()))
-    keep = shared.by_salt(state.select("bucket", "salts"))
-    return m.drop("new").join(keep, ["bucket", "salt"])
+    m = m.withColumn("comp", F.coalesce("comp", "cid")).withColumn("salt", shared.salt(F.col("cid")))
+    state = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("new").alias("new"),
+                                    shared.salt_mask().alias("salts"))
+    state = state.where((F.col("lo") != F.col("hi")) & F.col("new").isNotNull())
+    return m.drop("new").join(shared.by_salt(state.select("bucket", "salts")), ["bucket", "salt"])
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS,
-                 rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) of ``docs`` (id, text): classes (id, n, cid) gives each
-    row its set size and the smallest id with the same set; links (a, b) are
-    the confirmed edges between class representatives."""
+                 rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, links, comps) of ``docs`` (id, text): classes (id, n, cid)
+    gives each row its set size and the smallest id with the same set; links
+    (a, b) are the confirmed edges between class representatives; comps (node,
+    comp) gives each linked representative its component."""
     sk = shared.written(sketches(docs, words, bands, rows), "sketches")
     full = sk.where("n > 0").withColumn("salt", shared.salt(F.col("id")))
     same = full.groupBy("f1", "f2").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("c"),
@@ -210,23 +211,21 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     texts = docs.join(score.select(F.col("cid").alias("id")), "id", "left_semi")
     texts = shared.written(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    spark = docs.sparkSession
-    tried = links = hubs = comps = gained = None
-    empty = spark.createDataFrame([], "a long, b long")
-    live = members.withColumns({"comp": F.col("cid"), "salt": shared.salt(F.col("cid")),
-                                "used": F.lit(None).cast("int")})
+    tried = links = comps = gained = None
+    live = members.withColumns({"comp": F.col("cid"), "salt": shared.salt(F.col("cid"))})
     turn = 0
     while True:
         first = turn == 0
-        slots = F.lit(1) if first else F.when(F.col("size") <= SMALL, HUBS_SMALL).otherwise(HUBS_LARGE)
-        live = live.withColumn("slot", F.pmod(F.xxhash64("cid", F.lit(turn)), slots))
-        chosen = live.where("used IS NULL").groupBy("bucket", "slot").agg(
+        slot = F.lit(0) if first else F.when(F.col("size") <= SMALL, F.col("cid")).otherwise(
+            F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(HUBS)))
+        live = live.withColumn("slot", slot)
+        chosen = live.groupBy("bucket", "slot").agg(
             F.max_by(F.struct(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")),
                      F.struct("score", -F.col("cid"))).alias("h")).select("bucket", "h.*")
-        chosen = shared.written(chosen, "hubs")
         mask = live.groupBy("bucket").agg(shared.salt_mask().alias("salts"))
         stars = live.join(shared.by_salt(chosen.join(mask, "bucket")), ["bucket", "salt"])
-        pairs = stars.where("cid <> hub AND comp <> hub_comp").select("hub", "cid").distinct()
+        once = F.lit(True) if first else (F.col("size") > SMALL) | (F.col("hub") < F.col("cid"))
+        pairs = stars.where("cid <> hub AND comp <> hub_comp").where(once).select("hub", "cid").distinct()
         if tried is not None:
             done = tried.union(tried.select(F.col("cid").alias("hub"), F.col("hub").alias("cid")))
             pairs = pairs.join(done, ["hub", "cid"], "left_anti")
@@ -234,23 +233,20 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
         new = shared.written(confirmed(pairs, texts, words, threshold), "links")
         links = new if links is None else links.union(new)
         tried = pairs if tried is None else tried.union(pairs)
-        used = chosen.select("bucket", F.col("hub").alias("cid"))
-        hubs = used if hubs is None else hubs.union(used)
-        comps = components(links)
+        comps = components(links) if first else merged(comps, new)
         gained = None if first else new.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        live = shared.written(_open(members, comps, hubs, gained), "open")
+        live = shared.written(_open(members, comps, turn, gained), "open")
         if live.isEmpty():
-            return classes.select("id", "n", "cid"), links if links is not None else empty
+            return classes.select("id", "n", "cid"), links, comps
         turn += 1
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                     threshold: int = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of ``docs``."""
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint").alias("id"),
-                       F.col(f"`{text}`").alias("text"))
-    classes, links = near_classes(rows, words, threshold)
-    comps = components(links).select(F.col("node").alias("cid"), "comp")
+    rows = docs.select(row_id(doc_id, text).alias("id"), F.col(f"`{text}`").alias("text"))
+    classes, _, comps = near_classes(rows, words, threshold)
+    comps = comps.select(F.col("node").alias("cid"), "comp")
     out = shared.lookup(classes, "cid", comps, "id")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "cid").alias("component_id"))
     return out.withColumn("kept", F.col("id") == F.col("component_id"))
@@ -259,9 +255,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
                          threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each group of near duplicates."""
-    gone = near_duplicates(docs, doc_id, text, words, threshold).where("NOT kept").select(F.col("id").alias("_id")).distinct()
-    key = F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint")
-    return docs.withColumn("_id", key).join(gone, "_id", "left_anti").drop("_id")
+    gone = near_duplicates(docs, doc_id, text, words, threshold).where("NOT kept")
+    return shared.without_ids(docs, row_id(doc_id, text), gone)
 
 
 def op8_oph_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
