@@ -11,10 +11,12 @@
    that the others are copies of) with each other member.
 4. *Confirmation*: a proposed edge is a link when the full shingle sets have
    ``100 * intersection >= threshold * union``.
-5. *Components* of the links. Buckets whose members are not yet all in one
-   component propose stars around further hubs, to members of other components
-   and never the same pair twice, until none is left; see ``_open`` for when a
-   bucket closes.
+5. *Components* of the links. Buckets of more than SMALL members propose stars
+   around further hubs, each member at most once, as long as a round brings
+   them a link, for at most ROUNDS rounds.
+6. *Rest*: in every bucket whose members are not yet all in one component, all
+   pairs across components that no hub has met are compared, in tiles of
+   blocks of members: no pair of a bucket is left out, whatever its size.
 
 Groups that may hold a third of all rows (equal sets, a bucket, a hub's
 members, a component) are combined map-side and joined with salts
@@ -46,8 +48,11 @@ from clusterlens.sources.tables import table
 WORDS = 5
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 32, 5
-SMALL = 16  # in a bucket of at most so many members every member becomes a hub
+SMALL = 1024  # a bucket of at most so many members has one hub before all its pairs are compared
 HUBS = 4  # hubs a round in larger buckets, after the first round
+ROUNDS = 4  # of them at most; they only save work for the complete comparison that follows
+TILE = 256  # members of a block whose pairs are compared in one task
+COLUMNS = 4096  # shingles of a tile that are counted at once
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -165,19 +170,18 @@ def _sets(column: pa.Array, hasher: W.SpanHash, words: int) -> Iterator[np.ndarr
             yield h[of[i]:of[i + 1]]
 
 
-def _open(members: DataFrame, comps: DataFrame, turn: int, gained: DataFrame | None) -> DataFrame:
-    """Members (bucket, cid, score, size, comp) of the buckets that may hide
-    further links: those whose members lie in several components. In a bucket
-    of at most SMALL members all become hubs in the second round, so all its
-    links are found. A larger one closes as soon as a round brings it no new
-    link (``gained``: the nodes of new links); its members meet other hubs in
-    their other buckets."""
-    m = members if turn == 0 else members.where(F.col("size") > SMALL)
+def _open(members: DataFrame, comps: DataFrame, hubs: DataFrame, gained: DataFrame | None) -> DataFrame:
+    """Members (bucket, cid, score, size, n, comp, used) of the buckets of more
+    than SMALL members that take a further round of hubs: their members lie in
+    several components and the last round brought a link (``gained``: the
+    nodes of new links). ``used``: the member was a hub of the bucket."""
+    m = members.where(F.col("size") > SMALL)
     m = m.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left")
     if gained is not None:
         m = m.join(gained.withColumn("new", F.lit(1)), "cid", "left")
     else:
         m = m.withColumn("new", F.lit(1))
+    m = m.join(hubs.withColumn("used", F.lit(1)), ["bucket", "cid"], "left")
     m = m.withColumn("comp", F.coalesce("comp", "cid")).withColumn("salt", shared.salt(F.col("cid")))
     state = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("new").alias("new"),
                                     shared.salt_mask().alias("salts"))
@@ -185,6 +189,107 @@ def _open(members: DataFrame, comps: DataFrame, turn: int, gained: DataFrame | N
     return m.drop("new").join(shared.by_salt(state.select("bucket", "salts")), ["bucket", "salt"])
 
 
+def _tiles(members: DataFrame, comps: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(tile, cid, comp): every two members of a bucket that lie in different
+    components and were not compared yet meet in a tile. Members that were
+    hubs (bucket, cid) are done; of buckets with the same members left, one is
+    taken. A bucket's members are dealt to blocks of about TILE; a component
+    of more gets blocks of its own, which need not meet each other."""
+    m = members.join(hubs, ["bucket", "cid"], "left_anti")
+    m = m.join(comps.select(F.col("node").alias("cid"), "comp"), "cid", "left")
+    m = m.select("bucket", "cid", F.coalesce("comp", "cid").alias("comp"), F.expr("1 + n div 1000").alias("w"))
+    m = shared.written(m.withColumn("salt", shared.salt(F.col("cid"))), "left")
+    each = m.groupBy("bucket", "comp").agg(
+        F.sum("w").alias("w"), F.bit_xor(F.xxhash64("cid")).alias("f1"),
+        F.bit_xor(F.xxhash64(F.lit("2"), "cid")).alias("f2"), shared.salt_mask().alias("salts"))
+    state = each.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("w").alias("all"),
+        F.sum(F.when(F.col("w") <= TILE, F.col("w")).otherwise(0)).alias("mixed"),
+        F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2"), F.bit_or("salts").alias("salts"))
+    state = state.where("k > 1").groupBy("f1", "f2", "all").agg(
+        F.min_by(F.struct("bucket", "mixed", "salts"), "bucket").alias("s")).select("s.*", "all")
+    m = shared.written(m.join(shared.by_salt(state), ["bucket", "salt"]), "left")
+    whole = m.where(F.col("all") <= TILE).select(F.col("bucket").alias("tile"), "cid", "comp")
+
+    m = m.where(F.col("all") > TILE).drop("salt").withColumn("bc", F.xxhash64("bucket", "comp"))
+    big = m.groupBy("bc").agg(F.sum("w").alias("own")).where(F.col("own") > TILE)
+    m = shared.lookup(m, "bc", big, "cid")
+    deal = F.pmod(F.xxhash64(F.lit("block"), "cid"), F.ceil(F.coalesce("own", "mixed") / F.lit(TILE)))
+    pure = F.when(F.col("own").isNotNull(), F.col("comp"))
+    m = m.select("bucket", "cid", "comp", pure.alias("pure"), F.xxhash64(F.col("own").isNull(), pure, deal).alias("block"))
+    m = shared.written(m.withColumn("salt", shared.salt(F.col("cid"))), "blocks")
+    blocks = shared.written(m.groupBy("bucket", "block").agg(F.max("pure").alias("pure"), shared.salt_mask().alias("salts")),
+                            "blocks")
+    other = blocks.select("bucket", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
+    side = blocks.join(other, "bucket").where("block <> block2 AND NOT coalesce(pure = pure2, false)")
+    tile = F.xxhash64("bucket", F.least("block", "block2"), F.greatest("block", "block2"))
+    side = shared.by_salt(side.select("bucket", "block", "salts", tile.alias("tile")))
+    split = m.join(side, ["bucket", "block", "salt"])
+    return whole.union(split.select("tile", "cid", "comp"))
+
+
+def _complete(tiles: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links (a, b) between members of different components of each tile: a
+    spanning forest of the pairs with similar sets, all of them compared."""
+    rows = tiles.join(texts.withColumnRenamed("id", "cid"), "cid").repartition("tile").sortWithinPartitions("tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = W.SpanHash(81, lower=True)
+        now, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(tile[1:] != tile[:-1]) + 1, [len(tile)]])
+            cid, comp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            sets = _sets(batch.column(3), hasher, words)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tile[lo] != now:
+                    yield _similar(held, threshold)
+                    held = []
+                now = tile[lo]
+                held += [(cid[i], comp[i], next(sets).copy()) for i in range(lo, hi)]
+        if held:
+            yield _similar(held, threshold)
+
+    return rows.select("tile", "cid", "comp", "text").mapInArrow(run, "a long, b long")
+
+
+def _similar(members: list[tuple[int, int, np.ndarray]], threshold: int) -> pa.RecordBatch:
+    """Spanning forest of the similar pairs of ``members`` (cid, comp, set)."""
+    cid, comp = (np.array([m[j] for m in members], np.int64) for j in (0, 1))
+    size = np.array([len(m[2]) for m in members], np.int64)
+    who = np.repeat(np.arange(len(members)), size)
+    of, count = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True, return_counts=True)[1:]
+    shared_by_two = count > 1  # others are in no intersection
+    rank = np.cumsum(shared_by_two) - 1
+    use = shared_by_two[of]
+    who, col = who[use], rank[of[use]]
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    both = np.zeros((len(members), len(members)), np.float64)
+    for lo in range(0, int(shared_by_two.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [lo, lo + COLUMNS])
+        has = np.zeros((len(members), COLUMNS), np.float32)
+        has[who[i:j], col[i:j] - lo] = 1
+        both += has @ has.T
+    link = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+    link &= comp[:, None] != comp[None, :]
+    a, b, seen = [], [], np.zeros(len(members), bool)
+    for root in np.flatnonzero(link.any(axis=1)):
+        todo = [] if seen[root] else [root]
+        seen[root] = True
+        while todo:
+            i = todo.pop()
+            near = np.flatnonzero(link[i] & ~seen)
+            seen[near] = True
+            a += [i] * len(near)
+            b += near.tolist()
+            todo += near.tolist()
+    at_a, at_b = np.array(a, np.int64), np.array(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(cid[at_a]), pa.array(cid[at_b])], names=["a", "b"])
+
+
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS,
                  rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classes, links, comps) of ``docs`` (id, text): classes (id, n, cid)
@@ -200,32 +305,30 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
     classes = shared.written(classes.union(sk.where("n = 0").select("id", "n", F.col("id").alias("cid"), "bands")),
                              "classes")
 
-    entry = classes.where("id = cid AND n > 0").select("cid", F.explode("bands").alias("bucket"))
+    entry = classes.where("id = cid AND n > 0").select("cid", "n", F.explode("bands").alias("bucket"))
     entry = entry.withColumn("salt", shared.salt(F.col("cid")))
     bucket = entry.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), shared.salt_mask().alias("salts"))
     bucket = shared.by_salt(bucket.where("size > 1"))
-    found = shared.written(entry.join(bucket, ["bucket", "salt"]).select("bucket", "cid", "size").distinct(),
+    found = shared.written(entry.join(bucket, ["bucket", "salt"]).select("bucket", "cid", "size", "n").distinct(),
                            "buckets")
     score = found.groupBy("cid").agg(F.sum("size").alias("score"))
     members = shared.written(found.join(score, "cid"), "members")
     texts = docs.join(score.select(F.col("cid").alias("id")), "id", "left_semi")
     texts = shared.written(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
 
-    tried = links = comps = gained = None
-    live = members.withColumns({"comp": F.col("cid"), "salt": shared.salt(F.col("cid"))})
+    tried = links = comps = hubs = gained = None
+    live = members.withColumns({"comp": F.col("cid"), "salt": shared.salt(F.col("cid")), "used": F.lit(None).cast("int")})
     turn = 0
     while True:
         first = turn == 0
-        slot = F.lit(0) if first else F.when(F.col("size") <= SMALL, F.col("cid")).otherwise(
-            F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(HUBS)))
-        live = live.withColumn("slot", slot)
-        chosen = live.groupBy("bucket", "slot").agg(
+        slot = F.lit(0) if first else F.pmod(F.xxhash64("cid", F.lit(turn)), F.lit(HUBS))
+        chosen = live.where("used IS NULL").withColumn("slot", slot).groupBy("bucket", "slot").agg(
             F.max_by(F.struct(F.col("cid").alias("hub"), F.col("comp").alias("hub_comp")),
                      F.struct("score", -F.col("cid"))).alias("h")).select("bucket", "h.*")
+        chosen = shared.written(chosen, "hubs")
         mask = live.groupBy("bucket").agg(shared.salt_mask().alias("salts"))
         stars = live.join(shared.by_salt(chosen.join(mask, "bucket")), ["bucket", "salt"])
-        once = F.lit(True) if first else (F.col("size") > SMALL) | (F.col("hub") < F.col("cid"))
-        pairs = stars.where("cid <> hub AND comp <> hub_comp").where(once).select("hub", "cid").distinct()
+        pairs = stars.where("cid <> hub AND comp <> hub_comp").select("hub", "cid").distinct()
         if tried is not None:
             done = tried.union(tried.select(F.col("cid").alias("hub"), F.col("hub").alias("cid")))
             pairs = pairs.join(done, ["hub", "cid"], "left_anti")
@@ -233,12 +336,16 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD
         new = shared.written(confirmed(pairs, texts, words, threshold), "links")
         links = new if links is None else links.union(new)
         tried = pairs if tried is None else tried.union(pairs)
+        used = chosen.select("bucket", F.col("hub").alias("cid"))
+        hubs = used if hubs is None else hubs.union(used)
         comps = components(links) if first else merged(comps, new)
         gained = None if first else new.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        live = shared.written(_open(members, comps, turn, gained), "open")
-        if live.isEmpty():
-            return classes.select("id", "n", "cid"), links, comps
+        live = shared.written(_open(members, comps, hubs, gained), "open")
+        if turn == ROUNDS or live.isEmpty():
+            break
         turn += 1
+    rest = shared.written(_complete(_tiles(members, comps, hubs), texts, words, threshold), "links")
+    return classes.select("id", "n", "cid"), links.union(rest), merged(comps, rest)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,

@@ -117,3 +117,36 @@ def test_components_over_several_tasks(spark, monkeypatch):
     df = spark.createDataFrame(edges, "a long, b long").repartition(12)
     got = {r.node: r.comp for r in components.components(df).collect()}
     assert got == {n: 100 for n in range(100, 141)} | {n: 7 for n in [7, *range(200, 260)]} | {n: 300 for n in (300, 301, 302)}
+
+
+def spread_group(size):
+    """Pairs of near copies, (2 i, 2 i + 1), of one base: a document shares
+    under 80 % with all but its partner, yet enough for common buckets."""
+    rng = random.Random(11)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for i in range(size // 2):
+        ws = list(base)
+        for at in rng.sample(range(200), 9):
+            ws[at] = f"own{i}x{at}"
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws[:-1] + [f"last{i}"]))]
+    return rows
+
+
+@pytest.mark.parametrize("small,tile", [(1024, 256), (16, 24)])
+def test_large_buckets_are_searched_completely(spark, monkeypatch, small, tile):
+    import pyarrow as pa
+
+    from clusterlens.llm import words as W
+
+    monkeypatch.setattr(oph_dups, "SMALL", small)
+    if hasattr(oph_dups, "TILE"):
+        monkeypatch.setattr(oph_dups, "TILE", tile)
+    rows = spread_group(240)
+    block = next(W.blocks(pa.array([t for _, t in rows])))
+    bucket = oph_dups.Sketcher(4, bands=1, rows=1)(block)[3][:, 0]  # nearly all in one bucket
+    assert max((bucket == b).sum() for b in bucket) > 100
+    pairs = {(2 * i, 2 * i + 1) for i in range(120) if bucket[2 * i] == bucket[2 * i + 1]}
+    _, _, comps = oph_dups.near_classes(spark.createDataFrame(rows, "id long, text string"), 4, 80, bands=1, rows=1)
+    assert {(r.comp, r.node) for r in comps.collect() if r.comp != r.node} == pairs
+    want = brute(rows, 4)
+    assert all(want[a][1] == want[b][1] for a, b in pairs) and len({c for _, c in want.values()}) == 120
