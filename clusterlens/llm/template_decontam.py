@@ -10,7 +10,11 @@ checked along each alignment (document position minus item position): every
 value of the item must go with one value of the document wherever it occurs.
 A document is contaminated by an item when the consistent alignments cover
 MIN_COVER tokens of the item, all of it if it is shorter, or half of it (at
-least one window).
+least one window). Beside them, windows of plain words (all words, case folded, no
+slots, whatever a word would stand for) are joined for every item, so that a
+verbatim copy matches however few literals an item has, in any case and at any
+place; a pair found by both ways shows the figures of the template windows, a
+pair found by words alone counts words.
 
 Scale: documents are scanned once in NumPy blocks; only windows that pass a
 Bloom filter of the benchmark's windows leave the task. The filter has a fixed
@@ -20,7 +24,8 @@ join, which is salted by document (a passage may lie in a third of all
 documents). Groups are (document, item, alignment), bounded by the item.
 
 Defined results: null and empty texts match nothing; an item of fewer than
-MIN_ITEM template tokens or without MIN_LITERALS literals cannot be told from chance and matches nothing;
+MIN_ITEM template tokens or without MIN_LITERALS literals cannot be told from chance with other slot values
+and is matched by its words only, one of fewer than MIN_ITEM words only by a document of just these words;
 an item shorter than a window is one window of its own length; a row without
 doc_id is known by a hash of its text; repeated rows of one doc_id count as
 one document; empty tables give an empty result; further columns do not matter.
@@ -43,6 +48,8 @@ WINDOW = 8
 MIN_ITEM = 5
 MIN_LITERALS = 4
 MIN_COVER = 13
+# (of plain words or not, size) of all windows
+SIZES = [(False, n) for n in range(MIN_ITEM, WINDOW + 1)] + [(True, n) for n in range(1, WINDOW + 1)]
 FILTER_BITS = 1 << 24
 _U = np.uint64
 
@@ -122,6 +129,14 @@ class Templates:
         canon = np.where(kind > 0, W.mix(kind.astype(_U), 33), value)
         return rows, canon, value, kind
 
+    def plain(self, b: W.Block):
+        """Row and case-folded hash of every word, whatever it stands for."""
+        ws, we, rows = W.words(b)
+        ink = np.flatnonzero(_INK[b.data])
+        i0, i1 = np.searchsorted(ink, ws), np.searchsorted(ink, we)
+        real = i0 < i1
+        return rows[real], self.hash(fold(b.data)[0], ink[i0[real]], ink[i1[real] - 1] + 1)
+
     def windows(self, rows: np.ndarray, canon: np.ndarray, kind: np.ndarray, size: int):
         """(hash, first position) of the windows with enough literals."""
         h, at = W.windows(canon, rows, size)
@@ -134,12 +149,13 @@ def _positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(W.mix(h, 41 + j) % _U(bits)).astype(np.int64) for j in range(2)]
 
 
-_WINDOW_ROW = "id long, pos int, size int, h long, vals array<long>, n_tokens int"
+_WINDOW_ROW = "id long, pos int, size int, lit boolean, h long, vals array<long>, n_tokens int"
 
 
-def _window_rows(texts: DataFrame, sizes: list[int], item: bool, bits: int = 0, filter_=None) -> DataFrame:
+def _window_rows(texts: DataFrame, sizes: list[tuple[bool, int]], item: bool, bits: int = 0, filter_=None) -> DataFrame:
     """Windows of ``texts`` (id, text). Items: windows of WINDOW tokens, or one of the
-    item's own length; documents: windows of the ``sizes`` that pass the filter."""
+    item's own length; documents: windows of the ``sizes`` (of plain words or not,
+    size) that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -147,11 +163,19 @@ def _window_rows(texts: DataFrame, sizes: list[int], item: bool, bits: int = 0,
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for b in W.blocks(batch.column(1)):
-                rows, canon, value, kind = templates(b)
-                count = W.per_row(rows, len(b))
-                of = W.bounds(rows, len(b))
-                for size in sizes:
-                    h, at = templates.windows(rows, canon, kind, size)
+                word_rows, words = templates.plain(b)
+                tokens = {False: templates(b), True: (word_rows, words, words, np.zeros(len(words), np.int64))}
+                counts = {lit: W.per_row(t[0], len(b)) for lit, t in tokens.items()}
+                firsts = {lit: W.bounds(t[0], len(b)) for lit, t in tokens.items()}
+                for lit, size in sizes:
+                    (rows, canon, value, kind), count, of = tokens[lit], counts[lit], firsts[lit]
+                    if lit:
+                        h, at = W.windows(canon, rows, size)
+                        h = W.mix(h, 64 + size)
+                        if size < MIN_ITEM:  # such an item must be all of the document
+                            h, at = h[count[rows[at]] == size], at[count[rows[at]] == size]
+                    else:
+                        h, at = templates.windows(rows, canon, kind, size)
                     r = rows[at]
                     if item:
                         ok = (count[r] >= WINDOW) if size == WINDOW else (count[r] == size)
@@ -167,10 +191,11 @@ def _window_rows(texts: DataFrame, sizes: list[int], item: bool, bits: int = 0,
                     offsets = np.concatenate([[0], np.cumsum(slots.sum(axis=1))]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[b.first + r]), pa.array((at - of[r]).astype(np.int32)),
-                         pa.array(np.full(len(h), size, np.int32)), pa.array(h.view(np.int64)),
+                         pa.array(np.full(len(h), size, np.int32)), pa.array(np.full(len(h), lit)),
+                         pa.array(h.view(np.int64)),
                          pa.ListArray.from_arrays(pa.array(offsets), pa.array(vals.view(np.int64))),
                          pa.array(count[r].astype(np.int32))],
-                        names=["id", "pos", "size", "h", "vals", "n_tokens"])
+                        names=["id", "pos", "size", "lit", "h", "vals", "n_tokens"])
 
     return texts.select("id", "text").mapInArrow(run, _WINDOW_ROW)
 
@@ -204,33 +229,39 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     that contaminate it; exact: all slots hold the item's own values."""
     spark = docs.sparkSession
     bench = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text"))
-    sizes = list(range(MIN_ITEM, WINDOW + 1))
-    bench = shared.written(_window_rows(bench, sizes, item=True), "item-windows")
+    bench = shared.written(_window_rows(bench, SIZES, item=True), "item-windows")
     known = spark.sparkContext.broadcast(_filter_of(bench, bits))
-    used = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most len(sizes) rows
+    used = sorted((r["lit"], r["size"]) for r in bench.select("lit", "size").distinct().collect())  # at most len(SIZES) rows
     rows = docs.select(row_id(doc_id, text).alias("id"), F.col(f"`{text}`").alias("text"))
     found = shared.written(_window_rows(rows, used, False, bits, known), "doc-windows")
-    side = bench.select("h", "size", F.col("id").alias("item_id"), F.col("pos").alias("ipos"),
+    side = bench.select("h", "size", "lit", F.col("id").alias("item_id"), F.col("pos").alias("ipos"),
                         F.col("vals").alias("ivals"), F.col("n_tokens").alias("n_item"))
     hit = shared.lookup(found.select("id", "pos", "h", "vals"), "h", side, "id", "inner")
     # slot values of one window have one template, so they pair up in order
-    hit = hit.select("id", "item_id", "n_item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "size",
+    hit = hit.select("id", "item_id", "n_item", "lit", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "size",
                      F.arrays_zip(F.col("ivals").alias("i"), F.col("vals").alias("d")).alias("slots"))
-    line = hit.groupBy("id", "item_id", "n_item", "shift").agg(
+    line = hit.groupBy("id", "item_id", "n_item", "lit", "shift").agg(
         F.collect_set(F.struct("ipos", "size")).alias("at"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     names = F.array_distinct(F.transform("slots", lambda s: s["i"]))
     line = line.withColumn("consistent", F.size("slots") == F.size(names))
     line = line.withColumn("exact", F.forall("slots", lambda s: s["i"] == s["d"]))
     covered = F.flatten(F.transform("at", lambda w: F.sequence(w["ipos"], w["ipos"] + w["size"] - 1)))
-    line = line.where("consistent").select("id", "item_id", "n_item", "exact", F.explode(F.array_distinct(covered)).alias("p"))
+    line = line.where("consistent").select("id", "item_id", "n_item", "lit", "exact", F.explode(F.array_distinct(covered)).alias("p"))
     # one row per covered token of an item: bounded by the item's length
-    both = line.groupBy("id", "item_id", "n_item", "p").agg(F.max("exact").alias("exact"))
-    out = both.groupBy("id", "item_id", F.col("n_item").alias("n_tokens")).agg(
+    both = line.groupBy("id", "item_id", "n_item", "lit", "p").agg(F.max("exact").alias("exact"))
+    out = both.groupBy("id", "item_id", "lit", F.col("n_item").alias("n_tokens")).agg(
         F.count(F.lit(1)).cast("int").alias("n_covered"), F.min("exact").alias("exact"))
     enough = (F.col("n_covered") >= F.least(F.lit(MIN_COVER), F.col("n_tokens"))) | \
              ((F.col("n_covered") >= WINDOW) & (2 * F.col("n_covered") >= F.col("n_tokens")))
-    return out.where(enough)
+    best = F.min_by(F.struct("n_tokens", "n_covered", "exact"), "lit")
+    return out.where(enough).groupBy("id", "item_id").agg(best.alias("b")).select("id", "item_id", "b.*")
+
+
+def literal_only(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id) of the items that have windows of plain words only, no template window."""
+    bench = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text"))
+    return _window_rows(bench, SIZES, item=True).groupBy("id").agg(F.min("lit").alias("lit")).where("lit").select("id")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

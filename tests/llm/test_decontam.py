@@ -114,3 +114,15 @@ def test_benchmark_tables_equal_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_covered, r.exact) for r in D.op3_template_decontam(spark, d).collect()}
     assert got == brute(docs, items)
+
+
+def test_verbatim_copies_match_whatever_the_item_holds(spark, documents):
+    texts = ["What is 12 + 34 - 5", "7 8 9 10 11 12 13 14 15", "What is the capital of France", "Paris",
+             "Did Anna meet Ben or Carl or Dora or Emil in Rome or Oslo"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = documents([(0, "so 12 + 34: What is 12 + 34 - 5"), (1, "Numbers: 7 8 9 10 11 12 13 14 15, then 16"),
+                      (2, "the question What is the capital of France was"), (3, "paris."), (4, texts[4].lower()),
+                      (5, "7 8 9 10 11 12 13 14 99"), (6, "In Paris again"), (7, "What is 12 + 34 - 6")])
+    got = {(r.id, r.item_id) for r in D.contaminated(docs, items).collect()}
+    assert got - {(5, 1)} == {(i, i) for i in range(5)}  # 8 of 9 numbers are half of item 1 and more
+    assert {r.id for r in D.literal_only(items).collect()} == {0, 1, 3}
