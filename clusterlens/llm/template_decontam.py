@@ -7,8 +7,10 @@ case folded; words of punctuation only do not count). Windows of WINDOW template
 tokens are hash-joined between documents and benchmark items, so a question
 whose numbers, names or units were changed still matches. Then the slots are
 checked along each alignment (document position minus item position): every
-value of the item must go with one value of the document wherever it occurs.
-A document is contaminated by an item when the consistent alignments cover
+value of the item must go with one value of the document wherever it occurs;
+windows that hold a value which goes with several count only when all their
+slots hold the item's own values, the other windows of the alignment stay.
+A document is contaminated by an item when the windows that count cover
 MIN_COVER tokens of the item, all of it if it is shorter, or half of it (at
 least one window). Beside them, windows of plain words (all words, case folded, no
 slots, whatever a word would stand for) are joined for every item, so that a
@@ -241,13 +243,18 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     hit = hit.select("id", "item_id", "n_item", "lit", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "size",
                      F.arrays_zip(F.col("ivals").alias("i"), F.col("vals").alias("d")).alias("slots"))
     line = hit.groupBy("id", "item_id", "n_item", "lit", "shift").agg(
-        F.collect_set(F.struct("ipos", "size")).alias("at"),
+        F.collect_set(F.struct("ipos", "size", "slots")).alias("at"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    names = F.array_distinct(F.transform("slots", lambda s: s["i"]))
-    line = line.withColumn("consistent", F.size("slots") == F.size(names))
+    # item values that go with several document values on this alignment
+    line = line.withColumn("names", F.array_sort(F.transform("slots", lambda s: s["i"])))
+    line = line.withColumn("torn", F.array_distinct(F.filter(
+        "names", lambda v, i: (i > 0) & (v == F.get("names", i - 1)))))
+    sound = F.filter("at", lambda w: F.forall(w["slots"], lambda s: ~F.array_contains("torn", s["i"]))
+                     | F.forall(w["slots"], lambda s: s["i"] == s["d"]))
+    line = line.withColumn("at", F.when(F.size("torn") == 0, F.col("at")).otherwise(sound))
     line = line.withColumn("exact", F.forall("slots", lambda s: s["i"] == s["d"]))
     covered = F.flatten(F.transform("at", lambda w: F.sequence(w["ipos"], w["ipos"] + w["size"] - 1)))
-    line = line.where("consistent").select("id", "item_id", "n_item", "lit", "exact", F.explode(F.array_distinct(covered)).alias("p"))
+    line = line.select("id", "item_id", "n_item", "lit", "exact", F.explode(F.array_distinct(covered)).alias("p"))
     # one row per covered token of an item: bounded by the item's length
     both = line.groupBy("id", "item_id", "n_item", "lit", "p").agg(F.max("exact").alias("exact"))
     out = both.groupBy("id", "item_id", "lit", F.col("n_item").alias("n_tokens")).agg(

@@ -126,3 +126,13 @@ def test_verbatim_copies_match_whatever_the_item_holds(spark, documents):
     got = {(r.id, r.item_id) for r in D.contaminated(docs, items).collect()}
     assert got - {(5, 1)} == {(i, i) for i in range(5)}  # 8 of 9 numbers are half of item 1 and more
     assert {r.id for r in D.literal_only(items).collect()} == {0, 1, 3}
+
+
+def test_one_conflicting_value_drops_its_windows_only(spark, documents):
+    words = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(9)]
+    item = " ".join(words[:10] + ["5"] + words[10:50] + ["5"] + words[50:])
+    new = " ".join(words[:10] + ["5"] + words[10:50] + ["6"] + words[50:])  # one digit edited
+    both = " ".join(words[:10] + ["7"] + words[10:50] + ["6"] + words[50:])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.id: (r.n_tokens, r.n_covered, r.exact) for r in D.contaminated(documents([(1, new), (2, both), (3, item)]), items).collect()}
+    assert got == {1: (92, 91, False), 2: (92, 90, False), 3: (92, 92, True)}
