@@ -3,9 +3,9 @@
 1. A URL's path is cut into segments; segments of a typed shape (number, date,
    UUID, long hexadecimal, each with its file extension) become a typed
    wildcard at once. A trailing slash belongs to the last segment.
-2. *Generalise*: below a prefix of a host, when there are MIN_CHILDREN or more
-   different segments and each is seen less than MEAN_VISITS times on average,
-   all become ``*``.
+2. *Generalise*: from the root down, below a (generalised) prefix of a host
+   with MIN_CHILDREN or more different segments, those seen less than VISITS
+   times become ``*``; frequent ones stay.
 3. *Merge*: from the deepest level up, the branches below one prefix are
    compared by their labelled pages: a branch whose bad rate does not differ
    significantly (chi-square, 5 %) from its siblings' joins them as ``*``.
@@ -36,7 +36,7 @@ from clusterlens.llm import shared
 from clusterlens.sources.tables import table
 
 MIN_CHILDREN = 20
-MEAN_VISITS = 3
+VISITS = 3
 SIMILAR = 3.841  # chi-square, one degree of freedom, 5 %
 SMOOTHING = 5
 REJECT = 0.5
@@ -92,20 +92,19 @@ def segments(path: Column) -> Column:
     return F.transform(typed, lambda s, i: F.when(closed & (i == n - 1), F.concat(s, F.lit("/"))).otherwise(s))
 
 
-def _generalised(paths: DataFrame) -> DataFrame:
-    """``paths`` (pk, host, segs, counts) with variable segments as ``*``."""
-    prefix = F.expr("xxhash64(host, array_join(slice(segs, 1, i), '/'), i)")
-    steps = paths.select("pk", "n", "host", "segs", F.posexplode("segs").alias("i", "seg"))
-    steps = steps.select("pk", "n", "i", "seg", prefix.alias("prefix"))
-    kids = steps.groupBy("prefix", "seg").agg(F.sum("n").alias("n"))
-    wide = kids.groupBy("prefix").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"))
-    wide = wide.where((F.col("kids") >= MIN_CHILDREN) & (F.col("n") < MEAN_VISITS * F.col("kids"))).select("prefix")
-    hits = shared.lookup(steps.select("pk", "i", "prefix"), "prefix", wide, "pk", "inner")
-    hits = hits.groupBy("pk").agg(F.collect_set("i").alias("wild"))  # at most MAX_DEPTH
-    out = paths.join(hits, "pk", "left")
-    wild = F.coalesce("wild", F.array().cast("array<int>"))
-    return out.withColumn("segs", F.transform("segs", lambda s, i: F.when(F.array_contains(wild, i), "*").otherwise(s))
-                          ).drop("wild")
+def _generalise_level(paths: DataFrame, depth: int) -> DataFrame:
+    """Seldom seen segments at ``depth`` (1: first segment) as ``*``, below
+    prefixes that are generalised already."""
+    here = F.size("segs") >= depth
+    parent = F.expr(f"xxhash64(host, array_join(slice(segs, 1, {depth - 1}), '/'))")
+    keyed = paths.withColumn("parent", parent).withColumn(
+        "branch", F.when(here, F.xxhash64("parent", F.element_at("segs", depth))))
+    kids = keyed.where(here).groupBy("parent", "branch").agg(F.sum("n").alias("n"))
+    wide = kids.groupBy("parent").agg(F.count(F.lit(1)).alias("kids")).where(F.col("kids") >= MIN_CHILDREN)
+    rare = shared.lookup(kids.where(F.col("n") < VISITS), "parent", wide, "branch", "inner")
+    out = shared.lookup(keyed, "branch", rare.select("branch", F.lit(True).alias("rare")), "pk")
+    segs = F.transform("segs", lambda s, i: F.when(i == depth - 1, "*").otherwise(s))
+    return out.select("pk", "host", F.when(F.col("rare"), segs).otherwise(F.col("segs")).alias("segs"), "n", "n_lab", "n_bad")
 
 
 def _merge_level(paths: DataFrame, depth: int) -> DataFrame:
@@ -140,7 +139,9 @@ def judged(urls: DataFrame, rules=RULES) -> DataFrame:
     paths = shared.written(paths, "paths")
     top = paths.agg(F.max(F.size("segs")).alias("d"), F.sum("n_lab").alias("n"), F.sum("n_bad").alias("b")).first()
     prior = (top["b"] or 0) / top["n"] if top["n"] else 0.0
-    tree = shared.written(_generalised(paths), "generalised")
+    tree = paths
+    for depth in range(1, (top["d"] or 0) + 1):
+        tree = shared.written(_generalise_level(tree, depth), "generalised")
     for depth in range(top["d"] or 0, 0, -1):
         tree = shared.written(_merge_level(tree, depth), "merged")
     tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/")))

@@ -120,6 +120,17 @@ def test_tree_generalises_merges_and_rejects(spark):
     assert U.judged(spark.createDataFrame([], "id long, url string, bad boolean")).count() == 0
 
 
+def test_a_hot_path_does_not_stop_its_siblings(spark):
+    urls = [(f"http://s.org/x/slug{chr(97 + i // 26)}{chr(97 + i % 26)}", i % 5 < 3) for i in range(200)]
+    urls += [("http://s.org/x/hot", False)] * 1000
+    urls += [(f"http://u.org/user/n{chr(97 + i // 26)}{chr(97 + i % 26)}/post/p{i}x", i % 2 == 0) for i in range(60)]
+    rows = [(i, u, b) for i, (u, b) in enumerate(urls)]
+    got = {r.url: r for r in U.judged(spark.createDataFrame(rows, "id long, url string, bad boolean")).collect()}
+    assert {(r.template, r.verdict) for u, r in got.items() if "slug" in u} == {("/x/*", "block")}
+    assert got["http://s.org/x/hot"].verdict == "allow" and got["http://s.org/x/hot"].template == "/x/hot"
+    assert {r.template for u, r in got.items() if "u.org" in u} == {"/user/*/post/*"}
+
+
 def test_url_query_equals_rules(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet").collect()
     got = U.op2_path_templates(spark, DIR).collect()
