@@ -12,7 +12,9 @@ from clusterlens.llm import (
     line_runs,
     oph_dups,
     path_templates,
+    polar_whitening,
     poisson_mix,
+    resident_codes,
     rule_ledger,
     style_tree,
     template_decontam,
@@ -31,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_oph_dups": oph_dups.op8_oph_dups,
     "op9_backoff_lm": backoff_lm.op9_backoff_lm,
     "op10_style_tree": style_tree.op10_style_tree,
+    "op11_polar_whitening": polar_whitening.op11_polar_whitening,
+    "op12_resident_codes": resident_codes.op12_resident_codes,
 }
 
 SQL: dict[str, str] = {
@@ -38,4 +42,5 @@ SQL: dict[str, str] = {
     "op6_rule_ledger": rule_ledger.OP6_SQL,
     "op7_poisson_mix": poisson_mix.OP7_SQL,
     "op8_oph_dups": oph_dups.OP8_SQL,
+    "op12_resident_codes": resident_codes.OP12_SQL,
 }
