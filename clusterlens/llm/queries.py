@@ -17,6 +17,7 @@ from clusterlens.llm import (
     resident_codes,
     rule_ledger,
     style_tree,
+    suffix_spans,
     template_decontam,
     tool_links,
     warc_derive,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_style_tree": style_tree.op10_style_tree,
     "op11_polar_whitening": polar_whitening.op11_polar_whitening,
     "op12_resident_codes": resident_codes.op12_resident_codes,
+    "op13_suffix_spans": suffix_spans.op13_suffix_spans,
 }
 
 SQL: dict[str, str] = {
@@ -43,4 +45,5 @@ SQL: dict[str, str] = {
     "op7_poisson_mix": poisson_mix.OP7_SQL,
     "op8_oph_dups": oph_dups.OP8_SQL,
     "op12_resident_codes": resident_codes.OP12_SQL,
+    "op13_suffix_spans": suffix_spans.OP13_SQL,
 }
