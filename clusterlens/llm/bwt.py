@@ -66,32 +66,31 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, least: int) -> np.nd
     n = len(order)
     bwt = symbols[order - 1].astype(np.uint16)  # a string's first symbol follows a separator
     by_symbol = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_symbol] = np.arange(n)
+    lf = np.empty(n, np.int32)
+    lf[by_symbol] = np.arange(n, dtype=np.int32)
     sorted_bwt = bwt[by_symbol]
     same = np.concatenate([sorted_bwt[1:] == sorted_bwt[:-1], [False]])
-    after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)
+    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)
     after[by_symbol[:-1][same[:-1]]] = by_symbol[1:][same[:-1]]
     before[by_symbol[1:][same[:-1]]] = by_symbol[:-1][same[:-1]]
     strings = int((symbols == 0).sum())
-    common = np.full(n + 1, -1, np.int64)
+    common = np.full(n + 1, -1, np.int32)
     common[:strings + 1] = 0  # every separator differs from every other symbol
     common[n] = 0
-    lo, hi = np.array([0]), np.array([n - 1])
+    lo, hi = np.array([0], np.int32), np.array([n - 1], np.int32)
     for length in range(least):
         sizes = hi - lo + 1
-        mine = np.repeat(np.arange(len(lo)), sizes)
-        rows = np.arange(len(mine)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[mine]
+        rows = np.arange(sizes.sum(), dtype=np.int32) + np.repeat(lo - (np.cumsum(sizes, dtype=np.int32) - sizes), sizes)
         real = bwt[rows] > 0
-        rows, mine = rows[real], mine[real]
         # per interval and byte: its first and its last row lead to the ends of the extended interval
-        new_lo = np.sort(lf[rows[before[rows] < lo[mine]]])
-        new_hi = np.sort(lf[rows[after[rows] > hi[mine]]])
+        new_lo = np.sort(lf[rows[(before[rows] < np.repeat(lo, sizes)) & real]])
+        new_hi = np.sort(lf[rows[(after[rows] > np.repeat(hi, sizes)) & real]])
         fresh = common[new_hi + 1] < 0
         common[new_hi[fresh] + 1] = length
         lo, hi = new_lo[fresh], new_hi[fresh]
         if length == 0:  # the separators, as strings of length one
-            lo, hi = np.concatenate([np.arange(strings), lo]), np.concatenate([np.arange(strings), hi])
+            own = np.arange(strings, dtype=np.int32)
+            lo, hi = np.concatenate([own, lo]), np.concatenate([own, hi])
         if not len(lo):
             break
     return common[:n]

@@ -13,8 +13,8 @@ bounded size instead, so that equal windows always meet:
 2. Equal stretches become one, with a count and one place (combined map-side,
    so a passage in a third of all documents is one row per task). Stretches
    whose anchor occurs once hold nothing repeated and go.
-3. The bytes of the others are read from their documents, and tasks build
-   transforms of whole anchors, a block of at most ``BLOCK_BYTES`` at a time
+3. The bytes of the others are read from their documents (neighbours with one
+   content each as one string), and tasks build transforms of whole anchors, a block of at most ``BLOCK_BYTES`` at a time
    (``bwt.py``): backward extension, breadth first, up to ``least`` bytes. Rows left open
    form groups of equal windows; a group counts its stretches' copies.
 4. An anchor with more than ``CONTEXTS`` different stretches would fill a
@@ -51,10 +51,11 @@ from clusterlens.llm import words as W
 from clusterlens.sources.tables import table
 
 LEAST = 200
-GRAMS = (32, 120)  # anchor lengths, before whole windows
+GRAMS = (64, 128)  # anchor lengths, before whole windows
 CONTEXTS = 1024
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 TASK_BYTES = 8 << 20
+JOINED = 1 << 15  # windows of a string of several stretches
 _PIECE = 1 << 20  # windows of a text treated at a time
 _PLACE = (1 << 22) - 1
 
@@ -143,23 +144,44 @@ def candidates(found: DataFrame) -> DataFrame:
     return one.join(anchors.drop("all"), "h")
 
 
+_MEMBER = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()),
+                        T.StructField("at", T.LongType()), T.StructField("size", T.IntegerType())])
+_STRINGS = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("n", T.IntegerType()),
+                         T.StructField("h", T.LongType()), T.StructField("contexts", T.LongType()),
+                         T.StructField("members", T.ArrayType(_MEMBER))])
+
+
 def _with_bytes(picked: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """``picked`` (h, g, n, row, at, size, contexts) as texts (row, data, n, h, g, contexts)."""
+    """``picked`` (h, g, n, row, at, size, contexts) as strings (row, data, n, h,
+    contexts, members: the stretches of the string). Neighbouring stretches whose anchors
+    have one content each become one string, so that their common bytes are
+    held once; no other string has windows with these anchors."""
     held = picked.groupBy("row").agg(F.collect_list(F.struct("at", "size", "h", "g", "n", "contexts")).alias("held"))
-    schema = "data binary, n int, h long, g long, contexts long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, held in zip(batch.column(0), batch.column(1), strict=True):
-                whole, list_ = data.as_buffer().to_pybytes(), held.values
-                at, size, h, g, n, contexts = (list_.field(k) for k in range(6))
-                cut = [whole[a:a + s + least - 1] for a, s in zip(at.to_pylist(), size.to_pylist(), strict=True)]
-                n = np.minimum(n.to_numpy(), 2).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(n), h, g, contexts],
-                                                 names=["data", "n", "h", "g", "contexts"])
-
-    out = texts.select("row", "data").join(held, "row").select("data", "held").mapInArrow(run, schema)
-    return shared.written(out.withColumn("row", F.monotonically_increasing_id()), "stretch-bytes")
+                whole, list_ = data.as_py(), held.values
+                at, size, h, g, n, contexts = (list_.field(k).to_numpy() for k in range(6))
+                order = np.argsort(at)
+                at, size, h, g, n, contexts = (x[order] for x in (at, size, h, g, n, contexts))
+                follows = (contexts[1:] == 1) & (contexts[:-1] == 1) & (at[1:] == at[:-1] + size[:-1])
+                follows &= at[1:] // JOINED == at[:-1] // JOINED
+                first = np.flatnonzero(np.concatenate([[True], ~follows]))
+                last = np.append(first[1:], len(at)) - 1
+                to = at[last] + size[last] + least - 1
+                cut = [whole[a:b] for a, b in zip(at[first].tolist(), to.tolist(), strict=True)]
+                inside = at - np.repeat(at[first], last - first + 1)
+                members = pa.StructArray.from_arrays([pa.array(h), pa.array(g), pa.array(inside), pa.array(size)],
+                                                     names=_MEMBER.names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cut, pa.binary()), pa.array(np.minimum(n[first], 2).astype(np.int32)), pa.array(h[first]),
+                     pa.array(contexts[first]),
+                     pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), members)],
+                    names=_STRINGS.names)
+
+    out = texts.select("row", "data").join(held, "row").select("data", "held").mapInArrow(run, _STRINGS)
+    return shared.written(out.withColumn("row", F.monotonically_increasing_id()), "strings")
 
 
 _RUNS = "row long, runs array<struct<a:long,b:long>>"
@@ -224,8 +246,10 @@ def repeated_runs(texts: DataFrame, least: int = LEAST, grams: tuple[int, ...] =
     runs = _by_transform(held.where(F.col("contexts") <= CONTEXTS), least).select("row", F.inline("runs"))
     if gram < least and not crowded.isEmpty():
         runs = runs.union(repeated_runs(crowded, least, grams[1:]))
-    by_stretch = held.select("row", "h", "g").join(runs, "row").groupBy("h", "g").agg(
-        F.collect_list(F.struct("a", "b")).alias("runs"))
+    parts = held.select("row", F.inline("members")).join(runs, "row").select(
+        "h", "g", (F.greatest("a", "at") - F.col("at")).alias("a"),
+        (F.least("b", F.col("at") + F.col("size") - 1) - F.col("at")).alias("b")).where("a <= b")
+    by_stretch = parts.groupBy("h", "g").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     by_stretch = shared.written(by_stretch, "repeated")
     places = found.select("row", "at", "h", "g").join(by_stretch, ["h", "g"])
     return places.select("row", "at", F.inline("runs")).select("row", (F.col("at") + F.col("a")).alias("a"),
