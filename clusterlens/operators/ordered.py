@@ -39,16 +39,24 @@ def range_bounds(df: DataFrame, order_cols: list[str], ranges: int) -> Column:
     return ks.select(F.array_distinct(bounds).alias("bounds")).scalar()
 
 
+def range_number(bounds: Column, key: Column, ranges: int) -> Column:
+    """How many of the ascending ``bounds`` are at or below ``key``. They are
+    searched in blocks, about 2 * sqrt(ranges) comparisons."""
+    step = max(1, math.isqrt(ranges))
+    heads = F.filter(bounds, lambda b, i: (i % step == 0) & (b <= key))
+    block = F.greatest(F.size(heads) - 1, F.lit(0)) * step
+    return block + F.size(F.filter(F.slice(bounds, block + 1, F.lit(step)), lambda b: b <= key))
+
+
+def default_ranges(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def range_of(df: DataFrame, order_cols: list[str], ranges: int | None = None, name: str = "_range") -> DataFrame:
-    """``df`` with the number of its range: how many bounds are at or below the
-    row. Bounds are searched in blocks, about 2 * sqrt(ranges) comparisons."""
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    step = max(1, math.isqrt(n))
+    """``df`` with the number of its range: how many bounds are at or below the row."""
+    n = ranges or default_ranges(df)
     out = df.withColumn("_bounds", range_bounds(df, order_cols, n)).withColumn("_key", _order(order_cols))
-    heads = F.filter("_bounds", lambda b, i: (i % step == 0) & (b <= F.col("_key")))
-    block = F.greatest(F.size(heads) - 1, F.lit(0)) * step
-    inside = F.size(F.filter(F.slice(F.col("_bounds"), block + 1, F.lit(step)), lambda b: b <= F.col("_key")))
-    return out.withColumn(name, block + inside).drop("_bounds", "_key")
+    return out.withColumn(name, range_number(F.col("_bounds"), F.col("_key"), n)).drop("_bounds", "_key")
 
 
 def global_position(df: DataFrame, order_cols: list[str], name: str = "pos",
@@ -63,17 +71,87 @@ def global_position(df: DataFrame, order_cols: list[str], name: str = "pos",
     return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_before", "_local")
 
 
-def with_next(df: DataFrame, order_cols: list[str], value: str, next_name: str) -> DataFrame:
+def _with_offsets(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the offsets of their range and group (a null group is a group)."""
+    named = offsets.withColumnsRenamed({c: f"_of{c}" for c in ["_range", *by]})
+    same = F.col("_range") == F.col("_of_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
+    return rows.join(named, same).drop(*[f"_of{c}" for c in ["_range", *by]])
+
+
+def with_next(df: DataFrame, order_cols: list[str], value: str, next_name: str,
+              by: list[str] | None = None) -> DataFrame:
     """``df`` with the 0-based position ``pos`` and the next row's ``value`` in
-    the order (NULL for the last row)."""
-    rows = range_of(df, order_cols)
+    the order (NULL for the last row), within each group of ``by``. Groups are dealt to ranges
+    like rows, so one that holds all rows spans all ranges; the table of offsets has a row per
+    range and group."""
+    by = by or []
+    rows = range_of(df, [*by, *order_cols])
     key = _order(order_cols)
-    ranges = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.col(value), key).alias("_first"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"),
-                            F.lead("_first").over(Window.orderBy("_range")).alias("_then"))
-    w = Window.partitionBy("_range").orderBy(*order_cols)
+    ranges = rows.groupBy("_range", *by).agg(F.count(F.lit(1)).alias("_n"),
+                                             F.min_by(F.col(value), key).alias("_first"))
+    along = Window.partitionBy(*by).orderBy("_range") if by else Window.orderBy("_range")
+    before = F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = ranges.select("_range", *by, F.coalesce(before, F.lit(0).cast("bigint")).alias("_before"),
+                            F.lead("_first").over(along).alias("_then"))
+    w = Window.partitionBy("_range", *by).orderBy(*order_cols)
     out = rows.withColumn("_local", F.row_number().over(w) - 1).withColumn("_lead", F.lead(value).over(w))
-    out = out.withColumn("_last", F.lead(F.lit(1)).over(w).isNull()).join(F.broadcast(offsets), "_range")
+    out = out.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    out = _with_offsets(out, offsets, by) if by else out.join(F.broadcast(offsets), "_range")
     return out.select(*[F.col(c) for c in df.columns], (F.col("_before") + F.col("_local")).alias("pos"),
                       F.when(F.col("_last"), F.col("_then")).otherwise(F.col("_lead")).alias(next_name))
+
+
+def running_sum(df: DataFrame, by: str, order: str, value: str, name: str, next_name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its group ``by`` up to and with
+    this one in ``order`` (unique in the group), and the next row's ``order``
+    (NULL for the last). A distributed prefix sum: ranges of (by, order) are summed on their own,
+    and a table with a row per range and group adds what lies before."""
+    rows = range_of(df, [by, order])
+    totals = rows.groupBy("_range", by).agg(F.sum(value).alias("_total"), F.min(order).alias("_first"))
+    along = Window.partitionBy(by).orderBy("_range")
+    offsets = totals.select("_range", by, (F.sum("_total").over(along) - F.col("_total")).alias("_before"),
+                            F.lead("_first").over(along).alias("_then"))
+    w = Window.partitionBy("_range", by).orderBy(order)
+    up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumns({"_sum": F.sum(value).over(up_to), "_lead": F.lead(order).over(w)})
+    out = _with_offsets(out, offsets, [by])
+    return out.select(*[F.col(c) for c in df.columns], (F.col("_before") + F.col("_sum")).alias(name),
+                      F.coalesce("_lead", "_then").alias(next_name))
+
+
+def last_before(rows: DataFrame, marks: DataFrame, at: str, start: str, carried: list[str],
+                salts: int = 8) -> DataFrame:
+    """``rows`` with the columns ``carried`` of the mark that last starts at or
+    before them (as-of; NULL before the first mark; of marks with one start the
+    largest by ``carried``). Rows and marks are dealt to ranges of time and
+    salts, sorted together, and the last mark is carried along; the last
+    mark of earlier ranges comes from an array with one entry per range. A
+    mark goes once to every salt, however long it lasts."""
+    n = default_ranges(rows)
+    bounds = range_bounds(rows.where(F.col(at).isNotNull()), [at], n)
+    mark = F.struct(F.col(start).alias("at"), *[F.col(c) for c in carried])
+
+    def ranged(df: DataFrame, key: Column) -> DataFrame:
+        out = df.withColumn("_bounds", bounds)
+        return out.withColumn("_range", range_number(F.col("_bounds"), F.struct(key.alias(at)), n)).drop("_bounds")
+
+    held = ranged(marks.where(F.col(start).isNotNull()).select(mark.alias("_mark")), F.col("_mark")["at"])
+    lasts = held.groupBy("_range").agg(F.max("_mark").alias("m")).agg(
+        F.sort_array(F.collect_list(F.struct("_range", "m"))).alias("lasts")).select("lasts").scalar()
+    own = F.struct(*[F.col(c) for c in rows.columns])
+    rows_in = rows.select(F.col(at).alias("_at"), F.lit(1).alias("_kind"), own.alias("_row"),
+                          F.lit(None).cast(held.schema["_mark"].dataType).alias("_mark"),
+                          F.pmod(F.xxhash64(own), F.lit(salts)).cast("int").alias("_salt"))
+    rows_in = ranged(rows_in.where("_at IS NOT NULL"), F.col("_at"))
+    marks_in = held.select(F.col("_mark")["at"].alias("_at"), F.lit(0).alias("_kind"),
+                           F.lit(None).cast(rows_in.schema["_row"].dataType).alias("_row"), "_mark",
+                           F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "_range")
+    w = Window.partitionBy("_range", "_salt").orderBy("_at", "_kind", "_mark") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks_in.unionByName(rows_in).withColumn("_near", F.last("_mark", ignorenulls=True).over(w)).where("_kind = 1")
+    earlier = F.filter("_lasts", lambda r: r["_range"] < F.col("_range"))
+    both = both.withColumn("_lasts", lasts).withColumn(
+        "_near", F.coalesce("_near", F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["m"])))
+    return both.select("_row.*", *[F.col("_near")[c].alias(c) for c in carried])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.functions.numeric import ieee_div
 from clusterlens.functions.strings import short_host
-from clusterlens.operators.ordered import with_next
+from clusterlens.operators.ordered import last_before, with_next
 
 METRICS = ("CPU", "MEMUSED", "DISK", "NETWORK")
 # Fill colours of alternating stage bands (first is pink).
@@ -53,11 +53,13 @@ def split_kind(marks: DataFrame) -> DataFrame:
 
 def stage_bands(marks: DataFrame) -> DataFrame:
     """Stage marks in (epoch, seq) order; band i spans [epoch_i, epoch_i+1],
-    the last band has zero width; colours alternate starting with pink."""
-    stages = marks.where(F.col("node") == "stage").select("epoch", "seq", "event")
-    banded = with_next(stages, ["epoch", "seq"], "epoch", "next_epoch")
+    the last band has zero width; colours alternate starting with pink. Marks of
+    several applications (column ``app_id``) give each application's own bands."""
+    by = ["app_id"] if "app_id" in marks.columns else []
+    stages = marks.where(F.col("node") == "stage").select(*by, "epoch", "seq", "event")
+    banded = with_next(stages, ["epoch", "seq"], "epoch", "next_epoch", by)
     return banded.select(
-        (F.col("pos") + 1).alias("band"), "seq", "event",
+        *by, (F.col("pos") + 1).alias("band"), "seq", "event",
         F.col("epoch").alias("start"),
         F.coalesce(F.col("next_epoch"), F.col("epoch")).alias("end"),
         F.when(F.col("pos") % 2 == 0, BAND_COLOURS[0]).otherwise(BAND_COLOURS[1]).alias("colour"))
@@ -88,31 +90,36 @@ def overlay(marks: DataFrame) -> DataFrame:
                          .alias("panel"))
 
 
+def in_bands(samples: DataFrame, bands: DataFrame) -> DataFrame:
+    """``samples`` with the ``band`` they fall in (start <= epoch < end); samples in
+    no band are left out. The bands must not overlap (as those of ``stage_bands`` of one
+    application): each sample then belongs to the last band that has
+    started, found by an as-of sweep. The samples move once, a band is one
+    row however long it lasts. ``bands`` is read twice: write it first when
+    it is dear to compute."""
+    open_ = bands.where(F.col("end") > F.col("start")).select("start", F.col("end").alias("_end"), "band")
+    found = last_before(samples, open_, "epoch", "start", ["_end", "band"])
+    return found.where(F.col("epoch") < F.col("_end")).drop("_end")
+
+
+def in_overlapping_bands(samples: DataFrame, bands: DataFrame, bucket_seconds: int) -> DataFrame:
+    """As ``in_bands`` for bands that may overlap: a sample gives a row for each
+    band it is in. An equi-join on time buckets with the exact test after it; a
+    band gives length / ``bucket_seconds`` rows."""
+    width = F.lit(bucket_seconds).cast("bigint")
+    b = bands.where(F.col("end") > F.col("start")).select(
+        "band", "start", F.col("end").alias("_end"),
+        F.explode(F.sequence(F.floor(F.col("start") / width).cast("bigint"),
+                             F.floor((F.col("end") - 1) / width).cast("bigint"))).alias("bucket"))
+    s = samples.withColumn("bucket", F.floor(F.col("epoch") / width).cast("bigint"))
+    hit = (F.col("epoch") >= F.col("start")) & (F.col("epoch") < F.col("_end"))
+    return s.join(b, "bucket", "inner").where(hit).drop("start", "_end", "bucket")
+
+
 def band_stats(metrics: DataFrame, bands: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
-    """Mean and max of each metric per (band, node) for samples with
-    start <= epoch < end.
-
-    Range join as an equi-join on time buckets: each band is exploded into
-    the buckets it overlaps, each sample gets its one bucket, and the exact
-    interval test runs after the join. No cross join and no broadcast of
-    unchecked size. The bucket width defaults to the median positive band
-    length (at least 1 s, computed once as a scalar subquery): a bucket then
-    overlaps only a few bands, so a sample meets only a few candidates,
-    while a long band expands to about length / width rows.
-    """
-    b = bands.where(F.col("end") > F.col("start"))
-    if bucket_seconds is None:
-        width = b.agg(F.greatest(F.lit(1).cast("bigint"),
-                                 F.percentile_approx(F.col("end") - F.col("start"), 0.5).cast("bigint"))
-                      .alias("w")).scalar()
-    else:
-        width = F.lit(bucket_seconds).cast("bigint")
-    b = b.select("band", "start", "end", width.alias("_w"))
-    b = b.select("band", "start", "end",
-                 F.explode(F.sequence(F.floor(F.col("start") / F.col("_w")).cast("bigint"),
-                                      F.floor((F.col("end") - 1) / F.col("_w")).cast("bigint"))).alias("bucket"))
-    s = metrics.withColumn("bucket", F.floor(F.col("epoch") / width).cast("bigint"))
-    j = s.join(b, "bucket", "inner").where((F.col("epoch") >= F.col("start")) & (F.col("epoch") < F.col("end")))
+    """Samples, mean and max of each metric per (band, node). Bands that overlap
+    need ``bucket_seconds`` (see ``in_overlapping_bands``)."""
+    j = in_bands(metrics, bands) if bucket_seconds is None else in_overlapping_bands(metrics, bands, bucket_seconds)
     aggs = [F.count(F.lit(1)).alias("samples")]
     for m in METRICS:
         aggs += [F.avg(m).alias(f"avg_{m}"), F.max(m).alias(f"max_{m}")]

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterlens.operators.ordered import running_sum
 from clusterlens.operators.skew import salted_join
 
 # The vertex and edge classes and their drawing attributes.
@@ -102,33 +103,67 @@ def active_vertices(vertices: DataFrame) -> DataFrame:
     return _slice_index(vertices, last).select("slice", "vertex_id")
 
 
-def active_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``(slice, tail, head, type)`` for active edges whose two ends are
-    active in the same slice. The ends' slice ranges are joined to the edge by
-    vertex id (salted: one vertex, such as the data vertex, may end a third of
-    all edges), and the edge's slices are expanded once, clipped to both."""
+def _both_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges with their slice range (_lo, _hi), clipped to the slices of their
+    ends, and the ends' own ranges (_tail, _head). One vertex, such as the data
+    vertex, may end a third of all edges: Spark splits such a key (skew joins),
+    each row being matched with one row of its vertex."""
     last = F.floor(horizon(vertices).scalar() / SLICE_WIDTH).cast("bigint")
     lo, hi = _slice_range(last)
     spans = vertices.where(lo <= hi).groupBy("vertex_id").agg(
         F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("spans"))
     e = edges.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
     for end in ("tail", "head"):
-        e = salted_join(e, end, spans.select(F.col("vertex_id").alias(end), F.col("spans").alias(f"_{end}")),
-                        [F.col("tail"), F.col("head")])
-
-    def inside(spans: str, i: Column) -> Column:
-        return F.exists(spans, lambda s: (s["lo"] <= i) & (i <= s["hi"]))
-
+        e = e.join(spans.select(F.col("vertex_id").alias(end), F.col("spans").alias(f"_{end}")), end)
     first = F.greatest("_lo", F.array_min(F.transform("_tail", lambda s: s["lo"])),
                        F.array_min(F.transform("_head", lambda s: s["lo"])))
     final = F.least("_hi", F.array_max(F.transform("_tail", lambda s: s["hi"])),
                     F.array_max(F.transform("_head", lambda s: s["hi"])))
-    e = e.withColumns({"_lo": first, "_hi": final}).where("_lo <= _hi")
-    e = e.withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
+    return e.withColumns({"_lo": first, "_hi": final}).where("_lo <= _hi")
+
+
+def active_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``(slice, tail, head, type)`` for active edges whose two ends are active
+    in the same slice; the edge's slices are expanded once, clipped to both ends."""
+
+    def inside(spans: str, i: Column) -> Column:
+        return F.exists(spans, lambda s: (s["lo"] <= i) & (i <= s["hi"]))
+
+    e = _both_ends(edges, vertices).withColumn("_i", F.explode(F.sequence("_lo", "_hi")))
     e = e.where(inside("_tail", F.col("_i")) & inside("_head", F.col("_i")))
     return e.select((F.col("_i") * SLICE_WIDTH).alias("slice"), "tail", "head", "type")
 
 
+def active_runs(spells: DataFrame, vertices: DataFrame, by: str) -> DataFrame:
+    """``(by, first_slice, last_slice, active)``: the runs of slices over which as
+    many spells of the group are active (at least one), without a row per
+    slice. A spell adds one at its first slice and takes it away after its last;
+    the sums per slice (combined map-side) are added up in order by a distributed
+    prefix sum, so neither a spell that spans everything nor a group that holds
+    most spells expands anywhere. ``by`` a class gives counts, ``by`` a vertex its activity."""
+    last = F.floor(horizon(vertices).scalar() / SLICE_WIDTH).cast("bigint")
+    lo, hi = _slice_range(last)
+    steps = spells.select(by, lo.alias("lo"), hi.alias("hi")).where(F.col("lo") <= F.col("hi")).select(
+        by, F.inline(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).cast("bigint").alias("step")),
+                             F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).cast("bigint").alias("step")))))
+    steps = steps.groupBy(by, "at").agg(F.sum("step").alias("step")).where("step <> 0")
+    runs = running_sum(steps, by, "at", "step", "active", "until")
+    return runs.where("active > 0").select(by, (F.col("at") * SLICE_WIDTH).alias("first_slice"),
+                                           ((F.col("until") - 1) * SLICE_WIDTH).alias("last_slice"), "active")
+
+
+def active_edge_runs(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``(tail, head, type, first_slice, last_slice)``: ``active_edges`` as runs of
+    slices, one per overlap of the edge's spell with a spell of each end (several
+    spells of one vertex that overlap give runs that overlap)."""
+    e = _both_ends(edges, vertices)
+    e = e.withColumn("_t", F.explode("_tail")).where("_t.lo <= _hi AND _t.hi >= _lo")
+    e = e.withColumns({"_lo": F.greatest("_lo", "_t.lo"), "_hi": F.least("_hi", "_t.hi"), "_h": F.explode("_head")})
+    e = e.where("_h.lo <= _hi AND _h.hi >= _lo")
+    return e.select("tail", "head", "type", (F.greatest("_lo", "_h.lo") * SLICE_WIDTH).alias("first_slice"),
+                    (F.least("_hi", "_h.hi") * SLICE_WIDTH).alias("last_slice"))
+
+
 def latest_attr(attr_spells: DataFrame, vertices: DataFrame) -> DataFrame:
     """Per (vertex, slice): the value of the latest-starting attribute spell
     active in the slice (ties broken by ``source``)."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.functions.numeric import pearson
 from clusterlens.operators.ordered import range_of
+from clusterlens.sources.materialize import cut
 
 KEY = "track7Id"
 
@@ -139,7 +140,8 @@ def rank_correlation(h: DataFrame, t: DataFrame, x: str, y: str, key: str = KEY)
     Both sides run through one plan, tagged 0 (x) and 1 (y): a row of
     one side stands for as many joined rows as the other side has rows with
     its key; ranks are taken per side over those multiplicities; then per
-    key the rank sums of both sides combine as in ``moment_sums``.
+    key the rank sums of both sides combine as in ``moment_sums``. The counts
+    per (key, value) and per value are read several times, so they are written once.
     """
     hc = h.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
     tc = t.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"))
@@ -148,9 +150,9 @@ def rank_correlation(h: DataFrame, t: DataFrame, x: str, y: str, key: str = KEY)
              .unionByName(hc.select(key, F.lit(1).alias("side"), F.col("cnt").alias("on"))))
     sides = (h.select(key, F.col(x).alias("v"), F.lit(0).alias("side"))
              .unionByName(t.select(key, F.col(y).alias("v"), F.lit(1).alias("side"))))
-    kv = (sides.groupBy("side", key, "v").agg(F.count(F.lit(1)).alias("c"))
-          .join(other, ["side", key], "inner"))
-    mult = kv.groupBy("side", "v").agg(F.sum(F.col("c") * F.col("on")).alias("m"))
+    kv = cut(sides.groupBy("side", key, "v").agg(F.count(F.lit(1)).alias("c"))
+             .join(other, ["side", key], "inner"), "rank-pairs")
+    mult = cut(kv.groupBy("side", "v").agg(F.sum(F.col("c") * F.col("on")).alias("m")), "rank-values")
     ranks = average_ranks(mult, "v", "m", group="side")
     r = F.col("rank")
 

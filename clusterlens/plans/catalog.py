@@ -25,7 +25,7 @@ from clusterlens.operators import text as T
 from clusterlens.sources.eventlog import event_log_path, read_event_log
 from clusterlens.sources.materialize import cut, materialized
 from clusterlens.sources.edges import read_edge_list, write_edge_list
-from clusterlens.sources.series import event_marks, node_series, read_marks, read_series
+from clusterlens.sources.series import application_marks, event_marks, node_series, read_marks, read_series
 from clusterlens.session import shared_dir, source_key
 from clusterlens.sources.sinkfiles import SINK_APP, read_sink_files, sink_files_path
 from clusterlens.sources.songs import song_lines
@@ -342,6 +342,12 @@ def stage_bands(spark, sf_dir):
     return FS.stage_bands(_rebased_marks(spark, sf_dir))
 
 
+@register("stage_bands_by_app")
+def stage_bands_by_app(spark, sf_dir):
+    """Bands of each of several applications."""
+    return FS.stage_bands(FS.rebase(application_marks(spark, sf_dir), FS.origin(node_series(spark, sf_dir))))
+
+
 @register("metric_peak")
 def metric_peak(spark, sf_dir):
     return FS.metric_peak(FS.metric_series(node_series(spark, sf_dir)))
@@ -364,8 +370,8 @@ def overlay(spark, sf_dir):
 
 @register("band_stats")
 def band_stats(spark, sf_dir):
-    stats = FS.band_stats(FS.metric_series(node_series(spark, sf_dir)),
-                          FS.stage_bands(_rebased_marks(spark, sf_dir)))
+    bands = cut(FS.stage_bands(_rebased_marks(spark, sf_dir)), "bands")  # one row per stage, read twice
+    stats = FS.band_stats(FS.metric_series(node_series(spark, sf_dir)), bands)
     return stats.select("band", "node", "samples", *[
         round_sig(F.col(c)).alias(c) for c in stats.columns if c.startswith("avg_")
     ], *[c for c in stats.columns if c.startswith("max_")])
@@ -548,6 +554,26 @@ def active_edges(spark, sf_dir):
     return H.active_edges(e, v)
 
 
+@register("active_class_runs")
+def active_class_runs(spark, sf_dir):
+    """Active vertices of each class, as runs of slices."""
+    v = H.typed_vertices(_vs(spark, sf_dir))
+    return H.active_runs(v.withColumn("vclass", F.coalesce("vclass", F.lit("other"))), v, "vclass")
+
+
+@register("active_vertex_runs")
+def active_vertex_runs(spark, sf_dir):
+    """Activity of each vertex, as runs of slices."""
+    v = _vs(spark, sf_dir)
+    return H.active_runs(v, v, "vertex_id")
+
+
+@register("active_edge_runs")
+def active_edge_runs(spark, sf_dir):
+    v, e = network_spells(spark, sf_dir)
+    return H.active_edge_runs(e, v)
+
+
 @register("latest_attr")
 def latest_attr(spark, sf_dir):
     return H.latest_attr(task_activity(spark, sf_dir), _vs(spark, sf_dir))

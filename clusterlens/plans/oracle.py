@@ -225,6 +225,12 @@ SQL.update({
     "event_split": SER + f" SELECT *, {_KIND} AS kind FROM marks",
     "stage_bands": SER + " SELECT band, seq, event, start, \"end\", CASE WHEN band % 2 = 1 THEN 'pink'"
                          " ELSE 'orange' END AS colour FROM bands",
+    "stage_bands_by_app": SER + """ SELECT app_id, band, seq, event, start, "end",
+        CASE WHEN band % 2 = 1 THEN 'pink' ELSE 'orange' END AS colour FROM (
+          SELECT app_id, row_number() OVER w AS band, seq, event, epoch AS start,
+                 coalesce(lead(epoch) OVER w, epoch) AS "end"
+          FROM (SELECT *, 'app-' || (seq % 3) AS app_id FROM marks) WHERE node = 'stage'
+          WINDOW w AS (PARTITION BY app_id ORDER BY epoch, seq))""",
     "metric_peak": SER + " SELECT " + ", ".join(f"max({m}) AS max_{m}" for m in _M) + " FROM metrics",
     "node_count": SER + " SELECT count(DISTINCT node) AS nodes FROM series",
     "series_long": SER + " SELECT node, epoch, metric, value FROM (" + " UNION ALL ".join(
@@ -413,6 +419,15 @@ SQL.update({
         OR (es.onset = es.terminus AND sl.slice <= es.onset AND es.onset < sl.slice + 2))
         SELECT slice, tail, head, type FROM e2 WHERE (slice, tail) IN (SELECT slice, vertex_id FROM act)
           AND (slice, head) IN (SELECT slice, vertex_id FROM act)""",
+    "active_class_runs": SP + """, c AS (SELECT slice, coalesce(vclass, 'other') AS vclass, count(*) AS active
+          FROM av JOIN tv ON av.vertex_id = tv.vertex_id GROUP BY 1, 2)
+        SELECT vclass, min(slice) AS first_slice, max(slice) AS last_slice, active FROM (
+          SELECT *, slice // 2 - row_number() OVER (PARTITION BY vclass, active ORDER BY slice) AS k FROM c)
+        GROUP BY vclass, active, k""",
+    "active_vertex_runs": SP + """, c AS (SELECT slice, vertex_id, count(*) AS active FROM av GROUP BY 1, 2)
+        SELECT vertex_id, min(slice) AS first_slice, max(slice) AS last_slice, active FROM (
+          SELECT *, slice // 2 - row_number() OVER (PARTITION BY vertex_id, active ORDER BY slice) AS k FROM c)
+        GROUP BY vertex_id, active, k""",
     "latest_attr": SP + """, attr_sl AS (
         SELECT sl.slice, t2.node AS vertex_id, t2.locality AS value,
                row_number() OVER (PARTITION BY t2.node, sl.slice ORDER BY t2.onset DESC, t2.task DESC) AS rn
@@ -499,3 +514,7 @@ SQL.update({
     "spells_from_csv": SP + " SELECT onset, terminus, vertex_id, name, type, info FROM vs",
     "edge_spells_from_csv": SP + " SELECT onset, terminus, tail, head, type FROM es",
 })
+
+SQL["active_edge_runs"] = """SELECT tail, head, type, min(slice) AS first_slice, max(slice) AS last_slice FROM (
+  SELECT *, slice // 2 - row_number() OVER (PARTITION BY tail, head, type ORDER BY slice) AS k FROM ("""  \
+    + SQL["active_edges"] + """)) GROUP BY tail, head, type, k"""

@@ -56,3 +56,9 @@ def event_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select((epoch_seconds(F.col("ts")) - MARK_SHIFT).alias("epoch"),
                      node.alias("node"), F.col("event_type").alias("event"),
                      F.col("event_id").alias("seq"))
+
+
+def application_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event marks of three applications that run at the same time (app_id)."""
+    app = F.concat(F.lit("app-"), F.pmod(F.col("seq"), F.lit(3)).cast("string"))
+    return event_marks(spark, sf_dir).withColumn("app_id", app)

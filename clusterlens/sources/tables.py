@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Table -> primary-key columns, used to spread a table whose scan yields
 # fewer partitions than the cluster has cores.
@@ -28,11 +29,24 @@ def spread(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return df.repartition(cores, *keys) if keys else df.repartition(cores)
 
 
+# (application, path) -> schema. Finding a parquet schema runs a job, so a path
+# is asked once a session; later reads of it only plan.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read parquet with the schema that the path had when it was first read."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
     """Read one table. ``spread_out`` (for inputs of row-local CPU work)
     applies ``spread``; column pruning and filters still reach the parquet
     scan (they are pushed below the repartition)."""
     if name not in TABLE_KEYS:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df, TABLE_KEYS[name]) if spread_out else df
