@@ -121,34 +121,63 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, name: str, next_
                       F.coalesce("_lead", "_then").alias(next_name))
 
 
-def last_before(rows: DataFrame, marks: DataFrame, at: str, start: str, carried: list[str],
-                salts: int = 8) -> DataFrame:
+BINS = 4096
+
+
+def _time_layout(rows: DataFrame, at: str, ranges: int) -> Column:
+    """Scalar subquery: how to deal the times ``at`` (numbers) to ranges of about
+    equally many rows. (lo, width: of BINS equal bins; of: the range of each bin;
+    salts: how many tasks share each range, one per 1/``ranges`` of the rows, so
+    a hot second is split.) One row and BINS numbers, whatever the input holds."""
+    t = rows.where(F.col(at).isNotNull()).select(F.col(at).alias("t"))
+    ends = t.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    ends = ends.select("lo", F.greatest((F.col("hi") - F.col("lo")) / BINS, F.lit(1e-9)).alias("width")).select(
+        F.struct("lo", "width").alias("ends")).scalar()
+    bins = t.withColumn("e", ends).groupBy(_bin("t", "e").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    along = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = rows.sparkSession.range(0, BINS, 1, 1).select(F.col("id").alias("bin")).join(bins, "bin", "left")
+    bins = bins.select("bin", F.coalesce("n", F.lit(0)).alias("n")).withColumn("cum", F.sum("n").over(along))
+    total = F.max("cum").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    of = F.floor((F.col("cum") - F.col("n")) * ranges / F.greatest(total, F.lit(1))).cast("int")
+    bins = bins.select("bin", "n", F.least(of, F.lit(ranges - 1)).alias("r"), F.greatest(total, F.lit(1)).alias("total"))
+    salts = F.sum("n").over(Window.partitionBy("r")) * ranges / F.col("total")
+    bins = bins.withColumn("s", F.greatest(F.ceil(salts), F.lit(1)).cast("int"))
+    lists = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "r", "s"))).alias("b"))
+    return lists.withColumn("e", ends).select(F.struct("e", F.col("b")["r"].alias("of"), F.col("b")["s"].alias("salts"))).scalar()
+
+
+def _bin(at: str, ends: str) -> Column:
+    b = F.floor((F.col(at) - F.col(ends)["lo"]) / F.col(ends)["width"])
+    return F.greatest(F.least(b, F.lit(BINS - 1)), F.lit(0)).cast("bigint")
+
+
+def last_before(rows: DataFrame, marks: DataFrame, at: str, start: str, carried: list[str]) -> DataFrame:
     """``rows`` with the columns ``carried`` of the mark that last starts at or
     before them (as-of; NULL before the first mark; of marks with one start the
-    largest by ``carried``). Rows and marks are dealt to ranges of time and
-    salts, sorted together, and the last mark is carried along; the last
-    mark of earlier ranges comes from an array with one entry per range. A
-    mark goes once to every salt, however long it lasts."""
-    n = default_ranges(rows)
-    bounds = range_bounds(rows.where(F.col(at).isNotNull()), [at], n)
-    mark = F.struct(F.col(start).alias("at"), *[F.col(c) for c in carried])
-
-    def ranged(df: DataFrame, key: Column) -> DataFrame:
-        out = df.withColumn("_bounds", bounds)
-        return out.withColumn("_range", range_number(F.col("_bounds"), F.struct(key.alias(at)), n)).drop("_bounds")
-
-    held = ranged(marks.where(F.col(start).isNotNull()).select(mark.alias("_mark")), F.col("_mark")["at"])
-    lasts = held.groupBy("_range").agg(F.max("_mark").alias("m")).agg(
+    largest by ``carried``; rows without a time are left out). Rows and marks are dealt to ranges of
+    time, shared by salts where a range holds many rows, and sorted together; the last
+    mark is carried along, that of earlier ranges from an array with an entry per range.
+    A mark goes once to every salt of its range, however long it lasts."""
+    layout = _time_layout(rows, at, default_ranges(rows))
+
+    def ranged(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_layout", layout).withColumn("_e", F.col("_layout.e"))
+        out = out.withColumn("_bin", F.coalesce(_bin("_at", "_e"), F.lit(0)).cast("int"))
+        return out.withColumns({"_range": F.coalesce(F.get("_layout.of", F.col("_bin")), F.lit(0)),
+                                "_salts": F.coalesce(F.get("_layout.salts", F.col("_bin")), F.lit(1))}).drop("_layout", "_e", "_bin")
+
+    held = marks.where(F.col(start).isNotNull()).groupBy(F.col(start).alias("_at")).agg(
+        F.max(F.struct(*[F.col(c) for c in carried])).alias("_mark"))
+    held = ranged(held)
+    lasts = held.groupBy("_range").agg(F.max_by("_mark", "_at").alias("m")).agg(
         F.sort_array(F.collect_list(F.struct("_range", "m"))).alias("lasts")).select("lasts").scalar()
     own = F.struct(*[F.col(c) for c in rows.columns])
-    rows_in = rows.select(F.col(at).alias("_at"), F.lit(1).alias("_kind"), own.alias("_row"),
-                          F.lit(None).cast(held.schema["_mark"].dataType).alias("_mark"),
-                          F.pmod(F.xxhash64(own), F.lit(salts)).cast("int").alias("_salt"))
-    rows_in = ranged(rows_in.where("_at IS NOT NULL"), F.col("_at"))
-    marks_in = held.select(F.col("_mark")["at"].alias("_at"), F.lit(0).alias("_kind"),
-                           F.lit(None).cast(rows_in.schema["_row"].dataType).alias("_row"), "_mark",
-                           F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "_range")
-    w = Window.partitionBy("_range", "_salt").orderBy("_at", "_kind", "_mark") \
+    rows_in = ranged(rows.where(F.col(at).isNotNull()).select(F.col(at).alias("_at"), own.alias("_row")))
+    rows_in = rows_in.select("_at", F.lit(1).alias("_kind"), "_row", F.lit(None).cast(held.schema["_mark"].dataType).alias("_mark"),
+                             "_range", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int").alias("_salt"))
+    marks_in = held.select("_at", F.lit(0).alias("_kind"), F.lit(None).cast(rows_in.schema["_row"].dataType).alias("_row"),
+                           "_mark", "_range", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    w = Window.partitionBy("_range", "_salt").orderBy("_at", "_kind") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = marks_in.unionByName(rows_in).withColumn("_near", F.last("_mark", ignorenulls=True).over(w)).where("_kind = 1")
     earlier = F.filter("_lasts", lambda r: r["_range"] < F.col("_range"))

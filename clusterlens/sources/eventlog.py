@@ -149,8 +149,10 @@ def derived_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the derived event log (written on first use), one
-    sub-folder per application as with rolling event logs."""
+    sub-folder per application as with rolling event logs. The lines are dealt
+    to as many files as a shuffle has partitions: ``events`` may be one file."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return materialized(spark, sf_dir, "eventlog",
                         lambda path: derived_event_log(spark, sf_dir)
-                        .withColumn("app", F.lit(APP_ID))
+                        .repartition(files, F.xxhash64("value")).withColumn("app", F.lit(APP_ID))
                         .write.mode("overwrite").partitionBy("app").text(path))
