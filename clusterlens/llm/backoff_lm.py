@@ -338,8 +338,10 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(id, n_words, n_found, log_score) of each document; n_found counts the
     words whose bigram another document holds."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint").alias("id"),
+    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint").alias("doc"),
                        F.col(f"`{text}`").alias("text"))
+    # rows are scored one by one, so each has a key of its own, the same for every reader
+    rows = shared.written(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
     counts = shared.written(_word_counts(rows), "counts")
     words = counts.where("kind = 0").select("h", "c")
     total = words.agg(F.sum("c").alias("n")).first()["n"] or 0
@@ -356,6 +358,8 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = asked.select("id", (-F.col("k") * F.log("c")).alias("log_s"), F.lit(0).cast("bigint").alias("n"),
                          F.lit(0).cast("bigint").alias("found"))
     both = found.where("v IS NULL").select("id", "log_s", "n", "found").union(asked)
+    both = both.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("log_s", "n", "found")])
+    both = both.join(rows.select("id", "doc"), "id").drop("id").withColumnRenamed("doc", "id")
     out = both.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("found").alias("n_found"), F.sum("log_s").alias("s"))
     return out.select("id", "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("s")).alias("log_score"))
 

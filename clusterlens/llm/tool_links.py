@@ -22,7 +22,10 @@ the block, so no task sees a whole conversation. The number of rounds is the
 longest chain of dependencies. Schemas are configuration, at most MAX_TOOLS.
 
 Defined results: null arguments or text that is not a JSON object give the
-error ``arguments: not an object``; an unknown tool gives ``unknown tool``; a
+error ``arguments: not an object`` (NaN and Infinity are not JSON); arguments nested deeper than
+MAX_DEPTH are not read: they give an error and stay as they are; a number that
+no double holds counts as null, a repeated key as its last value, with an error each; half a
+surrogate pair stays an escape; an unknown tool gives ``unknown tool``; a
 reference to an id that no call has is listed in ``missing_refs`` and does not
 hold the call up; a reference to itself is a cycle; a null call id is the
 empty id, a null conversation is a conversation; repeated rows count as
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,6 +50,8 @@ from clusterlens.sources.tables import table
 
 MAX_TOOLS = 10_000
 CHUNK = 1024
+MAX_DEPTH = 200
+MAX_DIGITS = 4000
 
 # Production schemas of the tools in derived events.
 TOOLS = {
@@ -66,7 +72,7 @@ def _is(value, kind: str) -> bool:
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
     if kind == "integer":
-        return _is(value, "number") and math.isfinite(value) and value == int(value)
+        return _is(value, "number") and (isinstance(value, int) or math.isfinite(value) and value == int(value))
     return isinstance(value, _KINDS[kind])
 
 
@@ -123,15 +129,58 @@ def _plain(value):
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
-def canonical(value) -> str:
-    return json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _escaped(text: str) -> str:
+    """Half surrogate pairs as JSON escapes: no UTF-8 text can hold them."""
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
 
+def canonical(value) -> str:
+    return _escaped(json.dumps(_plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def depth(text: str) -> int:
+    """How deep the brackets of a JSON text nest (those in strings do not count)."""
+    now = most = 0
+    for c in re.findall(r"[\[{\]}]", re.sub(r'"(?:[^"\\]|\\.)*"', "", text, flags=re.S)):
+        now += 1 if c in "[{" else -1
+        most = max(most, now)
+    return most
+
+
+def read(text: str | None) -> tuple[object, list[str]]:
+    """(value, errors) of a JSON text; the value is None when it cannot be read."""
+    if text is None:
+        return None, []
+    if depth(text) > MAX_DEPTH:
+        return None, [TOO_DEEP]
+    errors: set[str] = set()
+
+    def pairs(items):
+        out = {}
+        for k, v in items:
+            if k in out:
+                errors.add(_escaped(f"arguments: key {k} repeated"))
+            out[k] = v
+        return out
+
+    def number(kind, digits: str):
+        value = kind(digits) if len(digits) <= MAX_DIGITS else math.inf
+        if isinstance(value, int) or math.isfinite(value):
+            return value
+        errors.add("arguments: a number out of range")
+
+    def refused(name: str):
+        raise ValueError(name)
 
-def parsed(text: str | None):
     try:
-        return json.loads(text) if text is not None else None
+        value = json.loads(text, object_pairs_hook=pairs, parse_constant=refused,
+                           parse_int=lambda t: number(int, t), parse_float=lambda t: number(float, t))
     except (ValueError, RecursionError):
-        return None
+        return None, []
+    return value, sorted(errors)
+
+
+TOO_DEEP = f"arguments: nested deeper than {MAX_DEPTH}"
 
 
 def linked(events: DataFrame) -> DataFrame:
@@ -169,13 +218,16 @@ def validated(calls: DataFrame, tools: dict[str, dict]) -> DataFrame:
         for batch in batches:
             texts, errors, refs = [], [], []
             for name, text in zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist(), strict=True):
-                value = parsed(text)
+                value, found = read(text)
                 if name not in tools:
-                    errors.append(["unknown tool"])
+                    errors.append(["unknown tool", *found])
+                elif TOO_DEEP in found:
+                    errors.append(found)
                 else:
-                    errors.append(violations(value, {"type": "object", **tools[name]}))
-                texts.append(canonical(value) if value is not None else None)
-                refs.append(sorted(references(value)))
+                    own = violations(value, {"type": "object", **tools[name]})
+                    errors.append([*found, *map(_escaped, own)])
+                texts.append(text if TOO_DEEP in found else canonical(value) if value is not None else None)
+                refs.append(sorted(map(_escaped, references(value))))
             kept = [pa.array(texts, pa.string()) if n == "arguments" else batch.column(n) for n in names[:-2]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(errors, pa.list_(pa.string())),
                                               pa.array(refs, pa.list_(pa.string()))], names=names)
@@ -244,9 +296,10 @@ def link_tool_calls(events: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFr
         for batch in batches:
             out = []
             for r in pa.RecordBatch.from_arrays([batch.column(c) for c in cols], names=cols).to_pylist():
+                value, found = read(r["arguments"])
                 out.append(canonical({
                     "conv_id": r["conv_id"], "call_id": r["call_id"], "order": r["order"], "name": r["name"],
-                    "arguments": parsed(r["arguments"]), "depends_on": r["refs"], "errors": r["errors"],
+                    "arguments": r["arguments"] if found else value, "depends_on": r["refs"], "errors": r["errors"],
                     "result": r["content"], "status": r["status"]}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())],
                                              names=[*batch.schema.names, "record"])

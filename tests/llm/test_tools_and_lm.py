@@ -1,4 +1,5 @@
 import json
+import json
 import math
 import random
 import re
@@ -88,6 +89,29 @@ def test_validation(spark, args, errors):
     assert out.errors == errors
 
 
+HUGE = "1" + "0" * 400
+
+
+@pytest.mark.parametrize("args,errors,kept", [
+    ('{"query":"x","limit":%s}' % HUGE, ["arguments.limit: above maximum"], '{"limit":%s,"query":"x"}' % HUGE),
+    ('{"query":"x","limit":1%s}' % ("0" * 5000), ["arguments: a number out of range", "arguments.limit: not an integer"],
+     '{"limit":null,"query":"x"}'),
+    ('{"query":"x","limit":1e999}', ["arguments: a number out of range", "arguments.limit: not an integer"],
+     '{"limit":null,"query":"x"}'),
+    (r'{"query":"\ud800"}', [], r'{"query":"\ud800"}'), (r'{"query":"\ud83d\ude00"}', [], '{"query":"\U0001F600"}'),
+    (r'{"query":"x","\udc00":1}', [r"arguments.\udc00: not allowed"], r'{"query":"x","\udc00":1}'),
+    ('{"query":"x","query":"y"}', ["arguments: key query repeated"], '{"query":"y"}'),
+    ('{"query":"x","limit":NaN}', ["arguments: not an object"], None),
+    ('{"query":"[[[{","context":%s1%s}' % ('{"a":' * 150, "}" * 150), [],
+     '{"context":%s1%s,"query":"[[[{"}' % ('{"a":' * 150, "}" * 150)),
+    *[(deep, [L.TOO_DEEP], deep) for n in (600, 5000, 200_000) for deep in ('{"query":"x","context":%s1%s}' % ('{"a":' * n, "}" * n),)],
+    ("[" * 100_000, [L.TOO_DEEP], "[" * 100_000)])
+def test_legal_but_odd_arguments(spark, args, errors, kept):
+    out = L.link_tool_calls(spark.createDataFrame([(1, 1, "call", "a", "search", args, None)], EVENTS)).first()
+    assert (out.errors, out.arguments) == (errors, kept)
+    assert json.loads(out.record)["call_id"] == "a"
+
+
 def test_canonical_json():
     assert L.canonical({"b": 1.0, "a": [1e2, -0.0, 2.5, True, None, "é"], "c": {"z": 1, "y": 2}}) == \
         '{"a":[100,0,2.5,true,null,"é"],"b":1,"c":{"y":2,"z":1}}'
@@ -154,6 +178,14 @@ def test_scores_equal_brute_force(documents, monkeypatch, hot_words, hot_pairs,
     assert len(got) == len(rows)
 
 
+def test_repeated_rows_score_alike_in_any_partitioning(documents):
+    rows = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (2, "x y"), (1, "beta gamma"), (3, "alpha beta alpha beta")]
+    want = {d: (n, found, pytest.approx(s)) for d, (n, found, s) in brute_scores(rows).items()}
+    for parts in (1, 3, 5):
+        got = B.backoff_scores(documents(rows).repartition(parts)).collect()
+        assert {r.id: (r.n_words, r.n_found, r.log_score) for r in got} == want
+
+
 def test_scores_of_missing_ids_and_empty_table(documents):
     docs = documents([(None, "a b"), (None, "a b"), (7, "a b c")])
     got = B.backoff_scores(docs).collect()
