@@ -13,7 +13,7 @@ From each page the branches below LOW are removed. Only nodes seen often
 enough (MIN_SEEN times, on SHARE of the host's pages) can be judged by entropy,
 and inside the article only where the article itself varies (KEEP), so that a
 host full of copies loses nothing. What is left is the text of the page's
-``article`` (else ``main``) if it has one, otherwise all that is left.
+``article`` (else ``main``) if that is at least half of it, otherwise all that is left.
 
 Scale: one scan makes (node, features) rows, combined map-side; the list of a
 host's low nodes is bounded by the page size (each is on SHARE of its pages)
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterlens.llm import shared
-from clusterlens.llm.markup import Block, text_blocks
+from clusterlens.llm.markup import CONTAINERS, Block, text_blocks
 from clusterlens.llm.path_templates import host_of
 from clusterlens.sources.tables import table
 
@@ -51,27 +51,34 @@ def _h(*parts: str) -> int:
                           "big", signed=True)
 
 
-def node_key(path: tuple, depth: int) -> str:
-    return "/".join(e.sign for e in path[:depth])
+def node_keys(path: tuple) -> Iterator[int]:
+    """The key of each node of a path: a hash of its parent's key and its presentation."""
+    key = 0
+    for e in path:
+        key = _h(str(key), e.sign)
+        yield key
 
 
-def _nodes(blocks: list[Block]) -> dict[str, tuple[bool, list[str], list[str]]]:
-    """Each node of a page: whether it lies in the article, the presentations
-    below it and the texts below it, in page order."""
-    out: dict[str, tuple[bool, list[str], list[str]]] = {}
+def _nodes(blocks: list[Block]) -> dict[int, list]:
+    """Each node of a page: whether it lies in the article, and hashes of the
+    presentations and of the texts below it, in page order."""
+    out: dict[int, list] = {}
     for b in blocks:
-        main = False
-        for d in range(1, len(b.path) + 1):
+        main, text = False, b.text.encode("utf-8", "surrogatepass") + b"\x1f"
+        for d, key in enumerate(node_keys(b.path), 1):
             main = main or b.path[d - 1].role == "main"
-            node = out.setdefault(node_key(b.path, d), (main, [], []))
+            node = out.get(key)
+            if node is None:
+                node = out[key] = [main, None, hashlib.blake2b(digest_size=8), hashlib.blake2b(digest_size=8)]
             below = b.path[d].sign if d < len(b.path) else "#text"
-            if not node[1] or node[1][-1] != below:
-                node[1].append(below)
-            node[2].append(b.text)
+            if node[1] != below:
+                node[1] = below
+                node[2].update(below.encode("utf-8", "surrogatepass") + b"\x1f")
+            node[3].update(text)
     return out
 
 
-_TREE = "host string, node string, main boolean, look long, words long"
+_TREE = "host string, node long, main boolean, look long, words long"
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
@@ -82,10 +89,10 @@ def style_nodes(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for key, (main, looks, texts) in _nodes(text_blocks(page.as_py() or "")).items():
-                    rows.append((host, key, main, _h(*looks), _h(*texts)))
+                for key, (main, _, looks, texts) in _nodes(text_blocks(page.as_py() or "")).items():
+                    rows.append((host, key, main, *(int.from_bytes(h.digest(), "big", signed=True) for h in (looks, texts))))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)],
                                              names=["host", "node", "main", "look", "words"])
 
@@ -119,22 +126,30 @@ def low_branches(pages: DataFrame) -> DataFrame:
     return low.groupBy("host").agg(F.collect_set("node").alias("low"))
 
 
-def main_text(blocks: list[Block], low: frozenset[str]) -> str:
-    """The text left when the low branches are gone: of the ``article``, else
-    of ``main``, else of the page."""
+def main_text(blocks: list[Block], low: frozenset[int]) -> str:
+    """The text left when the low branches are gone: of the ``article``, else of
+    ``main``, if that is at least half of what is left (a teaser is not), else
+    all of it. Inside the article low containers go, but no heading,
+    paragraph, list item or cell: what articles of a site share is their text."""
     kept: list[tuple[int, str]] = []
     for b in blocks:
         rank = 0
-        for d, e in enumerate(b.path, 1):
-            if e.role == "boiler" or low and e.tag not in ("html", "body") and e.role != "main" \
-                    and node_key(b.path, d) in low:
+        for e, key in zip(b.path, node_keys(b.path) if low else b.path, strict=True):
+            if e.role == "boiler":
+                break
+            judged = e.tag in CONTAINERS if rank else e.tag not in ("html", "body") and e.role != "main"
+            if low and judged and key in low:
                 break
             if e.role == "main":
                 rank = max(rank, 2 if e.tag == "article" else 1)
         else:
             kept.append((rank, b.text))
-    best = max((r for r, _ in kept), default=0)
-    return "\n\n".join(t for r, t in kept if r == best)
+    size = sum(len(t) for _, t in kept)
+    for best in (2, 1):
+        own = [t for r, t in kept if r >= best]
+        if own and 2 * sum(map(len, own)) >= size:
+            return "\n\n".join(own)
+    return "\n\n".join(t for _, t in kept)
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

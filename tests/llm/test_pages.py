@@ -2,6 +2,7 @@ import base64
 import hashlib
 import html
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -58,6 +59,37 @@ def test_markup(page, text):
     assert S.main_text(text_blocks(page), frozenset()) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><h2 id='related-work'>Related work</h2><p>Body</p><h2 id='form-and-function'>Form</h2>"
+     "<p class='notice-period'>..</p><p>x</p></article>", "Related work\n\nBody\n\nForm\n\n..\n\nx"),
+    ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a x b"),
+    ("<p>intro</p><article class='teaser'><p>t</p></article><div class='content'><p>long main body</p></div>",
+     "intro\n\nt\n\nlong main body"),
+    ("<article><p>b</p><div class='comments'>c</div><ul class='share'><li>d</ul></article><div class='ad-box'>e</div>", "b"),
+    ("<main>m<article>a long article</article></main><p>x", "a long article"), ("x<!-- y > z", "x"), ("x <!-- y", "x")])
+def test_article_text_is_kept(page, text):
+    assert S.main_text(text_blocks(page), frozenset()) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 50_000, "<script>" + "</script " * 100_000,
+                                  "<a '" * 100_000 + ">", "<a \"'>" * 100_000, "<li>x" * 100_000])
+def test_hostile_pages_take_one_pass(page):
+    began = time.process_time()
+    S.main_text(text_blocks(page), frozenset())
+    assert time.process_time() - began < 10
+
+
+def test_shared_headings_of_articles_stay(spark):
+    rows = [(i, f"http://a.org/{i}", f"<body><div>Site of things</div><article><h2>Method</h2><p>Body {i} of the page</p>"
+                                     f"<div class='box'>Read more</div></article></body>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    low = S.low_branches(pages.select("html", S.host_of(S.F.col("url")).alias("host"))).first().low
+    assert len(low) >= 2  # the branch above the article and the box: without them the text is another
+    texts = {r.page_id: r.text for r in S.extracted(pages).collect()}
+    assert texts[3] == "Method\n\nBody 3 of the page"
+    assert S.main_text(text_blocks(rows[3][2]), frozenset()) == "Method\n\nBody 3 of the page\n\nRead more"
+
+
 def test_style_tree_removes_branches_that_repeat(spark):
     def page(i, own=None):
         return (f"<body><div class='top x{i}'>Site of things</div><article><h1>Title {own or i}</h1><p>Body {own or i}</p>"
