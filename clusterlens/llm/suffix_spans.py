@@ -264,19 +264,17 @@ class _Texts:
         self.name, self.path = f"suffix_texts_{uuid.uuid4().hex}", shared.new_folder(self.spark, "texts")
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         data = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
-        rows = shared.packed(docs, data=data).withColumn("n", F.lit(1)).withColumn("row_id", F.monotonically_increasing_id())
-        rows = rows.select(F.col("row_id").alias("row"), "data", "n", F.col("row").alias("own"))
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(None).cast("int").alias("_")])
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), data.alias("data"), F.lit(1).alias("n"), own.alias("own"))
         (rows.repartition(buckets, "row").write.option("path", self.path).bucketBy(buckets, "row")
          .format("parquet").saveAsTable(self.name))
         self.rows = self.spark.table(self.name)
 
 
 def drop_repeated(docs: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
-    """``docs`` with ``kept`` (binary: the text's bytes without repeated ones), ``spans``
-    (removed runs: from, to), n_bytes, n_removed and n_spans."""
+    """``docs`` with ``kept`` (binary: the text's bytes without repeated ones) in
+    place of the text, ``spans`` (removed runs: from, to), n_bytes, n_removed and n_spans."""
     docs = shared.without(docs, "kept", "spans", "n_bytes", "n_removed", "n_spans")
-    if not docs.columns:
-        raise ValueError("no text column")
     texts = _Texts(docs, text).rows
     runs = repeated_runs(texts.select("row", "data", "n"), least)
     runs = runs.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
@@ -302,7 +300,7 @@ def drop_repeated(docs: DataFrame, text: str = "text", least: int = LEAST) -> Da
                  pa.array(n_removed, pa.int64())], names=schema.names)
 
     out = rows.mapInArrow(run, schema)
-    return out.select(*[F.col(f"own.`{c}`") for c in docs.columns], "kept", "spans", "n_bytes", "n_removed",
+    return out.select(*[F.col(f"own.`{c}`") for c in docs.columns if c != text], "kept", "spans", "n_bytes", "n_removed",
                       F.size("spans").cast("bigint").alias("n_spans"))
 
 
