@@ -67,7 +67,7 @@ class Anchors:
         if not 1 <= gram <= least:
             raise ValueError("an anchor is 1 .. least bytes long")
         self.least, self.gram = least, gram
-        self.name, self.own, self.content = W.SpanHash(71), W.SpanHash(72), W.SpanHash(73)
+        self.name, self.content = W.SpanHash(71), W.SpanHash(73)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(text, first window, windows, anchor's hash, hash of the bytes) of every stretch."""
@@ -92,7 +92,8 @@ class Anchors:
 
     def _stretches(self, data, starts, ends, text, offset):
         at = np.arange(len(data) - self.gram + 1)
-        best = (self.name(data, at, at + self.gram) & ~np.uint64(_PLACE)) | at.astype(np.uint64)
+        name = self.name(data, at, at + self.gram)
+        best = (name & ~np.uint64(_PLACE)) | at.astype(np.uint64)
         span, have = self.least - self.gram + 1, 1
         while have < span:  # least of the next ``have`` places, doubled up to ``span``
             step = min(have, span - have)
@@ -109,7 +110,7 @@ class Anchors:
         count = np.diff(np.append(first, len(of)))
         w, p, of = window[first], place[first], of[first]
         return (text[of], w - starts[of] + offset[of], count.astype(np.int32),
-                self.own(data, p, p + self.gram), self.content(data, w, w + count + self.least - 1))
+                name[p], self.content(data, w, w + count + self.least - 1))
 
 
 _STRETCH = T.StructType([T.StructField("row", T.LongType()), T.StructField("at", T.LongType()),
