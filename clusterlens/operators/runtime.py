@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterlens.functions.strings import quoted_csv_split, short_host
+from clusterlens.operators import filelines as FL
 
 
 def _ms_to_s(c: Column) -> Column:
@@ -208,7 +209,7 @@ def listener_lines(norm: DataFrame) -> DataFrame:
 
 
 _LINE_OK = r"^(event|metric),[0-9]+,[A-Z-]+(,|\z)"
-_TAIL = r"^(.*?),(reason|jobResult),(.*)\z"
+_TAIL = r"(?s)^(.*?),(reason|jobResult),(.*)\z"
 
 
 def parse_listener_lines(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -241,6 +242,20 @@ def parse_listener_lines(lines: DataFrame, col: str = "value") -> DataFrame:
                      F.concat(vals, tail_v).alias("vals"))
 
 
+def listener_records(lines: DataFrame, max_blocks: int = 8) -> DataFrame:
+    """Listener rows of files whose reasons span lines, from numbered lines:
+    a line that starts like a listener row opens a record, the lines below it
+    belong to its last value (a continuation line of that very form cannot be
+    told from a row). ``listener_outside`` has the lines of no record."""
+    return parse_listener_lines(FL.records(lines, F.col("value").rlike(_LINE_OK), max_blocks))
+
+
+def listener_outside(lines: DataFrame, max_blocks: int = 8) -> DataFrame:
+    """Numbered lines above a file's first listener row, and lines more than
+    ``max_blocks`` splits below the row they would continue."""
+    return FL.lines_outside(lines, F.col("value").rlike(_LINE_OK), max_blocks)
+
+
 def listener_quarantine(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lines that are not listener rows (e.g. stack-trace continuations)."""
     return lines.where(~F.col(col).rlike(_LINE_OK))
@@ -250,21 +265,37 @@ def _attr(name: str) -> Column:
     return F.element_at(F.map_from_arrays(F.col("keys"), F.col("vals")), F.lit(name))
 
 
+def _scope_and_id() -> tuple[Column, Column]:
+    """What a start or end row is about: app, job, stage or task, and its id."""
+    event = F.col("event")
+    ids = (("APPLICATION-", "app", F.col("app_id")), ("JOB-", "job", _attr("jobId")),
+           ("STAGE-", "stage", _attr("stageId")), ("TASK-", "task", _attr("taskId")))
+    scope = ident = F
+    for prefix, name, value in ids:
+        scope, ident = scope.when(event.startswith(prefix), F.lit(name)), ident.when(event.startswith(prefix), value)
+    return scope, ident
+
+
+STARTS = ("APPLICATION-START", "JOB-START", "STAGE-SUBMITTED", "TASK-START")
+ENDS = ("APPLICATION-END", "JOB-END", "STAGE-COMPLETED", "TASK-END")
+
+
+def boundaries(norm: DataFrame, events: tuple[str, ...]) -> DataFrame:
+    """``(app_id, scope, id, epoch)`` of the start or of the end rows; rows
+    without a time or an id are left out."""
+    scope, ident = _scope_and_id()
+    rows = norm.where((F.col("kind") == "event") & F.col("event").isin(*events))
+    return (rows.select("app_id", scope.alias("scope"), ident.alias("id"), "epoch")
+            .where(F.col("epoch").isNotNull() & F.col("id").isNotNull() & F.col("app_id").isNotNull()))
+
+
 def durations(norm: DataFrame) -> DataFrame:
     """Elapsed seconds per application, job, stage and task: end epoch minus
     start epoch, as conditional min/max per id (one aggregate, no
     self-join)."""
     ev = norm.where(F.col("kind") == "event")
-    scope = (F.when(F.col("event").startswith("APPLICATION-"), "app")
-             .when(F.col("event").startswith("JOB-"), "job")
-             .when(F.col("event").startswith("STAGE-"), "stage")
-             .when(F.col("event").startswith("TASK-"), "task"))
-    ident = (F.when(F.col("event").startswith("APPLICATION-"), F.col("app_id"))
-             .when(F.col("event").startswith("JOB-"), _attr("jobId"))
-             .when(F.col("event").startswith("STAGE-"), _attr("stageId"))
-             .when(F.col("event").startswith("TASK-"), _attr("taskId")))
-    is_start = F.col("event").isin("APPLICATION-START", "JOB-START", "STAGE-SUBMITTED", "TASK-START")
-    is_end = F.col("event").isin("APPLICATION-END", "JOB-END", "STAGE-COMPLETED", "TASK-END")
+    scope, ident = _scope_and_id()
+    is_start, is_end = F.col("event").isin(*STARTS), F.col("event").isin(*ENDS)
     return (ev.select("app_id", scope.alias("scope"), ident.alias("id"), "epoch", is_start.alias("s"),
                       is_end.alias("e"))
             .where(F.col("scope").isNotNull())

@@ -2,14 +2,17 @@
 and metric from the file name, drop headers, tag rows with host and user;
 and the typed long form of the rows using each file's own header.
 
-Everything is row-local except the long form's header lookup (one header
-row per file, joined back on the file name)."""
+Everything is row-local except the long form's header lookup: one header
+row per file joined back on the file name (``long_form``), or the last header
+above each row (``long_form_by_header``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clusterlens.operators.filelines import with_last_above
+
 
 def _bits() -> F.Column:
     return F.split(F.col("sink"), r"\.")
@@ -58,3 +61,41 @@ def long_form(lines: DataFrame, app_id: str) -> DataFrame:
                    F.element_at("f", 1).cast("bigint").alias("epoch"),
                    F.inline(pairs))
     return out.select("executor", "metric", "epoch", "field", F.col("v").cast("double").alias("value"))
+
+
+def _with_headers(lines: DataFrame, app_id: str) -> DataFrame:
+    """Body rows (sink name parts, fields) with the header last seen above."""
+    bits = _bits()
+    mine = lines.where(F.col("sink").endswith(".csv") & (F.element_at(bits, 1) == app_id)
+                       & ~F.array_join(bits, "").contains("DAGScheduler"))
+    is_header = F.col("value").startswith("t,")
+    known = with_last_above(mine, F.when(is_header, F.split("value", ",")), "header")
+    return known.where(~is_header).withColumn("f", F.split("value", ",", -1))
+
+
+def _fits() -> Column:
+    return F.coalesce(F.size("header") == F.size("f"), F.lit(False)) & (F.size("f") > 1) \
+        & F.element_at("f", 1).rlike(r"^-?[0-9]{1,18}\z")
+
+
+def long_form_by_header(lines: DataFrame, app_id: str) -> DataFrame:
+    """``(executor, metric, epoch, field, value)`` of numbered sink lines
+    ``(file, block, pos, sink, value)``: each body row unpivoted against the last
+    header above it in its file, so a sink whose fields change mid-file (a
+    restarted source) is read right. An empty or non-numeric field is a null
+    value; rows that do not fit their header are in ``header_misfits``."""
+    bits = _bits()
+    n = F.size(bits)
+    pairs = F.arrays_zip(F.slice("header", 2, F.size("header") - 1).alias("field"),
+                         F.slice("f", 2, F.size("f") - 1).alias("v"))
+    out = _with_headers(lines, app_id).where(_fits()).select(
+        F.element_at(bits, 2).alias("executor"),
+        F.array_join(F.slice(bits, 3, F.greatest(n - 3, F.lit(0))), "_").alias("metric"),
+        F.element_at("f", 1).cast("bigint").alias("epoch"), F.inline(pairs))
+    return out.select("executor", "metric", "epoch", "field", F.expr("try_cast(v AS double)").alias("value"))
+
+
+def header_misfits(lines: DataFrame, app_id: str) -> DataFrame:
+    """``(sink, line)``: body rows without a header above them, with another
+    number of fields than it, or without an epoch."""
+    return _with_headers(lines, app_id).where(~_fits()).select("sink", F.col("value").alias("line"))

@@ -27,7 +27,9 @@ from clusterlens.sources.materialize import cut, materialized
 from clusterlens.sources.edges import read_edge_list, write_edge_list
 from clusterlens.sources.series import application_marks, event_marks, node_series, read_marks, read_series
 from clusterlens.session import shared_dir, source_key
-from clusterlens.sources.sinkfiles import SINK_APP, read_sink_files, sink_files_path
+from clusterlens.sources.filelines import read_numbered_lines
+from clusterlens.sources.sinkfiles import (SINK_APP, read_sink_files, restarted_sink_path, sink_files_path,
+                                           sink_name_of_path)
 from clusterlens.sources.songs import song_lines
 from clusterlens.streaming import jobs as ST
 from clusterlens.sources.spells import network_spells, read_edge_spells, read_vertex_spells, task_activity
@@ -460,6 +462,24 @@ def listener_parse(spark, sf_dir):
     return parsed.select("kind", "epoch", "event", D.attrs_text(F.col("keys"), F.col("vals")).alias("attrs"))
 
 
+def _listener_reasons_path(spark, sf_dir):
+    """Listener files in which a failed task's reason is a text of several lines."""
+    trace = (",reason,java.lang.RuntimeException: k is zero, retry\n\tat work(Replay.scala:12)\n\n"
+             "Caused by: reason,none, \"quoted")
+    lines = D.listener_lines(_norm(spark, sf_dir)).select("app_id", F.when(
+        F.col("line").endswith(",reason,ExceptionFailure"), F.regexp_replace("line", ",reason,ExceptionFailure$", trace))
+        .otherwise(F.col("line")).alias("line"))
+    return materialized(spark, sf_dir, "listener-reasons", lambda path: (
+        lines.write.mode("overwrite").partitionBy("app_id").text(path)))
+
+
+@register("listener_records")
+def listener_records(spark, sf_dir):
+    """Listener rows whose reasons span lines, whole."""
+    parsed = D.listener_records(read_numbered_lines(spark, _listener_reasons_path(spark, sf_dir)))
+    return parsed.select("kind", "epoch", "event", D.attrs_text(F.col("keys"), F.col("vals")).alias("attrs"))
+
+
 @register("durations")
 def durations(spark, sf_dir):
     return D.durations_from_log(_log(spark, sf_dir))
@@ -616,6 +636,22 @@ def sink_long(spark, sf_dir):
     return C.long_form(_sink_lines(spark, sf_dir), SINK_APP)
 
 
+def _restarted_sinks(spark, sf_dir):
+    lines = read_numbered_lines(spark, restarted_sink_path(spark, sf_dir))
+    return lines.withColumn("sink", sink_name_of_path(F.col("file")))
+
+
+@register("sink_long_headers")
+def sink_long_headers(spark, sf_dir):
+    """Long form of sinks whose header changes inside the file."""
+    return C.long_form_by_header(_restarted_sinks(spark, sf_dir), SINK_APP)
+
+
+@register("sink_misfits")
+def sink_misfits(spark, sf_dir):
+    return C.header_misfits(_restarted_sinks(spark, sf_dir), SINK_APP)
+
+
 def _stream_out(spark, sf_dir, name, run):
     """Run a streaming job to completion (availableNow) into the shared
     folder and read its committed output back."""
@@ -637,11 +673,34 @@ def stream_events(spark, sf_dir):
     return _stream_out(spark, sf_dir, "events", lambda out, ck: ST.stream_events(spark, src, out, ck))
 
 
+def _closed_stream(spark, sf_dir, name, job, **options):
+    """A stream over the whole event log with a closing mark, so that all its
+    windows come out."""
+    src = event_log_path(spark, sf_dir)
+    marks = materialized(spark, sf_dir, "closing-marks", lambda path: ST.close_input(spark, path))
+    return _stream_out(spark, sf_dir, name, lambda out, ck: job(spark, src, out, ck, marks=marks, **options))
+
+
 @register("stream_task_rate")
 def stream_task_rate(spark, sf_dir):
-    src = event_log_path(spark, sf_dir)
-    return _stream_out(spark, sf_dir, "task_rate", lambda out, ck: ST.stream_task_rate(spark, src, out, ck))
+    return _closed_stream(spark, sf_dir, "task_rate", ST.stream_task_rate)
+
+
+@register("stream_busy_sessions")
+def stream_busy_sessions(spark, sf_dir):
+    return _closed_stream(spark, sf_dir, "busy_sessions", ST.stream_busy_sessions)
+
+
+@register("stream_durations")
+def stream_durations(spark, sf_dir):
+    """The elapsed times of the batch query, from an interval join of streams."""
+    return _closed_stream(spark, sf_dir, "durations", ST.stream_durations, max_run="60 days").drop("start")
+
 
+@register("stream_slow_tasks")
+def stream_slow_tasks(spark, sf_dir):
+    """Tasks with the time they took, null for those that had not ended after a minute."""
+    return _closed_stream(spark, sf_dir, "slow_tasks", ST.stream_durations, max_run="1 minute", scopes=("task",))
 
 
 @register("event_marks")

@@ -471,9 +471,7 @@ SQL.update({
                                           FROM tasks),
         w AS (SELECT epoch // 3600 * 3600 AS window_start, epoch // 3600 * 3600 + 3600 AS window_end, node
               FROM ends)
-        SELECT window_start, window_end, node, count(*) AS tasks FROM w
-        WHERE window_end <= (SELECT max(epoch) FROM ends) - 600
-        GROUP BY window_start, window_end, node""",
+        SELECT window_start, window_end, node, count(*) AS tasks FROM w GROUP BY window_start, window_end, node""",
 })
 
 
@@ -518,3 +516,29 @@ SQL.update({
 SQL["active_edge_runs"] = """SELECT tail, head, type, min(slice) AS first_slice, max(slice) AS last_slice FROM (
   SELECT *, slice // 2 - row_number() OVER (PARTITION BY tail, head, type ORDER BY slice) AS k FROM ("""  \
     + SQL["active_edges"] + """)) GROUP BY tail, head, type, k"""
+
+
+SQL["listener_records"] = RT + r""" SELECT kind, epoch, event, replace(attrs, 'reason=ExceptionFailure',
+        'reason=java.lang.RuntimeException: k is zero, retry' || chr(10) || chr(9) || 'at work(Replay.scala:12)'
+        || chr(10) || chr(10) || 'Caused by: reason,none, "quoted') AS attrs FROM evt"""
+
+RESTARTED = """SELECT CAST(user_id % 4 AS VARCHAR) AS executor, 'jvm_' || event_type || '_used' AS metric, event_id,
+        user_id, event_type, value, epoch_us(ts) // 1000000 AS epoch FROM events WHERE event_type IS NOT NULL"""
+SQL["sink_long_headers"] = f"""WITH r AS ({RESTARTED})
+    SELECT executor, metric, epoch, 'value' AS field, value FROM r WHERE event_id % 97 <> 0
+    UNION ALL SELECT executor, metric, epoch, 'user', CAST(user_id AS DOUBLE) FROM r
+    WHERE event_id % 97 <> 0 AND epoch // 86400 % 2 = 1"""
+SQL["sink_misfits"] = f"""WITH r AS ({RESTARTED})
+    SELECT 'joe_1700000000.' || executor || '.jvm.' || event_type || '.used.csv' AS sink,
+           CAST(epoch AS VARCHAR) AS line FROM r WHERE event_id % 97 = 0"""
+
+SQL["stream_busy_sessions"] = RT + """, ends AS (SELECT finish_ms // 1000 AS epoch, split_part(host, '.', 1) AS node
+                                                 FROM tasks),
+    g AS (SELECT *, CASE WHEN epoch - lag(epoch) OVER (PARTITION BY node ORDER BY epoch) < 600 THEN 0 ELSE 1 END AS fresh
+          FROM ends),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY node ORDER BY epoch) AS run FROM g)
+    SELECT min(epoch) AS window_start, max(epoch) + 600 AS window_end, node, count(*) AS tasks FROM s GROUP BY node, run"""
+SQL["stream_durations"] = SQL["durations"]
+SQL["stream_slow_tasks"] = RT + f""" SELECT {APP} AS app_id, 'task' AS scope, CAST(task_id AS VARCHAR) AS id,
+    launch_ms // 1000 AS start, CASE WHEN finish_ms // 1000 - launch_ms // 1000 <= 60
+                                     THEN finish_ms // 1000 - launch_ms // 1000 END AS elapsed FROM tasks"""

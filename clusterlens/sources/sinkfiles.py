@@ -59,3 +59,25 @@ def derived_sink_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_files_path(spark: SparkSession, sf_dir: str) -> str:
     return materialized(spark, sf_dir, "sinkfiles", lambda path: (
         derived_sink_lines(spark, sf_dir).write.mode("overwrite").partitionBy("sink").text(path)))
+
+
+def restarted_sink_path(spark: SparkSession, sf_dir: str) -> str:
+    """Sink files whose source restarted every day: a header per day, with the
+    user as a further field on odd days; rows of every 97th event are cut off
+    after the epoch. One file per sink, in order of time."""
+    ev = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "value")
+    ev = ev.where(F.col("event_type").isNotNull()).withColumn("sec", epoch_seconds(F.col("ts")))
+    day = F.floor(F.col("sec") / 86400)
+    name = F.concat(F.lit(SINK_APP + "."), (F.col("user_id") % 4).cast("string"), F.lit(".jvm."),
+                    F.col("event_type"), F.lit(".used.csv"))
+    fields = F.array(F.col("sec").cast("string"), F.col("value").cast("string"))
+    line = (F.when(F.col("event_id") % 97 == 0, F.col("sec").cast("string"))
+            .when(day % 2 == 0, F.array_join(fields, ","))
+            .otherwise(F.array_join(F.array_append(fields, F.col("user_id").cast("string")), ",")))
+    rows = ev.select(name.alias("sink"), day.alias("day"), F.col("event_id").alias("ord"), line.alias("value"))
+    headers = rows.select("sink", "day").distinct().select(
+        "sink", "day", F.lit(-1).cast("bigint").alias("ord"),
+        F.when(F.col("day") % 2 == 0, "t,value").otherwise("t,value,user").alias("value"))
+    return materialized(spark, sf_dir, "sinkfiles-restarted", lambda path: (
+        rows.unionByName(headers).repartition("sink").sortWithinPartitions("sink", "day", "ord")
+        .select("sink", "value").write.mode("overwrite").partitionBy("sink").text(path)))
