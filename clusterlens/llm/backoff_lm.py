@@ -15,17 +15,14 @@ words. A document's score is the sum of log S over its words.
    the corpus, so their counts are broadcast. Bigrams that are frequent within
    some batch and hold 1 / HOT_PAIRS of the words are hot pairs (at most
    HOT_PAIRS); a second scan counts them exactly.
-2. Every other bigram occurrence goes to the bucket of its hash (a bigram
-   whose second word is not hot goes to the bucket of that word, so the bucket
-   knows the word's count). Occurrences travel as compressed columns, one row per
-   text block and bucket: a shuffled row is a few bytes per word.
-3. A bucket is a part of the count table and of the exploded bigrams: it counts
-   its bigrams, then looks each occurrence up and emits a partial sum per
-   document. It keeps only distinct bigrams in memory; the occurrences are
-   spooled to disk between the two passes. No bigram outside the hot pairs
-   holds more than about 2 / LOCAL_SHARE of all words, so buckets are even.
-4. Contexts that are not hot are looked up by joining (v, document) with the
-   word counts; then everything is summed per document.
+2. Every other bigram becomes a row (text, v, w, times in the text), where hot
+   words are short codes. The rows are shuffled once, by the bigram: a partition
+   is a part of the count table and of the exploded bigrams, and a window sum
+   brings each bigram's count to its rows. No bigram outside the hot pairs holds
+   more than about 2 / LOCAL_SHARE of all words, so partitions are even.
+3. Counts of hot words are joined by broadcast; sums per (text, word that is
+   not hot) are combined in the partition, joined with the word counts, and
+   summed per text, then per document.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text
 without words (null, empty) has 0 words and a null score; rows of one doc_id
@@ -37,12 +34,11 @@ matter.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clusterlens.llm import shared
@@ -54,7 +50,6 @@ HOT_WORDS = 1 << 19
 HOT_PAIRS = 1 << 17
 LOCAL_SHARE = 1 << 16  # a bigram of this share of a batch is a candidate
 BUCKET_WORDS = 2_000_000
-SPOOL = 32 << 20
 _BLOCK = 4 << 20
 _U = np.uint64
 _COLD = _U(1 << 63)
@@ -87,26 +82,13 @@ def _hasher() -> W.SpanHash:
     return W.SpanHash(91, lower=True)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes of a column by significance, compressed: codes of hot words and
-    neighbouring ids take two or three bytes."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
-    return pa.Codec("zstd", 1).compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
-
-
-def _unpack(data: bytes, n: int, kind=np.uint64) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = pa.Codec("zstd").decompress(data, n * width, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n)
-
-
 class Known:
     """Broadcast counts: hot words and hot pairs, ordered by hash."""
 
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], total: int, buckets: int):
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], total: int):
         self.words, self.word_counts = words
         self.pairs, self.pair_counts = pairs
-        self.total, self.buckets = total, buckets
+        self.total = total
 
     @staticmethod
     def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,18 +162,19 @@ def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-_CHUNK = "bucket int, n int, ids binary, a binary, b binary"
-
-
 def _own(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """How often each (document, key) occurs, for each entry."""
     _, at, c = np.unique(W.mix(keys ^ W.mix(ids, 5), 6), return_inverse=True, return_counts=True)
     return c[at]
 
 
+_GRAMS = "id long, v long, w long, k int, log_s double, n int, found int"
+
+
 def _exploded(docs: DataFrame, known) -> DataFrame:
-    """Chunks of bigram occurrences by bucket, (document row, code of v, code
-    of w), and partial scores (bucket < 0) of what the broadcast counts settle."""
+    """Bigrams (row id, code of v or 0, code of w, k times in the row), and one
+    row per text (v null, w its id) with the sums of what the broadcast counts
+    settle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, k = _hasher(), Known(*known.value)
@@ -220,118 +203,45 @@ def _exploded(docs: DataFrame, known) -> DataFrame:
                     log_s[at[ok]] = np.log(left[ok]) - k.log_count(before[at[ok]])
                     log_s[at[~ok]] = math.log(ALPHA / k.total) + k.log_count(code[at[~ok]])
                 n = len(b)
-                part = np.stack([np.bincount(rows, weights=log_s, minlength=n), np.bincount(rows, minlength=n),
-                                 np.bincount(rows, weights=found, minlength=n)], axis=1).astype(np.float64)
                 mine = ids[b.first:b.first + n].astype(np.int64)
-                out = [(-1 - int(mine[0]) % k.buckets, n, _pack(mine), _pack(part[:, 0].copy()), _pack(part[:, 1:].copy()))]
                 rest = np.flatnonzero(~hot & ~first)
-                route = np.where(warm[rest], _pair(before[rest], code[rest]), W.mix(code[rest], 8))
-                bucket = (route % _U(k.buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                rest, bucket = rest[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                for piece in np.split(np.arange(len(rest)), cuts) if len(rest) else []:
-                    x = rest[piece]
-                    out.append((int(bucket[piece[0]]), len(x), _pack(mine[rows[x]]), _pack(before[x]), _pack(code[x])))
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "n", "ids", "a", "b"), r, strict=True)) for r in out],
-                                                 schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()),
-                                                                   ("a", pa.binary()), ("b", pa.binary())]))
-
-    return docs.select("id", "text").mapInArrow(run, _CHUNK)
-
-
-_PART = "id long, v long, log_s double, n long, found long"
-
-
-def _part(ids, v, log_s, n, found) -> pa.RecordBatch:
-    none = pa.nulls(len(ids), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids), none if v is None else pa.array(v.view(np.int64)), pa.array(log_s.astype(np.float64)),
-         pa.array(n.astype(np.int64)), pa.array(found.astype(np.int64))], names=["id", "v", "log_s", "n", "found"])
-
-
-class Bucket:
-    """The counts of one bucket, and its chunks, spooled until all are counted."""
-
-    def __init__(self):
-        self.file = tempfile.SpooledTemporaryFile(max_size=SPOOL)
-        self.sizes: list[tuple[int, ...]] = []
-        self.pairs: list[list[np.ndarray]] = [[], []]
-        self.words: list[list[np.ndarray]] = [[], []]
-        self.held = 0
-
-    def add(self, n: int, ids: bytes, a: bytes, b: bytes) -> None:
-        before, code = _unpack(a, n), _unpack(b, n)
-        for store, keys in ((self.pairs, _pair(before, code)[before > 0]), (self.words, code[code >= _COLD])):
-            u, c = np.unique(keys, return_counts=True)
-            store[0].append(u), store[1].append(c)
-            self.held += len(u)
-        if self.held > 4 * BUCKET_WORDS:
-            self.settle()
-        self.sizes.append((n, len(ids), len(a), len(b)))
-        self.file.write(ids + a + b)
-
-    def settle(self) -> None:
-        for store in (self.pairs, self.words):
-            u, c = _counted(store[0], store[1])
-            store[0], store[1] = [u], [c]
-        self.held = 0
-
-    def scores(self, k: Known) -> Iterator[pa.RecordBatch]:
-        self.settle()
-        (pairs, pair_counts), (cold, cold_counts) = ([x[0] for x in s] for s in (self.pairs, self.words))
-        self.file.seek(0)
-        for n, *sizes in self.sizes:
-            ids, before, code = (_unpack(self.file.read(s), n, t) for s, t in zip(sizes, (np.int64, _U, _U), strict=True))
-            pair = _pair(before, code)
-            has = before > 0
-            left = np.zeros(n, np.int64)
-            at = np.flatnonzero(has)
-            left[at] = pair_counts[Known.find(pairs, pair[at])[0]] - _own(ids[at].view(np.uint64), pair[at])
-            found = left > 0
-            warm = code < _COLD
-            word = np.zeros(n)
-            word[warm] = k.log_count(code[warm])
-            word[~warm] = np.log(cold_counts[Known.find(cold, code[~warm])[0]])
-            log_s = word - math.log(k.total) + np.where(has, math.log(ALPHA), 0.0)
-            log_s[found] = np.log(left[found])
-            known = found & (before < _COLD)
-            log_s[known] -= k.log_count(before[known])
-            doc, at = np.unique(ids, return_inverse=True)
-            yield _part(doc, None, np.bincount(at, weights=log_s), np.zeros(len(doc)), np.bincount(at, weights=found))
-            ask = np.flatnonzero(found & (before >= _COLD))  # c(v) comes by a join
-            if len(ask):
-                yield _part(ids[ask], before[ask] & ~_COLD, np.zeros(len(ask)), np.zeros(len(ask)), np.zeros(len(ask)))
-        self.file.close()
-
-
-def _scored(chunks: DataFrame, known, parts: int) -> DataFrame:
-    """Partial scores (id, log_s, n, found) and context requests (id, v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, at, bucket = Known(*known.value), None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b, n, ids, a, c = (batch.column(j)[i].as_py() for j in range(5))
-                if b < 0:
-                    more = _unpack_rows(c, n)
-                    yield _part(_unpack(ids, n, np.int64), None, _unpack(a, n, np.float64), more[:, 0], more[:, 1])
-                    continue
-                if b != at:
-                    if bucket is not None:
-                        yield from bucket.scores(k)
-                    at, bucket = b, Bucket()
-                bucket.add(n, ids, a, c)
-        if bucket is not None:
-            yield from bucket.scores(k)
-
-    rows = chunks.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, _PART)
-
-
-def _unpack_rows(data: bytes, n: int) -> np.ndarray:
-    raw = pa.Codec("zstd").decompress(data, n * 16, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(16, n).T).view(np.float64).reshape(n, 2)
+                gram = W.mix(_pair(before[rest], code[rest]) ^ W.mix(rows[rest].astype(_U), 5), 6)
+                _, at, times = np.unique(gram, return_index=True, return_counts=True)
+                order = np.argsort(at)  # rows of one text stay together
+                x, times = rest[at[order]], times[order]
+                ends = len(x) + n
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([mine[rows[x]], mine])),
+                     pa.array(np.concatenate([before[x].view(np.int64), mine]), mask=np.arange(ends) >= len(x)),
+                     pa.array(np.concatenate([code[x].view(np.int64), mine])),
+                     pa.array(np.concatenate([times, np.zeros(n)]).astype(np.int32)),
+                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=log_s, minlength=n)])),
+                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, minlength=n)]).astype(np.int32)),
+                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=found, minlength=n)]).astype(np.int32))],
+                    names=["id", "v", "w", "k", "log_s", "n", "found"])
+
+    return docs.select("id", "text").mapInArrow(run, _GRAMS)
+
+
+def _scored(grams: DataFrame, hot: DataFrame, total: int, parts: int) -> DataFrame:
+    """Partial sums (id, log_s, n, found), where ``cold`` is null, and for each
+    (id, cold word) the factor ``m`` of the logarithm of that word's count.
+    ``hot`` is (code, c) of the hot words."""
+    count = F.sum("k").over(Window.partitionBy("v", "w"))
+    real = F.col("v").isNotNull()
+    rows = grams.repartition(parts, "v", "w").withColumn("left", count - F.col("k"))
+    rows = rows.withColumn("hit", real & (F.col("v") != 0) & (F.col("left") > 0))
+    # log(left) - log c(v) when others hold the bigram, else log(ALPHA) + log c(w) - log N
+    rows = rows.withColumn("code", F.when(real, F.when(F.col("hit"), F.col("v")).otherwise(F.col("w"))))
+    rows = rows.join(F.broadcast(hot), "code", "left")
+    sign = F.when(F.col("hit"), -F.col("k")).otherwise(F.col("k"))
+    own = (F.when(F.col("hit"), F.log("left")).when(F.col("v") == 0, F.lit(-math.log(max(total, 1))))
+           .otherwise(F.lit(math.log(ALPHA / max(total, 1))))) * F.col("k")
+    log_s = F.when(real, own + F.coalesce(sign * F.log("c"), F.lit(0.0))).otherwise(F.col("log_s"))
+    rows = rows.select("id", F.when(F.col("c").isNull(), F.col("code")).alias("cold"), log_s.alias("log_s"),
+                       F.when(real & F.col("c").isNull(), sign).otherwise(0).alias("m"), "n",
+                       (F.col("found") + F.when(F.col("hit"), F.col("k")).otherwise(0)).alias("found"))
+    return rows.groupBy("id", "cold").agg(*[F.sum(c).alias(c) for c in ("log_s", "m", "n", "found")])
 
 
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -349,15 +259,15 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hot = _sorted(words.where(F.col("c") * HOT_WORDS >= total))
     listed = _sorted(counts.where((F.col("kind") == 1) & (F.col("c") * HOT_PAIRS >= total)))
     pairs = _sorted(_pair_counts(rows, send(listed[0]))) if len(listed[0]) else listed
-    buckets = max(1, math.ceil(total / bucket_words))
-    known = send((hot, pairs, total, buckets))  # plain arrays: executors need not have this module
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    found = shared.written(_scored(_exploded(rows, known), known, parts), "scores")
-    asked = found.where("v IS NOT NULL").groupBy("id", "v").agg(F.count(F.lit(1)).alias("k"))
-    asked = asked.join(words, asked["v"] == words["h"])
-    asked = asked.select("id", (-F.col("k") * F.log("c")).alias("log_s"), F.lit(0).cast("bigint").alias("n"),
-                         F.lit(0).cast("bigint").alias("found"))
-    both = found.where("v IS NULL").select("id", "log_s", "n", "found").union(asked)
+    known = send((hot, pairs, total))  # plain arrays: executors need not have this module
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_words))
+    codes = pa.table({"code": pa.array(np.arange(1, len(hot[1]) + 1)), "c": pa.array(hot[1])})
+    found = _scored(_exploded(rows, known), spark.createDataFrame(codes, "code long, c long"), total, parts)
+    found = shared.written(found, "scores")
+    asked = found.where("cold IS NOT NULL")
+    asked = asked.join(words.select((F.col("h").bitwiseOR(F.lit(-(1 << 63)))).alias("cold"), "c"), "cold")
+    asked = asked.select("id", (F.col("log_s") + F.col("m") * F.log("c")).alias("log_s"), "n", "found")
+    both = found.where("cold IS NULL").select("id", "log_s", "n", "found").union(asked)
     both = both.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("log_s", "n", "found")])
     both = both.join(rows.select("id", "doc"), "id").drop("id").withColumnRenamed("doc", "id")
     out = both.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("found").alias("n_found"), F.sum("log_s").alias("s"))
