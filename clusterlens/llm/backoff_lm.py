@@ -49,7 +49,7 @@ ALPHA = 0.4
 HOT_WORDS = 1 << 19
 HOT_PAIRS = 1 << 17
 LOCAL_SHARE = 1 << 16  # a bigram of this share of a batch is a candidate
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 4_000_000
 _BLOCK = 4 << 20
 _U = np.uint64
 _COLD = _U(1 << 63)
@@ -168,19 +168,21 @@ def _own(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return c[at]
 
 
-_GRAMS = "id long, v long, w long, k int, log_s double, n int, found int"
+_GRAMS = "id long, gram long, v long, w long, k int, log_s double, n int, found int"
+_CODE_BITS = 20  # codes of hot words: at most HOT_WORDS of them
 
 
 def _exploded(docs: DataFrame, known) -> DataFrame:
-    """Bigrams (row id, code of v or 0, code of w, k times in the row), and one
-    row per text (v null, w its id) with the sums of what the broadcast counts
-    settle."""
+    """Bigrams (row id, gram, code of v or 0, code of w, k times in the row), and
+    one row per text (v null, w its document) with the sums of what the broadcast
+    counts settle. ``gram`` is the two codes side by side if both words are hot
+    (v and w are 0 then, so that the row is small when compressed), else a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, k = _hasher(), Known(*known.value)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for b in W.blocks(batch.column(1), _BLOCK):
+            ids, docs_of = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for b in W.blocks(batch.column(2), _BLOCK):
                 h, rows, after = _tokens(b, hasher)
                 code = k.code(h)
                 before = np.zeros(len(h), _U)
@@ -205,31 +207,40 @@ def _exploded(docs: DataFrame, known) -> DataFrame:
                 n = len(b)
                 mine = ids[b.first:b.first + n].astype(np.int64)
                 rest = np.flatnonzero(~hot & ~first)
-                gram = W.mix(_pair(before[rest], code[rest]) ^ W.mix(rows[rest].astype(_U), 5), 6)
-                _, at, times = np.unique(gram, return_index=True, return_counts=True)
+                key = W.mix(_pair(before[rest], code[rest]) ^ W.mix(rows[rest].astype(_U), 5), 6)
+                _, at, times = np.unique(key, return_index=True, return_counts=True)
                 order = np.argsort(at)  # rows of one text stay together
                 x, times = rest[at[order]], times[order]
-                ends = len(x) + n
+                v, w, ends = before[x], code[x], len(x) + n
+                known_both = (v > 0) & (v < _COLD) & (w < _COLD)
+                gram = np.where(known_both, v << _U(_CODE_BITS) | w, _pair(v, w) | _COLD)
+                v, w = np.where(known_both, _U(0), v), np.where(known_both, _U(0), w)
+                home = docs_of[b.first:b.first + n].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([mine[rows[x]], mine])),
-                     pa.array(np.concatenate([before[x].view(np.int64), mine]), mask=np.arange(ends) >= len(x)),
-                     pa.array(np.concatenate([code[x].view(np.int64), mine])),
+                     pa.array(np.concatenate([gram.view(np.int64), mine])),
+                     pa.array(np.concatenate([v.view(np.int64), mine]), mask=np.arange(ends) >= len(x)),
+                     pa.array(np.concatenate([w.view(np.int64), home])),
                      pa.array(np.concatenate([times, np.zeros(n)]).astype(np.int32)),
                      pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=log_s, minlength=n)])),
                      pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, minlength=n)]).astype(np.int32)),
                      pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=found, minlength=n)]).astype(np.int32))],
-                    names=["id", "v", "w", "k", "log_s", "n", "found"])
+                    names=["id", "gram", "v", "w", "k", "log_s", "n", "found"])
 
-    return docs.select("id", "text").mapInArrow(run, _GRAMS)
+    return docs.select("id", "doc", "text").mapInArrow(run, _GRAMS)
 
 
 def _scored(grams: DataFrame, hot: DataFrame, total: int, parts: int) -> DataFrame:
-    """Partial sums (id, log_s, n, found), where ``cold`` is null, and for each
-    (id, cold word) the factor ``m`` of the logarithm of that word's count.
+    """Partial sums (id, doc, log_s, n, found), where ``cold`` is null, and for
+    each (id, cold word) the factor ``m`` of the logarithm of that word's count.
     ``hot`` is (code, c) of the hot words."""
-    count = F.sum("k").over(Window.partitionBy("v", "w"))
+    count = F.sum("k").over(Window.partitionBy("gram"))
     real = F.col("v").isNotNull()
-    rows = grams.repartition(parts, "v", "w").withColumn("left", count - F.col("k"))
+    both_hot = real & (F.col("w") == 0)
+    rows = grams.repartition(parts, "gram").withColumn("left", count - F.col("k"))
+    rows = rows.withColumn("doc", F.when(~real, F.col("w"))).withColumns({
+        "v": F.when(both_hot, F.shiftright("gram", _CODE_BITS)).otherwise(F.col("v")),
+        "w": F.when(both_hot, F.col("gram").bitwiseAND(F.lit((1 << _CODE_BITS) - 1))).otherwise(F.col("w"))})
     rows = rows.withColumn("hit", real & (F.col("v") != 0) & (F.col("left") > 0))
     # log(left) - log c(v) when others hold the bigram, else log(ALPHA) + log c(w) - log N
     rows = rows.withColumn("code", F.when(real, F.when(F.col("hit"), F.col("v")).otherwise(F.col("w"))))
@@ -238,10 +249,10 @@ def _scored(grams: DataFrame, hot: DataFrame, total: int, parts: int) -> DataFra
     own = (F.when(F.col("hit"), F.log("left")).when(F.col("v") == 0, F.lit(-math.log(max(total, 1))))
            .otherwise(F.lit(math.log(ALPHA / max(total, 1))))) * F.col("k")
     log_s = F.when(real, own + F.coalesce(sign * F.log("c"), F.lit(0.0))).otherwise(F.col("log_s"))
-    rows = rows.select("id", F.when(F.col("c").isNull(), F.col("code")).alias("cold"), log_s.alias("log_s"),
+    rows = rows.select("id", "doc", F.when(F.col("c").isNull(), F.col("code")).alias("cold"), log_s.alias("log_s"),
                        F.when(real & F.col("c").isNull(), sign).otherwise(0).alias("m"), "n",
                        (F.col("found") + F.when(F.col("hit"), F.col("k")).otherwise(0)).alias("found"))
-    return rows.groupBy("id", "cold").agg(*[F.sum(c).alias(c) for c in ("log_s", "m", "n", "found")])
+    return rows.groupBy("id", "cold").agg(F.max("doc").alias("doc"), *[F.sum(c).alias(c) for c in ("log_s", "m", "n", "found")])
 
 
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_words: int = BUCKET_WORDS) -> DataFrame:
@@ -250,8 +261,8 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint").alias("doc"),
                        F.col(f"`{text}`").alias("text"))
-    # rows are scored one by one, so each has a key of its own, the same for every reader
-    rows = shared.written(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    # rows are scored one by one, so each has a key of its own, used within one reading only
+    rows = rows.withColumn("id", F.monotonically_increasing_id())
     counts = shared.written(_word_counts(rows), "counts")
     words = counts.where("kind = 0").select("h", "c")
     total = words.agg(F.sum("c").alias("n")).first()["n"] or 0
@@ -267,9 +278,9 @@ def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = found.where("cold IS NOT NULL")
     asked = asked.join(words.select((F.col("h").bitwiseOR(F.lit(-(1 << 63)))).alias("cold"), "c"), "cold")
     asked = asked.select("id", (F.col("log_s") + F.col("m") * F.log("c")).alias("log_s"), "n", "found")
-    both = found.where("cold IS NULL").select("id", "log_s", "n", "found").union(asked)
-    both = both.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("log_s", "n", "found")])
-    both = both.join(rows.select("id", "doc"), "id").drop("id").withColumnRenamed("doc", "id")
+    both = found.where("cold IS NULL").select("id", "doc", "log_s", "n", "found").unionByName(asked, allowMissingColumns=True)
+    both = both.groupBy("id").agg(F.max("doc").alias("doc"), *[F.sum(c).alias(c) for c in ("log_s", "n", "found")])
+    both = both.drop("id").withColumnRenamed("doc", "id")
     out = both.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("found").alias("n_found"), F.sum("log_s").alias("s"))
     return out.select("id", "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("s")).alias("log_score"))
 
