@@ -168,15 +168,14 @@ def _own(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return c[at]
 
 
-_GRAMS = "id long, gram long, v long, w long, k int, log_s double, n int, found int"
-_CODE_BITS = 20  # codes of hot words: at most HOT_WORDS of them
+_GRAMS = "id long, v long, w long, k int, log_s double, n int, found int, doc long"
 
 
 def _exploded(docs: DataFrame, known) -> DataFrame:
-    """Bigrams (row id, gram, code of v or 0, code of w, k times in the row), and
-    one row per text (v null, w its document) with the sums of what the broadcast
-    counts settle. ``gram`` is the two codes side by side if both words are hot
-    (v and w are 0 then, so that the row is small when compressed), else a hash."""
+    """Bigrams (row id, code of v or 0, code of w, k times in the row), and one
+    row per text (v null, w its id) with its document and the sums of what the
+    broadcast counts settle. Bigrams leave a block in the order of their words,
+    so that neighbouring rows are alike and shuffle files small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, k = _hasher(), Known(*known.value)
@@ -209,23 +208,21 @@ def _exploded(docs: DataFrame, known) -> DataFrame:
                 rest = np.flatnonzero(~hot & ~first)
                 key = W.mix(_pair(before[rest], code[rest]) ^ W.mix(rows[rest].astype(_U), 5), 6)
                 _, at, times = np.unique(key, return_index=True, return_counts=True)
-                order = np.argsort(at)  # rows of one text stay together
-                x, times = rest[at[order]], times[order]
-                v, w, ends = before[x], code[x], len(x) + n
-                known_both = (v > 0) & (v < _COLD) & (w < _COLD)
-                gram = np.where(known_both, v << _U(_CODE_BITS) | w, _pair(v, w) | _COLD)
-                v, w = np.where(known_both, _U(0), v), np.where(known_both, _U(0), w)
+                x = rest[at]
+                order = np.lexsort((before[x], code[x]))
+                x, times = x[order], times[order]
+                ends = len(x) + n
                 home = docs_of[b.first:b.first + n].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([mine[rows[x]], mine])),
-                     pa.array(np.concatenate([gram.view(np.int64), mine])),
-                     pa.array(np.concatenate([v.view(np.int64), mine]), mask=np.arange(ends) >= len(x)),
-                     pa.array(np.concatenate([w.view(np.int64), home])),
+                     pa.array(np.concatenate([before[x].view(np.int64), mine]), mask=np.arange(ends) >= len(x)),
+                     pa.array(np.concatenate([code[x].view(np.int64), mine])),
                      pa.array(np.concatenate([times, np.zeros(n)]).astype(np.int32)),
                      pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=log_s, minlength=n)])),
                      pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, minlength=n)]).astype(np.int32)),
-                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=found, minlength=n)]).astype(np.int32))],
-                    names=["id", "gram", "v", "w", "k", "log_s", "n", "found"])
+                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=found, minlength=n)]).astype(np.int32)),
+                     pa.array(np.concatenate([np.zeros(len(x), np.int64), home]), mask=np.arange(ends) < len(x))],
+                    names=["id", "v", "w", "k", "log_s", "n", "found", "doc"])
 
     return docs.select("id", "doc", "text").mapInArrow(run, _GRAMS)
 
@@ -234,13 +231,9 @@ def _scored(grams: DataFrame, hot: DataFrame, total: int, parts: int) -> DataFra
     """Partial sums (id, doc, log_s, n, found), where ``cold`` is null, and for
     each (id, cold word) the factor ``m`` of the logarithm of that word's count.
     ``hot`` is (code, c) of the hot words."""
-    count = F.sum("k").over(Window.partitionBy("gram"))
+    count = F.sum("k").over(Window.partitionBy("v", "w"))
     real = F.col("v").isNotNull()
-    both_hot = real & (F.col("w") == 0)
-    rows = grams.repartition(parts, "gram").withColumn("left", count - F.col("k"))
-    rows = rows.withColumn("doc", F.when(~real, F.col("w"))).withColumns({
-        "v": F.when(both_hot, F.shiftright("gram", _CODE_BITS)).otherwise(F.col("v")),
-        "w": F.when(both_hot, F.col("gram").bitwiseAND(F.lit((1 << _CODE_BITS) - 1))).otherwise(F.col("w"))})
+    rows = grams.repartition(parts, "v", "w").withColumn("left", count - F.col("k"))
     rows = rows.withColumn("hit", real & (F.col("v") != 0) & (F.col("left") > 0))
     # log(left) - log c(v) when others hold the bigram, else log(ALPHA) + log c(w) - log N
     rows = rows.withColumn("code", F.when(real, F.when(F.col("hit"), F.col("v")).otherwise(F.col("w"))))
