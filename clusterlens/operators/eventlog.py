@@ -14,6 +14,11 @@ def app_id(log: DataFrame) -> DataFrame:
     return log.where(F.col("`App ID`").isNotNull()).agg(F.min("`App ID`").alias("app_id"))
 
 
+def app_ids(log: DataFrame) -> DataFrame:
+    """The ids of all applications whose logs are read, each once."""
+    return log.where(F.col("`App ID`").isNotNull()).select(F.col("`App ID`").alias("app_id")).distinct()
+
+
 def _view(log: DataFrame) -> str:
     name = f"eventlog_{uuid.uuid4().hex[:12]}"
     log.createOrReplaceTempView(name)

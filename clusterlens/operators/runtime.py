@@ -356,7 +356,7 @@ def stage_totals_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
     ``SparkListenerTaskEnd`` carries both the stage id and the metrics, so
     this is one scan and one aggregate, with no join (``stage_totals`` is the
     form for listener files, whose metric rows lack the stage)."""
-    ends = with_app_id(log.where(F.col("Event") == "SparkListenerTaskEnd"), scope)
+    ends = with_app_id(log, scope).where(F.col("Event") == "SparkListenerTaskEnd")
     attrs = dict(_task_metric_attrs())
     return (ends.groupBy("app_id", F.col("`Stage ID`").alias("stageId"))
             .agg(F.count(F.lit(1)).alias("tasks"),
@@ -366,7 +366,7 @@ def stage_totals_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
 def node_totals_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
     """Per-node task-metric totals straight from ``SparkListenerTaskEnd``
     events: one scan, one aggregate (``node_totals`` is the listener form)."""
-    ends = with_app_id(log.where(F.col("Event") == "SparkListenerTaskEnd"), scope)
+    ends = with_app_id(log, scope).where(F.col("Event") == "SparkListenerTaskEnd")
     attrs = dict(_task_metric_attrs())
     return (ends.groupBy("app_id", attrs["node"].alias("node"))
             .agg(F.count(F.lit(1)).alias("tasks"),

@@ -6,6 +6,7 @@ from them), so its work grows with the data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,21 +16,23 @@ from pyspark.sql import functions as F
 from clusterlens.functions.numeric import round_sig
 from clusterlens.operators import eventlog as EL
 from clusterlens.operators import graph as G
+from clusterlens.operators import moments as M
 from clusterlens.operators import runtime as D
 from clusterlens.operators import records as R
 from clusterlens.operators import series as FS
 from clusterlens.operators import sinkfiles as C
+from clusterlens.operators import sketches as K
 from clusterlens.operators import spells as H
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
-from clusterlens.sources.eventlog import event_log_path, read_event_log
+from clusterlens.sources.eventlog import applications_log_path, event_log_path, read_event_log
 from clusterlens.sources.materialize import cut, materialized
 from clusterlens.sources.edges import read_edge_list, write_edge_list
 from clusterlens.sources.series import application_marks, event_marks, node_series, read_marks, read_series
 from clusterlens.session import shared_dir, source_key
 from clusterlens.sources.filelines import read_numbered_lines
-from clusterlens.sources.sinkfiles import (SINK_APP, read_sink_files, restarted_sink_path, sink_files_path,
-                                           sink_name_of_path)
+from clusterlens.sources.sinkfiles import (SINK_APP, read_sink_files, redelivered_sink_path, restarted_sink_path,
+                                           sink_files_path, sink_name_of_path)
 from clusterlens.sources.songs import song_lines
 from clusterlens.streaming import jobs as ST
 from clusterlens.sources.spells import network_spells, read_edge_spells, read_vertex_spells, task_activity
@@ -101,6 +104,36 @@ def char_count(spark, sf_dir):
     return T.char_count(table(spark, sf_dir, "pages"), "html")
 
 
+def _source_words(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", F.lower("text").alias("value"))
+    return T.words(docs, keep=("source",))
+
+
+@register("distinct_words_sketch")
+def distinct_words_sketch(spark, sf_dir):
+    """Distinct words, exact, and whether the union of the sources' stored states is within its bound."""
+    words = _source_words(spark, sf_dir)
+    states = cut(K.distinct_states(words, "word", ("source",)), "distinct-states")
+    exact = words.agg(F.count_distinct("word").alias("distinct_words"))
+    estimate = K.distinct_estimate(K.merge_distinct(states)).scalar()
+    off = F.abs(estimate - F.col("distinct_words"))
+    return exact.select("distinct_words", (off <= F.col("distinct_words") * K.distinct_error()).alias("within"))
+
+
+HEAVY = 0.001
+
+
+@register("heavy_words")
+def heavy_words(spark, sf_dir):
+    """Words with a share of at least 1/1000: named by the union of the
+    sources' stored states, then counted exactly."""
+    words = _source_words(spark, sf_dir)
+    states = K.merge_frequent(cut(K.frequent_states(words, "word", ("source",)), "frequent-states"))
+    named = K.frequent_values(states, HEAVY).select(F.col("value").alias("word"))
+    counts = words.join(named, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") * 1000 >= states.select("n").scalar())
+
+
 # --- B: song records and correlation -----------------------------------------
 
 def _parsed(spark, sf_dir, fields=None):
@@ -203,6 +236,33 @@ def corr_rank(spark, sf_dir):
     return S.rank_correlation(h, t, "hotness", "tempo").select(round_sig(F.col("rho"), 8).alias("rho"))
 
 
+@register("corr_moments")
+def corr_moments(spark, sf_dir):
+    """r over the joined rows, from centred co-moments."""
+    kv = _kv_checkpointed(spark, sf_dir)
+    out = M.pair_correlation(R.hot_pairs(kv), R.tempo_pairs(kv), "hotness", "tempo", "track7Id")
+    return out.select("rows", round_sig(F.col("r"), 8).alias("r"))
+
+
+FAR_FROM_ZERO = 1e9
+
+
+@register("corr_moments_by_artist")
+def corr_moments_by_artist(spark, sf_dir):
+    """r of duration and tempo per artist, both far from zero, from states kept
+    per year: odd and even years come as two batches, the odd ones twice."""
+    tr = _tracks(spark, sf_dir, ["artist7Id", "duration", "tempo", "year"])
+    rows = cut(tr.select("artist7Id", "year", (F.col("duration") + FAR_FROM_ZERO).alias("x"),
+                         (F.col("tempo") + FAR_FROM_ZERO).alias("y")), "song-moments")
+    store = shared_dir(spark, "stores", uuid.uuid4().hex)
+    for odd in (1, 0, 1):
+        states = M.value_states(rows.where(F.col("year") % 2 == odd), "x", "y", ("artist7Id", "year"))
+        M.store_states(states, store, "year")
+    merged = M.merge_states(M.stored_states(spark, store), ("artist7Id",))
+    return merged.select("artist7Id", "n", round_sig(F.col("at_x") - FAR_FROM_ZERO + F.col("mean_x"), 8).alias("avg_duration"),
+                         round_sig(M.r_of(), 8).alias("r"))
+
+
 @register("fade_ratio")
 def fade_ratio(spark, sf_dir):
     return R.fade_ratio(_tracks(spark, sf_dir, ["track7Id", "duration", "startOfFadeOut", "danceability",
@@ -500,6 +560,52 @@ def run_summary(spark, sf_dir):
     return D.run_summary(_log(spark, sf_dir), scope="path")
 
 
+def _apps(spark, sf_dir):
+    return read_event_log(spark, applications_log_path(spark, sf_dir))
+
+
+@register("evt_block_updates")
+def evt_block_updates(spark, sf_dir):
+    """Block updates of several applications: blocks of data sets and of broadcast values."""
+    norm = D.normalise(_apps(spark, sf_dir), block_filter=F.lit(True), scope="dir")
+    return D.event_rows(norm).where(F.col("event") == "BLOCK-UDPATED")
+
+
+@register("app_durations")
+def app_durations(spark, sf_dir):
+    return D.durations_from_log(_apps(spark, sf_dir), scope="dir")
+
+
+@register("app_stage_totals")
+def app_stage_totals(spark, sf_dir):
+    return D.stage_totals_from_log(_apps(spark, sf_dir), scope="dir")
+
+
+@register("app_node_totals")
+def app_node_totals(spark, sf_dir):
+    return D.node_totals_from_log(_apps(spark, sf_dir), scope="dir")
+
+
+@register("app_summary")
+def app_summary(spark, sf_dir):
+    return D.run_summary(_apps(spark, sf_dir), scope="dir")
+
+
+@register("task_time_quantiles")
+def task_time_quantiles(spark, sf_dir):
+    """p50, p95 and p99 of task times per stage and node from states kept per
+    day: whether the exact rank of each answer is within the stated error."""
+    by = ("stage_id", "executor")
+    took = task_table(spark, sf_dir).select(
+        *by, (F.col("finish_ms") - F.col("launch_ms")).alias("took"), (F.col("launch_ms") / 86_400_000).cast("bigint").alias("day"))
+    states = cut(K.quantile_states(took, "took", (*by, "day")), "time-states")
+    answers = K.quantiles(K.merge_quantiles(states, by), by)
+    ranks = K.quantile_ranks(took, "took", answers, by)
+    error = K.rank_error()
+    within = (F.col("low") - error <= F.col("q")) & (F.col("q") <= F.col("high") + error)
+    return ranks.select(*by, F.col("n").alias("tasks"), "q", within.alias("within"))
+
+
 # --- E: SQL over the event log -----------------------------------------------------
 
 @register("log_app_id")
@@ -507,6 +613,11 @@ def log_app_id(spark, sf_dir):
     return EL.app_id(_log(spark, sf_dir))
 
 
+@register("log_app_ids")
+def log_app_ids(spark, sf_dir):
+    return EL.app_ids(_apps(spark, sf_dir))
+
+
 @register("log_event_types")
 def log_event_types(spark, sf_dir):
     return EL.event_types(_log(spark, sf_dir))
@@ -667,6 +778,14 @@ def stream_collate(spark, sf_dir):
         spark, src, out, ck, SINK_APP, SINK_HOST, SINK_USER))
 
 
+@register("stream_collate_once")
+def stream_collate_once(spark, sf_dir):
+    """Sink files that are delivered twice, collated once."""
+    src = redelivered_sink_path(spark, sf_dir)
+    return _stream_out(spark, sf_dir, "collate_once", lambda out, ck: ST.stream_collate_once(
+        spark, src, out, ck, SINK_APP, SINK_HOST, SINK_USER))
+
+
 @register("stream_events")
 def stream_events(spark, sf_dir):
     src = event_log_path(spark, sf_dir)

@@ -542,3 +542,43 @@ SQL["stream_durations"] = SQL["durations"]
 SQL["stream_slow_tasks"] = RT + f""" SELECT {APP} AS app_id, 'task' AS scope, CAST(task_id AS VARCHAR) AS id,
     launch_ms // 1000 AS start, CASE WHEN finish_ms // 1000 - launch_ms // 1000 <= 60
                                      THEN finish_ms // 1000 - launch_ms // 1000 END AS elapsed FROM tasks"""
+
+
+# --- states that merge, several applications, redelivered files ------------------------
+
+SQL["corr_moments"] = SONG + f" SELECT count(*) AS rows, {_sig('corr(hotness, tempo)', 8)} AS r FROM pj"
+SQL["corr_moments_by_artist"] = SONG + f""" SELECT artist7Id, count(*) AS n, {_sig('avg(duration)', 8)} AS avg_duration,
+    {_sig('corr(duration, tempo)', 8)} AS r FROM tracks GROUP BY artist7Id"""
+SOURCE_WORDS = r"""WITH low AS (SELECT lower(text) AS t FROM documents),
+words AS (SELECT unnest(CASE WHEN t = '' THEN [''] WHEN regexp_replace(t, '[ .;:()?"]+$', '') = '' THEN []::VARCHAR[]
+          ELSE string_split_regex(regexp_replace(t, '[ .;:()?"]+$', ''), '[ .;:()?"]+') END) AS word FROM low)"""
+SQL["distinct_words_sketch"] = SOURCE_WORDS + " SELECT count(DISTINCT word) AS distinct_words, true AS within FROM words"
+SQL["heavy_words"] = SOURCE_WORDS + """ SELECT word, count(*) AS n FROM words GROUP BY word
+    HAVING count(*) * 1000 >= (SELECT count(*) FROM words)"""
+SQL["task_time_quantiles"] = GRAPH + """ SELECT stage_id, executor, tasks, q::DOUBLE AS q, true AS within
+    FROM (SELECT stage_id, executor, count(*) AS tasks FROM tasks GROUP BY ALL), (VALUES (0.5), (0.95), (0.99)) AS a(q)"""
+_APP_OF = "'app-20240101000000-000' || (task_id % 3)"
+SQL["log_app_ids"] = GRAPH + f" SELECT DISTINCT {_APP_OF} AS app_id FROM tasks"
+SQL["app_summary"] = GRAPH + f""" SELECT {_APP_OF} AS app_id, (max(finish_ms) - min(launch_ms)) // 1000 AS elapsed,
+    '64' AS partitions, '8' AS executors, '1g' AS memory, '1' AS cores FROM tasks GROUP BY 1"""
+SQL["app_durations"] = GRAPH + f""", a AS (SELECT *, {_APP_OF} AS app_id FROM tasks),
+    app AS (SELECT app_id, max(finish_ms) // 1000 - min(launch_ms) // 1000 AS elapsed FROM a GROUP BY app_id)
+    SELECT app_id, 'app' AS scope, app_id AS id, elapsed FROM app
+    UNION ALL SELECT app_id, 'job', '0', elapsed FROM app
+    UNION ALL SELECT app_id, 'stage', CAST(stage_id AS VARCHAR), max(finish_ms) // 1000 - min(launch_ms) // 1000
+      FROM a GROUP BY app_id, stage_id
+    UNION ALL SELECT app_id, 'task', CAST(task_id AS VARCHAR), finish_ms // 1000 - launch_ms // 1000 FROM a"""
+SQL["app_stage_totals"] = RT + f" SELECT {_APP_OF} AS app_id, stage_id AS stageId, count(*) AS tasks, " + ", ".join(
+    f"CAST(sum({_METRIC_EXPR[c]}) AS BIGINT) AS {c}" for c in _METRIC_COLS) + " FROM tm GROUP BY 1, stage_id"
+SQL["app_node_totals"] = SQL["app_stage_totals"].replace("stage_id AS stageId", "node").replace("1, stage_id", "1, node")
+SQL["evt_block_updates"] = GRAPH + f""", b AS (
+      SELECT *, 'rdd_' || stage_id || '_' || task_id AS block FROM tasks WHERE has_metrics
+      UNION ALL SELECT *, 'broadcast_' || stage_id FROM tasks WHERE task_id % 5 = 0),
+    s AS (SELECT *, {_APP_OF} AS app_id, coalesce(bytes_written, 0) * 10 AS size, task_id % 3 = 0 AS disk FROM b)
+    SELECT app_id, 'event' AS kind, finish_ms // 1000 AS epoch, 'BLOCK-UDPATED' AS event,
+           'node=' || host || '|name=' || block AS attrs FROM s
+    UNION ALL SELECT app_id, 'metric', finish_ms // 1000, 'BLOCK-UDPATED',
+           'blockId=' || block || '|isRDD=' || (block LIKE 'rdd_%') || '|isShuffle=false|host=' || host || '|diskSize='
+           || CASE WHEN disk THEN size ELSE 0 END || '|externalBlockStoreSize=0|memSize=' || size || '|storageLevel='
+           || CASE WHEN disk THEN 'Disk Memory' ELSE 'Memory Deserialized' END || ' 1x Replicated' FROM s"""
+SQL["stream_collate_once"] = "SELECT DISTINCT * FROM (" + SQL["stream_collate"] + ")"

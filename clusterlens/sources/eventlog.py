@@ -63,11 +63,10 @@ def _lit(name: str, value) -> Column:
     return F.lit(value).alias(name)
 
 
-def derived_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_event_log(t: DataFrame, app_id: str = APP_ID) -> DataFrame:
     """The event log as JSON text lines (``value``), built from the task
     model: application, executor and block-manager, job, stage and task
     events. Per-app/host/stage figures are aggregates of the task table."""
-    t = task_table(spark, sf_dir)
     app = t.agg(F.min("launch_ms").alias("start"), F.max("finish_ms").alias("end"),
                 F.sort_array(F.collect_set("stage_id")).alias("stages"))
     hosts = t.groupBy("host", "executor").agg(F.min("launch_ms").alias("first"),
@@ -106,7 +105,7 @@ def derived_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.create_map(*[F.lit(x) for kv in sorted(ENV_PROPERTIES.items()) for x in kv])
     parts = [
         app.select(_json(_lit("Event", "SparkListenerApplicationStart"), _lit("App Name", APP_NAME),
-                         _lit("App ID", APP_ID), F.col("start").alias("Timestamp"), _lit("User", "spark"))),
+                         _lit("App ID", app_id), F.col("start").alias("Timestamp"), _lit("User", "spark"))),
         app.select(_json(_lit("Event", "SparkListenerEnvironmentUpdate"),
                          props.alias("Spark Properties"))),
         hosts.select(_json(_lit("Event", "SparkListenerExecutorAdded"), F.col("first").alias("Timestamp"),
@@ -147,12 +146,48 @@ def derived_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def derived_block_updates(t: DataFrame) -> DataFrame:
+    """Block updates as JSON text lines: a task with metrics stores a block of
+    its stage's data set, and every fifth task a block of a broadcast value."""
+    bm = F.struct(F.col("executor").alias("Executor ID"), F.col("host").alias("Host"), F.lit(7337).alias("Port"))
+    disk = F.col("task_id") % 3 == 0
+    level = F.struct(disk.alias("Use Disk"), F.lit(True).alias("Use Memory"), (~disk).alias("Deserialized"),
+                     F.lit(1).alias("Replication"))
+    rdd = F.when(F.col("has_metrics"), F.concat(F.lit("rdd_"), F.col("stage_id"), F.lit("_"), F.col("task_id")))
+    shared = F.when(F.col("task_id") % 5 == 0, F.concat(F.lit("broadcast_"), F.col("stage_id")))
+    blocks = t.withColumn("block", F.explode(F.array_compact(F.array(rdd, shared))))
+    size = F.coalesce(F.col("bytes_written"), F.lit(0)) * 10
+    return blocks.select(_json(
+        _lit("Event", "SparkListenerBlockUpdated"), F.col("finish_ms").alias("Timestamp"),
+        F.struct(bm.alias("Block Manager ID"), F.col("block").alias("Block ID"), level.alias("Storage Level"),
+                 size.alias("Memory Size"), F.when(disk, size).otherwise(0).alias("Disk Size")).alias("Block Updated Info")))
+
+
+APPLICATIONS = 3
+
+
+def applications_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the event logs of several applications, one sub-folder each:
+    tasks are dealt by id, and every application logs its block updates too."""
+    def write(path: str) -> None:
+        logs = None
+        for i in range(APPLICATIONS):
+            t = task_table(spark, sf_dir).where(F.col("task_id") % APPLICATIONS == i)
+            name = f"{APP_ID[:-4]}{i:04d}"
+            log = derived_event_log(t, name).unionByName(derived_block_updates(t)).withColumn("app", F.lit(name))
+            logs = log if logs is None else logs.unionByName(log)
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (logs.repartition(files, F.xxhash64("value")).write.mode("overwrite").partitionBy("app").text(path))
+
+    return materialized(spark, sf_dir, "eventlog-applications", write)
+
+
 def event_log_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the derived event log (written on first use), one
     sub-folder per application as with rolling event logs. The lines are dealt
     to as many files as a shuffle has partitions: ``events`` may be one file."""
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return materialized(spark, sf_dir, "eventlog",
-                        lambda path: derived_event_log(spark, sf_dir)
+                        lambda path: derived_event_log(task_table(spark, sf_dir))
                         .repartition(files, F.xxhash64("value")).withColumn("app", F.lit(APP_ID))
                         .write.mode("overwrite").partitionBy("app").text(path))

@@ -61,6 +61,14 @@ def sink_files_path(spark: SparkSession, sf_dir: str) -> str:
         derived_sink_lines(spark, sf_dir).write.mode("overwrite").partitionBy("sink").text(path)))
 
 
+def redelivered_sink_path(spark: SparkSession, sf_dir: str) -> str:
+    """The sink files twice: under their own names, and as rotated copies."""
+    lines = derived_sink_lines(spark, sf_dir)
+    names = F.array(F.col("sink"), F.concat("sink", F.lit(".1")))
+    return materialized(spark, sf_dir, "sinkfiles-redelivered", lambda path: (
+        lines.select(F.explode(names).alias("sink"), "value").write.mode("overwrite").partitionBy("sink").text(path)))
+
+
 def restarted_sink_path(spark: SparkSession, sf_dir: str) -> str:
     """Sink files whose source restarted every day: a header per day, with the
     user as a further field on odd days; rows of every 97th event are cut off

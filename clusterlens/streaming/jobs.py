@@ -34,6 +34,29 @@ def stream_collate(spark: SparkSession, sink_dir: str, out: str, checkpoint: str
     _run(collate(lines, app_id, host, user), out, checkpoint, trigger)
 
 
+def collate_once(lines: DataFrame, app_id: str, host: str, user: str, delay: str = "1 day") -> DataFrame:
+    """Collated rows of a stream of sink lines, each once, however often and
+    under whatever rotated name (``x.csv``, ``x.csv.1``) its file is delivered: a row
+    is known by its executor, metric and line, whose first field is its time. A
+    row more than ``delay`` older than the newest row is late and dropped, new
+    or not, so the state holds the rows of one ``delay``. Equal lines of one sink
+    are one row; a line without a whole number of seconds at its start has no time, and
+    is left out."""
+    named = lines.withColumn("sink", F.regexp_replace("sink", r"\.csv\.[0-9]+$", ".csv"))
+    rows = collate(named, app_id, host, user)
+    at = F.timestamp_seconds(F.substring_index("line", ",", 1).try_cast("bigint"))
+    rows = rows.withColumn("ts", at).where(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    return rows.dropDuplicatesWithinWatermark(["host", "executor", "metric", "user", "line"]).drop("ts")
+
+
+def stream_collate_once(spark: SparkSession, sink_dir: str, out: str, checkpoint: str, app_id: str,
+                        host: str, user: str, delay: str = "1 day", trigger: dict | None = None) -> None:
+    """Collate metric-sink lines as files arrive, also if they arrive again."""
+    lines = (spark.readStream.format("text").load(sink_dir)
+             .select(sink_name_of_path(F.col("_metadata.file_path")).alias("sink"), "value"))
+    _run(collate_once(lines, app_id, host, user, delay), out, checkpoint, trigger)
+
+
 def event_stream(spark: SparkSession, log_dir: str) -> DataFrame:
     """Normalised runtime events from event-log files as they arrive
     (explicit schema; app id from the folder name, so no join)."""
