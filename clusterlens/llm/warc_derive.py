@@ -4,7 +4,11 @@ From each *response* record come two records that refer to it:
 
 * ``metadata`` (application/warc-fields): links to the source, the source's
   own WARC headers, HTTP status and header lines, and measurements of the body;
-* ``conversion`` (text/plain): the body's text, in blocks.
+* ``conversion`` (text/plain): the body's text, of HTML in blocks, of other
+  text as it is. The body is first freed of its transfer encoding (chunked) and
+  content encodings (gzip, deflate) and read in its character set: by byte order
+  mark, else the header's, else the one a ``meta`` element names, else UTF-8.
+  A body that is not text has no conversion record; its metadata says why.
 
 Both carry WARC-Refers-To with the response's record id, plus
 WARC-Refers-To-Target-URI and WARC-Refers-To-Date, WARC-Block-Digest and
@@ -16,9 +20,15 @@ a loss gives the same records. ``record_bytes`` serialises a record and
 A map over rows: no shuffle, batches are worked through row by row; only the
 record at hand is in memory twice.
 
+Digests are those of the stored block and payload, encodings and all.
+
 Defined results: a null body is an empty body (Content-Length 0 and the
-digests of no bytes); a body that is not HTML text still converts, undecodable
-bytes as U+FFFD; a null URL gives no target URI header; a null date gives none;
+digests of no bytes); undecodable bytes become U+FFFD; a character set that
+nobody knows is passed over; a body said to be chunked that is not is taken as it
+is (crawlers store it so); of a compressed body that breaks off, what came
+before counts, if anything did; a body of an unknown content encoding, of a type
+that is not text, or without type but with the marks of a binary file, or that
+unpacks to more than MAX_BODY bytes, is not text; a null URL gives no target URI header; a null date gives none;
 rows without record id get one from their URL and digest; repeated rows give
 repeated records; an empty table gives an empty table; further columns do not
 matter.
@@ -27,8 +37,11 @@ matter.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +51,8 @@ from pyspark.sql import functions as F
 from clusterlens.llm.markup import text_blocks
 from clusterlens.sources.tables import table
 
+MAX_BODY = 1 << 28  # bytes that a compressed body may unpack to in one task
+
 VERSION = "WARC/1.1"
 FIELDS = "application/warc-fields"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc-derivative")
@@ -72,29 +87,148 @@ def split_http(block: bytes) -> tuple[list[str], bytes]:
     return head.decode("utf-8", "replace").split("\r\n"), body
 
 
-def plain_text(body: bytes) -> str:
-    """All visible text blocks, one per line group."""
-    blocks = text_blocks(body.decode("utf-8", "replace"))
-    return "\n\n".join(b.text for b in blocks if not any(e.tag == "head" for e in b.path))
+class NotText(Exception):
+    """Why a body has no text."""
+
+
+def header_of(lines: list[str], name: str) -> str:
+    """The values of a header, joined by commas; '' without."""
+    pairs = (x.partition(":") for x in lines[1:])
+    return ",".join(v.strip() for n, _, v in pairs if n.strip().lower() == name)
+
+
+def dechunked(body: bytes) -> bytes:
+    """The content of a chunked body, as far as its chunks go; a body that does
+    not start with a chunk as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"([0-9A-Fa-f]{1,15})[ \t]*(;[^\r\n]*)?", body[at:end] if end >= 0 else b"")
+        if not size:
+            return b"".join(out) if out else body
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2:end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def _inflated(body: bytes, window: int, limit: int) -> bytes:
+    """The bytes of one or more zlib streams, as far as they go."""
+    out, size, rest = [], 0, body
+    while rest:
+        stream, some = zlib.decompressobj(window), False
+        while not stream.eof:
+            try:
+                part = stream.decompress(rest, 1 << 20)
+            except zlib.error:
+                if out or some:
+                    return b"".join(out)
+                raise
+            rest = stream.unconsumed_tail
+            if not part and not rest:
+                break
+            out.append(part)
+            some, size = True, size + len(part)
+            if size > limit:
+                raise NotText(f"unpacks to more than {limit} bytes")
+        if not stream.eof:
+            break
+        rest = stream.unused_data if window > 15 else b""  # only gzip has members
+    return b"".join(out)
+
+
+def unpacked(body: bytes, encodings: str, limit: int = MAX_BODY) -> bytes:
+    """The body without its content encodings, the last one first."""
+    for name in reversed([e.strip().lower() for e in encodings.split(",")]):
+        if name in ("", "identity") or not body:
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            raise NotText(f"content encoding {name}")
+        for window in (31,) if "gzip" in name else (15, -15):  # deflate: with a zlib head, or bare
+            try:
+                body = _inflated(body, window, limit)
+                break
+            except zlib.error:
+                pass
+        else:
+            raise NotText(f"broken {name} body")
+    return body
+
+
+# First bytes of binary files that are served without a type.
+_BINARY = (b"%PDF-", b"\x89PNG", b"GIF8", b"\xff\xd8\xff", b"PK\x03\x04", b"\x1f\x8b", b"RIFF", b"OggS", b"\x7fELF")
+# Byte order marks, and codecs that are no character sets.
+_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+_NO_CHARSET = ("idna", "punycode", "undefined", "unicode-escape", "raw-unicode-escape", "utf-7")
+_META = re.compile(rb"(?i)<meta[^>]{0,512}?charset\s*=\s*[\"']?\s*([a-z0-9_:.-]{1,40})")
+
+
+def decoded(body: bytes, ctype: str) -> tuple[str, str]:
+    """(text, character set) of an unpacked body."""
+    for mark, name in _MARKS:
+        if body.startswith(mark):
+            return body[len(mark):].decode(name, "replace"), name
+    named = re.search(r"(?i)charset\s*=\s*[\"']?\s*([^\s\"';,]+)", ctype)
+    meta = _META.search(body[:4096])
+    inside = meta[1].decode("ascii") if meta else ""
+    if inside.lower().startswith("utf-16"):
+        inside = "utf-8"  # it could not be read if it were UTF-16
+    for label in (named[1] if named else "", inside):
+        try:
+            name = codecs.lookup(label).name
+            if name in ("iso8859-1", "ascii"):
+                name = "cp1252"  # what pages mean by these names
+            if name not in _NO_CHARSET:
+                return body.decode(name, "replace"), name
+        except (LookupError, ValueError):
+            continue
+    return body.decode("utf-8", "replace"), "utf-8"
+
+
+def plain_text(lines: list[str], body: bytes, limit: int = MAX_BODY) -> tuple[str, str]:
+    """(text, character set) of a response's body; NotText where it has none."""
+    if "chunked" in header_of(lines, "transfer-encoding").lower():
+        body = dechunked(body)
+    body = unpacked(body, header_of(lines, "content-encoding"), limit)
+    ctype = header_of(lines, "content-type")
+    kind = ctype.partition(";")[0].strip().lower()
+    text_kind = kind.startswith("text/") or kind.endswith(("+xml", "+json", "/xml", "/json", "/javascript"))
+    if kind and not text_kind:
+        raise NotText(f"type {kind}")
+    if not kind and (body.startswith(_BINARY) or (b"\0" in body[:1024] and not body.startswith(tuple(m for m, _ in _MARKS)))):
+        raise NotText("binary body without a type")
+    text, charset = decoded(body, ctype)
+    if kind in ("", "text/html", "application/xhtml+xml"):
+        text = "\n\n".join(b.text for b in text_blocks(text) if not any(e.tag == "head" for e in b.path))
+    return text, charset
 
 
 def derive(source: dict) -> list[dict]:
-    """The metadata and conversion records of one response record: a dict with
+    """The metadata and (of text) conversion records of one response record: a dict with
     id, record_id, target_uri, date, headers [(name, value)], block."""
     block = source["block"] or b""
     lines, body = split_http(block)
     own = [(n, one_line(v)) for n, v in source["headers"] or []]
     block_digest, payload_digest = digest(block), digest(body)
     rid = source["record_id"] or record_urn(source["target_uri"], block_digest)
-    text = plain_text(body)
+    text = charset = reason = None
+    try:
+        text, charset = plain_text(lines, body)
+    except NotText as e:
+        reason = str(e)
     fields = [("via", source["target_uri"]), ("refers-to", rid), ("source-block-digest", block_digest),
               ("source-payload-digest", payload_digest), ("source-block-length", len(block)),
-              ("source-payload-length", len(body)), ("text-length", len(text)),
+              ("source-payload-length", len(body)), ("text-length", None if text is None else len(text)),
+              ("text-charset", charset), ("no-text-reason", reason),
               *((f"source-header-{n.lower()}", v) for n, v in own),
               *((f"http-{'status' if i == 0 else 'header'}", v) for i, v in enumerate(lines))]
     meta = "".join(f"{n}: {one_line(v)}\r\n" for n, v in fields if v is not None).encode("utf-8", "surrogatepass")
     out = []
-    for kind, ctype, data in (("metadata", FIELDS, meta), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass"))):
+    made = [("metadata", FIELDS, meta)]
+    if text is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "surrogatepass")))
+    for kind, ctype, data in made:
         urn, dig = record_urn(rid, kind), digest(data)
         head = [("WARC-Type", kind), ("WARC-Record-ID", urn), ("WARC-Date", source["date"]),
                 ("WARC-Target-URI", source["target_uri"]), ("WARC-Refers-To", rid),

@@ -1,8 +1,10 @@
 import base64
+import gzip
 import hashlib
 import html
 import re
 import time
+import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -200,6 +202,60 @@ def test_records_round_trip_and_link(spark):
     assert A.derivatives(source.where("false")).count() == 0
 
 
+def _chunked(data, size=7):
+    parts = [data[i:i + size] for i in range(0, len(data), size)]
+    return b"".join(b"%x;x=1\r\n%s\r\n" % (len(p), p) for p in parts) + b"0\r\n\r\n"
+
+
+PAGE = "<html><head><title>t</title></head><body><p>café au lait</p><p>two</p></body></html>"
+RAW = zlib.compressobj(wbits=-15)
+BODIES = [  # headers, body, text or the reason that there is none
+    (["Content-Type: text/html; charset=ISO-8859-1"], PAGE.encode("latin-1"), "café au lait\n\ntwo"),
+    (["Content-Type: text/html"], PAGE.replace("<title>", "<meta charset='windows-1252'><title>").encode("cp1252"), "café au lait\n\ntwo"),
+    (["Content-Type: text/html; charset=no-such"], PAGE.encode(), "café au lait\n\ntwo"),
+    (["Content-Type: text/html; charset=base64"], PAGE.encode(), "café au lait\n\ntwo"),
+    (["Content-Type: text/html; charset=latin-1"], b"\xef\xbb\xbf" + PAGE.encode(), "café au lait\n\ntwo"),
+    ([], PAGE.encode("utf-16"), "café au lait\n\ntwo"),
+    (["Content-Encoding: gzip", "Content-Type: text/html"], gzip.compress(PAGE.encode()), "café au lait\n\ntwo"),
+    (["Content-Encoding: gzip"], gzip.compress(PAGE[:50].encode()) + gzip.compress(PAGE[50:].encode()), "café au lait\n\ntwo"),
+    (["content-encoding: deflate"], zlib.compress(PAGE.encode()), "café au lait\n\ntwo"),
+    (["content-encoding: deflate"], RAW.compress(PAGE.encode()) + RAW.flush(), "café au lait\n\ntwo"),
+    (["Transfer-Encoding: chunked", "Content-Encoding: gzip"], _chunked(gzip.compress(PAGE.encode())), "café au lait\n\ntwo"),
+    (["Transfer-Encoding: chunked"], PAGE.encode(), "café au lait\n\ntwo"),
+    (["Content-Encoding: deflate, gzip"], gzip.compress(zlib.compress(PAGE.encode())), "café au lait\n\ntwo"),
+    (["Content-Type: text/plain"], b"a < b\n  <p>c", "a < b\n  <p>c"),
+    (["Content-Encoding: gzip"], b"", ""),
+    (["Content-Encoding: gzip"], b"not packed", None),
+    (["Content-Encoding: br"], b"\x0b\x02", None),
+    (["Content-Type: application/pdf"], b"%PDF-1.7 x", None),
+    (["Content-Type: image/png"], b"\x89PNG", None),
+    ([], b"%PDF-1.7 x", None),
+    ([], b"abc\0def", None),
+]
+
+
+def test_bodies_of_any_encoding(spark):
+    rows = [(i, f"r{i}", None, None, None, bytearray("\r\n".join(["HTTP/1.1 200 OK", *h]).encode() + b"\r\n\r\n" + body))
+            for i, (h, body, _) in enumerate(BODIES)]
+    schema = "id long, record_id string, target_uri string, date string, headers array<struct<name:string,value:string>>, block binary"
+    records = A.derivatives(spark.createDataFrame(rows, schema)).collect()
+    texts = {r.source_id: bytes(r.block).decode() for r in records if r.record_type == "conversion"}
+    metas = {r.source_id: bytes(r.block).decode() for r in records if r.record_type == "metadata"}
+    assert texts == {i: t for i, (_, _, t) in enumerate(BODIES) if t is not None}
+    assert len(metas) == len(BODIES)
+    for i, (_, body, t) in enumerate(BODIES):
+        assert ("no-text-reason: " in metas[i]) == (t is None) and ("text-length: " in metas[i]) == (t is not None)
+        assert "source-payload-digest: " + A.digest(body) in metas[i]
+
+
+def test_a_body_that_breaks_off_or_grows_too_large():
+    packed = gzip.compress(b"".join(b"%d " % i for i in range(20_000)))
+    part = A.unpacked(packed[:len(packed) // 2], "gzip")
+    assert part and b"".join(b"%d " % i for i in range(20_000)).startswith(part)
+    with pytest.raises(A.NotText, match="unpacks"):
+        A.unpacked(gzip.compress(b"a" * 5_000_000), "gzip", 1_000_000)
+
+
 def test_conversion_text_of_pages(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
     for r in A.op1_warc_derive(spark, DIR).where("record_type = 'conversion'").collect():
