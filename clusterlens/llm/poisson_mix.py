@@ -15,9 +15,11 @@ named sources; all other sources (and null) share ``rest`` in proportion to
 their sizes, that is at one rate. The table of rates thus has at most
 MAX_SOURCES + 1 rows and is broadcast: a source that holds a third of all
 rows is neither shuffled nor gathered. Sizes are summed map-side first. The
-cumulative table of one source has about rate + 12 * sqrt(rate) + 30 entries;
-rates above MAX_RATE are refused. The only shuffle of texts is the final
-range partitioning by a uniform key.
+cumulative table of one source has about rate + 12 * sqrt(rate) + 30 entries; a
+rate above MAX_RATE is drawn as the sum of independent draws at equal parts of
+it (a sum of Poisson numbers is one of the summed mean), so no table grows beyond
+that. The only shuffle of texts is the final one: the key is uniform, so
+ranges of equal width are equally full, and no pass has to sample it.
 
 Defined results: a null source belongs to the rest; a null or empty text
 counts 0 characters but is drawn like any other document; a weight of 0 drops
@@ -100,25 +102,37 @@ def rates(docs: DataFrame, weights: dict[str, float], rest: float = 0.0, budget:
     return out.select(plan["grp"], rate.alias("rate"))
 
 
+def _drawn(u: Column) -> Column:
+    """The Poisson number at ``u``: how many cumulative probabilities it reaches."""
+    return F.size(F.filter("cdf", lambda c: c <= u))
+
+
+def _further(seed: int) -> Column:
+    """The sum of the second and later draws, where a rate is drawn in parts."""
+    later = F.transform(F.sequence(F.lit(2), F.col("draws")),
+                        lambda j: _drawn(unit_hash(F.lit(seed), F.col("ident"), F.lit("part"), j)))
+    return F.when(F.col("draws") > 1, F.aggregate(later, F.lit(0), lambda a, x: a + x)).otherwise(0)
+
+
 def poisson_mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, rest: float = REST, budget: float = 1.0,
                 seed: int = SEED, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: ``docs`` rows times their Poisson counts, with ``copy``
     (1, 2, ...) and ``shuffle_key``, partitioned and ordered by that key."""
     docs = shared.without(docs, "copy", "shuffle_key")
     found = rates(docs, weights, rest, budget, source, text)
-    checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(
-        F.raise_error(F.lit(f"a repetition rate is above {MAX_RATE}")).cast("double"))
-    known = found.select("grp", cumulative(checked).alias("cdf"))
+    draws = F.greatest(F.ceil(F.col("rate") / MAX_RATE).cast("int"), F.lit(1))
+    known = found.select("grp", draws.alias("draws"), cumulative(F.col("rate") / draws).alias("cdf"))
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(f"`{text}`")).cast("string")))
     rows = shared.packed(docs, source=group_of(F.col(f"`{source}`"), weights), ident=ident)
     rows = rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("grp")), "inner")
     rows = rows.withColumn("u", unit_hash(F.lit(seed), F.col("ident")))
-    rows = rows.withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    rows = rows.withColumn("n", _drawn(F.col("u")) + _further(seed)).where("n > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
     rows = rows.withColumn("shuffle_key", unit_hash(F.lit(seed), F.col("ident"), F.col("copy")))
     rows = rows.select("row.*", "copy", "shuffle_key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    part = F.floor(F.col("shuffle_key") * parts).cast("int")
+    return rows.repartitionById(parts, part).sortWithinPartitions("shuffle_key", "copy")
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,18 @@ def test_nulls_and_limits(documents):
     assert P.poisson_mix(docs, {"src0": 1.0}, 0.0).where("source <> 'src0'").count() == 0
     with pytest.raises(ValueError):
         P.rates(docs, {"a": -1.0})
-    with pytest.raises(Exception, match="repetition rate"):
-        P.poisson_mix(docs, {}, 1.0, 1e9).count()
+
+
+def test_a_large_rate_is_drawn_in_parts(documents, monkeypatch):
+    docs = rows_of(documents, 900)
+    monkeypatch.setattr(P, "MAX_RATE", 2.0)
+    n = Counter(r.doc_id for r in P.poisson_mix(docs, {}, 1.0, 7.0).select("doc_id").collect())
+    counts = [n[i] for i in range(900)]
+    mean = sum(counts) / 900
+    assert abs(mean - 7) < 5 * math.sqrt(7 / 900)
+    assert abs(sum((c - mean) ** 2 for c in counts) / 900 / 7 - 1) < 0.25  # the parts are independent
+    a, b = (sorted((r.doc_id, r.copy) for r in P.poisson_mix(d, {}, 1.0, 7.0).collect()) for d in (docs, docs.repartition(5)))
+    assert a == b
 
 
 def test_plan_has_no_python_and_no_nested_loop(spark):
