@@ -25,7 +25,8 @@ from clusterlens.operators import sketches as K
 from clusterlens.operators import spells as H
 from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
-from clusterlens.sources.eventlog import applications_log_path, event_log_path, read_event_log
+from clusterlens.sources.eventlog import (EVENT_LOG_SCHEMA, applications_log_path, event_log_path, open_log_path,
+                                          read_event_log, read_open_log)
 from clusterlens.sources.materialize import cut, materialized
 from clusterlens.sources.edges import read_edge_list, write_edge_list
 from clusterlens.sources.series import application_marks, event_marks, node_series, read_marks, read_series
@@ -618,6 +619,34 @@ def log_app_ids(spark, sf_dir):
     return EL.app_ids(_apps(spark, sf_dir))
 
 
+def _open(spark, sf_dir):
+    return read_open_log(spark, open_log_path(spark, sf_dir))
+
+
+@register("log_event_lines")
+def log_event_lines(spark, sf_dir):
+    """Lines of each event kind, known or not."""
+    return EL.event_shapes(_open(spark, sf_dir)).select("event", "lines")
+
+
+@register("log_unknown_fields")
+def log_unknown_fields(spark, sf_dir):
+    return EL.unknown_fields(_open(spark, sf_dir), EVENT_LOG_SCHEMA)
+
+
+@register("log_heap_by_executor")
+def log_heap_by_executor(spark, sf_dir):
+    """A field of an event that the explicit schema does not know."""
+    rows = EL.field_values(_open(spark, sf_dir), "SparkListenerExecutorMetricsUpdate",
+                           executor=("$['Executor ID']", "string"), heap=("$['Metrics Updated'][0].Heap", "bigint"))
+    return rows.groupBy("executor").agg(F.count(F.lit(1)).alias("updates"), F.max("heap").alias("heap"))
+
+
+@register("log_broken_lines")
+def log_broken_lines(spark, sf_dir):
+    return EL.broken_lines(_open(spark, sf_dir))
+
+
 @register("log_event_types")
 def log_event_types(spark, sf_dir):
     return EL.event_types(_log(spark, sf_dir))

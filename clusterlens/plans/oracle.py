@@ -582,3 +582,26 @@ SQL["evt_block_updates"] = GRAPH + f""", b AS (
            || CASE WHEN disk THEN size ELSE 0 END || '|externalBlockStoreSize=0|memSize=' || size || '|storageLevel='
            || CASE WHEN disk THEN 'Disk Memory' ELSE 'Memory Deserialized' END || ' 1x Replicated' FROM s"""
 SQL["stream_collate_once"] = "SELECT DISTINCT * FROM (" + SQL["stream_collate"] + ")"
+
+
+# --- logs of unknown shape -----------------------------------------------------------------
+
+SQL["log_heap_by_executor"] = GRAPH + """ SELECT executor, count(*) AS updates, max(bytes_written) AS heap
+    FROM tasks GROUP BY executor"""
+SQL["log_broken_lines"] = GRAPH + """ SELECT '{"Event":"cut' || task_id AS line FROM tasks WHERE task_id % 50 = 0"""
+SQL["log_unknown_fields"] = GRAPH + """ SELECT 'SparkListenerExecutorMetricsUpdate' AS event, 'Note' AS field,
+      'STRING' AS shape, count(*) AS lines FROM tasks WHERE task_id % 4 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'SparkListenerExecutorMetricsUpdate', 'Metrics Updated',
+      'ARRAY<OBJECT<' || CASE WHEN count(bytes_written) > 0 THEN 'Heap: BIGINT, ' ELSE '' END || '`Task ID`: BIGINT>>',
+      count(*) FROM tasks HAVING count(*) > 0"""
+SQL["log_event_lines"] = RT + """, lines(event, n) AS (
+    SELECT 'SparkListenerApplicationStart', 1 UNION ALL SELECT 'SparkListenerEnvironmentUpdate', 1
+    UNION ALL SELECT 'SparkListenerApplicationEnd', 1 UNION ALL SELECT 'SparkListenerJobStart', 1
+    UNION ALL SELECT 'SparkListenerJobEnd', 1
+    UNION ALL SELECT unnest(['SparkListenerExecutorAdded', 'SparkListenerBlockManagerAdded',
+                             'SparkListenerExecutorRemoved']), (SELECT count(*) FROM hosts)
+    UNION ALL SELECT unnest(['SparkListenerStageSubmitted', 'SparkListenerStageCompleted']), (SELECT count(*) FROM stg)
+    UNION ALL SELECT unnest(['SparkListenerTaskStart', 'SparkListenerTaskEnd', 'SparkListenerExecutorMetricsUpdate']),
+                     (SELECT count(*) FROM tasks)
+    UNION ALL SELECT NULL, (SELECT count(*) FROM tasks WHERE task_id % 50 = 0))
+    SELECT event, n AS lines FROM lines WHERE n > 0"""

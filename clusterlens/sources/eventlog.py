@@ -55,6 +55,15 @@ def read_event_log(spark: SparkSession, path: str, schema: str | None = EVENT_LO
     return reader.json(path)
 
 
+def read_open_log(spark: SparkSession, path: str) -> DataFrame:
+    """``(event, body, line)``: every line of a log of unknown shape, its event
+    name and the whole of it as a VARIANT, so that no event and no field is lost.
+    A line that is not JSON has a null body (and event) and keeps its text."""
+    body = F.try_parse_json("value")
+    lines = spark.read.text(path).select(body.alias("body"), "value")
+    return lines.select(F.try_variant_get("body", "$.Event", "string").alias("event"), "body", F.col("value").alias("line"))
+
+
 def _json(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields)).alias("value")
 
@@ -163,6 +172,23 @@ def derived_block_updates(t: DataFrame) -> DataFrame:
                  size.alias("Memory Size"), F.when(disk, size).otherwise(0).alias("Disk Size")).alias("Block Updated Info")))
 
 
+def open_log_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of an event log with lines that the explicit schema does not know: a
+    metrics update per task, with a note on every fourth, and cut-off lines."""
+    def write(path: str) -> None:
+        t = task_table(spark, sf_dir)
+        metrics = F.array(F.struct(F.col("task_id").alias("Task ID"), F.col("bytes_written").alias("Heap")))
+        updates = t.select(_json(_lit("Event", "SparkListenerExecutorMetricsUpdate"), F.col("executor").alias("Executor ID"),
+                                 metrics.alias("Metrics Updated"),
+                                 F.when(F.col("task_id") % 4 == 0, F.col("locality")).alias("Note")))
+        cut_off = t.where(F.col("task_id") % 50 == 0).select(F.concat(F.lit('{"Event":"cut'), "task_id").alias("value"))
+        log = derived_event_log(t).unionByName(updates).unionByName(cut_off)
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        log.repartition(files, F.xxhash64("value")).write.mode("overwrite").text(path)
+
+    return materialized(spark, sf_dir, "eventlog-open", write)
+
+
 APPLICATIONS = 3
 
 

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clusterlens.operators import eventlog as EL
 from clusterlens.operators import moments as M
 from clusterlens.operators import runtime as D
 from clusterlens.operators import sketches as K
-from clusterlens.sources.eventlog import read_event_log
+from clusterlens.sources.eventlog import EVENT_LOG_SCHEMA, read_event_log, read_open_log
 from clusterlens.streaming import jobs as ST
 
 FAR = 1e9
@@ -143,3 +144,18 @@ def test_totals_keep_applications_apart_when_ids_come_from_the_start_event(spark
     stages = {(r.app_id, r.stageId): r.tasks for r in D.stage_totals_from_log(got, "dir").collect()}
     assert stages == {("a", 0): 2, ("a", 1): 1, ("b", 0): 3, ("b", 1): 2}
     assert {(r.app_id, r.node): r.tasks for r in D.node_totals_from_log(got, "dir").collect()} == {("a", "n1"): 3, ("b", "n1"): 5}
+
+
+def test_a_log_of_unknown_shape_keeps_events_and_fields(spark, tmp_dir):
+    _write_lines(f"{tmp_dir}/log", "part", [
+        '{"Event":"SparkListenerApplicationStart","App ID":"a","Timestamp":5,"Tier":"gold"}',
+        '{"Event":"New","Size":1,"Deep":{"x":[1,2]}}', '{"Event":"New","Size":2.5}', '{"no event":null}', '[1]', "{broken", ""])
+    log = read_open_log(spark, f"{tmp_dir}/log")
+    shapes = {r.event: (r.lines, r["shape"]) for r in EL.event_shapes(log).collect()}
+    assert shapes["New"][0] == 2 and "Deep: OBJECT<x: ARRAY<BIGINT>>" in shapes["New"][1] and "Size" in shapes["New"][1]
+    fields = {(r.event, r.field): r.lines for r in EL.unknown_fields(log, EVENT_LOG_SCHEMA).collect()}
+    assert fields == {("SparkListenerApplicationStart", "Tier"): 1, ("New", "Size"): 2, ("New", "Deep"): 1, (None, "no event"): 1}
+    got = EL.field_values(log, "New", size=("$.Size", "double"), second=("$.Deep.x[1]", "int"), text=("$.Deep", "int")).collect()
+    assert sorted((r["size"], r.second, r.text) for r in got) == [(1.0, 2, None), (2.5, None, None)]
+    assert "{broken" in {r.line for r in EL.broken_lines(log).collect()}
+    assert EL.app_id(read_event_log(spark, f"{tmp_dir}/log")).collect()[0].app_id == "a"  # the explicit schema reads it too
