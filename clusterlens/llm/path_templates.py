@@ -15,8 +15,9 @@
 Rules (host suffix plus path prefix, longest first) come before the method.
 All statistics are sums over distinct paths, combined map-side; tables are
 joined back to pages, paths or branches with salts, since one host, prefix or
-path may hold a third of all rows. The tree is worked off level by level
-(at most MAX_DEPTH levels; deeper segments count as part of the last).
+path may hold a third of all rows. The tree is worked off level by level, as deep
+as any host has two different paths: deeper down a path is alone, and nothing
+is there to generalise or merge, so one very deep URL costs no round.
 
 Defined results: a null URL, or one without ``://``, has empty host and path;
 an empty path is one empty segment; pages without label count for the shape
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clusterlens.llm import shared
@@ -40,7 +41,6 @@ VISITS = 3
 SIMILAR = 3.841  # chi-square, one degree of freedom, 5 %
 SMOOTHING = 5
 REJECT = 0.5
-MAX_DEPTH = 8
 
 # The rules of the contract, as (rule, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
@@ -81,9 +81,8 @@ def _typed(seg: Column) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Typed segments of a path, at most MAX_DEPTH; a trailing slash stays with
-    the last one."""
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", MAX_DEPTH)
+    """Typed segments of a path; a trailing slash stays with the last one."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/")
     last = F.element_at(parts, -1)
     closed = (last == "") & (F.size(parts) > 1)
     body = F.when(closed, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
@@ -126,6 +125,15 @@ def _merge_level(paths: DataFrame, depth: int) -> DataFrame:
     return out.select("pk", "host", F.when(F.col("joins"), segs).otherwise(F.col("segs")).alias("segs"), "n", "n_lab", "n_bad")
 
 
+def shared_depth(paths: DataFrame) -> int:
+    """The deepest level that two paths of one host reach (0: none): of each
+    host, the greatest depth that is its own or passed by two paths or more."""
+    depths = paths.groupBy("host", F.size("segs").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("host").orderBy(F.col("d").desc())  # one row per depth of a host
+    reached = depths.withColumn("n", F.sum("n").over(down)).where("n > 1")
+    return reached.agg(F.max("d")).first()[0] or 0
+
+
 def judged(urls: DataFrame, rules=RULES) -> DataFrame:
     """``urls`` (id, url, bad) with host, path, rule, template, n_labelled,
     n_bad, bad_rate and verdict; bad is true, false or null (no label)."""
@@ -137,12 +145,13 @@ def judged(urls: DataFrame, rules=RULES) -> DataFrame:
         F.first("host").alias("host"), F.first("segs").alias("segs"), F.count(F.lit(1)).alias("n"),
         F.count("bad").alias("n_lab"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("n_bad"))
     paths = shared.written(paths, "paths")
-    top = paths.agg(F.max(F.size("segs")).alias("d"), F.sum("n_lab").alias("n"), F.sum("n_bad").alias("b")).first()
+    top = paths.agg(F.sum("n_lab").alias("n"), F.sum("n_bad").alias("b")).first()
+    levels = shared_depth(paths)
     prior = (top["b"] or 0) / top["n"] if top["n"] else 0.0
     tree = paths
-    for depth in range(1, (top["d"] or 0) + 1):
+    for depth in range(1, levels + 1):
         tree = shared.written(_generalise_level(tree, depth), "generalised")
-    for depth in range(top["d"] or 0, 0, -1):
+    for depth in range(levels, 0, -1):
         tree = shared.written(_merge_level(tree, depth), "merged")
     tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("segs", "/")))
     tree = tree.withColumn("tk", F.xxhash64("host", "template"))

@@ -171,6 +171,92 @@ def test_url_query_equals_rules(spark):
     assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == Counter((p.page_id, *brute_rule(p.url)) for p in pages)
 
 
+def brute_templates(urls):
+    """{(host, segments): (template, n_labelled, n_bad, bad_rate)} by plain loops."""
+    def segs(path):
+        parts = path.removeprefix("/").split("/")
+        closed = len(parts) > 1 and parts[-1] == ""
+        out = []
+        for x in parts[:-1] if closed else parts:
+            for shape, name in U._SHAPES:
+                if m := re.search(shape, x):
+                    x = name + (m[1] or "" if m.groups() else "")
+                    break
+            out.append(x)
+        return tuple(out[:-1] + [out[-1] + "/"]) if closed else tuple(out)
+
+    stats = {}
+    for host, path, bad in urls:
+        s = stats.setdefault((host, segs(path)), [0, 0, 0])
+        s[0] += 1
+        s[1] += bad is not None
+        s[2] += bad is True
+    now = {k: list(k[1]) for k in stats}
+    deepest = max(len(k[1]) for k in stats)
+
+    def children(level):
+        kids = {}
+        for k, cur in now.items():
+            if len(cur) > level:
+                c = kids.setdefault((k[0], *cur[:level]), {}).setdefault(cur[level], [[], 0, 0, 0])
+                c[0].append(k)
+                for i in range(3):
+                    c[i + 1] += stats[k][i]
+        return kids
+
+    for level in range(deepest):
+        for kids in children(level).values():
+            for keys, n, _, _ in kids.values():
+                if len(kids) >= U.MIN_CHILDREN and n < U.VISITS:
+                    for k in keys:
+                        now[k][level] = "*"
+    for level in reversed(range(deepest)):
+        for kids in children(level).values():
+            na, ba = (sum(c[i] for c in kids.values()) for i in (2, 3))
+            for keys, _, n, b in kids.values():
+                below = n * (na - n) * ba * (na - ba)
+                if len(kids) > 1 and (below == 0 or (b * (na - n) - (ba - b) * n) ** 2 * na / below < U.SIMILAR):
+                    for k in keys:
+                        now[k][level] = "*"
+    leaf = {}
+    for k, cur in now.items():
+        t = leaf.setdefault((k[0], "/" + "/".join(cur)), [0, 0])
+        t[0] += stats[k][1]
+        t[1] += stats[k][2]
+    lab, bad = (sum(s[i] for s in stats.values()) for i in (1, 2))
+    prior = bad / lab if lab else 0.0
+    out = []
+    for host, path, _ in urls:
+        t = "/" + "/".join(now[host, segs(path)])
+        n, b = leaf[host, t]
+        out.append((host, path, t, n, b, "block" if (b + U.SMOOTHING * prior) / (n + U.SMOOTHING) >= U.REJECT else "allow"))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_equals_brute_force(spark, monkeypatch, seed):
+    import random
+    monkeypatch.setattr(U, "MIN_CHILDREN", 4)
+    monkeypatch.setattr(U, "VISITS", 2)
+    rng = random.Random(seed)
+    urls = []
+    for _ in range(700):
+        host = rng.choice(["a.org", "a.org", "a.org", "b.org", "c.d.org"])
+        top = rng.choice(["blog", "shop", "forum", "x%d" % rng.randrange(60)])
+        deep = [rng.choice(["a", "b", "2024-01-02", "%d.html" % rng.randrange(9), "s%d" % rng.randrange(90)])
+                for _ in range(rng.choice([0, 1, 1, 2, 3]))]
+        if rng.random() < 0.03:  # deep trees
+            deep += ["p"] * 9 + ["q%d" % rng.randrange(12)]
+        bad = rng.random() < {"forum": 0.9, "shop": 0.1}.get(top, 0.35)
+        urls.append((host, "/" + "/".join([top, *deep]) + rng.choice(["", "", "/"]), rng.choice([bad, bad, None])))
+    urls.append(("a.org", "/" + "/".join(["z"] * 400), None))  # one very deep path
+    rows = [(i, f"http://{h}{p}", b) for i, (h, p, b) in enumerate(urls)]
+    got = U.judged(spark.createDataFrame(rows, "id long, url string, bad boolean"), rules=()).collect()
+    want = brute_templates(urls)
+    assert sorted((r.host, r.path, r.template, r.n_labelled, r.n_bad, r.verdict) for r in got) == sorted(want)
+    assert {r.verdict for r in got} == {"block", "allow"} and any("*" in r.template for r in got)
+
+
 # --- WARC ----------------------------------------------------------------------------------
 
 
