@@ -27,7 +27,7 @@ from clusterlens.operators import stats as S
 from clusterlens.operators import text as T
 from clusterlens.sources.eventlog import (EVENT_LOG_SCHEMA, applications_log_path, event_log_path, open_log_path,
                                           read_event_log, read_open_log)
-from clusterlens.sources.materialize import cut, materialized
+from clusterlens.sources.materialize import cut, materialized, write_lines
 from clusterlens.sources.edges import read_edge_list, write_edge_list
 from clusterlens.sources.series import application_marks, event_marks, node_series, read_marks, read_series
 from clusterlens.session import shared_dir, source_key
@@ -513,7 +513,7 @@ def listener_lines(spark, sf_dir):
 
 def _listener_path(spark, sf_dir):
     return materialized(spark, sf_dir, "listener", lambda path: (
-        D.listener_lines(_norm(spark, sf_dir)).write.mode("overwrite").partitionBy("app_id").text(path)))
+        write_lines(D.listener_lines(_norm(spark, sf_dir)), path, "app_id")))
 
 
 @register("listener_parse")
@@ -530,8 +530,7 @@ def _listener_reasons_path(spark, sf_dir):
     lines = D.listener_lines(_norm(spark, sf_dir)).select("app_id", F.when(
         F.col("line").endswith(",reason,ExceptionFailure"), F.regexp_replace("line", ",reason,ExceptionFailure$", trace))
         .otherwise(F.col("line")).alias("line"))
-    return materialized(spark, sf_dir, "listener-reasons", lambda path: (
-        lines.write.mode("overwrite").partitionBy("app_id").text(path)))
+    return materialized(spark, sf_dir, "listener-reasons", lambda path: write_lines(lines, path, "app_id"))
 
 
 @register("listener_records")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.sources.materialize import materialized
+from clusterlens.sources.materialize import materialized, write_lines
 from clusterlens.sources.tasks import APP_ID, APP_NAME, task_table
 
 _BM = "STRUCT<`Executor ID`: STRING, `Host`: STRING, `Port`: INT>"
@@ -72,10 +72,11 @@ def _lit(name: str, value) -> Column:
     return F.lit(value).alias(name)
 
 
-def derived_event_log(t: DataFrame, app_id: str = APP_ID) -> DataFrame:
+def derived_event_log(t: DataFrame, app_id: str = APP_ID, dealt: DataFrame | None = None) -> DataFrame:
     """The event log as JSON text lines (``value``), built from the task
     model: application, executor and block-manager, job, stage and task
-    events. Per-app/host/stage figures are aggregates of the task table."""
+    events. Per-app/host/stage figures are aggregates of the task table. ``dealt``:
+    the same tasks as they are to be dealt to the files of the log."""
     app = t.agg(F.min("launch_ms").alias("start"), F.max("finish_ms").alias("end"),
                 F.sort_array(F.collect_set("stage_id")).alias("stages"))
     hosts = t.groupBy("host", "executor").agg(F.min("launch_ms").alias("first"),
@@ -138,15 +139,16 @@ def derived_event_log(t: DataFrame, app_id: str = APP_ID) -> DataFrame:
         stages.select(_json(_lit("Event", "SparkListenerStageCompleted"),
                             F.struct(*stage_info, F.col("first").alias("Submission Time"),
                                      F.col("last").alias("Completion Time")).alias("Stage Info"))),
-        t.select(_json(_lit("Event", "SparkListenerTaskStart"), F.col("stage_id").alias("Stage ID"),
-                       F.lit(0).alias("Stage Attempt ID"), F.struct(*task_info).alias("Task Info"))),
-        t.select(_json(_lit("Event", "SparkListenerTaskEnd"), F.col("stage_id").alias("Stage ID"),
-                       F.lit(0).alias("Stage Attempt ID"), _lit("Task Type", "ResultTask"),
-                       reason.alias("Task End Reason"),
-                       F.struct(*task_info, F.col("finish_ms").alias("Finish Time"),
-                                F.col("failed").alias("Failed"), F.lit(False).alias("Killed"))
-                       .alias("Task Info"),
-                       metrics.alias("Task Metrics"))),
+        (t if dealt is None else dealt).select(F.explode(F.array(
+            _json(_lit("Event", "SparkListenerTaskStart"), F.col("stage_id").alias("Stage ID"),
+                  F.lit(0).alias("Stage Attempt ID"), F.struct(*task_info).alias("Task Info")),
+            _json(_lit("Event", "SparkListenerTaskEnd"), F.col("stage_id").alias("Stage ID"),
+                  F.lit(0).alias("Stage Attempt ID"), _lit("Task Type", "ResultTask"),
+                  reason.alias("Task End Reason"),
+                  F.struct(*task_info, F.col("finish_ms").alias("Finish Time"),
+                           F.col("failed").alias("Failed"), F.lit(False).alias("Killed"))
+                  .alias("Task Info"),
+                  metrics.alias("Task Metrics")))).alias("value")),
         app.select(_json(_lit("Event", "SparkListenerApplicationEnd"), F.col("end").alias("Timestamp"))),
     ]
     out = parts[0]
@@ -172,19 +174,24 @@ def derived_block_updates(t: DataFrame) -> DataFrame:
                  size.alias("Memory Size"), F.when(disk, size).otherwise(0).alias("Disk Size")).alias("Block Updated Info")))
 
 
+def _log_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tasks, and the tasks dealt to as many files as a shuffle has partitions:
+    what is shuffled are the rows of ``events``, not the lines they become."""
+    return (task_table(spark, sf_dir),
+            task_table(spark, sf_dir, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def open_log_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of an event log with lines that the explicit schema does not know: a
     metrics update per task, with a note on every fourth, and cut-off lines."""
     def write(path: str) -> None:
-        t = task_table(spark, sf_dir)
+        t, dealt = _log_tasks(spark, sf_dir)
         metrics = F.array(F.struct(F.col("task_id").alias("Task ID"), F.col("bytes_written").alias("Heap")))
-        updates = t.select(_json(_lit("Event", "SparkListenerExecutorMetricsUpdate"), F.col("executor").alias("Executor ID"),
-                                 metrics.alias("Metrics Updated"),
-                                 F.when(F.col("task_id") % 4 == 0, F.col("locality")).alias("Note")))
+        updates = dealt.select(_json(_lit("Event", "SparkListenerExecutorMetricsUpdate"), F.col("executor").alias("Executor ID"),
+                                     metrics.alias("Metrics Updated"),
+                                     F.when(F.col("task_id") % 4 == 0, F.col("locality")).alias("Note")))
         cut_off = t.where(F.col("task_id") % 50 == 0).select(F.concat(F.lit('{"Event":"cut'), "task_id").alias("value"))
-        log = derived_event_log(t).unionByName(updates).unionByName(cut_off)
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        log.repartition(files, F.xxhash64("value")).write.mode("overwrite").text(path)
+        write_lines(derived_event_log(t, dealt=dealt).unionByName(updates).unionByName(cut_off), path)
 
     return materialized(spark, sf_dir, "eventlog-open", write)
 
@@ -198,22 +205,20 @@ def applications_log_path(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
         logs = None
         for i in range(APPLICATIONS):
-            t = task_table(spark, sf_dir).where(F.col("task_id") % APPLICATIONS == i)
+            t, dealt = (x.where(F.col("task_id") % APPLICATIONS == i) for x in _log_tasks(spark, sf_dir))
             name = f"{APP_ID[:-4]}{i:04d}"
-            log = derived_event_log(t, name).unionByName(derived_block_updates(t)).withColumn("app", F.lit(name))
+            log = derived_event_log(t, name, dealt).unionByName(derived_block_updates(dealt)).withColumn("app", F.lit(name))
             logs = log if logs is None else logs.unionByName(log)
-        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (logs.repartition(files, F.xxhash64("value")).write.mode("overwrite").partitionBy("app").text(path))
+        write_lines(logs, path, "app")
 
     return materialized(spark, sf_dir, "eventlog-applications", write)
 
 
 def event_log_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the derived event log (written on first use), one
-    sub-folder per application as with rolling event logs. The lines are dealt
-    to as many files as a shuffle has partitions: ``events`` may be one file."""
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return materialized(spark, sf_dir, "eventlog",
-                        lambda path: derived_event_log(task_table(spark, sf_dir))
-                        .repartition(files, F.xxhash64("value")).withColumn("app", F.lit(APP_ID))
-                        .write.mode("overwrite").partitionBy("app").text(path))
+    sub-folder per application as with rolling event logs."""
+    def write(path: str) -> None:
+        t, dealt = _log_tasks(spark, sf_dir)
+        write_lines(derived_event_log(t, dealt=dealt).withColumn("app", F.lit(APP_ID)), path, "app")
+
+    return materialized(spark, sf_dir, "eventlog", write)

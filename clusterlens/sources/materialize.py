@@ -34,6 +34,28 @@ def materialized(spark: SparkSession, sf_dir: str, name: str,
     return path
 
 
+# Files of written lines are compressed and end after so many lines, so that
+# none outgrows a task that reads it (a compressed file is not split).
+LINES_PER_FILE = 100_000
+# Folders that a task writes to at a time, one open file each; from there on
+# Spark sorts the rest of its rows by folder.
+OPEN_FOLDERS = 64
+
+
+def write_lines(lines: DataFrame, path: str, folders: str | None = None) -> None:
+    """Write text lines in compressed files, with a sub-folder for each value
+    of ``folders``: rows go straight to their folder's file, unsorted."""
+    spark, key = lines.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    writer = lines.write.mode("overwrite").option("compression", "gzip")
+    writer = writer.option("maxRecordsPerFile", LINES_PER_FILE)
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_FOLDERS))
+    try:
+        (writer.partitionBy(folders) if folders else writer).text(path)
+    finally:
+        spark.conf.set(key, old)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as parquet to a fresh folder in the
     shared checkpoint folder and read it back. Later plans re-read a columnar

@@ -32,14 +32,19 @@ def stage_id(events: DataFrame) -> Column:
     return F.array_position(types, F.col("event_type")) - 1
 
 
-def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def task_table(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """One row per task. ``parts``: for writing the lines of tasks, ``events``
+    (which may be one file) is dealt to so many tasks first, as a row of it is a
+    small part of the lines that it becomes."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type",
                                                "value", "props")
     launch = epoch_millis(F.col("ts"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     node = F.col("user_id") % NODES
-    return (ev.where(F.col("event_type").isNotNull())
-            .withColumn("stage_id", stage_id(ev))
+    rows = ev.where(F.col("event_type").isNotNull())
+    if parts is not None:
+        rows = rows.repartition(parts, *ev.columns)
+    return (rows.withColumn("stage_id", stage_id(ev))
             .select(
                 F.col("event_id").alias("task_id"),
                 launch.alias("launch_ms"),

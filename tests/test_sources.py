@@ -10,6 +10,8 @@ from clusterlens.operators import sinkfiles as C
 from clusterlens.functions.timecols import epoch_millis, epoch_seconds
 from clusterlens.sources.corpus import read_lines
 from clusterlens.sources.edges import read_edge_list, write_edge_list
+from clusterlens.sources import eventlog as EV
+from clusterlens.sources import materialize as MAT
 from clusterlens.sources.eventlog import EVENT_LOG_SCHEMA, event_log_path, read_event_log
 from clusterlens.sources.series import read_marks, read_series
 from clusterlens.sources.sinkfiles import read_sink_files
@@ -65,6 +67,31 @@ def test_event_log_inferred_schema_and_file_scope(spark):
     assert n_dir == 0 and n_path == 0
 
 
+def test_written_lines_are_small_files_in_unsorted_folders(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(MAT, "LINES_PER_FILE", 7)
+    rows = [(f"{i} " + "same text " * 50, f"a{i % 3}" if i % 10 else None) for i in range(100)]
+    lines = spark.createDataFrame(rows, "value string, app string")
+    MAT.write_lines(lines, tmp_dir + "/lines", "app")
+    files = [os.path.join(d, x) for d, _, names in os.walk(tmp_dir + "/lines") for x in names if x.startswith("part-")]
+    assert len(files) >= 100 / 7 and sum(map(os.path.getsize, files)) * 4 < sum(len(v) for v, _ in rows)
+    got = spark.read.text(tmp_dir + "/lines")
+    assert sorted((r.value, r.app or "") for r in got.collect()) == sorted((v, a or "") for v, a in rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    MAT.write_lines(lines.select("value"), tmp_dir + "/flat")
+    assert sorted(r.value for r in spark.read.text(tmp_dir + "/flat").collect()) == sorted(v for v, _ in rows)
+
+
+def test_log_shuffles_rows_of_events_not_lines(spark, tmp_dir):
+    t, dealt = EV._log_tasks(spark, SF_SMALL)
+    plan = EV.derived_event_log(t, dealt=dealt)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition"):].split("\n")
+    assert "to_json" not in "".join(x for x in below if "Repartition" in x) and plan.count("SparkListenerTaskEnd") == 1
+    path = event_log_path(spark, SF_SMALL)
+    size = sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(path.removeprefix("file:")) for x in names)
+    length = spark.read.text(path).agg(F.sum(F.length("value"))).first()[0]
+    assert size * 4 < length  # the lines were written as they are
+
+
 def test_streaming_events_match_batch(spark, tmp_dir):
     path = event_log_path(spark, SF_SMALL)
     ST.stream_events(spark, path, tmp_dir + "/out", tmp_dir + "/ck")
