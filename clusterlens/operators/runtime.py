@@ -152,9 +152,9 @@ def with_app_id(log: DataFrame, scope: str = "dir") -> DataFrame:
     lines = log.select("*", unit.alias("_file"))
     apps = (lines.where(F.col("Event") == "SparkListenerApplicationStart")
             .groupBy("_file").agg(F.min("`App ID`").alias("app_id")))
-    # one row per log on the small side: the planner broadcasts it, or AQE
-    # splits the rows of a long log
-    return lines.join(apps, "_file", "left").drop("_file")
+    # one row per log: broadcast, as its size is not known beforehand and the
+    # lines would be shuffled by a few keys, all lines of a log to one task
+    return lines.join(F.broadcast(apps), "_file", "left").drop("_file")
 
 
 def normalise(log: DataFrame, block_filter: Column | None = None, scope: str = "dir") -> DataFrame:
@@ -386,14 +386,19 @@ def run_summary(log: DataFrame, scope: str = "dir") -> DataFrame:
     unknown)."""
     withapp = with_app_id(log, scope)
     props = F.col("`Spark Properties`")
-    agg = withapp.groupBy("app_id").agg(
+    settings = {
+        "partitions": F.coalesce(F.element_at(props, F.lit("spark.default.parallelism")),
+                                 F.element_at(props, F.lit("spark.sql.shuffle.partitions"))),
+        "executors": F.element_at(props, F.lit("spark.executor.instances")),
+        "memory": F.element_at(props, F.lit("spark.executor.memory")),
+        "cores": F.element_at(props, F.lit("spark.executor.cores"))}
+    # a maximum of texts makes Spark sort its input: the lines are first summed up by
+    # hash for each set of settings (null on nearly all lines)
+    sets = withapp.groupBy("app_id", *[c.alias(name) for name, c in settings.items()]).agg(
         F.max(F.when(F.col("Event") == "SparkListenerApplicationEnd", F.col("Timestamp"))).alias("end"),
-        F.min(F.when(F.col("Event") == "SparkListenerApplicationStart", F.col("Timestamp"))).alias("start"),
-        F.max(F.coalesce(F.element_at(props, F.lit("spark.default.parallelism")),
-                         F.element_at(props, F.lit("spark.sql.shuffle.partitions")))).alias("partitions"),
-        F.max(F.element_at(props, F.lit("spark.executor.instances"))).alias("executors"),
-        F.max(F.element_at(props, F.lit("spark.executor.memory"))).alias("memory"),
-        F.max(F.element_at(props, F.lit("spark.executor.cores"))).alias("cores"))
+        F.min(F.when(F.col("Event") == "SparkListenerApplicationStart", F.col("Timestamp"))).alias("start"))
+    agg = sets.groupBy("app_id").agg(F.max("end").alias("end"), F.min("start").alias("start"),
+                                     *[F.max(name).alias(name) for name in settings])
     return agg.select("app_id", F.floor((F.col("end") - F.col("start")) / 1000).cast("bigint").alias("elapsed"),
                       *[F.coalesce(F.col(c), F.lit("?")).alias(c)
                         for c in ("partitions", "executors", "memory", "cores")])

@@ -1,6 +1,7 @@
 """States that merge: centred co-moments, sketches; redelivered sink files;
 logs of several applications."""
 
+import os
 import random
 
 import numpy as np
@@ -159,3 +160,29 @@ def test_a_log_of_unknown_shape_keeps_events_and_fields(spark, tmp_dir):
     assert sorted((r["size"], r.second, r.text) for r in got) == [(1.0, 2, None), (2.5, None, None)]
     assert "{broken" in {r.line for r in EL.broken_lines(log).collect()}
     assert EL.app_id(read_event_log(spark, f"{tmp_dir}/log")).collect()[0].app_id == "a"  # the explicit schema reads it too
+
+
+def test_application_ids_join_without_a_shuffle_of_the_log(spark, tmp_dir):
+    lines = {"x": ['{"Event":"SparkListenerApplicationStart","App ID":"x1","Timestamp":1000}',
+                   '{"Event":"SparkListenerEnvironmentUpdate","Spark Properties":{"spark.executor.cores":"2","spark.default.parallelism":"9"}}',
+                   '{"Event":"SparkListenerEnvironmentUpdate","Spark Properties":{"spark.executor.cores":"4","spark.executor.memory":"1g"}}',
+                   '{"Event":"SparkListenerApplicationEnd","Timestamp":9500}'],
+             "y": ['{"Event":"SparkListenerApplicationStart","App ID":"y1","Timestamp":1000}'], "z": ['{"Event":"SparkListenerOther"}']}
+    for app, own in lines.items():
+        os.makedirs(f"{tmp_dir}/log/{app}")
+        with open(f"{tmp_dir}/log/{app}/part", "w") as f:
+            f.write("\n".join(own) + "\n")
+    log = spark.read.schema(EVENT_LOG_SCHEMA).option("recursiveFileLookup", "true").json(tmp_dir + "/log")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = D.run_summary(log)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        # only texts of settings are sorted, after the lines were summed up by hash
+        above = plan[:plan.index("BroadcastHashJoin")]
+        assert "HashAggregate" in above.replace("ObjectHashAggregate", "")
+        assert {tuple(r) for r in out.collect()} == {("x1", 8, "9", "?", "1g", "4"), ("y1", None, "?", "?", "?", "?"),
+                                                     (None, None, "?", "?", "?", "?")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
