@@ -15,11 +15,11 @@ The order must be unique: the order columns together identify a row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clusterlens.sources.materialize import cut
+
 BOUNDS_SAMPLE = 10_000
 
 
@@ -40,12 +40,11 @@ def range_bounds(df: DataFrame, order_cols: list[str], ranges: int) -> Column:
 
 
 def range_number(bounds: Column, key: Column, ranges: int) -> Column:
-    """How many of the ascending ``bounds`` are at or below ``key``. They are
-    searched in blocks, about 2 * sqrt(ranges) comparisons."""
-    step = max(1, math.isqrt(ranges))
-    heads = F.filter(bounds, lambda b, i: (i % step == 0) & (b <= key))
-    block = F.greatest(F.size(heads) - 1, F.lit(0)) * step
-    return block + F.size(F.filter(F.slice(bounds, block + 1, F.lit(step)), lambda b: b <= key))
+    """How many of the ascending ``bounds`` are at or below ``key``: a binary
+    search, about log2(ranges) comparisons."""
+    strides = F.array(*[F.lit(1 << i) for i in reversed(range(max(ranges, 1).bit_length()))])
+    return F.aggregate(strides, F.lit(0), lambda at, stride: F.when(
+        F.get(bounds, at + stride - 1) <= key, at + stride).otherwise(at))
 
 
 def default_ranges(df: DataFrame) -> int:
@@ -71,13 +70,13 @@ def global_position(df: DataFrame, order_cols: list[str], name: str = "pos",
     return out.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_before", "_local")
 
 
-def _with_offsets(rows: DataFrame, offsets: DataFrame, by: list[str]) -> DataFrame:
+def _with_offsets(rows: DataFrame, offsets: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the offsets of their range and group (a null group is a group)."""
     named = offsets.withColumnsRenamed({c: f"_of{c}" for c in ["_range", *by]})
     same = F.col("_range") == F.col("_of_range")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of{c}"))
-    return rows.join(named, same).drop(*[f"_of{c}" for c in ["_range", *by]])
+    return rows.join(named, same, how).drop(*[f"_of{c}" for c in ["_range", *by]])
 
 
 def with_next(df: DataFrame, order_cols: list[str], value: str, next_name: str,
@@ -107,17 +106,24 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, name: str, next_
     """``df`` with the sum of ``value`` over the rows of its group ``by`` up to and with
     this one in ``order`` (unique in the group), and the next row's ``order``
     (NULL for the last). A distributed prefix sum: ranges of (by, order) are summed on their own,
-    and a table with a row per range and group adds what lies before."""
-    rows = range_of(df, [by, order])
-    totals = rows.groupBy("_range", by).agg(F.sum(value).alias("_total"), F.min(order).alias("_first"))
+    and a table adds what lies before. Only a group with a bound inside lies in several ranges,
+    at most two such groups in each, so that table is bounded by the ranges, not by the groups."""
+    n, key = default_ranges(df), [by, order]
+    rows = df.withColumn("_bounds", range_bounds(df, key, n)).withColumn("_key", _order(key))
+    rows = rows.withColumn("_range", range_number(F.col("_bounds"), F.col("_key"), n))
+    # a bound inside the group is next to the row, or another of the group is
+    near = [F.get("_bounds", at)[by].eqNullSafe(F.col(by)) for at in (F.col("_range") - 1, F.col("_range"))]
+    rows = cut(rows.withColumn("_split", near[0] | near[1]).drop("_bounds", "_key"), "ranges")  # read twice
+    totals = rows.where("_split").groupBy("_range", by).agg(F.sum(value).alias("_total"), F.min(order).alias("_first"))
     along = Window.partitionBy(by).orderBy("_range")
     offsets = totals.select("_range", by, (F.sum("_total").over(along) - F.col("_total")).alias("_before"),
                             F.lead("_first").over(along).alias("_then"))
     w = Window.partitionBy("_range", by).orderBy(order)
     up_to = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumns({"_sum": F.sum(value).over(up_to), "_lead": F.lead(order).over(w)})
-    out = _with_offsets(out, offsets, [by])
-    return out.select(*[F.col(c) for c in df.columns], (F.col("_before") + F.col("_sum")).alias(name),
+    out = _with_offsets(out, F.broadcast(offsets), [by], "left")
+    return out.select(*[F.col(c) for c in df.columns],
+                      (F.coalesce("_before", F.lit(0)) + F.col("_sum")).alias(name),
                       F.coalesce("_lead", "_then").alias(next_name))
 
 

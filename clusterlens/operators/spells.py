@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.operators.ordered import running_sum
 from clusterlens.operators.skew import salted_join
+from clusterlens.sources.materialize import cut
 
 # The vertex and edge classes and their drawing attributes.
 # Colours with alpha are RGBA hex (transparent white, half-transparent
@@ -173,22 +174,25 @@ def latest_attr(attr_spells: DataFrame, vertices: DataFrame) -> DataFrame:
         F.max_by("value", F.struct("onset", "source")).alias("value"))
 
 
-def _app_times(ev: DataFrame) -> DataFrame:
-    """(app_id, t0, t1): start and end of each application."""
-    return ev.groupBy("app_id").agg(
-        F.min(F.when(F.col("event") == "APPLICATION-START", F.col("epoch"))).alias("t0"),
-        F.max(F.when(F.col("event") == "APPLICATION-END", F.col("epoch"))).alias("t1"))
+def _app_times() -> list[Column]:
+    """t0, t1: start and end of the application, as aggregates of its rows."""
+    return [F.min(F.when(F.col("event") == "APPLICATION-START", F.col("epoch"))).alias("t0"),
+            F.max(F.when(F.col("event") == "APPLICATION-END", F.col("epoch"))).alias("t1")]
 
 
 def _attr(name: str) -> Column:
     return F.element_at("vals", F.array_position("keys", F.lit(name)).cast("int"))
 
 
-def _spans(rows: DataFrame, ev: DataFrame, ident: Column) -> DataFrame:
-    """``rows`` with onset and terminus in seconds since application start;
-    open ends are closed at application start and end. An application may
-    hold all rows, so its times are joined with salts."""
-    rows = salted_join(rows, "app_id", _app_times(ev), [ident])
+def _spans(rows: DataFrame, ident: Column) -> DataFrame:
+    """``rows`` (one per spell, and those that hold the application's times) with
+    onset and terminus in seconds since application start; open ends are closed
+    at application start and end. An application may hold all rows, so its times
+    are joined with salts. The rows are read several times and the events, from
+    which they are an aggregate, once: they are cut."""
+    rows = cut(rows, "spells")
+    times = rows.groupBy("app_id").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    rows = salted_join(rows.drop("t0", "t1").where("spell"), "app_id", times, [ident])
     return rows.withColumns({"onset": F.coalesce(F.col("s"), F.col("t0")) - F.col("t0"),
                              "terminus": F.coalesce(F.col("e"), F.col("t1")) - F.col("t0")})
 
@@ -205,17 +209,19 @@ def build_spells(norm: DataFrame) -> DataFrame:
     kind = (F.when(e.isin("TASK-START", "TASK-END"), "task")
             .when(e.isin("STAGE-SUBMITTED", "STAGE-COMPLETED"), "stage")
             .when(e.isin("EXECUTOR-ADDED", "EXECUTOR-REMOVED"), "worker")
-            .when(e == "APPLICATION-START", "data"))
+            .when(e.isin("APPLICATION-START", "APPLICATION-END"), "data"))
     ident = (F.when(kind == "task", _attr("taskId")).when(kind == "stage", _attr("stageId"))
              .when(kind == "worker", _attr("executorId")).otherwise(F.lit("")))
     info = (F.when(e == "TASK-START", _attr("taskLocality")).when(e == "STAGE-SUBMITTED", _attr("name"))
             .when(e == "EXECUTOR-ADDED", _attr("node")))
-    rows = ev.select("app_id", "epoch", kind.alias("type"), ident.alias("id"), info.alias("info"), begin.alias("begin"))
+    rows = ev.select("app_id", "epoch", "event", kind.alias("type"), ident.alias("id"), info.alias("info"),
+                     begin.alias("begin"))
     rows = rows.where("type IS NOT NULL").groupBy("app_id", "type", "id").agg(
         F.min(F.when(F.col("begin"), F.col("epoch"))).alias("s"),
         F.max(F.when(~F.col("begin") & (F.col("type") != "data"), F.col("epoch"))).alias("e"),
-        F.max("info").alias("info"))
-    rows = _spans(rows, ev, F.col("id"))
+        F.max("info").alias("info"), *_app_times(),
+        F.max(F.col("event") != "APPLICATION-END").alias("spell"))  # the end alone makes no data vertex
+    rows = _spans(rows, F.col("id"))
     vertex = (F.when(F.col("type") == "task", F.concat(F.lit("T"), F.col("id")))
               .when(F.col("type") == "stage", F.concat(F.lit("S"), F.col("id")))
               .when(F.col("type") == "worker", F.split_part(F.col("info"), F.lit("."), F.lit(1)))
@@ -230,13 +236,14 @@ def build_spell_edges(norm: DataFrame) -> DataFrame:
     its worker node, to the data vertex and to its stage while it runs."""
     ev = norm.where(F.col("kind") == "event")
     start = F.col("event") == "TASK-START"
-    tasks = ev.where(F.col("event").isin("TASK-START", "TASK-END")).select(
-        "app_id", "epoch", start.alias("start"), _attr("taskId").alias("id"), _attr("node").alias("node"),
-        _attr("stageId").alias("stage"))
-    tasks = tasks.groupBy("app_id", "id").agg(
+    of_task = F.col("event").isin("TASK-START", "TASK-END")
+    tasks = ev.where(of_task | F.col("event").isin("APPLICATION-START", "APPLICATION-END")).select(
+        "app_id", "epoch", "event", of_task.alias("spell"), start.alias("start"),
+        *[F.when(of_task, _attr(a)).alias(c) for a, c in (("taskId", "id"), ("node", "node"), ("stageId", "stage"))])
+    tasks = tasks.groupBy("app_id", "spell", "id").agg(
         F.min(F.when(F.col("start"), F.col("epoch"))).alias("s"), F.max(F.when(~F.col("start"), F.col("epoch"))).alias("e"),
-        F.max("node").alias("node"), F.max("stage").alias("stage"))
-    tasks = _spans(tasks, ev, F.col("id"))
+        F.max("node").alias("node"), F.max("stage").alias("stage"), *_app_times())
+    tasks = _spans(tasks, F.col("id"))
     ends = F.array(F.struct(F.col("node").alias("head"), F.lit("taskToNode").alias("type")),
                    F.struct(F.lit("data").alias("head"), F.lit("taskToData").alias("type")),
                    F.struct(F.concat(F.lit("S"), F.col("stage")).alias("head"), F.lit("taskToStage").alias("type")))

@@ -96,3 +96,40 @@ def test_running_sum(spark, ranges):
         for (k, v), then in zip(own, [*own[1:], (None, 0)]):
             total += v
             assert got[g, k] == (total, then[0])
+
+
+def test_running_sum_offsets_are_few(spark, ranges):
+    """Offsets are bounded by the ranges, not by the groups."""
+    rng = random.Random(2)
+    rows = [(f"s{i}", k, 1) for i in range(300) for k in (0, 1)] + [("hot", k, rng.randint(-2, 2)) for k in range(400)]
+    rows += [(None, k, 1) for k in range(50)]
+    out = O.running_sum(spark.createDataFrame(rows, "g string, k long, v long"), "g", "k", "v", "total", "next")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan and "rightHint=(strategy=broadcast)" in plan
+    got = {(r.g, r.k): (r.total, r.next) for r in out.collect()}
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        own, total = sorted((k, v) for h, k, v in rows if h == g), 0
+        for (k, v), then in zip(own, [*own[1:], (None, 0)]):
+            total += v
+            assert got[g, k] == (total, then[0])
+
+
+def test_spells_read_the_events_once(spark):
+    def row(app, event, epoch, **attrs):
+        return (app, "event", epoch, event, list(attrs), list(attrs.values()))
+
+    task = dict(node="n1", taskId="7", stageId="2", executor="1", taskLocality="ANY")
+    rows = [row("a", "APPLICATION-START", 100), row("a", "APPLICATION-END", 160), row("a", "TASK-START", 110, **task),
+            row("a", "STAGE-SUBMITTED", 105, stageId="2", name="map"), row("a", "EXECUTOR-ADDED", 101, node="n1.x", executorId="1"),
+            row("b", "APPLICATION-END", 300), row("b", "TASK-START", 200, **task), row("b", "TASK-END", 210, **task),
+            row(None, "TASK-START", 1, **task), ("a", "metric", 150, "TASK-END", ["taskId"], ["7"])]
+    norm = spark.createDataFrame(rows, "app_id string, kind string, epoch long, event string, keys array<string>, vals array<string>")
+    v, e = H.build_spells(norm), H.build_spell_edges(norm)
+    assert v.inputFiles() and e.inputFiles()  # before, every branch of the plan worked the events out again
+    assert sorted(map(tuple, v.collect()), key=str) == sorted(
+        [("a", 0, 60, "data", "data", ""), ("a", 1, 60, "n1", "worker", "1"), ("a", 5, 60, "S2", "stage", "map"),
+         ("a", 10, 60, "T7", "task", "ANY"), ("b", None, None, "T7", "task", "ANY")], key=str)
+    assert sorted(map(tuple, e.collect()), key=str) == sorted(
+        [(a, o, t, "T7", head, kind) for a, o, t in (("a", 10, 60), ("b", None, None))
+         for head, kind in (("n1", "taskToNode"), ("data", "taskToData"), ("S2", "taskToStage"))], key=str)
