@@ -33,9 +33,17 @@ def ieee_div(a: Column, b: Column) -> Column:
 
 def java_int(s: Column) -> Column:
     """``Integer.parseInt`` with 0 on failure: optional sign and ASCII digits,
-    no trimming, 32-bit range."""
-    ok = s.rlike(r"^[+-]?[0-9]+\z")
-    return F.when(ok, F.coalesce(s.try_cast("int"), F.lit(0))).otherwise(F.lit(0))
+    no trimming, 32-bit range. A text that is the number as it is printed needs
+    no further look."""
+    i = s.try_cast("int")
+    return (F.when(i.isNull(), F.lit(0))
+            .when((i.cast("string") == s) | s.rlike(r"^[+-]?[0-9]+\z"), i)
+            .otherwise(F.lit(0)))
+
+
+_TRIMMED = r"[\x00-\x20]*"  # the JVM trims U+0000 .. U+0020
+_NOT_JAVA = (rf"^(?!{_TRIMMED}[+-]?(?:NaN|Infinity){_TRIMMED}\z)"
+             rf"(?i:{_TRIMMED}[+-]?(?:nan|inf|infinity){_TRIMMED}\z)")
 
 
 def java_double(s: Column) -> Column:
@@ -44,15 +52,13 @@ def java_double(s: Column) -> Column:
     Spark's cast (which trims like the JVM parser) agrees with it except for
     the special literals: Spark also accepts lower-case ``nan``/``inf``/
     ``infinity``, the JVM only ``NaN`` and ``Infinity`` (optionally signed)
-    exactly cased. The text checks therefore run only on the rare
-    NaN/Infinity results.
+    exactly cased. The text check therefore runs only on the rare
+    NaN/Infinity results; it is one pattern, as a record has many numbers and the
+    code of a row must stay small enough to be compiled.
     """
     d = s.try_cast("double")
-    special = F.isnan(d) | (F.abs(d) == _inf())
-    t = F.btrim(s, F.lit("".join(map(chr, range(33)))))  # the JVM trims U+0000 .. U+0020
-    java_form = t.rlike(r"^[+-]?(NaN|Infinity)\z") | ~t.rlike(r"(?i)^[+-]?(nan|inf|infinity)\z")
-    return (F.when(d.isNull(), F.lit(0.0))
-            .when(special, F.when(java_form, d).otherwise(F.lit(0.0)))
+    return (F.when(F.abs(d) < _inf(), d)
+            .when(d.isNull() | s.rlike(_NOT_JAVA), F.lit(0.0))
             .otherwise(d))
 
 

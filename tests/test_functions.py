@@ -89,3 +89,18 @@ def test_java_split_rtrim_form_equals_regex_form(spark):
     c = _one(spark, java_split(F.col("s"), " "), rows)
     d = _one(spark, java_split(F.col("s"), " ", " "), rows)
     assert a == b and c == d
+
+
+def test_number_parsers_are_one_pattern_each(spark):
+    from clusterlens.functions.numeric import java_double, java_int
+
+    assert str(java_double(F.col("s"))).upper().count("RLIKE") == 1 and "BTRIM" not in str(java_double(F.col("s"))).upper()
+    inf, odd = float("inf"), [("nan", 0.0), (" -inf", 0.0), ("INFINITY\t", 0.0), ("+Infinity", float("inf")), ("1e999", float("inf")),
+                              ("-1e999", -float("inf")), ("1.5 ", 1.5), ("x", 0.0), (None, 0.0), ("-Infinity\n", -float("inf"))]
+    df = spark.createDataFrame(odd, "s string, want double")
+    assert df.where(~java_double(F.col("s")).eqNullSafe(F.col("want"))).count() == 0
+    nan = spark.createDataFrame([("NaN",), (" -NaN ",)], "s string").select(java_double(F.col("s")).alias("d"))
+    assert all(r.d != r.d and r.d != inf for r in nan.collect())
+    ints = [("7", 7), ("+7", 7), ("-0", 0), ("007", 7), (" 7", 0), ("7 ", 0), ("2147483648", 0), ("-2147483648", -2147483648), ("", 0), (None, 0)]
+    df = spark.createDataFrame(ints, "s string, want int")
+    assert df.where(~java_int(F.col("s")).eqNullSafe(F.col("want"))).count() == 0
