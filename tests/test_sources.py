@@ -16,6 +16,7 @@ from clusterlens.sources.eventlog import EVENT_LOG_SCHEMA, event_log_path, read_
 from clusterlens.sources.series import read_marks, read_series
 from clusterlens.sources.sinkfiles import read_sink_files
 from clusterlens.sources.spells import read_edge_spells, read_vertex_spells
+from clusterlens.sources.tasks import task_table
 from clusterlens.streaming import jobs as ST
 from tests.conftest import SF_SMALL
 
@@ -82,10 +83,12 @@ def test_written_lines_are_small_files_in_unsorted_folders(spark, tmp_dir, monke
 
 
 def test_log_shuffles_rows_of_events_not_lines(spark, tmp_dir):
-    t, dealt = EV._log_tasks(spark, SF_SMALL)
-    plan = EV.derived_event_log(t, dealt=dealt)._jdf.queryExecution().optimizedPlan().toString()
-    below = plan[plan.index("Repartition"):].split("\n")
-    assert "to_json" not in "".join(x for x in below if "Repartition" in x) and plan.count("SparkListenerTaskEnd") == 1
+    rows = EV._log_rows(task_table(spark, SF_SMALL))
+    lines = EV._dealt_lines(rows, 3)
+    assert lines.exceptAll(EV.derived_event_log(task_table(spark, SF_SMALL))).count() == 0 and lines.count() == rows.count()
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    # the line is built above the shuffle, which moves a task's columns and the hash of its line
+    assert "SparkListenerTaskEnd" in plan[:plan.index("Repartition")] and "[_h#" in plan[plan.index("Repartition"):][:60]
     path = event_log_path(spark, SF_SMALL)
     size = sum(os.path.getsize(os.path.join(d, x)) for d, _, names in os.walk(path.removeprefix("file:")) for x in names)
     length = spark.read.text(path).agg(F.sum(F.length("value"))).first()[0]
