@@ -10,19 +10,21 @@ against the others: for word w after v in document d
 c are counts over all documents, c' = c minus the document's own count, N all
 words. A document's score is the sum of log S over its words.
 
-1. Count words (combined per task, then by hash). Words with a share of at
-   least 1 / HOT_WORDS are *hot*: at most HOT_WORDS of them, whatever the size of
-   the corpus, so their counts are broadcast. Bigrams that are frequent within
-   some batch and hold 1 / HOT_PAIRS of the words are hot pairs (at most
-   HOT_PAIRS); a second scan counts them exactly.
-2. Every other bigram becomes a row (text, v, w, times in the text), where hot
-   words are short codes. The rows are shuffled once, by the bigram: a partition
-   is a part of the count table and of the exploded bigrams, and a window sum
-   brings each bigram's count to its rows. No bigram outside the hot pairs holds
-   more than about 2 / LOCAL_SHARE of all words, so partitions are even.
-3. Counts of hot words are joined by broadcast; sums per (text, word that is
-   not hot) are combined in the partition, joined with the word counts, and
-   summed per text, then per document.
+1. Texts are dealt to *blocks* of about BUCKET_WORDS words, by a hash of the row
+   number, in one shuffle that the next and the last step share.
+2. A block counts its words and bigrams. The counts are shuffled by ranges of
+   the keys' hashes: a range is a part of the count table, whose group adds the
+   blocks' counts up. A key comes once from a block at most, so ranges are even
+   however frequent a word is, and copies of a text in a block cost nothing. N
+   is the total of a key of its own.
+3. The totals go back to their blocks, in the order in which the block sent its
+   keys, and are cogrouped with the block's texts, which look them up; sums per
+   text are summed per document.
+
+Nothing is broadcast or collected, and what is shuffled a word does not grow
+with the corpus: blocks keep their size, there are more of them.
+
+Words and bigrams are known by 64-bit hashes.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text
 without words (null, empty) has 0 words and a null score; rows of one doc_id
@@ -38,21 +40,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterlens.llm import shared
 from clusterlens.llm import words as W
 from clusterlens.sources.tables import table
 
 ALPHA = 0.4
+# frequent words and bigrams need no path of their own any more; still set by callers
 HOT_WORDS = 1 << 19
 HOT_PAIRS = 1 << 17
-LOCAL_SHARE = 1 << 16  # a bigram of this share of a batch is a candidate
-BUCKET_WORDS = 4_000_000
-_BLOCK = 4 << 20
+BUCKET_WORDS = 3_000_000
+WORD_BYTES = 6  # a word with the space behind it: the size of a block is known before words are counted
+PARTS = 4  # ranges of keys for each block of the corpus
+_PIECE = 2 << 20
 _U = np.uint64
-_COLD = _U(1 << 63)
+_RANGES = np.arange(1, 16, dtype=_U) << _U(60)
+_ALL_WORDS = _U(0)  # the key whose total is N
 
 
 def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -61,221 +65,132 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ordered, and the sums of their counts."""
-    if not keys:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    u, at = np.unique(k, return_inverse=True)
-    return u, np.bincount(at, weights=c, minlength=len(u)).astype(np.int64)
-
-
-def _tokens(b: W.Block, hasher: W.SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, row, whether the word has one before it in its row)."""
+    """Distinct keys, ordered, and the sums of their counts, from ordered keys.
+    Ranges of keys are merged one by one: this is where a task needs most memory."""
+    cuts = [np.concatenate([[0], np.searchsorted(k, _RANGES), [len(k)]]) for k in keys]
+    merged, sums = [], []
+    for i in range(len(_RANGES) + 1):
+        k = np.concatenate([x[c[i]:c[i + 1]] for x, c in zip(keys, cuts, strict=True)])
+        if len(k):
+            order = np.argsort(k)
+            k = k[order]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            merged.append(k[first])
+            c = np.concatenate([x[c[i]:c[i + 1]] for x, c in zip(counts, cuts, strict=True)])
+            sums.append(np.add.reduceat(c[order], first, dtype=np.int32))
+    return np.concatenate(merged), np.concatenate(sums)
+
+
+def _pieces(texts: pa.ChunkedArray) -> Iterator[tuple[W.Block, int]]:
+    """(piece, number of its first row) of a column of texts."""
+    at = 0
+    for chunk in texts.chunks:
+        for b in W.blocks(chunk, _PIECE):
+            yield b, at + b.first
+        at += len(chunk)
+
+
+def _tokens(b: W.Block, hasher: W.SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hash, row, positions of words with one before them in their row,
+    hash of the bigram that ends at each of these)."""
     ws, we, rows = W.words(b)
-    h = hasher(b.data, ws, we) & ~_COLD
-    after = np.zeros(len(h), bool)
-    after[1:] = rows[1:] == rows[:-1]
-    return h, rows, after
+    h = hasher(b.data, ws, we)
+    at = 1 + np.flatnonzero(rows[1:] == rows[:-1])
+    return h, rows, at, _pair(h[at - 1], h[at])
 
 
 def _hasher() -> W.SpanHash:
     return W.SpanHash(91, lower=True)
 
 
-class Known:
-    """Broadcast counts: hot words and hot pairs, ordered by hash."""
-
-    def __init__(self, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], total: int):
-        self.words, self.word_counts = words
-        self.pairs, self.pair_counts = pairs
-        self.total = total
-
-    @staticmethod
-    def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, whether known) of each hash."""
-        if not len(keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return at, keys[at] == h
-
-    def code(self, h: np.ndarray) -> np.ndarray:
-        """1 + index of a hot word, or the hash with the top bit set."""
-        at, hot = self.find(self.words, h)
-        return np.where(hot, at.astype(_U) + _U(1), h | _COLD)
-
-    def log_count(self, code: np.ndarray) -> np.ndarray:
-        return np.log(self.word_counts[code.astype(np.int64) - 1])
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(kind, h, c): counts of words (kind 0) and of candidate pairs (kind 1)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hasher()
-        for batch in batches:
-            keys, counts, pairs, pair_counts, n = [], [], [], [], 0
-            for b in W.blocks(batch.column(0), _BLOCK):
-                h, _, after = _tokens(b, hasher)
-                u, c = np.unique(h, return_counts=True)
-                keys.append(u), counts.append(c)
-                at = np.flatnonzero(after)
-                u, c = np.unique(_pair(h[at - 1], h[at]), return_counts=True)
-                many = c >= 4  # a frequent pair comes often in some block
-                pairs.append(u[many]), pair_counts.append(c[many])
-                n += len(h)
-            u, c = _counted(keys, counts)
-            p, pc = _counted(pairs, pair_counts)
-            many = pc >= max(16, n // LOCAL_SHARE)
-            p, pc = p[many], pc[many]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([0, 1], [len(u), len(p)]).astype(np.int32)),
-                 pa.array(np.concatenate([u, p]).view(np.int64)), pa.array(np.concatenate([c, pc]))],
-                names=["kind", "h", "c"])
-
-    rows = docs.select("text").mapInArrow(run, "kind int, h long, c long")
-    return rows.groupBy("kind", "h").agg(F.sum("c").alias("c"))
-
-
-def _pair_counts(docs: DataFrame, known) -> DataFrame:
-    """(h, c): exact counts of the listed pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, pairs = _hasher(), known.value
-        for batch in batches:
-            sums = np.zeros(len(pairs), np.int64)
-            for b in W.blocks(batch.column(0), _BLOCK):
-                h, _, after = _tokens(b, hasher)
-                at = np.flatnonzero(after)
-                i, hit = Known.find(pairs, _pair(h[at - 1], h[at]))
-                sums += np.bincount(i[hit], minlength=len(pairs))
-            some = sums > 0
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[some].view(np.int64)), pa.array(sums[some])], names=["h", "c"])
-
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _sorted(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table (h, c) on the driver, ordered by hash."""
-    got = df.select("h", "c").toArrow()
-    h, c = got.column("h").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def _own(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """How often each (document, key) occurs, for each entry."""
-    _, at, c = np.unique(W.mix(keys ^ W.mix(ids, 5), 6), return_inverse=True, return_counts=True)
-    return c[at]
-
-
-_GRAMS = "id long, v long, w long, k int, log_s double, n int, found int, doc long"
-
-
-def _exploded(docs: DataFrame, known) -> DataFrame:
-    """Bigrams (row id, code of v or 0, code of w, k times in the row), and one
-    row per text (v null, w its id) with its document and the sums of what the
-    broadcast counts settle. Bigrams leave a block in the order of their words,
-    so that neighbouring rows are alike and shuffle files small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, k = _hasher(), Known(*known.value)
-        for batch in batches:
-            ids, docs_of = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            for b in W.blocks(batch.column(2), _BLOCK):
-                h, rows, after = _tokens(b, hasher)
-                code = k.code(h)
-                before = np.zeros(len(h), _U)
-                before[1:] = np.where(after[1:], code[:-1], _U(0))
-                warm = code < _COLD
-                pair = np.zeros(len(h), _U)
-                at = np.flatnonzero(after)
-                pair[at] = _pair(h[at - 1], h[at])
-                i, hot = Known.find(k.pairs, pair)
-                hot &= after & warm & (before < _COLD)
-                log_s = np.zeros(len(h))
-                first = ~after & warm
-                log_s[first] = k.log_count(code[first]) - math.log(k.total)
-                found = np.zeros(len(h), bool)
-                at = np.flatnonzero(hot)
-                if len(at):
-                    left = k.pair_counts[i[at]] - _own(rows[at].astype(_U), pair[at])
-                    ok = left > 0
-                    found[at[ok]] = True
-                    log_s[at[ok]] = np.log(left[ok]) - k.log_count(before[at[ok]])
-                    log_s[at[~ok]] = math.log(ALPHA / k.total) + k.log_count(code[at[~ok]])
-                n = len(b)
-                mine = ids[b.first:b.first + n].astype(np.int64)
-                rest = np.flatnonzero(~hot & ~first)
-                key = W.mix(_pair(before[rest], code[rest]) ^ W.mix(rows[rest].astype(_U), 5), 6)
-                _, at, times = np.unique(key, return_index=True, return_counts=True)
-                x = rest[at]
-                order = np.lexsort((before[x], code[x]))
-                x, times = x[order], times[order]
-                ends = len(x) + n
-                home = docs_of[b.first:b.first + n].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([mine[rows[x]], mine])),
-                     pa.array(np.concatenate([before[x].view(np.int64), mine]), mask=np.arange(ends) >= len(x)),
-                     pa.array(np.concatenate([code[x].view(np.int64), mine])),
-                     pa.array(np.concatenate([times, np.zeros(n)]).astype(np.int32)),
-                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=log_s, minlength=n)])),
-                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, minlength=n)]).astype(np.int32)),
-                     pa.array(np.concatenate([np.zeros(len(x)), np.bincount(rows, weights=found, minlength=n)]).astype(np.int32)),
-                     pa.array(np.concatenate([np.zeros(len(x), np.int64), home]), mask=np.arange(ends) < len(x))],
-                    names=["id", "v", "w", "k", "log_s", "n", "found", "doc"])
-
-    return docs.select("id", "doc", "text").mapInArrow(run, _GRAMS)
-
-
-def _scored(grams: DataFrame, hot: DataFrame, total: int, parts: int) -> DataFrame:
-    """Partial sums (id, doc, log_s, n, found), where ``cold`` is null, and for
-    each (id, cold word) the factor ``m`` of the logarithm of that word's count.
-    ``hot`` is (code, c) of the hot words."""
-    count = F.sum("k").over(Window.partitionBy("v", "w"))
-    real = F.col("v").isNotNull()
-    rows = grams.repartition(parts, "v", "w").withColumn("left", count - F.col("k"))
-    rows = rows.withColumn("hit", real & (F.col("v") != 0) & (F.col("left") > 0))
-    # log(left) - log c(v) when others hold the bigram, else log(ALPHA) + log c(w) - log N
-    rows = rows.withColumn("code", F.when(real, F.when(F.col("hit"), F.col("v")).otherwise(F.col("w"))))
-    rows = rows.join(F.broadcast(hot), "code", "left")
-    sign = F.when(F.col("hit"), -F.col("k")).otherwise(F.col("k"))
-    own = (F.when(F.col("hit"), F.log("left")).when(F.col("v") == 0, F.lit(-math.log(max(total, 1))))
-           .otherwise(F.lit(math.log(ALPHA / max(total, 1))))) * F.col("k")
-    log_s = F.when(real, own + F.coalesce(sign * F.log("c"), F.lit(0.0))).otherwise(F.col("log_s"))
-    rows = rows.select("id", "doc", F.when(F.col("c").isNull(), F.col("code")).alias("cold"), log_s.alias("log_s"),
-                       F.when(real & F.col("c").isNull(), sign).otherwise(0).alias("m"), "n",
-                       (F.col("found") + F.when(F.col("hit"), F.col("k")).otherwise(0)).alias("found"))
-    return rows.groupBy("id", "cold").agg(F.max("doc").alias("doc"), *[F.sum(c).alias(c) for c in ("log_s", "m", "n", "found")])
+def _counts(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a block's texts, ordered, and how often each occurs."""
+    hasher, keys, counts, n = _hasher(), [], [], 0
+    for b, _ in _pieces(texts):
+        h, _, _, pair = _tokens(b, hasher)
+        u, c = np.unique(np.concatenate([h, pair]), return_counts=True)
+        keys.append(u), counts.append(c.astype(np.int32))
+        n += len(h)
+    return _counted([*keys, np.array([_ALL_WORDS])], [*counts, np.array([n], np.int32)])
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def _block_counts(dealt: DataFrame, parts: int) -> DataFrame:
+    """(block, part, keys, counts): the counts of a block, a row for each range
+    of keys."""
+    starts = [(i << 64) // parts for i in range(1, parts)]
+
+    def run(docs: pa.Table) -> pa.Table:
+        u, c = _counts(docs.column("text"))
+        at = np.concatenate([[0], np.searchsorted(u, np.array(starts, _U)), [len(u)]])
+        block = docs.column("block")[0].as_py()
+        return pa.table({"block": pa.array(np.full(parts, block, np.int32)), "part": pa.array(np.arange(parts, dtype=np.int32)),
+                         "keys": _lists(at, u.view(np.int64)), "counts": _lists(at, c)})
+
+    return dealt.groupBy("block").applyInArrow(run, "block int, part int, keys array<long>, counts array<int>")
+
+
+def _totals(lists: pa.Table) -> pa.Table:
+    """(block, part, totals): of a range of keys, the totals of each block's keys."""
+    keys, counts = (lists.column(c).combine_chunks() for c in ("keys", "counts"))
+    _, at = np.unique(keys.flatten().to_numpy(), return_inverse=True)
+    totals = np.bincount(at, weights=counts.flatten().to_numpy()).astype(np.int64)[at]
+    ends = np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())])
+    return pa.table({"block": lists.column("block"), "part": lists.column("part"), "totals": _lists(ends, totals)})
+
+
+def _score(docs: pa.Table, lists: pa.Table) -> pa.Table:
+    """(doc, n, found, log_s) of each text of a block, from the totals of its keys."""
+    keys, _ = _counts(docs.column("text"))
+    lists = lists.sort_by("part")
+    totals = lists.column("totals").combine_chunks().flatten().to_numpy()
+    if len(totals) != len(keys):
+        raise ValueError(f"a block of texts has changed while it was scored: {len(keys)} keys, {len(totals)} totals")
+
+    def of(some: np.ndarray) -> np.ndarray:
+        return totals[np.searchsorted(keys, some)]
+
+    hasher = _hasher()
+    log_n = np.log(np.maximum(of(np.array([_ALL_WORDS])), 1))
+    n, found, log_s = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), np.zeros(len(docs))
+    for b, first in _pieces(docs.column("text")):
+        h, rows, at, pair = _tokens(b, hasher)
+        u, i = np.unique(h, return_inverse=True)
+        log_c = np.log(of(u))[i]
+        s = log_c - log_n
+        s[at] += math.log(ALPHA)
+        u, i = np.unique(pair, return_inverse=True)
+        _, mine, own = np.unique(rows[at] * len(u) + i, return_inverse=True, return_counts=True)
+        left = of(u)[i] - own[mine]
+        hit = left > 0
+        s[at[hit]] = np.log(left[hit]) - log_c[at[hit] - 1]
+        here = slice(first, first + len(b))
+        n[here] = W.per_row(rows, len(b))
+        found[here] = W.per_row(rows[at[hit]], len(b))
+        log_s[here] = np.bincount(rows, weights=s, minlength=len(b))
+    return pa.table({"doc": docs.column("doc"), "n": pa.array(n), "found": pa.array(found), "log_s": pa.array(log_s)})
 
 
 def backoff_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(id, n_words, n_found, log_score) of each document; n_found counts the
     words whose bigram another document holds."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`"), F.xxhash64(F.col(f"`{text}`"))).cast("bigint").alias("doc"),
                        F.col(f"`{text}`").alias("text"))
-    # rows are scored one by one, so each has a key of its own, used within one reading only
-    rows = rows.withColumn("id", F.monotonically_increasing_id())
-    counts = shared.written(_word_counts(rows), "counts")
-    words = counts.where("kind = 0").select("h", "c")
-    total = words.agg(F.sum("c").alias("n")).first()["n"] or 0
-    send = spark.sparkContext.broadcast
-    hot = _sorted(words.where(F.col("c") * HOT_WORDS >= total))
-    listed = _sorted(counts.where((F.col("kind") == 1) & (F.col("c") * HOT_PAIRS >= total)))
-    pairs = _sorted(_pair_counts(rows, send(listed[0]))) if len(listed[0]) else listed
-    known = send((hot, pairs, total))  # plain arrays: executors need not have this module
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_words))
-    codes = pa.table({"code": pa.array(np.arange(1, len(hot[1]) + 1)), "c": pa.array(hot[1])})
-    found = _scored(_exploded(rows, known), spark.createDataFrame(codes, "code long, c long"), total, parts)
-    found = shared.written(found, "scores")
-    asked = found.where("cold IS NOT NULL")
-    asked = asked.join(words.select((F.col("h").bitwiseOR(F.lit(-(1 << 63)))).alias("cold"), "c"), "cold")
-    asked = asked.select("id", (F.col("log_s") + F.col("m") * F.log("c")).alias("log_s"), "n", "found")
-    both = found.where("cold IS NULL").select("id", "doc", "log_s", "n", "found").unionByName(asked, allowMissingColumns=True)
-    both = both.groupBy("id").agg(F.max("doc").alias("doc"), *[F.sum(c).alias(c) for c in ("log_s", "n", "found")])
-    both = both.drop("id").withColumnRenamed("doc", "id")
-    out = both.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("found").alias("n_found"), F.sum("log_s").alias("s"))
-    return out.select("id", "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("s")).alias("log_score"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, math.ceil(size / (WORD_BYTES * bucket_words)))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    # rows are dealt one by one, so copies and rows of one id spread over all blocks
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    dealt = rows.select(block.alias("block"), "doc", "text").repartition(parts, "block")
+    lists = _block_counts(dealt, PARTS * blocks).repartition(parts, "part")
+    totals = lists.groupBy("part").applyInArrow(_totals, "block int, part int, totals array<long>")
+    scored = dealt.groupBy("block").cogroup(totals.repartition(parts, "block").groupBy("block")).applyInArrow(
+        _score, "doc long, n long, found long, log_s double")
+    out = scored.groupBy("doc").agg(F.sum("n").alias("n_words"), F.sum("found").alias("n_found"), F.sum("log_s").alias("s"))
+    return out.select(F.col("doc").alias("id"), "n_words", "n_found", F.when(F.col("n_words") > 0, F.col("s")).alias("log_score"))
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,3 +191,23 @@ def test_scores_of_missing_ids_and_empty_table(documents):
     got = B.backoff_scores(docs).collect()
     assert len(got) == 2 and {r.n_words for r in got} == {4, 3}
     assert B.backoff_scores(docs.where("false")).count() == 0
+
+
+def test_a_block_sends_each_bigram_once(spark, documents):
+    text = " ".join(f"w{i % 50} x{i % 7}" for i in range(400))
+    rows = documents([(i, text) for i in range(60)]).selectExpr("cast(doc_id % 2 AS int) AS block", "doc_id AS doc", "text")
+    lists = B._block_counts(rows, 3).collect()
+    assert sorted((r.block, r.part) for r in lists) == [(b, p) for b in (0, 1) for p in range(3)]
+    words = text.split()
+    distinct = len(set(words)) + len(set(zip(words, words[1:]))) + 1
+    for block in (0, 1):
+        keys = [k for r in sorted(lists, key=lambda r: r.part) if r.block == block for k in r.keys]
+        assert len(keys) == len(set(keys)) == distinct  # not one for each of the 30 copies
+        assert sum(c for r in lists if r.block == block for c in r.counts) == 30 * (3 * len(words) - 1)
+
+
+def test_texts_are_shuffled_once(documents):
+    out = B.backoff_scores(documents([(i, f"a b c {i}") for i in range(40)]), bucket_words=20)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "hashpartitioning(v" not in plan
