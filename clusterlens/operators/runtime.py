@@ -278,11 +278,13 @@ def _scope_and_id() -> tuple[Column, Column]:
 
 STARTS = ("APPLICATION-START", "JOB-START", "STAGE-SUBMITTED", "TASK-START")
 ENDS = ("APPLICATION-END", "JOB-END", "STAGE-COMPLETED", "TASK-END")
+SCOPES = ("app", "job", "stage", "task")
 
 
 def boundaries(norm: DataFrame, events: tuple[str, ...]) -> DataFrame:
     """``(app_id, scope, id, epoch)`` of the start or of the end rows; rows
-    without a time or an id are left out."""
+    without a time or an id are left out (``boundaries_from_log`` is the form
+    for event logs)."""
     scope, ident = _scope_and_id()
     rows = norm.where((F.col("kind") == "event") & F.col("event").isin(*events))
     return (rows.select("app_id", scope.alias("scope"), ident.alias("id"), "epoch")
@@ -304,24 +306,44 @@ def durations(norm: DataFrame) -> DataFrame:
                  .alias("elapsed")))
 
 
+def _spans() -> list[tuple[str, str, str, Column, Column | None, Column | None]]:
+    """What starts and ends in a log: (event of the log, row it becomes, scope, id, start time, end time)."""
+    si, ti = F.col("`Stage Info`"), F.col("`Task Info`")
+    return [
+        ("SparkListenerApplicationStart", "APPLICATION-START", "app", F.col("app_id"), F.col("Timestamp"), None),
+        ("SparkListenerApplicationEnd", "APPLICATION-END", "app", F.col("app_id"), None, F.col("Timestamp")),
+        ("SparkListenerJobStart", "JOB-START", "job", _s(F.col("`Job ID`")), F.col("`Submission Time`"), None),
+        ("SparkListenerJobEnd", "JOB-END", "job", _s(F.col("`Job ID`")), None, F.col("`Completion Time`")),
+        ("SparkListenerStageSubmitted", "STAGE-SUBMITTED", "stage", _s(si["Stage ID"]), si["Submission Time"], None),
+        ("SparkListenerStageCompleted", "STAGE-COMPLETED", "stage", _s(si["Stage ID"]), None, si["Completion Time"]),
+        ("SparkListenerTaskStart", "TASK-START", "task", _s(ti["Task ID"]), ti["Launch Time"], None),
+        ("SparkListenerTaskEnd", "TASK-END", "task", _s(ti["Task ID"]), None, ti["Finish Time"]),
+    ]
+
+
+def boundaries_from_log(log: DataFrame, events: tuple[str, ...], scopes: tuple[str, ...] = SCOPES,
+                        scope: str = "path") -> DataFrame:
+    """``boundaries`` of ``scopes`` straight from the typed log columns: the
+    reader gets the events to keep and only the columns they are known by."""
+    spans = [x for x in _spans() if x[1] in events and x[2] in scopes]
+    e = F.col("Event")
+    sc = ident = epoch = F
+    for name, _, sco, idc, st, en in spans:
+        sc, ident = sc.when(e == name, F.lit(sco)), ident.when(e == name, idc)
+        epoch = epoch.when(e == name, _ms_to_s(en if st is None else st))
+    rows = with_app_id(log.where(e.isin(*[x[0] for x in spans])), scope)
+    return (rows.select("app_id", sc.alias("scope"), ident.alias("id"), epoch.alias("epoch"))
+            .where(F.col("epoch").isNotNull() & F.col("id").isNotNull() & F.col("app_id").isNotNull()))
+
+
 def durations_from_log(log: DataFrame, scope: str = "path") -> DataFrame:
     """``durations`` straight from the typed log columns: one scan and one
     aggregate, no attribute maps (``durations`` is the form for listener
     files)."""
     e = F.col("Event")
-    si, ti = F.col("`Stage Info`"), F.col("`Task Info`")
-    spec = [  # event, scope, id, start time, end time
-        ("SparkListenerApplicationStart", "app", F.col("app_id"), F.col("Timestamp"), None),
-        ("SparkListenerApplicationEnd", "app", F.col("app_id"), None, F.col("Timestamp")),
-        ("SparkListenerJobStart", "job", _s(F.col("`Job ID`")), F.col("`Submission Time`"), None),
-        ("SparkListenerJobEnd", "job", _s(F.col("`Job ID`")), None, F.col("`Completion Time`")),
-        ("SparkListenerStageSubmitted", "stage", _s(si["Stage ID"]), si["Submission Time"], None),
-        ("SparkListenerStageCompleted", "stage", _s(si["Stage ID"]), None, si["Completion Time"]),
-        ("SparkListenerTaskStart", "task", _s(ti["Task ID"]), ti["Launch Time"], None),
-        ("SparkListenerTaskEnd", "task", _s(ti["Task ID"]), None, ti["Finish Time"]),
-    ]
+    spec = _spans()
     sc = ident = start = end = None
-    for name, sco, idc, st, en in spec:
+    for name, _, sco, idc, st, en in spec:
         c = e == name
         sc = F.when(c, F.lit(sco)) if sc is None else sc.when(c, F.lit(sco))
         ident = F.when(c, idc) if ident is None else ident.when(c, idc)

@@ -42,6 +42,12 @@ EVENT_LOG_SCHEMA = ", ".join([
     "`Output Metrics`: STRUCT<`Bytes Written`: BIGINT, `Records Written`: BIGINT>>",
     "`Spark Properties` MAP<STRING, STRING>",
 ])
+# The fields by which starts and ends are known.
+BOUNDARY_SCHEMA = ", ".join([
+    "`Event` STRING", "`Timestamp` BIGINT", "`Job ID` BIGINT", "`Submission Time` BIGINT", "`Completion Time` BIGINT",
+    "`Stage Info` STRUCT<`Stage ID`: BIGINT, `Submission Time`: BIGINT, `Completion Time`: BIGINT>",
+    "`Task Info` STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Finish Time`: BIGINT>",
+])
 
 # Executor settings recorded in the derived log's environment.
 ENV_PROPERTIES = {"spark.executor.instances": "8", "spark.executor.cores": "1",

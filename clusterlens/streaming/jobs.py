@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clusterlens.operators import runtime as D
 from clusterlens.operators.sinkfiles import collate
-from clusterlens.sources.eventlog import EVENT_LOG_SCHEMA
+from clusterlens.sources.eventlog import BOUNDARY_SCHEMA, EVENT_LOG_SCHEMA
 from clusterlens.sources.sinkfiles import sink_name_of_path
 
 
@@ -64,6 +64,13 @@ def event_stream(spark: SparkSession, log_dir: str) -> DataFrame:
     return D.normalise(log, scope="path")
 
 
+def boundary_stream(spark: SparkSession, log_dir: str, events: tuple[str, ...], scopes: tuple[str, ...]) -> DataFrame:
+    """Starts or ends in event-log files as they arrive: of each line only the
+    fields that tell what began or ended when."""
+    log = spark.readStream.schema(BOUNDARY_SCHEMA).json(log_dir)
+    return D.boundaries_from_log(log, events, scopes)
+
+
 def stream_events(spark: SparkSession, log_dir: str, out: str, checkpoint: str,
                   trigger: dict | None = None) -> None:
     _run(D.event_rows(event_stream(spark, log_dir)), out, checkpoint, trigger)
@@ -164,10 +171,9 @@ def stream_busy_sessions(spark: SparkSession, log_dir: str, out: str, checkpoint
 
 
 def stream_durations(spark: SparkSession, log_dir: str, out: str, checkpoint: str, max_run: str = "1 day",
-                     scopes: tuple[str, ...] = ("app", "job", "stage", "task"),
+                     scopes: tuple[str, ...] = D.SCOPES,
                      trigger: dict | None = None, marks: str | None = None) -> None:
     """Append the elapsed times of what starts and ends in the log."""
     closing = _marks(spark, marks, "10 minutes") if marks else None
-    starts, ends = (D.boundaries(event_stream(spark, log_dir), which).where(F.col("scope").isin(*scopes))
-                    for which in (D.STARTS, D.ENDS))
+    starts, ends = (boundary_stream(spark, log_dir, which, scopes) for which in (D.STARTS, D.ENDS))
     _run(live_durations(starts, ends, max_run, marks=closing), out, checkpoint, trigger)

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from clusterlens.operators import runtime as D
-from clusterlens.sources.eventlog import read_event_log
+from clusterlens.sources.eventlog import BOUNDARY_SCHEMA, read_event_log
 from clusterlens.streaming import jobs as ST
 
 
@@ -83,3 +83,38 @@ def test_windows_come_out_once(spark, tmp_dir, job):
     job(spark, src, out, ck, marks=marks)
     got = rows(spark, out, *columns)
     assert len(got) == len(want) + 1 and all(r[2] is not None for r in got)
+
+
+@pytest.mark.parametrize("which", [D.STARTS, D.ENDS])
+def test_boundaries_of_a_log_need_no_attributes(spark, tmp_dir, which):
+    src = os.path.join(tmp_dir, "log")
+    stage = {"Stage ID": 3, "Stage Name": "s", "Number of Tasks": 1, "Parent IDs": [], "Submission Time": 1999, "Completion Time": -1}
+    odd = [{"Event": "SparkListenerApplicationStart", "App ID": "other", "Timestamp": 1234}, {"Event": "SparkListenerApplicationEnd"},
+           {"Event": "SparkListenerJobStart", "Job ID": 7, "Submission Time": 5}, {"Event": "SparkListenerJobEnd", "Job ID": None, "Completion Time": 9},
+           {"Event": "SparkListenerJobEnd", "Job ID": 7, "Completion Time": 9000, "Job Result": {"Result": "JobSucceeded"}},
+           {"Event": "SparkListenerStageSubmitted", "Stage Info": stage}, {"Stage Info": stage, "Event": "SparkListenerStageCompleted"},
+           {"Event": "SparkListenerTaskEnd", "Task Info": None}, {"Event": "SparkListenerTaskStart", "Task Info": {"Task ID": "x", "Launch Time": 4}},
+           {"Event": "SparkListenerExecutorAdded", "Timestamp": 1}, {"Timestamp": 1}, {"Event": None}]
+    put(src, "1.json", log(FIRST) + odd)
+    with open(os.path.join(src, "app=a1", "2.json"), "w") as f:
+        f.write('{"Event":"SparkListenerTaskStart","Task Info":{"Task ID":8\nnot json\n\n')
+    nameless = os.path.join(tmp_dir, "nameless")  # no application in its path
+    os.makedirs(nameless)
+    with open(os.path.join(nameless, "loose.json"), "w") as f:
+        f.write(json.dumps(task(1, 1, 2)[0]) + "\n")
+    for folder in (src, nameless):
+        whole = D.boundaries(D.normalise(read_event_log(spark, folder), scope="path"), which).collect()
+        assert bool(whole) == (folder == src)
+        for scopes in (D.SCOPES, ("task",), ("app", "stage")):
+            got = D.boundaries_from_log(read_event_log(spark, folder, BOUNDARY_SCHEMA), which, scopes)
+            assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in whole if r.scope in scopes)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Generate" not in plan and "SparkListener" in plan.split("PushedFilters")[1]
+
+
+def test_stream_of_durations_builds_no_attributes(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "log")
+    put(src, "1.json", log(FIRST))
+    stream = ST.boundary_stream(spark, src, D.STARTS, ("task",))
+    assert stream.isStreaming and stream.columns == ["app_id", "scope", "id", "epoch"]
+    assert "inline" not in stream._jdf.queryExecution().analyzed().toString()
